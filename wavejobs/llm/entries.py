@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wavejobs.llm import mixing, sharding
+from wavejobs.llm import mixing, sharding, simhash
 from wavejobs.llm.common import table
 
 
@@ -18,8 +18,12 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.group(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op8_source_mixing, op10_sharding)}
+    return {f.__name__: f for f in (op2_simhash, op8_source_mixing, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
