@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wavejobs.llm import mixing, sharding, simhash
+from wavejobs.llm import embeddings, mixing, sharding, simhash
 from wavejobs.llm.common import table
 
 
+def op7_embedding_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.group(table(spark, sf_dir, "embeddings"))
+
+
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -23,7 +27,7 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_simhash, op8_source_mixing, op10_sharding)}
+    return {f.__name__: f for f in (op2_simhash, op7_embedding_neighbours, op8_source_mixing, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
