@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wavejobs.llm import embeddings, mixing, sharding, simhash
-from wavejobs.llm.common import table
+from wavejobs.llm import embeddings, mixing, sharding, simhash, toxicity
+from wavejobs.sources.tables import table
 
 
 def op7_embedding_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +18,10 @@ def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
@@ -27,7 +31,7 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_simhash, op7_embedding_neighbours, op8_source_mixing, op10_sharding)}
+    return {f.__name__: f for f in (op2_simhash, op7_embedding_neighbours, op8_source_mixing, op9_toxicity, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
