@@ -20,11 +20,11 @@ RADIUS = 4
 #: Two fingerprints within RADIUS bits agree to within RADIUS // SEGMENTS bits on one of SEGMENTS runs of bits.
 SEGMENTS = 3
 #: Fingerprints that a shard of one segment's tree is meant to hold, shards at most, and sampled fingerprints per shard.
-PER_SHARD = 4000
+PER_SHARD = 2000
 MOST_SHARDS = 4096
 SAMPLE_PER_SHARD = 32
 #: A shard of more rows than this is compared block by block.
-BLOCK = 4000
+BLOCK = 24_000
 
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
