@@ -6,10 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wavejobs.llm import embeddings, mixing, sharding, simhash, toxicity
+from wavejobs.llm import benchmarks, embeddings, mixing, sharding, simhash, toxicity, warc
 from wavejobs.sources.tables import table
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive(table(spark, sf_dir, "pages"))
+
+
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return benchmarks.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_embedding_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.group(table(spark, sf_dir, "embeddings"))
 
@@ -31,8 +39,8 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_simhash, op7_embedding_neighbours, op8_source_mixing, op9_toxicity, op10_sharding)}
+    return {f.__name__: f for f in (op2_simhash, op5_warc, op6_decontamination, op7_embedding_neighbours, op8_source_mixing, op9_toxicity, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_source_mixing": mixing.ORACLE, "op10_sharding": sharding.ORACLE}
+    return {"op6_decontamination": benchmarks.ORACLE, "op8_source_mixing": mixing.ORACLE, "op10_sharding": sharding.ORACLE}
