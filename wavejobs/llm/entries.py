@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wavejobs.llm import benchmarks, embeddings, mixing, sharding, simhash, toxicity, warc
+from wavejobs.llm import benchmarks, embeddings, lines, mixing, sharding, simhash, toxicity, warc
 from wavejobs.sources.tables import table
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.dedup(table(spark, sf_dir, "documents"))
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive(table(spark, sf_dir, "pages"))
 
@@ -39,7 +43,7 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_simhash, op5_warc, op6_decontamination, op7_embedding_neighbours, op8_source_mixing, op9_toxicity, op10_sharding)}
+    return {f.__name__: f for f in (op2_simhash, op4_line_dedup, op5_warc, op6_decontamination, op7_embedding_neighbours, op8_source_mixing, op9_toxicity, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
