@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wavejobs.llm import benchmarks, embeddings, lines, mixing, sharding, simhash, toxicity, warc
+from wavejobs.llm import benchmarks, embeddings, licenses, lines, mixing, sharding, simhash, toxicity, warc
 from wavejobs.sources.tables import table
 
 
@@ -38,12 +38,16 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.group(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_simhash, op4_line_dedup, op5_warc, op6_decontamination, op7_embedding_neighbours, op8_source_mixing, op9_toxicity, op10_sharding)}
+    return {f.__name__: f for f in (op1_license_scan, op2_simhash, op4_line_dedup, op5_warc, op6_decontamination, op7_embedding_neighbours, op8_source_mixing, op9_toxicity, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
