@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wavejobs.llm import benchmarks, embeddings, licenses, lines, mixing, sharding, simhash, toxicity, warc
+from wavejobs.llm import benchmarks, embeddings, licenses, lines, mixing, passages, sharding, simhash, toxicity, warc
 from wavejobs.sources.tables import table
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.remove(table(spark, sf_dir, "documents"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup(table(spark, sf_dir, "documents"))
 
@@ -47,7 +51,7 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op2_simhash, op4_line_dedup, op5_warc, op6_decontamination, op7_embedding_neighbours, op8_source_mixing, op9_toxicity, op10_sharding)}
+    return {f.__name__: f for f in (op1_license_scan, op2_simhash, op3_substring_dedup, op4_line_dedup, op5_warc, op6_decontamination, op7_embedding_neighbours, op8_source_mixing, op9_toxicity, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
