@@ -52,7 +52,7 @@ def targets(sizes: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, mo
     )
 
 
-def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: float = MOST, keep: tuple[str, ...] = ()) -> DataFrame:
     """How often each document is taken: doc_id, size, source_size, target, taken, source, copies.
 
     Within a source the expected copies of a document are target over source
@@ -65,13 +65,14 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: f
     Null text has size 0. Null and missing sources form one source, the last.
     Null doc_ids and repeated rows are rows like any other. An empty table gives
     no rows. A source without words has target 0 and nothing is taken from it.
-    Columns other than doc_id, text and source are not looked at.
+    Columns other than doc_id, text and source are not looked at; those named
+    in keep are passed on.
     """
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)).cast("long"), F.lit(0).cast("long"))
     power = F.length(F.bin("size")) - 1
     h = F.conv(F.substring(F.md5(F.col("doc_id").cast("string")), 1, 8), 16, 10).cast("long")
     sizes = settle(
-        docs.select("doc_id", "source", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")).alias("skey"), size.alias("size"), F.coalesce(h, F.lit(0)).alias("h")).select(
+        docs.select(*keep, "doc_id", "source", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")).alias("skey"), size.alias("size"), F.coalesce(h, F.lit(0)).alias("h")).select(
             "*",
             F.when(F.col("size") == 0, 0).when(F.col("size") < 8, F.col("size")).otherwise(power * 8 + F.expr("shiftright(size, length(bin(size)) - 4)")).cast("int").alias("class"),
             F.pmod(F.col("h"), F.lit(SALTS)).cast("int").alias("salt"),
@@ -85,10 +86,27 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: f
     at = numbered.join(starts.join(targets(sizes, weights, share, most), "skey"), block).withColumn("place", F.col("before") + F.col("row"))
     copies = F.floor(F.col("rate") * F.col("place") + F.col("offset")) - F.floor(F.col("rate") * (F.col("place") - 1) + F.col("offset"))
     return at.withColumn("copies", copies.cast("int")).select(
-        "doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "source", "copies"
+        "doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "source", "copies", *keep
     )
 
 
+def take(docs: DataFrame) -> DataFrame:
+    """The mix itself: the rows of docs, each as often as it is taken.
+
+    Rows that agree in doc_id, source and text share what they take: evenly, and
+    what is left over goes to one of them.
+    """
+    keys = [F.xxhash64("doc_id", "source", "text", F.lit(i)).alias(f"__key{i}") for i in (1, 2)]
+    keyed = docs.select("*", *keys)
+    names = ("__key1", "__key2")
+    taken = mix(keyed, keep=names).groupBy(*names).agg(F.sum("copies").alias("__copies"), F.count(F.lit(1)).alias("__rows")).where("__copies > 0")
+    joined = keyed.join(taken, list(names))
+    each, left = F.floor(F.col("__copies") / F.col("__rows")), F.col("__copies") % F.col("__rows")
+    even = joined.where(each > 0).select("*", F.explode(F.sequence(F.lit(1), each)).alias("__copy"))
+    rest = joined.where(left > 0).dropDuplicates(list(names)).select("*", F.explode(F.sequence(F.lit(1).cast("long"), left)).alias("__copy"))
+    return even.select(*docs.columns).union(rest.select(*docs.columns))
+
+
 ORACLE = """
 WITH d AS (SELECT doc_id, source, coalesce('s' || source, 'n') AS skey, coalesce(length(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size,
     coalesce(('0x' || substr(md5(doc_id::VARCHAR), 1, 8))::BIGINT, 0) AS h FROM documents),
