@@ -9,16 +9,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import datetime
+from functools import reduce
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wavejobs.functions import columns as c
 from wavejobs.functions import waveform
-from wavejobs.operators import asof, audit, daily, fit, history, states
+from wavejobs.operators import adapt, asof, audit, cluster, daily, fit, health, history, neighbors, states, zero
 from wavejobs.operators.order import numbered
 from wavejobs.sources import captures
 from wavejobs.sources.tables import table
+from wavejobs.streaming import frames as stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -382,10 +385,10 @@ def r8_stats_table(spark, sf_dir):
     return out.select("event_type", "metric", "n", "min", *[F.round(x, 6).alias(x) for x in ("p05", "p50", "mean", "p95")], "max")
 
 
-@query("""SELECT serial, min(ts) AS start, max(ts) AS "end", (epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6 AS duration_s, round(median(s), 6) AS median_interval_s, max(s) AS max_interval_s FROM
+@query("""SELECT serial, min(ts) AS start, max(ts) AS "end", (epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6 AS duration_s, round(median(s), 7) AS median_interval_s, max(s) AS max_interval_s FROM
 (SELECT *, (epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY serial ORDER BY ts, id))) / 1e6 AS s FROM FRAMES) GROUP BY ALL""")
 def r9_time_summary(spark, sf_dir):
-    return audit.times(frames(spark, sf_dir)).select("serial", "start", "end", "duration_s", F.round("median_interval_s", 6).alias("median_interval_s"), "max_interval_s")
+    return audit.times(frames(spark, sf_dir)).select("serial", "start", "end", "duration_s", F.round("median_interval_s", 7).alias("median_interval_s"), "max_interval_s")
 
 
 @query("""(SELECT id, value, sq, 'score' AS list FROM FRAMES ORDER BY value DESC, id LIMIT 12) UNION ALL (SELECT id, value, sq, 'health' FROM FRAMES ORDER BY sq, id LIMIT 12)""")
@@ -407,11 +410,11 @@ def daily_reports(spark: SparkSession, sf_dir: str, digits: int = 1) -> DataFram
     return daily.report(f, {x: (50.0, 20.0) for x in ("template_corr", "snr_db", "gate_rms_v")}, minutes, digits=digits)
 
 
-@query(f"""WITH {DAILY_SQL} SELECT serial, date, frames, an AS anomaly_frames, su AS suspect_frames, round(md, 6) AS median_period_s, round(cp, 7) AS coupling, round(greatest(0, 100 - least(em + (an + su * 0.5) * md / 60, ob) / greatest(ob, 1) * 100), 7) AS incident_burden,
+@query(f"""WITH {DAILY_SQL} SELECT serial, date, frames, an AS anomaly_frames, su AS suspect_frames, round(md, 7) AS median_period_s, round(cp, 7) AS coupling, round(greatest(0, 100 - least(em + (an + su * 0.5) * md / 60, ob) / greatest(ob, 1) * 100), 7) AS incident_burden,
 round(greatest(0, least(100, 100 - (greatest(sd / 20, 1) - 1) * 12.5)), 7) AS stability, round(em, 6) AS empty_minutes FROM su""")
 def r11_daily_aggregates(spark, sf_dir):
     out = daily_reports(spark, sf_dir, 7)
-    return out.select("serial", "date", "frames", "anomaly_frames", "suspect_frames", F.round("median_period_s", 6).alias("median_period_s"), "coupling", "incident_burden", "stability", F.round("empty_minutes", 6).alias("empty_minutes"))
+    return out.select("serial", "date", "frames", "anomaly_frames", "suspect_frames", F.round("median_period_s", 7).alias("median_period_s"), "coupling", "incident_burden", "stability", F.round("empty_minutes", 6).alias("empty_minutes"))
 
 
 @query()
@@ -433,6 +436,109 @@ def io3_merge_summary(spark, sf_dir):
     return captures.merge_summary(captures.merge(parts))
 
 
+@query("""WITH p AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
+d AS (SELECT q.vec_id, b.vec_id AS neighbor, list_distance(q.e, b.e) AS distance FROM p q JOIN p b ON q.vec_id <> b.vec_id WHERE q.vec_id % 50 = 0)
+SELECT vec_id, neighbor, round(distance, 7) AS distance, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY distance, neighbor) AS rank FROM d) WHERE rank <= 5""")
+def e6_nearest_neighbours(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings")
+    out = neighbors.nearest(e.where("vec_id % 50 = 0"), e, 5, "vec_id", "embedding")
+    return out.select("vec_id", "neighbor", F.round("distance", 7).alias("distance"), "rank")
+
+
+@query("""SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 8) AS distance FROM embeddings""")
+def e7_distance_to_center(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("point"))
+    return e.select("vec_id", F.round(neighbors.distance_to_center(), 8).alias("distance"))
+
+
+@query("""SELECT id, CASE WHEN value >= 300 OR d >= 95 THEN 'anomaly' WHEN value >= 150 OR d >= 80 THEN 'suspect' ELSE 'normal' END AS label FROM (SELECT *, CASE WHEN sq >= 10 THEN sq END AS d FROM FRAMES)""")
+def e8_two_signal_label(spark, sf_dir):
+    d = F.when(F.col("sq") >= 10, F.col("sq"))
+    return frames(spark, sf_dir).select("id", neighbors.label(F.col("value"), d, (150, 300), (80, 95)).alias("label"))
+
+
+@query("""SELECT round(quantile_cont(value, 0.995), 7) AS mse_suspect, round(quantile_cont(value, 0.999), 7) AS mse_anomaly, round(quantile_cont(sq, 0.95), 7) AS distance_suspect, round(quantile_cont(sq, 0.99), 7) AS distance_anomaly,
+round(quantile_cont(1 / (1 + sq), 0.05), 7) AS similarity_suspect, round(quantile_cont(1 / (1 + sq), 0.01), 7) AS similarity_anomaly FROM FRAMES WHERE event_type <> 'error'""")
+def e9_thresholds(spark, sf_dir):
+    out = neighbors.limits(frames(spark, sf_dir), "value", "sq", F.col("event_type") != "error")
+    return out.select(*[F.round(x, 7).alias(x) for x in out.columns])
+
+
+@query()
+def e4_linear_encoding(spark, sf_dir):
+    """The energy that eight smooth directions leave of each vector."""
+    basis = np.linalg.qr(np.cos(np.outer(np.arange(64) + 0.5, np.arange(8)) * np.pi / 64))[0].T
+    return neighbors.encode(waves_of(spark, sf_dir), neighbors.linear_encoder(basis), row="vec_id").select("vec_id", "reconstruction_mse", "status")
+
+
+@query("""WITH r AS (SELECT serial, ts, max(id) AS id FROM FRAMES GROUP BY ALL) SELECT f.serial, f.id, CASE WHEN f.event_type = 'error' AND r.id IS NOT NULL THEN f.value * 2 END AS score FROM FRAMES f LEFT JOIN r USING (serial, ts, id)""")
+def e11_late_enrichment(spark, sf_dir):
+    f = frames(spark, sf_dir)
+    late = f.where("event_type = 'error'").select("serial", "ts", (F.col("value") * 2).alias("score"), F.col("id").alias("at"))
+    return history.enrich(f, late, ["score"]).select("serial", "id", "score")
+
+
+@query()
+def f19_kmeans(spark, sf_dir):
+    features = ["l_quantity", "l_extendedprice", "l_discount"]
+    li = table(spark, sf_dir, "lineitem")
+    stats = fit.stats_of(fit.robust_fit(li, features))
+    row = F.xxhash64("l_orderkey", "l_linenumber", "l_extendedprice").alias("row")
+    assigned, centers, _ = cluster.kmeans(li.select(row, cluster.vectorize(features, stats).alias("point")), 4, 10)
+    return cluster.report(assigned, centers, features, stats)
+
+
+@query()
+def f12_probe_detection(spark, sf_dir):
+    """For each synthetic fault, what part of all vectors scores as anomalies."""
+    good = featured(spark, sf_dir)
+    stats = fit.stats_of(fit.robust_fit(good, list(c.FEATURES)))
+    limit = fit.thresholds(good.select(fit.score(list(c.FEATURES), stats).alias("score"))).first()
+    waves = waves_of(spark, sf_dir)
+    profile = waveform.Profile.from_row(short_profile(waves).first(), baseline=16, low=-0.2, high=0.2)
+    parts = [waves.select(F.lit(n).alias("probe"), waveform.probed(F.col("samples"), n, 64, 16).alias("samples")) for n in waveform.PROBES]
+    tried = reduce(DataFrame.union, parts).select("probe", waveform.extract(F.col("samples"), profile, 64).alias("f")).select("probe", "f.*")
+    scored = tried.select("probe", fit.score(list(c.FEATURES), stats).alias("score"))
+    return scored.groupBy("probe").agg(F.count(F.lit(1)).alias("rows"), F.avg((F.col("score") >= limit["anomaly"]).cast("double")).alias("detected"))
+
+
+@query()
+def w12_adaptive_profile(spark, sf_dir):
+    """Each label's vectors in the order of vec_id as one meter's frames."""
+    good = featured(spark, sf_dir)
+    stats = fit.stats_of(fit.robust_fit(good, list(c.FEATURES)))
+    waves = waves_of(spark, sf_dir)
+    profile = waveform.Profile.from_row(short_profile(waves).first(), baseline=16, low=-0.2, high=0.2)
+    model = adapt.Adaptive(profile, stats, suspect=2.0, window=8)
+    return adapt.adapt(waves.select(F.col("label").alias("serial"), F.col("vec_id").alias("ts"), F.col("vec_id").alias("id"), "samples"), model)
+
+
+@query()
+def w13_realtime_health(spark, sf_dir):
+    names = {"value": "gate_rms_v", "sq": "snr_db"}
+    f = frames(spark, sf_dir)
+    f = f.select("serial", "ts", "id", "sq", "raw_state", *[F.col(a).alias(b) for a, b in names.items()], *[(F.col("value") / (i + 2)).alias(n) for i, n in enumerate(x for x in c.FEATURES if x not in names.values())])
+    stats = fit.stats_of(fit.robust_fit(f, list(c.FEATURES)))
+    scored = fit.labelled(f.withColumn("score", fit.score(list(c.FEATURES), stats)), 2.0, 3.0)
+    marked = states.air_bubble(states.empty_pipe(scored, "raw_state"), stats["template_corr"]["robust_sigma"])
+    marked = marked.withColumns({"pipe_state": F.col("raw_state"), "sq_age_ms": F.lit(0.0), "pub_dt_age_ms": F.lit(None).cast("double"), "sq_label": c.sq_label(F.col("sq"))})
+    out = health.health(marked, stats, 2.0, 3.0, air_threshold=5 * stats["template_corr"]["robust_sigma"])
+    return out.select("serial", "id", *health.WEIGHTS, "health", "health_label", "drivers", states.condition(("empty_pipe", "empty_pipe"), ("air_bubble", "air_bubble")).alias("condition"), health.training_gate(stats, 2.0).alias("freeze_reason"))
+
+
+@query()
+def w15_zero_tracker(spark, sf_dir):
+    f = frames(spark, sf_dir)
+    return zero.track(f.select("serial", "ts", "id", (F.col("value") / 10_000).alias("raw_fs_mps"), (F.col("sq") / 10 + 15).alias("temperature_c")))
+
+
+@query()
+def t2_tracked_frames(spark, sf_dir):
+    """The streaming job's rows, run over the whole table."""
+    f = frames(spark, sf_dir).select("serial", "ts", "id", "raw_state", (F.col("value") / 10_000).alias("raw_fs_mps"), (F.col("sq") / 10 + 15).alias("temperature_c"))
+    return stream.track(stream.inputs(f))
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
