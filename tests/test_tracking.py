@@ -25,7 +25,7 @@ def night(meters=3, n=120):
         for i in range(n):
             now += dt.timedelta(seconds=25 if i == 40 else 2)
             flow = 0.4 if 70 <= i < 80 else rng.gauss(0.0, 0.0005)
-            rows.append((f"M{m}", now, m * 1000 + i, flow, 21.0 - i * 0.01 if i else 0.0, rng.choice(("normal_acoustic_state", "waveform_anomaly")) if i < 90 else "waveform_anomaly"))
+            rows.append((f"M{m}", now, m * 1000 + i, flow, 25.0 - i * 0.0005 if i else 0.0, rng.choice(("normal_acoustic_state", "waveform_anomaly")) if i < 90 else "waveform_anomaly"))
     return rows
 
 
