@@ -68,9 +68,29 @@ def test_stages(spark, tmp_path):
     assert got == Counter({k: c for k, c in copies.items() if c})
     five = step(4, four)
     assert five.count() == four.count()
-    assert sorted(tuple(r) for r in five.select("doc_id", "shard", "slot").fillna(-1).collect()) == sorted(tuple(r) for r in sharding.shard(four).select("doc_id", "shard", "slot").fillna(-1).collect()) or four.count() != len(got)
-    whole = cp.run(spark, sf)
-    assert whole.columns == five.columns and whole.count() == five.count()
+    assert {r.shard for r in five.collect()} <= set(range(40)) and {r.law for r in five.collect()} == {"bytes"}
+    slots = {}
+    for r in five.collect():
+        slots.setdefault(r.shard, []).append(r.slot)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
+def test_run_feeds_each_stage_the_one_before(spark, tmp_path, monkeypatch):
+    spark.createDataFrame(corpus()[0], DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    seen = []
+
+    def stage(name, keep):
+        def f(session, docs, sf_dir):
+            seen.append((name, docs.count(), sf_dir))
+            return docs.where(keep)
+
+        return name, f
+
+    monkeypatch.setattr(cp, "STAGES", [stage("a", "doc_id % 2 = 0"), stage("b", "doc_id % 3 = 0"), stage("c", "doc_id > 100")])
+    out = cp.run(spark, str(tmp_path))
+    evens = [r[0] for r in corpus()[0] if r[0] is not None and r[0] % 2 == 0]
+    assert sorted(r.doc_id for r in out.collect()) == [d for d in sorted(evens) if d % 3 == 0 and d > 100]
+    assert [x[:2] for x in seen] == [("a", 403), ("b", len(evens)), ("c", len([d for d in evens if d % 3 == 0]))]
 
 
 def test_take_shares_repeated_rows(spark):
