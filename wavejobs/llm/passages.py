@@ -26,25 +26,24 @@ _WORDS_KEPT = 1 << 20  # hashes that a worker remembers
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)  # odd, so that they have inverses modulo 2**64
 
 
+class _WordHashes(dict):
+    def __missing__(self, word: bytes) -> int:
+        h = self[word] = xxhash.xxh64_intdigest(word, 7)
+        return h
+
+
 class Hashes:
     """Hashes of runs of words, from prefix sums of word hashes times powers of a base modulo 2**64."""
 
     _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-    _known: dict[bytes, int] = {}
+    _known = _WordHashes()
 
     def __init__(self, words: list[bytes]) -> None:
-        known, digest = Hashes._known, xxhash.xxh64_intdigest
+        known = Hashes._known
         if len(known) > _WORDS_KEPT:
             known.clear()
-        get = known.get
-        values = []
-        for w in words:
-            h = get(w)
-            if h is None:
-                h = known[w] = digest(w, 7)
-            values.append(h)
         self.n = len(words)
-        self.values = np.array(values, np.uint64)
+        self.values = np.fromiter([known[w] for w in words], np.uint64, len(words))
         self.sums = [self._prefix(b) for b in range(len(_BASES))]
 
     @classmethod
@@ -142,12 +141,22 @@ def find_windows(docs: DataFrame, asked: DataFrame, window: int) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
+            made, rows = [], 0
             for d, text, runs in zip(part["d"], part["text"], part["runs"]):
                 h = Hashes(words_of(text))
                 s = np.concatenate([np.arange(r["start"], r["start"] + r["count"]) for r in runs])
                 s = s[s + window <= h.n]
-                if len(s):
-                    yield pd.DataFrame({"w1": h.runs(s, s + window).view(np.int64), "w2": h.runs(s, s + window, 1).view(np.int64), "d": np.int64(d), "s": s.astype(np.int32)})
+                made.append((h.runs(s, s + window), h.runs(s, s + window, 1), np.full(len(s), d, np.int64), s.astype(np.int32)))
+                rows += len(s)
+                if rows > 200_000:
+                    yield _table(made)
+                    made, rows = [], 0
+            if rows:
+                yield _table(made)
+
+    def _table(made: list) -> pd.DataFrame:
+        w1, w2, d, s = (np.concatenate(c) for c in zip(*made))
+        return pd.DataFrame({"w1": w1.view(np.int64), "w2": w2.view(np.int64), "d": d, "s": s})
 
     return docs.join(asked, "d").select("d", "text", "runs").mapInPandas(run, "w1 long, w2 long, d long, s int")
 
@@ -192,8 +201,9 @@ def remove(docs: DataFrame, window: int = WINDOW, shard_bytes: int = SHARD_BYTES
     Recurring runs of windows are confirmed over all documents by hashes of
     their words, with the place where each starts first. Documents are then
     dealt into shards; each shard compiles an automaton from the confirmed
-    passages that its documents have, streams every document through it, and
-    marks each occurrence that isn't the first. Passages are word sequences in
+    passages that its documents repeat, with neighbouring runs put together,
+    streams every document through it, and marks each occurrence that isn't the
+    first. Passages are word sequences in
     the automaton, so that within a shard words, not hashes, decide.
 
     A null text has no words. A null doc_id comes after all others. Rows that
@@ -229,9 +239,20 @@ def remove(docs: DataFrame, window: int = WINDOW, shard_bytes: int = SHARD_BYTES
             texts.append((words, ids))
             if runs:
                 akey, ctx, start, count = anchors(Hashes(words), window)
+                low = high = 0  # a passage: runs one after the other whose first places are so too
+                first = None
                 for a, b, s, c in zip(akey.view(np.int64).tolist(), ctx.view(np.int64).tolist(), start.tolist(), count.tolist()):
-                    if (first := runs.get((a, b))) is not None:
-                        add(ids[s : s + c - 1 + window], first)
+                    found = runs.get((a, b))
+                    if found is not None and found >= (d, s):
+                        found = None  # it starts here first
+                    if first is not None and found is not None and found[0] == first[0] and found[1] - first[1] == s - low:
+                        high = s + c - 1 + window
+                        continue
+                    if first is not None:
+                        add(ids[low:high], first)
+                    first, low, high = found, s, s + c - 1 + window
+                if first is not None:
+                    add(ids[low:high], first)
             for s, first_d, first_s in single.get(d, ()):
                 if s + window <= len(ids):
                     add(ids[s : s + window], (first_d, first_s))
