@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 from wavejobs.llm import lines
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, line string, k1 string"
@@ -23,7 +25,9 @@ def brute(rows):
     return [(rows[r][0], len(rows[r][1].split("\n")) if rows[r][1] is not None else 0, out.get(r, [])) for r in range(len(rows))]
 
 
-def test_against_brute_force(spark):
+@pytest.mark.parametrize("hot", [64, 2])
+def test_against_brute_force(spark, monkeypatch, hot):
+    monkeypatch.setattr(lines, "HOT", hot)
     rng = random.Random(2)
     words = [f"w{min(int(rng.expovariate(0.02)), 400)}" for _ in range(2000)]
     base = [" ".join(rng.choices(words, k=rng.randint(1, 30))) for _ in range(80)]

@@ -11,6 +11,10 @@ SIMILARITY = 0.8
 #: Cells of the table that says how frequent words are, whatever the input. It only orders a line's words.
 CELLS = 1 << 20
 _CHUNK = 1 << 10
+#: The level of a cell whose words occur once in all: 4 * log2(1 + 1).
+_ONCE = 4
+#: A prefix word of more lines than this is hot: its lines are compared with their earliest one first.
+HOT = 64
 #: Stands for a null doc_id in the order of documents: after all others.
 _LAST = (1 << 63) - 1
 
@@ -57,7 +61,7 @@ def features(docs: DataFrame, similarity: float, cells: int) -> DataFrame:
             F.sort_array(F.expr(f"transform(h, x -> shiftleft(CAST(get(levels, {cell}) AS BIGINT), 56) | (x & 72057594037927935L))")),
             F.lit(1),
             F.size("h") - F.ceil(F.size("h") * F.lit(similarity) - 1e-9).cast("int") + 1,
-        ).alias("prefix"),
+        ).alias("prefix"),  # a word of the lowest level, _ONCE, has no other occurrence
     )
 
 
@@ -85,27 +89,32 @@ def verified(pairs: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
 def repeated(docs: DataFrame, similarity: float = SIMILARITY, cells: int = CELLS) -> tuple[DataFrame, DataFrame]:
     """(classes, matched): the distinct lines with words, with the first place d, l of each; the keys of those that an earlier line is similar to.
 
-    Equal lines are one class. First every line is compared with the earliest
-    line of each of its prefix words, one comparison for each word, which deals
-    with groups of near copies of any size. Only lines without a match are then
-    joined with all lines on prefix words. Length, positional and bit filters
-    stand in the join, and what passes is verified on the words.
+    Equal lines are one class. Lines meet on prefix words, and length,
+    positional and bit filters stand in the join; what passes is verified on the
+    words. In the group of a hot prefix word a line is compared only with the
+    earliest one at first, which settles groups of near copies of any size;
+    lines of such groups that found no match are then compared with all lines
+    of the group. Words that occur once in all documents meet nothing.
     """
     rows = features(docs, similarity, cells)
     classes = rows.groupBy("k1", "k2").agg(F.min(F.struct("d", "l")).alias("first"), F.any_value("n").alias("n"), F.any_value("sig").alias("sig"), F.any_value("prefix").alias("prefix"))
     classes = settle(classes.select("k1", "k2", "first.d", "first.l", "n", "sig", "prefix"), "classes")
-    each = classes.select("k1", "k2", "d", "l", "n", "sig", F.posexplode("prefix").alias("i", "key"))
-    theirs = lambda prefix="": [F.col(prefix + c).alias(f"b_{c}") for c in ("k1", "k2", "d", "l", "n", "sig", "i")]
+    each = classes.select("k1", "k2", "d", "l", "n", "sig", F.posexplode("prefix").alias("i", "key")).where(F.shiftright("key", 56) > _ONCE)
+    other = each.select("key", *[F.col(c).alias(f"b_{c}") for c in ("k1", "k2", "d", "l", "n", "sig", "i")])
     later = (F.col("d") > F.col("b_d")) | ((F.col("d") == F.col("b_d")) & (F.col("l") > F.col("b_l")))
     ids = ["k1", "k2", "d", "l", "b_k1", "b_k2", "b_d", "b_l"]
 
-    leaders = each.groupBy("key").agg(F.min(F.struct("d", "l", "k1", "k2", "n", "sig", "i")).alias("m"), F.count(F.lit(1)).alias("c")).where("c > 1").select("key", *theirs("m."))
-    pairs = settle(each.join(leaders, "key").where(later & may_match(similarity)).select(*ids).distinct(), "pairs")
-    matched = settle(verified(pairs, docs, similarity).select("k1", "k2").distinct(), "matched")
-
-    rest = classes.join(matched, ["k1", "k2"], "left_anti").select("k1", "k2", "d", "l", "n", "sig", F.posexplode("prefix").alias("i", "key"))
-    pairs = settle(rest.join(each.select("key", *theirs()), "key").where(later & may_match(similarity)).select(*ids).distinct(), "pairs")
-    return classes, settle(matched.union(verified(pairs, docs, similarity).select("k1", "k2").distinct()), "matched")
+    hot = settle(each.select("key").groupBy("key").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > HOT).select("key"), "hot")
+    lead = settle(each.join(hot, "key").groupBy("key").agg(F.min(F.struct("d", "l", "k1", "k2", "n", "sig", "i")).alias("m")), "lead")
+    leaders = lead.select("key", *[F.col(f"m.{c}").alias(f"b_{c}") for c in ("k1", "k2", "d", "l", "n", "sig", "i")])
+    cold = other.join(hot, "key", "left_anti")
+    passed = later & may_match(similarity)
+    pairs = each.join(cold.unionByName(leaders), "key").where(passed).select(*ids).distinct()
+    matched = settle(verified(settle(pairs, "pairs"), docs, similarity).select("k1", "k2").distinct(), "matched")
+
+    rest = each.join(hot, "key").join(matched, ["k1", "k2"], "left_anti")
+    pairs = rest.join(other.join(hot, "key"), "key").where(passed).select(*ids).distinct()
+    return classes, settle(matched.union(verified(settle(pairs, "pairs"), docs, similarity).select("k1", "k2").distinct()), "matched")
 
 
 def dedup(docs: DataFrame, similarity: float = SIMILARITY, cells: int = CELLS) -> DataFrame:
