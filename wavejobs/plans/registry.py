@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 
 from wavejobs.functions import columns as c
 from wavejobs.functions import waveform
-from wavejobs.operators import adapt, asof, audit, cluster, daily, fit, health, history, neighbors, states, zero
+from wavejobs.operators import adapt, asof, audit, cluster, daily, drift, fit, health, history, neighbors, states, zero
+from wavejobs.operators import frames as frame_ops
 from wavejobs.operators.order import numbered
 from wavejobs.sources import captures
 from wavejobs.sources.tables import table
@@ -539,6 +540,51 @@ def t2_tracked_frames(spark, sf_dir):
     return stream.track(stream.inputs(f))
 
 
+@query("""SELECT user_id AS serial, ts, event_id AS id, CASE WHEN value > 20 THEN value WHEN k > 50 THEN k END AS raw_fs_mps, coalesce(k, value) AS temperature_c, event_type AS state_name FROM (SELECT *, json_extract_string(props, '$.k')::DOUBLE AS k FROM events)""")
+def p8_frame_table(spark, sf_dir):
+    f = frames(spark, sf_dir)
+    f = f.select("serial", "ts", "id", F.when(F.col("value") > 20, F.col("value")).otherwise(float("nan")).alias("raw_fs_mps"), F.when(F.col("sq") > 50, F.col("sq")).alias("pub_fs_mps"), F.col("sq").alias("onboard_temperature_c"), F.col("value").alias("ots"), F.lit("").alias("state_name"), F.col("event_type").alias("pipe_state"))
+    return frame_ops.frame_table(f).select("serial", "ts", "id", "raw_fs_mps", "temperature_c", "state_name")
+
+
+@query("SELECT serial, ts, id, value FROM FRAMES WHERE ts >= TIMESTAMP '2024-01-20' AND serial = 7")
+def p10_time_filter(spark, sf_dir):
+    return history.since(frames(spark, sf_dir), datetime(2024, 1, 20), serial=7).select("serial", "ts", "id", "value")
+
+
+@query("SELECT l_returnflag AS label, count(*) AS rows, round(avg(l_discount), 7) AS mean_score, max(l_discount) AS max_score FROM lineitem GROUP BY ROLLUP (l_returnflag)")
+def f16_score_summary(spark, sf_dir):
+    out = frame_ops.score_summary(table(spark, sf_dir, "lineitem"), "l_discount", "l_returnflag")
+    return out.select(F.col("l_returnflag").alias("label"), "rows", F.round("mean_score", 7).alias("mean_score"), "max_score")
+
+
+@query("SELECT id, value, serial FROM FRAMES ORDER BY value DESC, id LIMIT 20")
+def e10_outliers(spark, sf_dir):
+    f = frames(spark, sf_dir)
+    top = frame_ops.outliers(f.select("id", "value"), "value", 20, "id")
+    return frame_ops.with_metadata(top, f, ["serial"], ["id"])
+
+
+@query("""WITH x AS (SELECT user_id AS serial, value AS y, k - 50 AS a, event_id % 21 - 10.5 AS b FROM (SELECT *, json_extract_string(props, '$.k')::DOUBLE AS k FROM events)),
+s AS (SELECT serial, CASE WHEN b < 0 THEN 'cooling' ELSE 'heating' END AS branch, count(*) AS n, sum(a * a) AS aa, sum(a * b) AS ab, sum(b * b) AS bb, sum(a * y) AS ay, sum(b * y) AS by_ FROM x GROUP BY ALL)
+SELECT serial, branch, n, round((ay * bb - by_ * ab) / (aa * bb - ab * ab), 6) AS delta_coeff, round((by_ * aa - ay * ab) / (aa * bb - ab * ab), 6) AS rate_coeff FROM s""")
+def d1_thermal_fit(spark, sf_dir):
+    f = frames(spark, sf_dir).select("serial", F.col("value").alias("raw_fs_mps"), (F.col("sq") - 50).alias("thermal_delta_c"), (F.col("id") % 21 - 10.5).alias("temp_rate_c_per_min"))
+    return drift.thermal_fit(f).select("serial", "branch", "n", F.round("delta_coeff", 6).alias("delta_coeff"), F.round("rate_coeff", 6).alias("rate_coeff"))
+
+
+@query("""SELECT serial, round(median(abs(value)), 7) AS raw_error, round(median(abs(value - sq)), 7) AS corrected_error FROM FRAMES GROUP BY ALL""")
+def d2_zero_error(spark, sf_dir):
+    out = drift.zero_error(frames(spark, sf_dir).withColumn("c", F.col("value") - F.col("sq")), "value", "c")
+    return out.select("serial", F.round("raw_error", 7).alias("raw_error"), F.round("corrected_error", 7).alias("corrected_error"))
+
+
+@query("""SELECT serial, time_bucket(INTERVAL 1 DAY, ts) AS bucket_start, count(*) AS rows, round(avg(value), 6) AS value_avg, min(value) AS value_min, max(value) AS value_max FROM FRAMES GROUP BY ALL""")
+def d3_bucket_rollup(spark, sf_dir):
+    out = drift.rollup(frames(spark, sf_dir), ["value"], "1 day")
+    return out.withColumn("value_avg", F.round("value_avg", 6))
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
