@@ -54,4 +54,8 @@ def test_copies_of_a_row_text_and_empty(spark):
     rows = [(1, text, "en", "s", 0, 1, "")] * 2 + [(2, "start " + text + " end", "en", "s", 0, 1, "")]
     got = sorted(tuple(r) for r in passages.remove(spark.createDataFrame(rows, DOCS), text_out=True).select("doc_id", "n_removed", "kept").collect())
     assert got == [(1, 0, text), (1, 0, text), (2, 30, "start end")]
+    other = " ".join(f"v{i}" for i in range(30))
+    rows = [(0, text, "en", "s", 0, 1, ""), (1, "lead " + text, "en", "s", 0, 1, ""), (1, other + " " + other, "en", "s", 0, 1, "")]  # an id with two texts
+    got = sorted(tuple(r) for r in passages.remove(spark.createDataFrame(rows, DOCS)).select("doc_id", "n_words", "n_removed").collect())
+    assert got == [(0, 30, 0), (1, 31, 30), (1, 60, 30)]
     assert passages.remove(spark.createDataFrame([], DOCS)).collect() == []

@@ -162,13 +162,11 @@ def find_windows(docs: DataFrame, asked: DataFrame, window: int) -> DataFrame:
 
 
 def confirmed(docs: DataFrame, window: int) -> DataFrame:
-    """What recurs, by shard (bucket) of the documents that have it.
+    """Where passages recur: d, start, count (of windows), digest (of their words), first_d, first_s.
 
-    Rows of kind 0 are runs of windows whose words, a and b being their anchor's
-    and their own hash, start first at (first_d, first_s). Rows of kind 1 are
-    single windows, in document a from word b on. Most recurring text is found
-    as runs. At a passage's edges runs differ, and only there, where one anchor
-    has several runs, windows are compared one by one.
+    Each row is a run of windows that starts earlier at (first_d, first_s). Most
+    recurring text is found as whole runs. At a passage's edges runs differ, and
+    only there, where one anchor has several runs, windows are compared one by one.
     """
     found = settle(find_anchors(docs, window), "anchors")
     keys = found.groupBy("akey").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("akey")
@@ -180,11 +178,17 @@ def confirmed(docs: DataFrame, window: int) -> DataFrame:
     asked = runs.join(several, "akey").groupBy(F.col("first_d").alias("d")).agg(F.collect_list(F.struct(F.col("first_s").alias("start"), "count")).alias("runs"))
     windows = settle(find_windows(docs, asked, window), "windows")
     firsts = windows.groupBy("w1", "w2").agg(F.min(F.struct("d", "s")).alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1").select("w1", "w2", "first")
-    single = windows.join(firsts, ["w1", "w2"]).where(F.struct("d", "s") > F.col("first"))
-    single = single.select("d", F.lit(1).alias("kind"), F.col("d").alias("a"), F.col("s").cast("long").alias("b"), F.col("first.d").alias("first_d"), F.col("first.s").alias("first_s"))
-    whole = found.join(runs.where("c > 1").select("akey", "ctx", "first_d", "first_s"), ["akey", "ctx"])
-    whole = whole.select("d", F.lit(0).alias("kind"), F.col("akey").alias("a"), F.col("ctx").alias("b"), "first_d", "first_s")
-    return whole.union(single)
+    single = windows.join(firsts, ["w1", "w2"]).select("d", F.col("s").alias("start"), F.lit(1).alias("count"), F.col("w1").alias("digest"), F.col("first.d").alias("first_d"), F.col("first.s").alias("first_s"))
+    whole = found.join(runs.where("c > 1").select("akey", "ctx", "first_d", "first_s"), ["akey", "ctx"]).select("d", "start", "count", F.col("ctx").alias("digest"), "first_d", "first_s")
+    return whole.union(single).where((F.col("d") > F.col("first_d")) | ((F.col("d") == F.col("first_d")) & (F.col("start") > F.col("first_s"))))
+
+
+def symbols(ids: list[int]) -> tuple:
+    """Two symbols a word, from two alphabets: nodes of the automaton have few children, and matches begin at words."""
+    a = np.array(ids, np.int64)
+    out = np.empty(2 * len(a), np.int64)
+    out[::2], out[1::2] = a >> 8, (a & 255) + (1 << 24)
+    return tuple(out.tolist())
 
 
 def bucket_of(d, buckets: int):
@@ -215,54 +219,48 @@ def remove(docs: DataFrame, window: int = WINDOW, shard_bytes: int = SHARD_BYTES
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, -(-total // shard_bytes))
     side = confirmed(docs, window)
-    side = side.select(bucket_of("d", buckets).alias("bucket"), "kind", "a", "b", "first_d", "first_s").distinct()
+    side = side.withColumn("bucket", bucket_of("d", buckets))
 
     def stream(mine: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        runs: dict[tuple[int, int], tuple[int, int]] = {}
-        single: dict[int, list[tuple[int, int, int]]] = {}
-        for kind, a, b, first_d, first_s in known[["kind", "a", "b", "first_d", "first_s"]].itertuples(index=False):
-            if kind:
-                single.setdefault(a, []).append((b, first_d, first_s))
-            else:
-                runs[a, b] = (first_d, first_s)
+        places: dict[int, list[tuple[int, int, int, int, int]]] = {}
+        for d, *place in known[["d", "start", "count", "digest", "first_d", "first_s"]].itertuples(index=False):
+            places.setdefault(d, []).append(tuple(place))
+        twice = set(mine["d"][mine["d"].duplicated()])
         numbers: dict[bytes, int] = {}
         texts, automaton = [], ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
 
         def add(words: tuple, first: tuple[int, int]) -> None:
             old = automaton.get(words, None)
             if old is None or first < old[1]:
-                automaton.add_word(words, (len(words), first))
+                automaton.add_word(words, (len(words) // 2, first))
 
         for d, text in zip(mine["d"], mine["text"]):
             words = words_of(text)
-            ids = tuple([numbers.setdefault(w, len(numbers)) for w in words])
+            ids = symbols([numbers.setdefault(w, len(numbers)) for w in words])
             texts.append((words, ids))
-            if runs:
-                akey, ctx, start, count = anchors(Hashes(words), window)
-                low = high = 0  # a passage: runs one after the other whose first places are so too
-                first = None
-                for a, b, s, c in zip(akey.view(np.int64).tolist(), ctx.view(np.int64).tolist(), start.tolist(), count.tolist()):
-                    found = runs.get((a, b))
-                    if found is not None and found >= (d, s):
-                        found = None  # it starts here first
-                    if first is not None and found is not None and found[0] == first[0] and found[1] - first[1] == s - low:
-                        high = s + c - 1 + window
-                        continue
-                    if first is not None:
-                        add(ids[low:high], first)
-                    first, low, high = found, s, s + c - 1 + window
+            own = sorted(places.get(d, ()))
+            if d in twice:  # rows that share an id: only what is in this text
+                h = Hashes(words)
+                own = [p for p in own if (stop := p[0] + p[1] - 1 + window) <= h.n and int(h.runs(np.array([p[0]]), np.array([stop])).view(np.int64)[0]) == p[2]]
+            low = high = 0  # a passage: runs one after the other whose first places are so too
+            first = None
+            for s, c, _, first_d, first_s in own:
+                if first is not None and s == high and first_d == first[0] and first_s - first[1] == s - low:
+                    high = s + c
+                    continue
                 if first is not None:
-                    add(ids[low:high], first)
-            for s, first_d, first_s in single.get(d, ()):
-                if s + window <= len(ids):
-                    add(ids[s : s + window], (first_d, first_s))
+                    add(ids[2 * low : 2 * (high - 1 + window)], first)
+                first, low, high = (first_d, first_s), s, s + c
+            if first is not None:
+                add(ids[2 * low : 2 * (high - 1 + window)], first)
         if len(automaton):
             automaton.make_automaton()
         out = []
         for d, (words, ids) in zip(mine["d"], texts):
             cover = np.zeros(len(words) + 1, np.int32)
-            if len(automaton) and len(ids) >= window:
+            if len(automaton) and len(words) >= window:
                 for end, (length, first) in automaton.iter(ids):
+                    end //= 2
                     if first < (d, end - length + 1):
                         cover[end - length + 1] += 1
                         cover[end + 1] -= 1
