@@ -169,12 +169,13 @@ def confirmed(docs: DataFrame, window: int) -> DataFrame:
     only there, where one anchor has several runs, windows are compared one by one.
     """
     found = settle(find_anchors(docs, window), "anchors")
-    keys = found.groupBy("akey").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("akey")
+    # the few keys are written first: only then can Spark split a hot key's rows in the join
+    keys = settle(found.groupBy("akey").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("akey"), "keys")
     found = settle(found.join(keys, "akey"), "recurring")
     runs = found.groupBy("akey", "ctx").agg(F.min(F.struct("d", "start", "count")).alias("first"), F.count(F.lit(1)).alias("c"))
     runs = settle(runs.select("akey", "ctx", "first.*", "c").withColumnsRenamed({"d": "first_d", "start": "first_s"}), "runs")
 
-    several = runs.groupBy("akey").agg(F.count(F.lit(1)).alias("runs")).where("runs > 1").select("akey")
+    several = settle(runs.groupBy("akey").agg(F.count(F.lit(1)).alias("runs")).where("runs > 1").select("akey"), "several")
     asked = runs.join(several, "akey").groupBy(F.col("first_d").alias("d")).agg(F.collect_list(F.struct(F.col("first_s").alias("start"), "count")).alias("runs"))
     windows = settle(find_windows(docs, asked, window), "windows")
     firsts = windows.groupBy("w1", "w2").agg(F.min(F.struct("d", "s")).alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1").select("w1", "w2", "first")
