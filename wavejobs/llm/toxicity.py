@@ -216,10 +216,15 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     gains = np.array([s for _, _, s in scored])
     shares = np.array([corpus.get(w, 1) / everything for _, w, _ in scored])
     model.lam = gumbel_rate(gains, shares, DRIFT)
-    held = chosen.where("fold = 4").toPandas()  # a fifth of `sample` rows at most
-    found = []
-    for words, toxic in zip(held["words"], held["toxic"]):
-        found.append((len(words), model.found(list(words)), toxic))
+    drawn = Model(model.scores)
+
+    def find(batches):
+        for part in batches:
+            rows = [(len(w), [x for _, _, x in drawn.found(list(w))], int(t == 1)) for w, t in zip(part["words"], part["toxic"])]
+            yield pd.DataFrame(rows, columns=["n", "scores", "toxic"])
+
+    held = chosen.where("fold = 4").select("words", "toxic").mapInPandas(find, "n int, scores array<double>, toxic int").collect()  # a fifth of `sample` rows at most
+    found = [(r.n, [(0, 0, x) for x in r.scores], r.toxic) for r in held]
     clean = [(n, max((s for _, _, s in f), default=0.0)) for n, f, y in found if y != 1 and n]
     if clean:  # the likelihood's maximum for a Gumbel law with known rate
         model.k = len(clean) / sum(n * math.exp(-model.lam * s) for n, s in clean)
