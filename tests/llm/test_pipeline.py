@@ -5,7 +5,7 @@ from collections import Counter
 
 import corpus_pipeline as cp
 
-from wavejobs.llm import mixing, sharding
+from wavejobs.llm import mixing
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -62,16 +62,18 @@ def test_stages(spark, tmp_path):
     assert ids(two) == sorted([*first.values(), None], key=str)
     three = step(2, two)
     assert ids(three) == sorted((d for d in [*first.values(), None] if d not in leaks), key=str)
-    four = step(3, three)
-    copies = {(r.doc_id, r.source): r.copies for r in mixing.mix(three).collect()}
-    got = Counter((r.doc_id, r.source) for r in four.collect())
-    assert got == Counter({k: c for k, c in copies.items() if c})
-    five = step(4, four)
-    assert five.count() == four.count()
-    assert {r.shard for r in five.collect()} <= set(range(40)) and {r.law for r in five.collect()} == {"bytes"}
+
+
+def test_mixing_and_sharding_stages(spark):
+    rows = [r for r in corpus()[0] if r[0] is not None][:120]
+    docs = spark.createDataFrame(rows, DOCS)
+    mixed = cp.mixed(spark, docs, "").persist()
+    copies = Counter({(r.doc_id, r.source): r.copies for r in mixing.mix(docs).collect() if r.copies})
+    assert mixed.columns == docs.columns and Counter((r.doc_id, r.source) for r in mixed.collect()) == copies
     slots = {}
-    for r in five.collect():
+    for r in cp.sharded(spark, mixed, "").collect():
         slots.setdefault(r.shard, []).append(r.slot)
+    assert set(slots) <= set(range(40)) and sum(map(len, slots.values())) == sum(copies.values())
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
 
 
