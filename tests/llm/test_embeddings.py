@@ -62,3 +62,27 @@ def test_empty(spark):
 def test_filters_grow_with_the_input():
     small, large = embeddings.Code(1_000, 64), embeddings.Code(1_000_000, 64)
     assert large.size > small.size and large.alpha > small.alpha
+
+
+def test_recall_does_not_fall_with_the_input():
+    rng = np.random.default_rng(5)
+    for n in (10**5, 10**6, 10**7, 10**8):
+        code = embeddings.Code(n, 64)
+        for cosine in (0.9, 0.92):
+            x, y = embeddings.pairs(300, 64, cosine, rng)
+            met = sum(bool(np.isin(p, q).any()) for p, q in zip(code.decode(x), code.decode(y)))
+            assert met >= 0.985 * 300, (n, cosine, met)
+
+
+def test_codes_and_direct_blocks(spark, monkeypatch):
+    monkeypatch.setattr(embeddings, "DIRECT_BLOCK", 60)
+    rng = np.random.default_rng(6)
+    rows = [np.float32(rng.standard_normal(d)).tolist() for d in (2, 3, 6) for _ in range(150)]
+    frame = spark.createDataFrame([(i, v, 0, "x", 0.0) for i, v in enumerate(rows)], KIND)
+    true = np.concatenate([((u := embeddings.unit(rows[150 * k : 150 * k + 150])) @ u.T >= 0.9).sum(1) - 1 for k in range(3)])
+    for most in (100_000, 0):
+        monkeypatch.setattr(embeddings, "DIRECT_ROWS", most)
+        found = {r.vec_id: r.n_links for r in embeddings.group(frame).collect()}
+        found = np.array([found[i] for i in range(450)])
+        assert (found == true)[: 450 if most else 300].all()
+        assert (found <= true).all() and found.sum() >= 0.98 * true.sum()

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
@@ -15,51 +14,96 @@ from wavejobs.llm.common import settle
 from wavejobs.llm.components import Forest, components
 
 COSINE = 0.9
-#: Filters that two vectors at the cosine are expected to share. Few pairs miss them all: about exp(-SHARED).
-SHARED = 9.0
+#: Filters of one code that two vectors at the cosine are expected to share.
+SHARED = 4.0
+#: Part of the pairs at the cosine that may miss each other in all codes. Codes are added until their measured misses multiply to less.
+MISS = 0.002
+#: Random pairs that a code's misses are measured on.
+PAIRS = 400
 #: Vectors that a filter is meant to hold.
-LOAD = 48
+LOAD = 256
+#: Vectors of up to so many components, or tables of up to so many distinct vectors, are compared directly.
+DIRECT = 4
+DIRECT_ROWS = 100_000
+#: Rows of a block of a direct comparison.
+DIRECT_BLOCK = 8000
 SEED = 20240229
 #: Rows of a cell: a filter with more is cut into blocks, small ones go together.
 BLOCK = 500
 CELL_ROWS = 4000
 
 
+def caps(dims: int, cosine: float, part: float) -> tuple[float, float]:
+    """(alpha, both): the height of a cap that holds a part of the sphere, and the chance that both of a pair at the cosine are in it.
+
+    By the exact law of a coordinate of a random unit vector. The part grows
+    where the pair would be too far apart for its cap.
+    """
+    t = np.linspace(-1, 1, 40_001)
+    density = lambda d: (lambda f: f / f.sum())(np.maximum(1 - t * t, 0) ** ((d - 3) / 2))
+    own, rest = density(dims), np.cumsum(density(dims - 1))
+    above = np.cumsum(own[::-1])[::-1]
+    while True:
+        k = min(int(np.searchsorted(-above, -part)), len(t) - 1)
+        u = t[k:]
+        need = (t[k] - cosine * u) / np.maximum(np.sqrt((1 - cosine * cosine) * (1 - u * u)), 1e-12)
+        both = float((own[k:] * (1 - np.interp(need, t, rest))).sum())
+        if both >= 0.1 * part or part >= 0.5:
+            return float(t[k]), both
+        part = min(0.5, 2 * part)
+
+
 class Code:
-    """A product code: a filter is a pair of unit vectors, one for each half of the dimensions.
+    """Independent product codes: a filter is a pair of unit vectors, one for each half of the dimensions of a code's own random rotation.
 
     A vector is in the cap of filter (i, j) if its inner product with the
     joined, halved vectors is at least alpha. The size follows from the number
-    of vectors n: caps hold about LOAD of them, and there are as many filters
-    as give a pair at the cosine SHARED common ones. Both come from the
-    normal approximation of an inner product with a random direction.
+    of vectors n: caps hold about LOAD of them, and a code has as many filters
+    as give a pair at the cosine SHARED common ones. These come together, as
+    filters of a code share their halves, so that some pairs have none. Each
+    code is therefore measured on random pairs, and codes are added until few
+    enough are expected to be missed by all. The rotations make this hold
+    for any pair at the cosine, whatever the vectors are.
     """
 
-    def __init__(self, n: int, dims: int, cosine: float = COSINE, shared: float = SHARED, load: float = LOAD, seed: int = SEED) -> None:
+    def __init__(self, n: int, dims: int, cosine: float = COSINE, shared: float = SHARED, load: float = LOAD, seed: int = SEED, miss: float = MISS) -> None:
         self.dims, self.half = dims, dims // 2
-        part = min(0.05, load / max(n, 1))
-        z = NormalDist().inv_cdf(1 - part)
-        self.alpha = z / math.sqrt(dims)
-        # the chance that both of a pair exceed, by integration over the first one
-        x = np.linspace(z, z + 8, 4000)
-        density = np.exp(-x * x / 2) / math.sqrt(2 * math.pi)
-        tail = np.array([0.5 * math.erfc((z - cosine * v) / math.sqrt(2 * (1 - cosine * cosine))) for v in x])
-        both = float(np.sum(density * tail) * (x[1] - x[0]))
+        self.codes: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.alpha, both = caps(dims, cosine, min(0.05, load / max(n, 1)))
         self.size = max(2, math.ceil(math.sqrt(shared / both)))
         rng = np.random.default_rng(seed)
-        draw = lambda d: (lambda m: m / np.linalg.norm(m, axis=1, keepdims=True) / math.sqrt(2))(rng.standard_normal((self.size, max(d, 1))))
-        self.left, self.right = draw(self.half), draw(dims - self.half)
+        draw = lambda d: (lambda m: m / np.linalg.norm(m, axis=1, keepdims=True) / math.sqrt(2))(rng.standard_normal((self.size, d)))
+        left = 1.0
+        while left > miss:
+            code = (np.linalg.qr(rng.standard_normal((dims, dims)))[0], draw(self.half), draw(dims - self.half))
+            x, y = pairs(PAIRS, dims, cosine, rng)
+            missed = sum(not np.isin(p, q).any() for p, q in zip(self._exceeded(code, x), self._exceeded(code, y))) / PAIRS
+            left *= min(1.0, missed + 2 * math.sqrt(max(missed, 1 / PAIRS) / PAIRS))  # not less than measured by chance
+            self.codes.append(code)
 
-    def decode(self, vectors: np.ndarray) -> Iterator[np.ndarray]:
-        """For each unit vector, in order, all filters that it exceeds."""
-        a = vectors[:, : self.half] @ self.left[:, : self.half].T if self.half else np.zeros((len(vectors), self.size))
-        b = vectors[:, self.half :] @ self.right.T
-        highest = b.max(1)
-        for x, y, top in zip(a, b, highest):
+    def _exceeded(self, code: tuple, vectors: np.ndarray) -> Iterator[np.ndarray]:
+        turn, left, right = code
+        turned = vectors @ turn
+        a, b = turned[:, : self.half] @ left.T, turned[:, self.half :] @ right.T
+        for x, y, top in zip(a, b, b.max(1)):
             i = np.flatnonzero(x >= self.alpha - top)  # those that the best right half can lift over alpha
             j = np.flatnonzero(y >= self.alpha - x.max())
             p, q = np.nonzero(x[i, None] + y[None, j] >= self.alpha)
-            yield np.sort(i[p].astype(np.int64) * self.size + j[q])
+            yield i[p].astype(np.int64) * self.size + j[q]
+
+    def decode(self, vectors: np.ndarray) -> Iterator[np.ndarray]:
+        """For each unit vector, in order, all filters that it exceeds."""
+        for found in zip(*(self._exceeded(c, vectors) for c in self.codes)):
+            yield np.concatenate([np.sort(f) + k * self.size**2 for k, f in enumerate(found)])
+
+
+def pairs(n: int, dims: int, cosine: float, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """n random pairs of unit vectors at the cosine."""
+    x, y = rng.standard_normal((2, n, dims))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y -= (x * y).sum(1, keepdims=True) * x
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    return x, cosine * x + math.sqrt(1 - cosine * cosine) * y
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -127,9 +171,11 @@ def count_links(spread_: DataFrame, cosine: float = COSINE) -> DataFrame:
                 continue
             used = np.flatnonzero(close.any(0) | close.any(1))
             earlier = [f[f < own] for f in lists[at[used]]]
-            names, where = np.unique(np.concatenate(earlier), return_inverse=True)
-            has = np.zeros((len(used), len(names)), np.float32)
-            has[np.repeat(np.arange(len(used)), [len(f) for f in earlier]), where] = 1
+            names, where, times = np.unique(np.concatenate(earlier), return_inverse=True, return_counts=True)
+            place = np.cumsum(times > 1) - 1  # filters of one vector alone say nothing
+            told = times[where] > 1
+            has = np.zeros((len(used), int((times > 1).sum())), np.float32)
+            has[np.repeat(np.arange(len(used)), [len(f) for f in earlier])[told], place[where[told]]] = 1
             p, q = np.nonzero(close[np.ix_(used, used)] & ((has @ has.T) == 0))
             x, y = at[used[p]], at[used[q]]
             np.add.at(links, x, m[y])
@@ -141,14 +187,43 @@ def count_links(spread_: DataFrame, cosine: float = COSINE) -> DataFrame:
     return grouped.groupBy("group").applyInPandas(compare, "rep long, links long, root long")
 
 
+def direct(classes: DataFrame, n: int, cosine: float = COSINE) -> DataFrame:
+    """rep, links, root as of count_links(), from all pairs of blocks."""
+    blocks = max(1, -(-n // DIRECT_BLOCK))
+    block = F.pmod(F.xxhash64("rep", F.lit("block")), F.lit(blocks)).cast("int")
+    cell = F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda j: F.struct(F.least("block", j).alias("i"), F.greatest("block", j).alias("j")))
+    cells = classes.withColumn("block", block).select("*", F.explode(cell).alias("cell")).select("rep", "m", "embedding", "block", "cell.i", "cell.j")
+
+    def compare(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        vectors, reps, m, blocks = unit(part["embedding"]), part["rep"].to_numpy(), part["m"].to_numpy(), part["block"].to_numpy()
+        own, other = np.flatnonzero(blocks == key[0]), np.flatnonzero(blocks == key[1])
+        forest, links = Forest(len(part)), np.zeros(len(part), np.int64)
+        for at in range(0, len(own), 500):
+            some = own[at : at + 500]
+            close = vectors[some] @ vectors[other].T >= cosine
+            if key[0] == key[1]:
+                close &= some[:, None] < other[None, :]
+            p, q = np.nonzero(close)
+            x, y = some[p], other[q]
+            np.add.at(links, x, m[y])
+            np.add.at(links, y, m[x])
+            forest.join(x, y)
+        out = np.flatnonzero(links)
+        return pd.DataFrame({"rep": reps[out], "links": links[out], "root": reps[forest.label[out]]})
+
+    return cells.groupBy("i", "j").applyInPandas(compare, "rep long, links long, root long")
+
+
 def group(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept.
 
     All rows are compared whatever their other columns say. Equal vectors are
-    collapsed first and count as links of each other. Each distinct vector is
-    list-decoded to all filters of a product code whose cap it is in; vectors
-    join on filters, and a pair counts if its cosine in double precision is at
-    least `cosine`. Links that share no filter are missed; see SHARED.
+    collapsed first and count as links of each other. A pair counts if its
+    cosine in double precision is at least `cosine`. Up to DIRECT_ROWS distinct
+    vectors, and vectors of up to DIRECT components, are all compared. Each of
+    more is list-decoded to all filters of several product codes whose cap it
+    is in, and vectors join on filters. Links that share no filter are missed;
+    see MISS.
     A filter with many vectors is compared in blocks, and cells return counts
     and forests, not pairs.
 
@@ -161,8 +236,11 @@ def group(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     classes = settle(classes.withColumn("dims", F.size("embedding")), "classes")
     parts = []
     for row in classes.groupBy("dims").agg(F.count(F.lit(1)).alias("n")).orderBy("dims").collect():  # one row per vector length
-        code = Code(row.n, row.dims, cosine)
-        parts.append(count_links(settle(spread(classes.where(F.col("dims") == row.dims).drop("dims"), code), "filters"), cosine))
+        own = classes.where(F.col("dims") == row.dims).drop("dims")
+        if row.dims <= DIRECT or row.n <= DIRECT_ROWS:
+            parts.append(direct(own, row.n, cosine))
+        else:
+            parts.append(count_links(settle(spread(own, Code(row.n, row.dims, cosine)), "filters"), cosine))
     links = classes.select(F.col("rep"), F.lit(0).cast("long").alias("links"), F.col("rep").alias("root"))
     for p in parts:
         links = links.union(p)
