@@ -56,3 +56,12 @@ def test_edge_cases(spark):
     assert benchmarks.decontaminate(empty, none).collect() == []
     some = spark.createDataFrame([(1, "text", "en", "s", 0, 1, "")], DOCS)
     assert [r.contaminated for r in benchmarks.decontaminate(some, none).collect()] == [False]
+
+
+def test_hot_windows(spark):
+    rng = random.Random(4)
+    table = lambda n: " ".join(str(x) for x in rng.sample(range(10_000), n))
+    docs = [(d, table(800)) for d in range(30)] + [(100, " ".join(["7"] * 300)), (101, "plain words only " * 30)]
+    items = [(i, table(60)) for i in range(10)] + [(50, "5 " * 20)]  # all windows of a table are the same
+    got = {r.doc_id: list(r["items"]) for r in judged(spark, docs, items)}
+    assert got == {**{d: list(range(10)) for d in range(30)}, 100: [50], 101: []}

@@ -34,19 +34,17 @@ def canonical(token: Column) -> Column:
     return F.when(F.substring(token, 1, 1) == "@", "<name>").when(F.substring(token, 1, 1) < ":", "<num>").when(low.isin(*UNITS), "<unit>").otherwise(low)
 
 
-def windows(rows: DataFrame, keys: list[str], width: int = WINDOW, slots: bool = False) -> DataFrame:
-    """A row for each window of a text: keys, pos, w (its hash) and, with slots, the raw tokens r0, r1 and so on.
+def windows(rows: DataFrame, keys: list[str], width: int = WINDOW) -> DataFrame:
+    """keys, w (the hashes of a text's windows, by position), r (the hashes of its tokens in lower case) and k (those of slots' kinds, null elsewhere).
 
-    A text of fewer tokens is one window; one without tokens has none.
+    A text of fewer tokens is one window; one without tokens has no row.
     """
     parts = rows.select(*keys, tokens(F.col("text")).alias("raw")).where(F.size("raw") > 0)
     parts = parts.select(*keys, "raw", F.transform("raw", lambda t: F.xxhash64(canonical(t))).alias("h"))
     shifted = [F.slice("h", i + 1, F.greatest(F.size("h") - (width - 1), F.lit(1))).alias(f"h{i}") for i in range(width)]
-    if slots:
-        shifted += [F.slice("raw", i + 1, F.greatest(F.size("h") - (width - 1), F.lit(1))).alias(f"r{i}") for i in range(width)]
-    each = parts.select(*keys, F.posexplode(F.arrays_zip(*shifted)).alias("pos", "z"))
-    hashed = F.xxhash64(*[F.coalesce(F.col(f"z.h{i}"), F.lit(0)) for i in range(width)])
-    return each.select(*keys, "pos", hashed.alias("w"), *([f"z.r{i}" for i in range(width)] if slots else []))
+    hashed = F.transform(F.arrays_zip(*shifted), lambda z: F.xxhash64(*[F.coalesce(z[f"h{i}"], F.lit(0)) for i in range(width)]))
+    kinds = F.transform("raw", lambda t: F.when(canonical(t).startswith("<"), F.xxhash64(canonical(t))))
+    return parts.select(*keys, hashed.alias("w"), F.transform("raw", lambda t: F.xxhash64(F.lower(t))).alias("r"), kinds.alias("k"))
 
 
 def find(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE, width: int = WINDOW) -> DataFrame:
@@ -58,39 +56,48 @@ def find(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE, width: i
     positions) must fill them consistently: equal fillings of the item with equal
     ones in the text, different ones with different ones. Windows of other
     occurrences don't count.
+
+    Each text's different windows meet each item's first. Only pairs that reach
+    the coverage so are looked at by position, within one row, so that windows
+    that recur in a text and an item aren't paired in a join.
     """
     items = items.where("item_id IS NOT NULL")
-    bench = settle(windows(items.select("item_id", "text"), ["item_id"], width, True), "windows")
-    total = bench.groupBy("item_id").agg(F.countDistinct("w").alias("of"))
-    known, with_slots = bench.agg(F.count(F.lit(1)), F.max(F.exists(F.array(*[f"r{i}" for i in range(width)]), lambda t: canonical(t).startswith("<")))).first()
+    bench = settle(windows(items.select("item_id", "text"), ["item_id"], width), "windows")
+    side = bench.select("item_id", F.explode("w").alias("w")).distinct()
+    total = side.groupBy("item_id").agg(F.count(F.lit(1)).alias("of"))
+    known, with_slots = bench.agg(F.sum(F.size("w")), F.max(F.exists("k", lambda k: k.isNotNull()))).first()
     small = (known or 0) <= BROADCAST_WINDOWS
-    side = bench.select("item_id", F.col("pos").alias("item_pos"), "w", *[F.col(f"r{i}").alias(f"s{i}") for i in range(width)]) if with_slots else bench.select("item_id", "w").distinct()
-    side = F.broadcast(side) if small else side
-    texts = docs.select("doc_id", F.xxhash64("text").alias("t"), "text")
-    hits = windows(texts, ["doc_id", "t"], width, bool(with_slots)).join(side, "w")
+    light = F.broadcast if small else lambda df: df
+    texts = docs.select(F.xxhash64("text").alias("t"), "text")
+    met = windows(texts, ["t"], width).select("t", F.explode(F.array_distinct("w")).alias("w")).join(light(side), "w")
+    covering = lambda hits: hits.groupBy("t", "item_id").agg(F.countDistinct("w").alias("n")).join(light(total), "item_id").select("t", "item_id", (F.col("n") / F.col("of")).alias("covered")).where(F.col("covered") >= coverage)
+    found = settle(covering(met), "covering")
     if with_slots:
-        hits = consistent(settle(hits, "hits"), width)
-    else:
-        hits = hits.select("doc_id", "t", "item_id", "w")
-    found = hits.groupBy("doc_id", "t", "item_id").agg(F.countDistinct("w").alias("n"))
-    total = F.broadcast(total) if small else total
-    return found.join(total, "item_id").select("doc_id", "t", "item_id", (F.col("n") / F.col("of")).alias("covered")).where(F.col("covered") >= coverage)
-
-
-def consistent(hits: DataFrame, width: int) -> DataFrame:
-    """The hits of occurrences whose slots are filled consistently."""
-    occurrence = ["doc_id", "t", "item_id", "diagonal"]
-    hits = hits.withColumn("diagonal", F.col("pos") - F.col("item_pos"))
-    pairs = F.filter(
-        F.array(*[F.struct(F.lower(f"s{i}").alias("item"), F.lower(f"r{i}").alias("doc"), canonical(F.col(f"s{i}")).alias("kind")) for i in range(width)]),
-        lambda p: p["kind"].startswith("<"),
-    )
-    filled = hits.select(*[F.coalesce(c, F.lit(None)).alias(c) for c in occurrence], F.explode(pairs).alias("p")).select(*occurrence, "p.*").distinct()
-    ways = filled.groupBy(*occurrence, "item", "kind").agg(F.count(F.lit(1)).alias("n")).select(*occurrence, "n")
-    back = filled.groupBy(*occurrence, "doc", "kind").agg(F.count(F.lit(1)).alias("n")).select(*occurrence, "n")
-    bad = ways.union(back).where("n > 1").select(*occurrence).distinct().select(*[F.col(c).alias(f"bad_{c}") for c in occurrence])
-    same = [F.col(c).eqNullSafe(F.col(f"bad_{c}")) for c in occurrence]
-    return hits.join(bad, (same[0] & same[1] & same[2] & same[3]), "left_anti").select("doc_id", "t", "item_id", "w")
+        own = texts.join(found.select("t").distinct(), "t", "left_semi").groupBy("t").agg(F.first("text").alias("text"))
+        both = windows(own, ["t"], width).select("t", F.col("w").alias("dw"), F.col("r").alias("dr")).join(found.select("t", "item_id"), "t").join(light(bench), "item_id")
+        found = settle(covering(consistent(both, width)), "consistent")
+    ids = docs.select("doc_id", F.xxhash64("text").alias("t"))
+    return ids.join(found, "t").distinct().select("doc_id", "t", "item_id", "covered")
+
+
+def consistent(pairs: DataFrame, width: int) -> DataFrame:
+    """t, item_id, w: the windows of occurrences whose slots are filled consistently, for rows of a text (dw, dr) and an item (w, r, k)."""
+    upto = lambda c: F.sequence(F.lit(0), F.size(c) - 1)
+    places = lambda b, p: F.transform(F.filter(upto("dw"), lambda q: F.get("dw", q) == b), lambda q: q - p)
+    same = lambda d: F.filter(upto("w"), lambda p: F.get("dw", p + d) == F.get("w", p))
+    slots = lambda at: F.filter(F.array_distinct(F.flatten(F.transform(at, lambda p: F.sequence(p, F.least(p + width - 1, F.size("r") - 1))))), lambda i: F.get("k", i).isNotNull())
+    kinds = lambda o, f: F.size(F.array_distinct(F.transform(o["slots"], f)))
+
+    def fits(o: Column) -> Column:
+        item, doc, kind = lambda i: F.get("r", i), lambda i: F.get("dr", i + o["d"]), lambda i: F.get("k", i)
+        n = kinds(o, lambda i: F.xxhash64(item(i), doc(i), kind(i)))
+        return (n == kinds(o, lambda i: F.xxhash64(item(i), kind(i)))) & (n == kinds(o, lambda i: F.xxhash64(doc(i), kind(i))))
+
+    out = pairs.withColumn("d", F.array_distinct(F.flatten(F.transform("w", places))))
+    out = out.withColumn("o", F.transform("d", lambda d: F.struct(d.alias("d"), same(d).alias("at"))))
+    out = out.withColumn("o", F.transform("o", lambda o: F.struct(o["d"].alias("d"), o["at"].alias("at"), slots(o["at"]).alias("slots"))))
+    kept = F.array_distinct(F.flatten(F.transform(F.filter("o", fits), lambda o: o["at"])))
+    return out.select("t", "item_id", F.explode(F.transform(kept, lambda p: F.get("w", p))).alias("w"))
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE, width: int = WINDOW) -> DataFrame:
