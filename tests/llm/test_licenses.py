@@ -60,3 +60,14 @@ def test_long_text_with_repeats_and_empty(spark):
     hits = licenses.Scanner(licenses.TEMPLATES, 0.8).scan(" ".join([line] * 500))
     assert len(hits) >= 250 and {h[0] for h in hits} == {"MIT"}
     assert licenses.scan(spark.createDataFrame([], DOCS)).collect() == []
+
+
+def test_every_copy_in_a_row():
+    scanner = licenses.Scanner(licenses.TEMPLATES, 0.8)
+    for name, texts in licenses.TEMPLATES.items():
+        for text in texts:
+            for n in (2, 3, 7, 500):
+                hits = scanner.scan("some prose before it " + " ".join([text] * n) + " and after it")
+                assert [h[0] for h in hits] == [name] * n, (text, n, len(hits))
+    two = scanner.scan("Licensed under CC BY 4.0. Licensed under CC BY-NC 4.0.")
+    assert [h[0] for h in two] == ["CC-BY-4.0", "CC-BY-NC-4.0"]

@@ -119,21 +119,29 @@ class Scanner:
                 if len({own[p] for p in cluster}) < self.coverage * len(self.telling[k]) - 1:
                     continue
                 low, high = max(0, cluster[0] - reach), min(len(own), cluster[-1] + reach + 1)
-                found += [(name, *hit) for hit in self.passages(own, low, high, template)]
+                found += [(name, *hit) for hit in self.passages(own, low, high, template, cluster)]
         best: list[tuple[str, int, int, float]] = []
-        for hit in sorted(found, key=lambda h: (-h[4], -h[3], h[1], h[0])):  # most words aligned first
+        for hit in sorted(found, key=lambda h: (-h[4], -h[3], h[2] - h[1], h[1], h[0])):  # most words aligned first, of equals the tightest
             if all(hit[2] < o[1] or hit[1] > o[2] for o in best):
                 best.append(hit[:4])
         return sorted(best, key=lambda h: h[1])
 
-    def passages(self, own: list[str], low: int, high: int, template: list[str]) -> Iterator[tuple[int, int, float, int]]:
-        """Passages of own[low:high] that align; repeats of a template leave it without anchors, so pieces of its length are tried too."""
+    def passages(self, own: list[str], low: int, high: int, template: list[str], cluster: list[int]) -> Iterator[tuple[int, int, float, int]]:
+        """Passages of own[low:high] that align; repeats of a template leave it without anchors, so pieces are tried too: of its length, and from where its telling words start again to the next such place."""
         size = len(template)
         if high - low <= 3 * size + 2 * GAP:
             pieces = [(low, high)]
         else:
             step = max(1, size // 2)
             pieces = [(p, min(high, p + 2 * size)) for p in range(low, high, step)]
+        many, own_many, starts = Counter(template), Counter(), []
+        for at in cluster:
+            own_many[own[at]] += 1
+            if own_many[own[at]] > many[own[at]]:  # one more than a copy has: the next copy
+                starts.append(max(low, at - template.index(own[at])))
+                own_many = Counter(own[starts[-1] : at + 1])
+        if starts:
+            pieces += list(zip([low, *starts], [*starts, high]))
         seen = set()
         for p, q in pieces:
             pairs = align(own[p:q], template, p)
