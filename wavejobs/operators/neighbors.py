@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Rows of the bank that one task holds at a time.
 BANK_BLOCK = 20_000
+#: Queries that one task holds at a time.
+QUERY_PART = 20_000
 
 
 def encode(df: DataFrame, encoder: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]], samples: str = "samples", row: str = "row") -> DataFrame:
@@ -48,15 +50,19 @@ def standardize(metric: DataFrame, embedding: str = "embedding") -> Column:
 def nearest(queries: DataFrame, bank: DataFrame, k: int = 5, row: str = "row", point: str = "point") -> DataFrame:
     """row, neighbor, distance, rank: the k nearest rows of the bank to each query, itself left out, ties by row.
 
-    The bank is cut into blocks. Each (part of the queries, block) pair is one
-    matrix product, of which k rows a query are left; these meet per query. So
-    neither all pairs nor the whole bank stand anywhere.
+    The bank is cut into blocks and the queries into parts. Each (part, block)
+    pair is a task of matrix products, of which k rows a query are left; these
+    meet per query. So neither all pairs nor the whole bank nor all queries
+    stand anywhere. The products' rounded distances only rule out rows that are
+    farther than the k nearest by more than their rounding can be.
     """
-    n = bank.count()
-    blocks = max(1, -(-n // BANK_BLOCK))
-    block = F.pmod(F.xxhash64(row), F.lit(blocks)).cast("int").alias("block")
-    side = bank.select(block, F.col(row).alias("row"), F.col(point).cast("array<double>").alias("point"))
-    asked = queries.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.col(row).alias("row"), F.col(point).cast("array<double>").alias("point"))
+    blocks = max(1, -(-bank.count() // BANK_BLOCK))
+    parts = max(1, -(-queries.count() // QUERY_PART))
+    cut = lambda many: F.pmod(F.xxhash64(row), F.lit(many)).cast("int")
+    every = lambda many: F.explode(F.sequence(F.lit(0), F.lit(many - 1)))
+    own = (F.col(row).alias("row"), F.col(point).cast("array<double>").alias("point"))
+    side = bank.select(cut(blocks).alias("block"), *own).select("*", every(parts).alias("part"))
+    asked = queries.select(cut(parts).alias("part"), *own).select("*", every(blocks).alias("block"))
 
     def best(q: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(b):
@@ -67,16 +73,20 @@ def nearest(queries: DataFrame, bank: DataFrame, k: int = 5, row: str = "row", p
         for at in range(0, len(q), 512):
             some = q.iloc[at : at + 512]
             x = np.stack(some["point"].to_numpy())
-            rough = (x * x).sum(1)[:, None] - 2 * x @ matrix.T + (matrix * matrix).sum(1)
-            take = min(len(names), k + 8)
-            near = np.argpartition(rough, take - 1, 1)[:, :take]
-            for r, v, c in zip(some["row"], x, near):
+            xx, bb = (x * x).sum(1)[:, None], (matrix * matrix).sum(1)
+            rough = xx - 2 * x @ matrix.T + bb
+            # a sum of d products is off by less than d + 2 roundings of its terms, whose sizes add up to at most 2 (xx + bb)
+            off = 2 * (x.shape[1] + 4) * np.finfo(float).eps * (xx + bb)
+            take = min(len(names), k + 1)  # the query itself may be one
+            limit = np.partition(rough + off, take - 1, 1)[:, take - 1 : take]
+            for r, v, may in zip(some["row"], x, rough - off <= limit):
+                c = np.flatnonzero(may)
                 d = np.sqrt(((matrix[c] - v) ** 2).sum(1))
                 order = [i for i in np.lexsort((names[c], d)) if names[c[i]] != r][:k]
                 out.append(pd.DataFrame({"row": r, "neighbor": names[c[order]], "distance": d[order]}))
         return pd.concat(out)
 
-    found = asked.groupBy("block").cogroup(side.groupBy("block")).applyInPandas(best, "row long, neighbor long, distance double")
+    found = asked.groupBy("part", "block").cogroup(side.groupBy("part", "block")).applyInPandas(best, "row long, neighbor long, distance double")
     top = found.groupBy("row").agg(F.slice(F.array_sort(F.collect_list(F.struct("distance", "neighbor"))), 1, k).alias("n"))
     return top.select(F.col("row").alias(row), F.posexplode("n").alias("rank", "n")).select(row, "n.neighbor", "n.distance", (F.col("rank") + 1).alias("rank"))
 
