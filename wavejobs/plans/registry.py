@@ -485,7 +485,7 @@ def f19_kmeans(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem")
     stats = fit.stats_of(fit.robust_fit(li, features))
     row = F.xxhash64("l_orderkey", "l_linenumber", "l_extendedprice").alias("row")
-    assigned, centers, _ = cluster.kmeans(li.select(row, cluster.vectorize(features, stats).alias("point")), 4, 10)
+    assigned, centers, _ = cluster.kmeans(li.select(row, cluster.vectorize(features, stats).alias("point")), 4)
     return cluster.report(assigned, centers, features, stats)
 
 
