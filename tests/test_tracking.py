@@ -144,3 +144,22 @@ def test_payloads(spark):
     assert (r.sq, r.pub_fs_mps, r.pub_fr_m3h, r.device_dt_ns) == (77.0, 0.001, None, 5) and abs(r.pipe_area_m2 - math.pi * 0.02093**2 / 4) < 1e-9
     waves, meters = stream.route(spark.createDataFrame([("meter/sig/ab-1", T0, "[1]"), ("meter/pub/ab-1", T0, text), ("other", T0, "")], "topic string, ts timestamp, payload string"))
     assert [(w.serial, w.samples) for w in waves.collect()] == [("AB-1", [1.0])] and meters.first().serial == "AB-1"
+
+
+def test_meters_in_batches(spark, monkeypatch):
+    frame = spark.createDataFrame(night(4, 90), SCHEMA)
+    narrow = zero.inputs(frame, "serial", "ts", "id").toPandas()
+    whole = pd.concat([zero.run_group(p, zero.State()) for _, p in narrow.groupby("serial")]).set_index("id")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        tracked = zero.track(frame)
+        got = tracked.toPandas().set_index("id")
+        for each in (tracked, stream.track(stream.inputs(frame))):
+            assert "FlatMapGroups" not in each._jdf.queryExecution().toString()
+        live = stream.track(stream.inputs(frame)).toPandas().set_index("id")
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert len(got) == len(live) == len(whole) == 360
+    for c in ("zero_estimate_fs", "no_flow_run", "state_name"):
+        assert (got[c].loc[whole.index] == whole[c]).all() and (live[c].loc[whole.index] == whole[c]).all()

@@ -7,9 +7,11 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from wavejobs.functions.columns import FEATURES
 from wavejobs.functions.waveform import Profile, features
+from wavejobs.operators.order import folded
 
 
 @dataclass
@@ -56,12 +58,12 @@ class Adaptive:
 def adapt(frames: DataFrame, model: Adaptive, key: str = "serial", ts: str = "ts", tie: str = "id", samples: str = "samples", good: str | None = None) -> DataFrame:
     """key, tie, score, trained, updates of each frame, in order of time per key. good names a boolean column that the gate asks for."""
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        state, out = model.start(), []
-        for r in part.sort_values([ts, tie]).to_dict("records"):
+    def run(part: pd.DataFrame, state: dict) -> pd.DataFrame:
+        out = []
+        for r in part.to_dict("records"):
             out.append((r[key], r[tie], *model.step(state, np.asarray(r[samples], float), True if good is None else bool(r[good]))))
         return pd.DataFrame(out, columns=[key, tie, "score", "trained", "updates"])
 
     kinds = dict(frames.dtypes)
     narrow = frames.select(key, ts, tie, samples, *([good] if good else []))
-    return narrow.groupBy(key).applyInPandas(run, f"{key} {kinds[key]}, {tie} {kinds[tie]}, score double, trained boolean, updates long")
+    return folded(narrow, key, [F.asc_nulls_last(ts), F.asc_nulls_last(tie)], model.start, run, f"{key} {kinds[key]}, {tie} {kinds[tie]}, score double, trained boolean, updates long")

@@ -7,6 +7,9 @@ parallel.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,3 +44,21 @@ def carried(df: DataFrame, key: str, order: list[str], ts: str, **values: Column
         day = day.withColumn(f"__w_{n}", F.last(f"__v_{n}", True).over(w))
     joined = day.join(last, F.col(key).eqNullSafe(F.col("__key")) & F.col("__day").eqNullSafe(F.col("__d")))
     return joined.select(*df.columns, *[F.coalesce(f"__w_{n}", f"__p_{n}").alias(n) for n in values])
+
+
+def folded(rows: DataFrame, key: str, by: list[Column], fresh: Callable[[], object], advance: Callable[[pd.DataFrame, object], pd.DataFrame], schema: str) -> DataFrame:
+    """What advance says of each key's rows, in order, from a state that moves on. A key's rows come in Arrow batches; no more of them stand in memory."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, state = None, None
+        for batch in batches:
+            codes = pd.factorize(batch[key], use_na_sentinel=False)[0]
+            cuts = [0, *(i for i in range(1, len(batch)) if codes[i] != codes[i - 1]), len(batch)] if len(batch) else []
+            for a, b in zip(cuts, cuts[1:]):
+                part = batch.iloc[a:b]
+                own = None if pd.isna(part[key].iloc[0]) else part[key].iloc[0]
+                if state is None or own != now:
+                    now, state = own, fresh()
+                yield advance(part, state)
+
+    return rows.repartition(key).sortWithinPartitions(key, *by).mapInPandas(run, schema)

@@ -12,6 +12,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from wavejobs.functions.columns import first_finite, topic_serial
 from wavejobs.operators import history, zero
+from wavejobs.operators.order import folded
 from wavejobs.sources.captures import decode_telemetry, decode_waveform
 
 #: Output of track(): what the zero tracker says, the debounced state and how many late rows the meter has had.
@@ -75,10 +76,10 @@ def track(frames: DataFrame, enter: int = 3, recover: int = 5, normal: str = "no
 
     if not frames.isStreaming:
 
-        def whole(part: pd.DataFrame) -> pd.DataFrame:
-            return _advance(_fresh(normal), part, enter, recover, normal, cfg)
+        def more(part: pd.DataFrame, state: dict) -> pd.DataFrame:
+            return _advance(state, part, enter, recover, normal, cfg)
 
-        return frames.drop("at").groupBy("serial").applyInPandas(whole, TRACKED)
+        return folded(frames.drop("at"), "serial", [F.asc_nulls_last("us"), F.asc_nulls_last("id")], lambda: _fresh(normal), more, TRACKED)
 
     ttl_ms = int(pd.Timedelta(ttl).total_seconds() * 1000) if ttl else None
 
