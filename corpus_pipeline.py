@@ -17,7 +17,11 @@ def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each SimHash group the document with the smallest doc_id stays. Rows without a doc_id aren't in a group and stay."""
+    """Of each SimHash group the document with the smallest doc_id stays. Rows without a doc_id aren't in a group and stay.
+
+    Copies are near as op2's contract says (fingerprints within its radius), so
+    edited copies farther off stay. Of rows with one doc_id any one stays, whatever their texts are.
+    """
     first = simhash.group(docs.where("doc_id IS NOT NULL")).where("doc_id = component_id").select("doc_id").distinct()
     return docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns).union(docs.where("doc_id IS NULL"))
 
