@@ -8,113 +8,139 @@ from pyspark.sql import functions as F
 from wavejobs.llm.common import settle
 
 SIMILARITY = 0.8
-#: Cells of the table that says how frequent words are, whatever the input. It only orders a line's words.
+#: Cells of the table that says how frequent words are, a power of two whatever the input. It only orders a line's words.
 CELLS = 1 << 20
-_CHUNK = 1 << 10
+#: Longs of the bit table that says which lines are asked for; it only saves shuffling others.
+ASKED = 1 << 17
 #: The level of a cell whose words occur once in all: 4 * log2(1 + 1).
 _ONCE = 4
 #: A prefix word of more lines than this is hot: its lines are compared with their earliest one first.
-HOT = 64
+HOT = 128
 #: Stands for a null doc_id in the order of documents: after all others.
 _LAST = (1 << 63) - 1
+_LOW = (1 << 56) - 1
 
 
 def split_words(line: Column) -> Column:
-    return F.filter(F.split(line, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    """The words of a line. Lines whose only white space is single spaces, nearly all, are cut at a plain space."""
+    odd = line.contains("  ") | line.startswith(" ") | line.endswith(" ")
+    for c in "\t\x0b\x0c\r":
+        odd = odd | line.contains(c)
+    return F.split(F.when(odd, F.btrim(F.regexp_replace(line, r"[\x20\x09-\x0D]+", " "), F.lit(" "))).otherwise(line), " ")
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """d, doc_id, t (tells texts under one id apart), l, line, and a 128-bit key k1, k2 of the line."""
+    """doc_id, t (tells texts under one id apart), n_lines, l, line and a 128-bit key k1, k2 of every line; a null text has one row, of no lines."""
     text = F.coalesce("text", F.lit(""))
-    each = docs.select(F.coalesce("doc_id", F.lit(_LAST)).alias("d"), "doc_id", F.xxhash64(text).alias("t"), F.posexplode(F.split(text, "\n")).alias("l", "line"))
+    whole = docs.select("doc_id", F.xxhash64(text).alias("t"), F.col("text").isNull().alias("none"), F.split(text, "\n").alias("parts"))
+    each = whole.select("doc_id", "t", F.when(F.col("none"), 0).otherwise(F.size("parts")).alias("n_lines"), F.posexplode("parts").alias("l", "line"))
     return each.select("*", F.xxhash64("line").alias("k1"), F.xxhash64("line", F.lit("again")).alias("k2"))
 
 
+def one_row(counted: DataFrame, cells: int) -> DataFrame:
+    """One row, one array of `cells` values, from rows of cell and value; other cells are 0. Its size doesn't depend on the input."""
+    every = counted.unionByName(counted.sparkSession.range(cells).select(F.col("id").alias("cell"), F.lit(0).cast(dict(counted.dtypes)["value"]).alias("value")))
+    in_order = lambda at, v: F.transform(F.array_sort(F.collect_list(F.struct(at, v))), lambda x: x[v]).alias("value")
+    chunks = every.groupBy("cell").agg(F.max_by("value", F.col("value") != 0).alias("value")).groupBy(F.shiftright("cell", 10).alias("chunk")).agg(in_order("cell", "value"))
+    return settle(chunks.agg(F.flatten(in_order("chunk", "value")).alias("values")), "cells")
+
+
 def rarity(docs: DataFrame, cells: int) -> DataFrame:
-    """One row, one array: for each cell of word hashes, a level that rises with how often its words occur in all documents."""
-    counted = docs.select(F.explode(split_words(F.coalesce("text", F.lit("")))).alias("w")).groupBy(F.pmod(F.xxhash64("w"), F.lit(cells)).alias("cell")).agg(F.count(F.lit(1)).alias("n"))
-    every = counted.union(docs.sparkSession.range(cells).select("id", F.lit(0).cast("long"))).groupBy("cell").agg(F.sum("n").alias("n"))
-    level = F.least(F.lit(120), F.floor(F.log2(F.col("n") + 1) * 4)).cast("tinyint").alias("level")
-    in_order = lambda at: F.transform(F.array_sort(F.collect_list(F.struct(at, "level"))), lambda x: x["level"]).alias("level")
-    chunks = every.select("cell", level).groupBy(F.floor(F.col("cell") / _CHUNK).alias("chunk")).agg(in_order("cell"))
-    return chunks.agg(F.flatten(in_order("chunk")).alias("levels"))
+    """For each cell of word hashes, a level that rises with how often its words occur in all documents."""
+    words = docs.select(F.explode(F.split("text", r"[\x20\x09-\x0D]+")).alias("w"))
+    counted = words.groupBy(F.xxhash64("w").bitwiseAND(F.lit(cells - 1)).alias("cell")).agg(F.count(F.lit(1)).alias("n"))
+    return one_row(counted.select("cell", F.least(F.lit(120), F.floor(F.log2(F.col("n") + 1) * 4)).cast("tinyint").alias("value")), cells)
 
 
 def features(docs: DataFrame, similarity: float, cells: int) -> DataFrame:
-    """Every line with words: d, l, k1, k2, n (distinct words), sig (64 bits, each word sets one) and prefix.
+    """Every line: doc_id, t, n_lines, l, k1, k2, n (distinct words), sig (64 bits, each word flips one) and prefix.
 
     prefix has the line's n - ceil(similarity * n) + 1 rarest words, as numbers
-    that sort by rarity, then hash. Of two sets with the similarity, each has
-    one of the other's prefix in its own, in any order that all lines share.
+    that sort by rarity, then hash.
     """
-    lines = lines_of(docs).withColumn("levels", settle(rarity(docs, cells), "rarity").scalar())
-    hashed = lines.select("d", "l", "k1", "k2", "levels", F.array_distinct(F.transform(split_words(F.col("line")), lambda w: F.xxhash64(w))).alias("h")).where(F.size("h") > 0)
-    cell = f"CAST(pmod(x, CAST({cells} AS BIGINT)) AS INT)"
-    return hashed.select(
-        "d",
-        "l",
-        "k1",
-        "k2",
-        F.size("h").alias("n"),
-        F.expr("aggregate(h, 0L, (a, x) -> a | shiftleft(1L, CAST(x & 63 AS INT)))").alias("sig"),
-        F.slice(
-            F.sort_array(F.expr(f"transform(h, x -> shiftleft(CAST(get(levels, {cell}) AS BIGINT), 56) | (x & 72057594037927935L))")),
-            F.lit(1),
-            F.size("h") - F.ceil(F.size("h") * F.lit(similarity) - 1e-9).cast("int") + 1,
-        ).alias("prefix"),  # a word of the lowest level, _ONCE, has no other occurrence
-    )
+    hashed = F.xxhash64
+    rank = lambda w: F.shiftleft(F.get("levels", hashed(w).bitwiseAND(F.lit(cells - 1)).cast("int")).cast("long"), 56).bitwiseOR(hashed(w).bitwiseAND(F.lit(_LOW)))
+    keys = ["doc_id", "t", "n_lines", "l", "k1", "k2"]
+    # levels is used once, so that Spark puts the subquery's value into the lambda and no row holds a copy of it
+    ranked = lines_of(docs).withColumn("levels", rarity(docs, cells).scalar()).select(*keys, F.sort_array(F.array_distinct(F.transform(split_words(F.col("line")), rank))).alias("s"))
+    blank = F.xxhash64(F.lit("")).bitwiseAND(F.lit(_LOW))  # the one word of a line without words is empty
+    n = F.when(F.get("s", F.lit(0)).bitwiseAND(F.lit(_LOW)) == blank, 0).otherwise(F.size("s"))
+    sig = F.expr("aggregate(s, 0L, (a, x) -> a ^ shiftleft(1L, CAST(x & 63 AS INT)))")
+    return ranked.select(*keys, n.alias("n"), sig.alias("sig"), F.slice("s", F.lit(1), F.size("s") - F.ceil(F.size("s") * F.lit(similarity) - 1e-9).cast("int") + 1).alias("prefix"))
 
 
 def may_match(similarity: float) -> Column:
     """The length, positional and bit filters between the columns of one side and those of the other, named b_."""
     n, m = F.col("n"), F.col("b_n")
     need = F.ceil((n + m) * F.lit(similarity / (1 + similarity)) - 1e-9)
-    most = F.least("i", "b_i") + 1 + F.least(n - F.col("i"), m - F.col("b_i")) - 1
+    most = F.least("i", "b_i") + F.least(n - F.col("i"), m - F.col("b_i"))
     return (F.least(n, m) >= F.greatest(n, m) * similarity - 1e-9) & (most >= need) & (F.bit_count(F.col("sig").bitwiseXOR(F.col("b_sig"))) <= n + m - need * 2)
 
 
-def verified(pairs: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
-    """Of pairs (k1, k2, d, l and the same with b_) those whose lines' words have the similarity."""
-    one, other = pairs.select("k1", "k2", "d", "l"), pairs.select(*[F.col(f"b_{c}").alias(c) for c in ("k1", "k2", "d", "l")])
-    asked = one.union(other).distinct().groupBy("d").agg(F.collect_set("l").alias("ls"))
-    texts = docs.select(F.coalesce("doc_id", F.lit(_LAST)).alias("d"), F.col("text").alias("text"), F.col("doc_id").alias("doc_id")).join(asked, "d")
-    each = texts.select("d", "ls", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("l", "line")).where(F.array_contains("ls", F.col("l")))
-    sets = each.select(F.xxhash64("line").alias("k1"), F.xxhash64("line", F.lit("again")).alias("k2"), F.array_distinct(split_words(F.col("line"))).alias("w")).groupBy("k1", "k2").agg(F.any_value("w").alias("w"))
-    sets = settle(sets, "sets")
-    both = pairs.join(sets, ["k1", "k2"]).join(sets.select(F.col("k1").alias("b_k1"), F.col("k2").alias("b_k2"), F.col("w").alias("b_w")), ["b_k1", "b_k2"])
+def other(rows: DataFrame, *kept: str) -> DataFrame:
+    """The rows as the other side of a join on key."""
+    return rows.select("key", *[F.col(c).alias(f"b_{c}") for c in kept])
+
+
+def later(a: str = "", b: str = "b_") -> Column:
+    """The place of one side comes after the other's."""
+    return (F.col(f"{a}d") > F.col(f"{b}d")) | ((F.col(f"{a}d") == F.col(f"{b}d")) & (F.col(f"{a}l") > F.col(f"{b}l")))
+
+
+def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
+    """Of pairs (id, b_id) of classes, the ids of the later lines whose words have the similarity with the earlier one's."""
+    ids = pairs.select("id").union(pairs.select("b_id")).distinct()
+    asked = settle(classes.select("id", "d", "l", "k1", "k2").join(ids, "id"), "asked")
+    cell = lambda c: F.shiftright(c, 6).bitwiseAND(F.lit(ASKED - 1))
+    bit = F.expr("shiftleft(1L, CAST(k1 & 63 AS INT))")
+    bits = one_row(asked.groupBy(cell("k1").alias("cell")).agg(F.bit_or(bit).alias("value")), ASKED)
+    lines = lines_of(docs).select("k1", "k2", "line").withColumn("bits", bits.scalar())
+    lines = lines.where(F.get("bits", cell("k1").cast("int")).bitwiseAND(bit) != 0).select("k1", "k2", "line")
+    texts = lines.groupBy("k1", "k2").agg(F.any_value("line").alias("line"))
+    sets = settle(asked.join(texts, ["k1", "k2"]).select("id", "d", "l", F.array_distinct(split_words(F.col("line"))).alias("w")), "sets")
+    both = pairs.join(sets, "id").join(sets.select(*[F.col(c).alias(f"b_{c}") for c in ("id", "d", "l", "w")]), "b_id")
     shared = F.size(F.array_intersect("w", "b_w"))
-    return both.where(shared >= (F.size("w") + F.size("b_w") - shared) * similarity - 1e-9).select("k1", "k2", "b_k1", "b_k2")
+    similar = both.where(shared >= (F.size("w") + F.size("b_w") - shared) * similarity - 1e-9)
+    return similar.select(F.when(later(), F.col("id")).when(later("b_", ""), F.col("b_id")).alias("id")).where("id IS NOT NULL").distinct()
 
 
-def repeated(docs: DataFrame, similarity: float = SIMILARITY, cells: int = CELLS) -> tuple[DataFrame, DataFrame]:
-    """(classes, matched): the distinct lines with words, with the first place d, l of each; the keys of those that an earlier line is similar to.
+def repeated(docs: DataFrame, lines: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """The distinct lines with words: k1, k2, the first place d, l, and again: an earlier line is similar.
 
-    Equal lines are one class. Lines meet on prefix words, and length,
-    positional and bit filters stand in the join; what passes is verified on the
-    words. In the group of a hot prefix word a line is compared only with the
-    earliest one at first, which settles groups of near copies of any size;
-    lines of such groups that found no match are then compared with all lines
-    of the group. Words that occur once in all documents meet nothing.
+    Equal lines are one class. Of two similar lines the longer one's prefix
+    holds one of the n - ceil(2 s / (1 + s) * n) + 1 rarest words of the
+    shorter, for any order that all lines share, and lines meet on that word.
+    Length, positional and bit filters stand in the join; what passes is
+    verified on the words.
+
+    In the group of a hot word a line is compared only with the earliest one at
+    first, which settles groups of near copies of any size. Then the hot words'
+    lines meet where the later one has found no match yet. Words that occur
+    once in all documents meet nothing.
     """
-    rows = features(docs, similarity, cells)
-    classes = rows.groupBy("k1", "k2").agg(F.min(F.struct("d", "l")).alias("first"), F.any_value("n").alias("n"), F.any_value("sig").alias("sig"), F.any_value("prefix").alias("prefix"))
-    classes = settle(classes.select("k1", "k2", "first.d", "first.l", "n", "sig", "prefix"), "classes")
-    each = classes.select("k1", "k2", "d", "l", "n", "sig", F.posexplode("prefix").alias("i", "key")).where(F.shiftright("key", 56) > _ONCE)
-    other = each.select("key", *[F.col(c).alias(f"b_{c}") for c in ("k1", "k2", "d", "l", "n", "sig", "i")])
-    later = (F.col("d") > F.col("b_d")) | ((F.col("d") == F.col("b_d")) & (F.col("l") > F.col("b_l")))
-    ids = ["k1", "k2", "d", "l", "b_k1", "b_k2", "b_d", "b_l"]
-
-    hot = settle(each.select("key").groupBy("key").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > HOT).select("key"), "hot")
-    lead = settle(each.join(hot, "key").groupBy("key").agg(F.min(F.struct("d", "l", "k1", "k2", "n", "sig", "i")).alias("m")), "lead")
-    leaders = lead.select("key", *[F.col(f"m.{c}").alias(f"b_{c}") for c in ("k1", "k2", "d", "l", "n", "sig", "i")])
-    cold = other.join(hot, "key", "left_anti")
-    passed = later & may_match(similarity)
-    pairs = each.join(cold.unionByName(leaders), "key").where(passed).select(*ids).distinct()
-    matched = settle(verified(settle(pairs, "pairs"), docs, similarity).select("k1", "k2").distinct(), "matched")
-
-    rest = each.join(hot, "key").join(matched, ["k1", "k2"], "left_anti")
-    pairs = rest.join(other.join(hot, "key"), "key").where(passed).select(*ids).distinct()
-    return classes, settle(matched.union(verified(settle(pairs, "pairs"), docs, similarity).select("k1", "k2").distinct()), "matched")
+    firsts = lines.where("n > 0").select("k1", "k2", F.struct(F.coalesce("doc_id", F.lit(_LAST)).alias("d"), "l").alias("place"), "n", "sig", "prefix")
+    grouped = firsts.groupBy("k1", "k2").agg(F.min("place").alias("first"), *[F.any_value(c).alias(c) for c in ("n", "sig", "prefix")])
+    classes = settle(grouped.select(F.monotonically_increasing_id().alias("id"), "k1", "k2", "first.d", "first.l", "n", "sig", "prefix"), "classes")
+
+    rows = classes.select("id", "d", "l", "n", "sig", F.posexplode("prefix").alias("i", "key")).where(F.shiftright("key", 56) > _ONCE)
+    held = lambda df: df.where(F.col("i") <= F.col("n") - F.ceil(F.col("n") * F.lit(2 * similarity / (1 + similarity)) - 1e-9))
+    shorter = (F.col("b_n") < F.col("n")) | ((F.col("b_n") == F.col("n")) & (F.col("b_id") < F.col("id")))
+    hot = settle(held(rows).groupBy("key").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > HOT).select("key"), "hot")
+    cold = other(held(rows).join(hot, "key", "left_anti"), "id", "n", "sig", "i")
+    pairs = rows.select("key", "id", "n", "sig", "i").join(cold, "key").where(shorter & may_match(similarity)).select("id", "b_id")
+    own = settle(rows.join(hot, "key"), "own")
+    lead = own.groupBy("key").agg(F.min(F.struct("d", "l", "id", "n", "sig", "i")).alias("m")).select("key", "m.*")
+    pairs = pairs.union(own.join(other(lead, "id", "n", "sig", "i"), "key").where((F.col("id") != F.col("b_id")) & may_match(similarity)).select("id", "b_id"))
+    matched = settle(verified(settle(pairs.distinct(), "pairs"), classes, docs, similarity), "matched")
+
+    own = settle(own.join(matched.withColumn("again", F.lit(True)), "id", "left").withColumn("open", F.col("again").isNull()).drop("again"), "open")
+    sides = ("id", "d", "l", "n", "sig", "i")
+    meet = lambda a, b, wanted: a.join(other(b, *sides, "open"), "key").where(shorter & wanted & may_match(similarity)).select("id", "b_id")
+    rest = meet(own.where("open"), held(own), later() | F.col("b_open")).union(meet(own.where("NOT open"), held(own.where("open")), later("b_", "")))
+    rest = settle(rest.distinct(), "rest")
+    if not rest.isEmpty():
+        matched = settle(matched.union(verified(rest, classes, docs, similarity)).distinct(), "matched")
+    return settle(classes.select("id", "k1", "k2", "d", "l").join(matched.withColumn("again", F.lit(True)), "id", "left").select("k1", "k2", "d", "l", F.coalesce("again", F.lit(False)).alias("again")), "state")
 
 
 def dedup(docs: DataFrame, similarity: float = SIMILARITY, cells: int = CELLS) -> DataFrame:
@@ -125,18 +151,15 @@ def dedup(docs: DataFrame, similarity: float = SIMILARITY, cells: int = CELLS) -
     at least `similarity`; lines are judged on the input, not on what is left.
     Lines without words are never removed.
 
-    A null text has no lines, an empty one a single empty line. A null doc_id
-    comes after all others. Rows that share a doc_id are one document to the
-    order, so that copies of a whole row don't remove each other. An empty table
-    gives no rows. Columns other than doc_id and text aren't looked at.
+    A null text has no lines, an empty one a single empty line; texts of any
+    length are cut into lines whole. A null doc_id comes after all others. Rows
+    that share a doc_id are one document to the order, so that copies of a whole
+    row don't remove each other. An empty table gives no rows. Columns other
+    than doc_id and text aren't looked at.
     """
-    classes, matched = repeated(docs, similarity, cells)
-    matched = matched.withColumn("again", F.lit(True))
-    state = settle(classes.select("k1", "k2", "d", "l").join(matched, ["k1", "k2"], "left").select("k1", "k2", F.col("d").alias("first_d"), F.col("l").alias("first_l"), F.coalesce("again", F.lit(False)).alias("again")), "state")
-    places = lines_of(docs).select("doc_id", "d", "t", "l", "k1", "k2").join(state, ["k1", "k2"])
-    gone = places.where(F.col("again") | (F.col("d") != F.col("first_d")) | (F.col("l") != F.col("first_l")))
-    per = gone.groupBy(F.col("d").alias("gone_d"), F.col("t").alias("gone_t")).agg(F.sort_array(F.collect_set("l")).alias("removed"))
-    text = F.coalesce("text", F.lit(""))
-    ids = docs.select("doc_id", F.coalesce("doc_id", F.lit(_LAST)).alias("d"), F.xxhash64(text).alias("t"), F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split(text, "\n"))).cast("long").alias("n_lines"))
-    removed = F.coalesce("removed", F.array().cast("array<int>"))
-    return ids.join(per, (ids.d == per.gone_d) & (ids.t == per.gone_t), "left").select("doc_id", "n_lines", F.size(removed).cast("long").alias("n_removed"), removed.alias("removed"))
+    lines = settle(features(docs, similarity, cells), "lines")
+    state = repeated(docs, lines, similarity).select("k1", "k2", F.col("d").alias("first_d"), F.col("l").alias("first_l"), "again")
+    places = lines.select("doc_id", "t", "n_lines", "l", "k1", "k2").join(state, ["k1", "k2"], "left")
+    gone = F.col("again") | (F.coalesce("doc_id", F.lit(_LAST)) != F.col("first_d")) | (F.col("l") != F.col("first_l"))
+    per = places.groupBy("doc_id", "t", "n_lines").agg(F.sort_array(F.collect_set(F.when(gone, F.col("l")))).alias("removed"), F.count(F.when(F.col("l") == 0, 1)).alias("rows"))
+    return per.select("doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.size("removed").cast("long").alias("n_removed"), "removed", F.explode(F.sequence(F.lit(1), F.col("rows"))).alias("row")).drop("row")
