@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wavejobs.llm.common import settle
+from wavejobs.llm.common import discard, settle
 
 SIMILARITY = 0.8
 #: Cells of the table that says how frequent words are, a power of two whatever the input. It only orders a line's words.
@@ -87,10 +87,9 @@ def later(a: str = "", b: str = "b_") -> Column:
     return (F.col(f"{a}d") > F.col(f"{b}d")) | ((F.col(f"{a}d") == F.col(f"{b}d")) & (F.col(f"{a}l") > F.col(f"{b}l")))
 
 
-def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
-    """Of pairs (id, b_id) of classes, the ids of the later lines whose words have the similarity with the earlier one's."""
-    ids = pairs.select("id").union(pairs.select("b_id")).distinct()
-    asked = settle(classes.select("id", "d", "l", "k1", "k2").join(ids, "id"), "asked")
+def words_by_id(ids: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """id, d, l and w, the words, of the classes with these ids. A bit table of their keys spares most other lines the way."""
+    asked = settle(classes.select("id", "d", "l", "k1", "k2").join(ids.distinct(), "id"), "asked")
     cell = lambda c: F.shiftright(c, 6).bitwiseAND(F.lit(ASKED - 1))
     bit = F.expr("shiftleft(1L, CAST(k1 & 63 AS INT))")
     bits = one_row(asked.groupBy(cell("k1").alias("cell")).agg(F.bit_or(bit).alias("value")), ASKED)
@@ -98,14 +97,36 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, similarity:
     lines = lines.where(F.get("bits", cell("k1").cast("int")).bitwiseAND(bit) != 0).select("k1", "k2", "line")
     texts = lines.groupBy("k1", "k2").agg(F.any_value("line").alias("line"))
     sets = settle(asked.join(texts, ["k1", "k2"]).select("id", "d", "l", F.array_distinct(split_words(F.col("line"))).alias("w")), "sets")
-    both = pairs.join(sets, "id").join(sets.select(*[F.col(c).alias(f"b_{c}") for c in ("id", "d", "l", "w")]), "b_id")
-    shared = F.size(F.array_intersect("w", "b_w"))
-    similar = both.where(shared >= (F.size("w") + F.size("b_w") - shared) * similarity - 1e-9)
-    return similar.select(F.when(later(), F.col("id")).when(later("b_", ""), F.col("b_id")).alias("id")).where("id IS NOT NULL").distinct()
+    discard(asked, bits)
+    return sets
+
+
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """id: of pairs (id, b_id) the later lines whose words have the similarity with the earlier one's.
+
+    Most have it with the earliest one, so that pair is looked at first, and the others only where it fails.
+    """
+    places = sets.select("id", "d", "l")
+    both = pairs.join(places, "id").join(places.select(*[F.col(c).alias(f"b_{c}") for c in ("id", "d", "l")]), "b_id")
+    up, down = later(), later("b_", "")
+    turned = both.where(up | down).select(*[F.when(up, F.col(f"{a}{c}")).otherwise(F.col(f"{b}{c}")).alias(f"{a}{c}") for a, b in (("", "b_"), ("b_", "")) for c in ("id", "d", "l")])
+    turned = settle(turned.select("id", F.struct("b_d", "b_l", "b_id").alias("at")), "turned")
+
+    def similar(some: DataFrame) -> DataFrame:
+        met = some.join(sets.select("id", "w"), "id").join(sets.select(F.col("id").alias("b_id"), F.col("w").alias("b_w")), "b_id")
+        shared = F.size(F.array_intersect("w", "b_w"))
+        return met.where(shared >= (F.size("w") + F.size("b_w") - shared) * similarity - 1e-9).select("id").distinct()
+
+    first = turned.groupBy("id").agg(F.min("at").alias("at"))
+    found = settle(similar(first.select("id", "at.b_id")), "found")
+    more = turned.join(found, "id", "left_anti").join(first.select("id", F.col("at").alias("tried")), "id").where("at <> tried").select("id", "at.b_id")
+    out = settle(found.union(similar(more)), "matched")
+    discard(turned, found)
+    return out
 
 
 def repeated(docs: DataFrame, lines: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The distinct lines with words: k1, k2, the first place d, l, and again: an earlier line is similar.
+    """The distinct lines with words: k1, k2, the first place d, l, and again: an earlier line is similar. The settled lines are used up.
 
     Equal lines are one class. Of two similar lines the longer one's prefix
     holds one of the n - ceil(2 s / (1 + s) * n) + 1 rarest words of the
@@ -121,6 +142,7 @@ def repeated(docs: DataFrame, lines: DataFrame, similarity: float = SIMILARITY)
     firsts = lines.where("n > 0").select("k1", "k2", F.struct(F.coalesce("doc_id", F.lit(_LAST)).alias("d"), "l").alias("place"), "n", "sig", "prefix")
     grouped = firsts.groupBy("k1", "k2").agg(F.min("place").alias("first"), *[F.any_value(c).alias(c) for c in ("n", "sig", "prefix")])
     classes = settle(grouped.select(F.monotonically_increasing_id().alias("id"), "k1", "k2", "first.d", "first.l", "n", "sig", "prefix"), "classes")
+    discard(lines)
 
     rows = classes.select("id", "d", "l", "n", "sig", F.posexplode("prefix").alias("i", "key")).where(F.shiftright("key", 56) > _ONCE)
     held = lambda df: df.where(F.col("i") <= F.col("n") - F.ceil(F.col("n") * F.lit(2 * similarity / (1 + similarity)) - 1e-9))
@@ -131,16 +153,23 @@ def repeated(docs: DataFrame, lines: DataFrame, similarity: float = SIMILARITY)
     own = settle(rows.join(hot, "key"), "own")
     lead = own.groupBy("key").agg(F.min(F.struct("d", "l", "id", "n", "sig", "i")).alias("m")).select("key", "m.*")
     pairs = pairs.union(own.join(other(lead, "id", "n", "sig", "i"), "key").where((F.col("id") != F.col("b_id")) & may_match(similarity)).select("id", "b_id"))
-    matched = settle(verified(settle(pairs.distinct(), "pairs"), classes, docs, similarity), "matched")
-
-    own = settle(own.join(matched.withColumn("again", F.lit(True)), "id", "left").withColumn("open", F.col("again").isNull()).drop("again"), "open")
+    pairs = settle(pairs.distinct(), "pairs")
+    sets = words_by_id(pairs.select("id").union(pairs.select("b_id")).union(own.select("id")), classes, docs)
+    matched = verified(pairs, sets, similarity)
+    discard(pairs, hot)
+
+    again = matched.withColumn("again", F.lit(True))
+    marked = settle(own.join(again, "id", "left").withColumn("open", F.col("again").isNull()).drop("again"), "marked")
+    discard(own)
     sides = ("id", "d", "l", "n", "sig", "i")
     meet = lambda a, b, wanted: a.join(other(b, *sides, "open"), "key").where(shorter & wanted & may_match(similarity)).select("id", "b_id")
-    rest = meet(own.where("open"), held(own), later() | F.col("b_open")).union(meet(own.where("NOT open"), held(own.where("open")), later("b_", "")))
+    rest = meet(marked.where("open"), held(marked), later() | F.col("b_open")).union(meet(marked.where("NOT open"), held(marked.where("open")), later("b_", "")))
     rest = settle(rest.distinct(), "rest")
-    if not rest.isEmpty():
-        matched = settle(matched.union(verified(rest, classes, docs, similarity)).distinct(), "matched")
-    return settle(classes.select("id", "k1", "k2", "d", "l").join(matched.withColumn("again", F.lit(True)), "id", "left").select("k1", "k2", "d", "l", F.coalesce("again", F.lit(False)).alias("again")), "state")
+    more = verified(rest, sets, similarity)
+    again = matched.union(more).distinct().withColumn("again", F.lit(True))
+    state = settle(classes.select("id", "k1", "k2", "d", "l").join(again, "id", "left").select("k1", "k2", "d", "l", F.coalesce("again", F.lit(False)).alias("again")), "state")
+    discard(classes, marked, rest, sets, matched, more)
+    return state
 
 
 def dedup(docs: DataFrame, similarity: float = SIMILARITY, cells: int = CELLS) -> DataFrame:
@@ -158,8 +187,9 @@ def dedup(docs: DataFrame, similarity: float = SIMILARITY, cells: int = CELLS) -
     than doc_id and text aren't looked at.
     """
     lines = settle(features(docs, similarity, cells), "lines")
+    places = settle(lines.select("doc_id", "t", "n_lines", "l", "k1", "k2"), "places")
     state = repeated(docs, lines, similarity).select("k1", "k2", F.col("d").alias("first_d"), F.col("l").alias("first_l"), "again")
-    places = lines.select("doc_id", "t", "n_lines", "l", "k1", "k2").join(state, ["k1", "k2"], "left")
+    places = places.join(state, ["k1", "k2"], "left")
     gone = F.col("again") | (F.coalesce("doc_id", F.lit(_LAST)) != F.col("first_d")) | (F.col("l") != F.col("first_l"))
     per = places.groupBy("doc_id", "t", "n_lines").agg(F.sort_array(F.collect_set(F.when(gone, F.col("l")))).alias("removed"), F.count(F.when(F.col("l") == 0, 1)).alias("rows"))
     return per.select("doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.size("removed").cast("long").alias("n_removed"), "removed", F.explode(F.sequence(F.lit(1), F.col("rows"))).alias("row")).drop("row")
