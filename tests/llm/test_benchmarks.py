@@ -18,11 +18,36 @@ def judged(spark, docs, items):
 
 def test_slots(spark):
     other = ITEM.replace("Alice", "Robert").replace("120", "450.5").replace("Bern", "Ulm").replace("km", "miles")
-    mixed = ITEM.replace("Alice", "Robert", 1)  # one name in three places becomes two
-    merged = ITEM.replace("Bern", "Alice")  # two names become one
+    numbers = ITEM.replace("120", "450").replace("3 hours", "7 hours").replace("at 9", "at 8").replace("5 km", "6 km")  # too few literal windows are left
+    mixed = numbers.replace("Alice", "Robert", 1)  # one name in three places becomes two
+    merged = numbers.replace("Bern", "Alice")  # two names become one
     docs = [(1, "Some words before. " + ITEM + " And after."), (2, "intro " + other), (3, mixed), (4, merged), (5, ITEM[: len(ITEM) // 2]), (6, "nothing of the kind here at all")]
+    docs += [(7, numbers), (8, ITEM.lower()), (9, ITEM.upper()), (10, ITEM.replace(" ", "\n")), (11, ITEM.replace("hours, then", "hours, and so then"))]
     got = {r.doc_id: (r.contaminated, list(r["items"])) for r in judged(spark, docs, [(7, ITEM)])}
-    assert got == {1: (True, [7]), 2: (True, [7]), 3: (False, []), 4: (False, []), 5: (False, []), 6: (False, [])}
+    assert got == {**{d: (True, [7]) for d in (1, 2, 7, 8, 9, 10, 11)}, **{d: (False, []) for d in (3, 4, 5, 6)}}
+
+
+def test_names_at_sentence_starts(spark):
+    item = "Tom has 3 apples. Tom buys 4 more from Anna. How many apples does Tom have now, after all?"
+    changed = "Ben has 5 apples. Ben buys 8 more from Rosa. How many apples does Ben have now, after all?"
+    swapped = "Ben has 5 apples. Rosa buys 8 more from Rosa. How many apples does Ben have now, after all?"
+    got = {r.doc_id: r.contaminated for r in judged(spark, [(1, changed), (2, swapped), (3, "Well. " + changed)], [(1, item)])}
+    assert got == {1: True, 2: False, 3: True}
+
+
+def test_windows_that_are_not_one_occurrence(spark):
+    words = ITEM.split()
+    scattered = " ".join(" ".join(words[i : i + 5]) + f" filler{i} " * 40 for i in range(len(words) - 4))
+    got = {r.doc_id: r.contaminated for r in judged(spark, [(1, scattered), (2, ITEM + scattered)], [(7, ITEM)])}
+    assert got == {1: False, 2: True}
+
+
+def test_template_windows_that_many_items_share(spark):
+    stem = "How many of the items does each of them have at the end of the day in total if"
+    items = [(i, f"{stem} subject{i} keeps part{i} and leaves rest{i} for later{i}") for i in range(150)]
+    docs = [(d, f"{stem} " * 20 + f"own{d} text{d}") for d in range(80)] + [(1000, items[17][1].replace("later17", "After"))]
+    got = {r.doc_id: list(r["items"]) for r in judged(spark, docs, items)}
+    assert got == {**{d: [] for d in range(80)}, 1000: [17]}
 
 
 def test_edge_cases(spark):
@@ -61,7 +86,37 @@ def test_edge_cases(spark):
 def test_hot_windows(spark):
     rng = random.Random(4)
     table = lambda n: " ".join(str(x) for x in rng.sample(range(10_000), n))
-    docs = [(d, table(800)) for d in range(30)] + [(100, " ".join(["7"] * 300)), (101, "plain words only " * 30)]
-    items = [(i, table(60)) for i in range(10)] + [(50, "5 " * 20)]  # all windows of a table are the same
+    items = [(i, table(60)) for i in range(10)] + [(50, "5 " * 20)]
+    docs = [(d, table(800)) for d in range(30)] + [(100, " ".join(["7"] * 300)), (101, "plain words only " * 30), (102, table(50) + " " + items[3][1]), (103, "5 " * 100)]
     got = {r.doc_id: list(r["items"]) for r in judged(spark, docs, items)}
-    assert got == {**{d: list(range(10)) for d in range(30)}, 100: [50], 101: []}
+    assert got == {**{d: [] for d in range(30)}, 100: [], 101: [], 102: [3], 103: [50]}  # windows of numbers alone are no templates
+
+
+def test_against_the_sql(spark, tmp_path):
+    import duckdb
+
+    rng = random.Random(8)
+    names, verbs = ["Ann", "Bob", "Cy", "Dee"], "buys sells finds keeps the old small red and one of with".split()
+    def story(r, n):  # noqa: E306
+        return " ".join(r.choice((r.choice(names), r.choice(verbs), r.choice(verbs), str(r.randint(1, 9)), r.choice(("km", "hours")))) + r.choice(("", "", ".", ",")) for _ in range(n))
+
+    items = [(i, story(rng, rng.randint(2, 40))) for i in range(15)] + [(50, "3 4 5 6 7 8"), (51, None), (52, "")]
+    docs = []
+    for d in range(60):
+        text = items[d % 15][1].split()
+        for _ in range(d % 4):
+            text[rng.randrange(len(text))] = story(rng, 1)
+        if d % 3 == 0:
+            swap = dict(zip(names, rng.sample(names, 4)))
+            text = [swap.get(w, w) for w in text]
+        docs.append((d, " ".join(story(rng, 10).split() + text + story(rng, 10).split())))
+    docs += [(100, None), (101, ""), (102, "1 2 3 4 5 6 7 8 9")]
+    frame = spark.createDataFrame([(d, t, "en", "s", 0, 1, "c") for d, t in docs], DOCS)
+    frame.write.parquet(f"{tmp_path}/documents")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark")
+    for name in ("documents", "benchmark"):
+        duckdb.sql(f"CREATE OR REPLACE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}/*.parquet'")
+    want = sorted((d, c, i, round(v, 9)) for d, c, i, v in duckdb.sql(benchmarks.ORACLE).fetchall())
+    got = benchmarks.decontaminate(frame, spark.read.parquet(f"{tmp_path}/benchmark")).collect()
+    assert sorted((r.doc_id, r.contaminated, list(r["items"]), round(r.covered, 9)) for r in got) == want
+    assert 5 < sum(w[1] for w in want) < 60

@@ -1,111 +1,125 @@
-"""Benchmark decontamination by canonical templates."""
+"""Benchmark decontamination by canonical templates, in DataFrame operations only."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wavejobs.llm.common import settle
 
-#: Canonical words of a window, and the part of an item's windows that a contaminated document has.
+#: Tokens of a window, and the part of an item's windows that one occurrence in a contaminated document has.
 WINDOW = 5
 COVERAGE = 0.8
-#: Windows of all items up to which they are broadcast; beyond it Spark picks the join.
-BROADCAST_WINDOWS = 1_000_000
+#: Tokens that may be put in or left out within one occurrence: it is the windows on this many neighbouring diagonals, and up to twice as many.
+DRIFT = 16
+#: Bytes of the items' anchors up to which they are broadcast; beyond it Spark picks the join.
+BROADCAST_BYTES = 64 << 20
+_ANCHOR_BYTES = 64  # of a row of two longs in a hash table, and some to spare
 #: Words that count as units. Fixed values.
 UNITS = (
     "km cm mm metre metres meter meters mile miles foot feet inch inches kg mg gram grams lb lbs pound pounds ounce ounces ml litre litres liter liters "
     "second seconds minute minutes hour hours day days week weeks month months year years dollar dollars euro euros cent cents percent degrees"
 ).split()
-#: Before a capital that begins a name: a word or number and a space, so no sentence ends there.
-_NAME = r"(?<=[\p{L}\p{Nd},;] )(?=\p{Lu}\p{Ll})"
-_TOKEN = r"@?\p{L}[\p{L}\p{M}]*|[0-9]+(?:[.,][0-9]+)*"
+#: A number, or a word that may have digits after its first letter.
+TOKEN = r"[0-9]+(?:[.,][0-9]+)*|\p{L}[\p{L}\p{M}\p{Nd}]*"
 
 
-def tokens(text: Column) -> Column:
-    """Words and numbers of a text; names inside a sentence are marked with @."""
-    plain = F.translate(F.coalesce(text, F.lit("")), "@", " ")
-    return F.regexp_extract_all(F.regexp_replace(plain, _NAME, "@"), F.lit(_TOKEN), 0)
+def kind(token: Column) -> Column:
+    """The placeholder of a token: <num>, <unit>, or <name> for words with a capital, wherever they stand; null for other words."""
+    first = F.substring(token, 1, 1)
+    return F.when(first < ":", "<num>").when(F.lower(token).isin(*UNITS), "<unit>").when(first != F.lower(first), "<name>")
 
 
-def canonical(token: Column) -> Column:
-    """The token in lower case, or the typed placeholder <name>, <num> or <unit>."""
-    low = F.lower(token)
-    return F.when(F.substring(token, 1, 1) == "@", "<name>").when(F.substring(token, 1, 1) < ":", "<num>").when(low.isin(*UNITS), "<unit>").otherwise(low)
+def tokenized(rows: DataFrame, *keys: str) -> DataFrame:
+    """keys, and by position r (the tokens in lower case, as hashes) and k (the placeholders' hashes, null for literal words). Texts without tokens have no row."""
+    raw = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(TOKEN), 0)
+    parts = rows.select(*keys, raw.alias("raw")).where(F.size("raw") > 0)
+    return parts.select(*keys, F.transform("raw", lambda t: F.xxhash64(F.lower(t))).alias("r"), F.transform("raw", lambda t: F.when(kind(t).isNotNull(), F.xxhash64(kind(t)))).alias("k"))
 
 
-def windows(rows: DataFrame, keys: list[str], width: int = WINDOW) -> DataFrame:
-    """keys, w (the hashes of a text's windows, by position), r (the hashes of its tokens in lower case) and k (those of slots' kinds, null elsewhere).
+def _windows(mode: int, width: int, at) -> Column:
+    """The hashes of the windows over r, of the tokens that at(position) says; a shorter text is one window."""
+    starts = F.sequence(F.lit(0), F.greatest(F.size("r") - width, F.lit(0)))
+    return F.transform(starts, lambda q: F.xxhash64(F.lit(mode), *[F.coalesce(at(q + i), F.lit(0)) for i in range(width)]))
+
+
+def literal(width: int) -> Column:
+    return _windows(0, width, lambda i: F.get("r", i))
+
+
+def template(width: int) -> Column:
+    return _windows(1, width, lambda i: F.coalesce(F.get("k", i), F.get("r", i)))
 
-    A text of fewer tokens is one window; one without tokens has no row.
-    """
-    parts = rows.select(*keys, tokens(F.col("text")).alias("raw")).where(F.size("raw") > 0)
-    parts = parts.select(*keys, "raw", F.transform("raw", lambda t: F.xxhash64(canonical(t))).alias("h"))
-    shifted = [F.slice("h", i + 1, F.greatest(F.size("h") - (width - 1), F.lit(1))).alias(f"h{i}") for i in range(width)]
-    hashed = F.transform(F.arrays_zip(*shifted), lambda z: F.xxhash64(*[F.coalesce(z[f"h{i}"], F.lit(0)) for i in range(width)]))
-    kinds = F.transform("raw", lambda t: F.when(canonical(t).startswith("<"), F.xxhash64(canonical(t))))
-    return parts.select(*keys, hashed.alias("w"), F.transform("raw", lambda t: F.xxhash64(F.lower(t))).alias("r"), kinds.alias("k"))
-
-
-def find(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE, width: int = WINDOW) -> DataFrame:
-    """doc_id, t (a hash of the text), item_id, covered: the items of which a text has at least `coverage` of the windows.
-
-    Windows of canonical tokens join by hash, so that an item is found whatever
-    its numbers, names and units are. Where an item has such slots, an
-    occurrence (the windows on one diagonal of the item's and the text's
-    positions) must fill them consistently: equal fillings of the item with equal
-    ones in the text, different ones with different ones. Windows of other
-    occurrences don't count.
-
-    Each text's different windows meet each item's first. Only pairs that reach
-    the coverage so are looked at by position, within one row, so that windows
-    that recur in a text and an item aren't paired in a join.
-    """
-    items = items.where("item_id IS NOT NULL")
-    bench = settle(windows(items.select("item_id", "text"), ["item_id"], width), "windows")
-    side = bench.select("item_id", F.explode("w").alias("w")).distinct()
-    total = side.groupBy("item_id").agg(F.count(F.lit(1)).alias("of"))
-    known, with_slots = bench.agg(F.sum(F.size("w")), F.max(F.exists("k", lambda k: k.isNotNull()))).first()
-    small = (known or 0) <= BROADCAST_WINDOWS
-    light = F.broadcast if small else lambda df: df
-    texts = docs.select(F.xxhash64("text").alias("t"), "text")
-    met = windows(texts, ["t"], width).select("t", F.explode(F.array_distinct("w")).alias("w")).join(light(side), "w")
-    covering = lambda hits: hits.groupBy("t", "item_id").agg(F.countDistinct("w").alias("n")).join(light(total), "item_id").select("t", "item_id", (F.col("n") / F.col("of")).alias("covered")).where(F.col("covered") >= coverage)
-    found = settle(covering(met), "covering")
-    if with_slots:
-        own = texts.join(found.select("t").distinct(), "t", "left_semi").groupBy("t").agg(F.first("text").alias("text"))
-        both = windows(own, ["t"], width).select("t", F.col("w").alias("dw"), F.col("r").alias("dr")).join(found.select("t", "item_id"), "t").join(light(bench), "item_id")
-        found = settle(covering(consistent(both, width)), "consistent")
-    ids = docs.select("doc_id", F.xxhash64("text").alias("t"))
-    return ids.join(found, "t").distinct().select("doc_id", "t", "item_id", "covered")
 
+def item_windows(tokens: DataFrame, width: int) -> DataFrame:
+    """item_id, mode (0: literal, 1: template), p, w of the items' windows. Template windows without a literal word would be met everywhere and are left out."""
+    kept = lambda p: F.exists(F.slice("k", p + 1, width), lambda k: k.isNull())
+    both = F.array(F.struct(F.lit(0).alias("mode"), literal(width).alias("ws")), F.struct(F.lit(1).alias("mode"), template(width).alias("ws")))
+    each = tokens.select("item_id", "k", F.explode(both).alias("m")).select("item_id", "k", "m.mode", F.posexplode("m.ws").alias("p", "w"))
+    return each.where((F.col("mode") == 0) | kept(F.col("p"))).select("item_id", "mode", "p", "w")
 
-def consistent(pairs: DataFrame, width: int) -> DataFrame:
-    """t, item_id, w: the windows of occurrences whose slots are filled consistently, for rows of a text (dw, dr) and an item (w, r, k)."""
-    upto = lambda c: F.sequence(F.lit(0), F.size(c) - 1)
-    places = lambda b, p: F.transform(F.filter(upto("dw"), lambda q: F.get("dw", q) == b), lambda q: q - p)
-    same = lambda d: F.filter(upto("w"), lambda p: F.get("dw", p + d) == F.get("w", p))
-    slots = lambda at: F.filter(F.array_distinct(F.flatten(F.transform(at, lambda p: F.sequence(p, F.least(p + width - 1, F.size("r") - 1))))), lambda i: F.get("k", i).isNotNull())
-    kinds = lambda o, f: F.size(F.array_distinct(F.transform(o["slots"], f)))
 
-    def fits(o: Column) -> Column:
-        item, doc, kind = lambda i: F.get("r", i), lambda i: F.get("dr", i + o["d"]), lambda i: F.get("k", i)
-        n = kinds(o, lambda i: F.xxhash64(item(i), doc(i), kind(i)))
-        return (n == kinds(o, lambda i: F.xxhash64(item(i), kind(i)))) & (n == kinds(o, lambda i: F.xxhash64(doc(i), kind(i))))
+def anchors(bench: DataFrame, coverage: float) -> DataFrame:
+    """w, item_id: of each item and mode the windows that fewest items have, as many as an occurrence can't miss all of."""
+    spread = bench.groupBy("w").agg(F.countDistinct("item_id").alias("items"))
+    own = Window.partitionBy("item_id", "mode")
+    ranked = bench.join(spread, "w").withColumn("rank", F.row_number().over(own.orderBy("items", "w", "p"))).withColumn("of", F.count(F.lit(1)).over(own))
+    return ranked.where(F.col("rank") <= F.col("of") - F.ceil(F.col("of") * F.lit(coverage) - 1e-9) + 1).select("w", "item_id").distinct()
 
-    out = pairs.withColumn("d", F.array_distinct(F.flatten(F.transform("w", places))))
-    out = out.withColumn("o", F.transform("d", lambda d: F.struct(d.alias("d"), same(d).alias("at"))))
-    out = out.withColumn("o", F.transform("o", lambda o: F.struct(o["d"].alias("d"), o["at"].alias("at"), slots(o["at"]).alias("slots"))))
-    kept = F.array_distinct(F.flatten(F.transform(F.filter("o", fits), lambda o: o["at"])))
-    return out.select("t", "item_id", F.explode(F.transform(kept, lambda p: F.get("w", p))).alias("w"))
+
+def find(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE, width: int = WINDOW, drift: int = DRIFT) -> DataFrame:
+    """doc_id, t (a hash of the text), item_id, covered: the items that occur in a text with at least `coverage` of their windows.
+
+    Windows of tokens join by hash: literal ones, whatever the case, and template
+    ones, in which numbers, names and units are placeholders. An occurrence is
+    the windows on neighbouring diagonals (the text's position less the item's);
+    windows elsewhere in the text don't add to it. On a diagonal of template
+    windows the slots must be filled consistently, equal fillings of the item by
+    equal ones of the text and different ones by different ones, or its windows
+    don't count.
+
+    Texts first meet the items' anchors alone. Only these pairs are looked at by
+    position.
+    """
+    marks = settle(tokenized(items.where("item_id IS NOT NULL").select("item_id", "text"), "item_id"), "items")
+    bench = settle(item_windows(marks, width), "windows")
+    of = bench.groupBy("item_id", "mode").agg(F.count(F.lit(1)).alias("of"))
+    least = settle(anchors(bench, coverage), "anchors")
+    side = F.broadcast(least) if least.count() * _ANCHOR_BYTES <= BROADCAST_BYTES else least
+
+    texts = docs.select(F.xxhash64("text").alias("t"), "text")
+    met = tokenized(texts, "t").select("t", F.explode(F.concat(literal(width), template(width))).alias("w")).join(side, "w")
+    pairs = settle(met.select("t", "item_id").distinct(), "pairs")
+
+    own = texts.join(pairs.select("t").distinct(), "t", "left_semi").groupBy("t").agg(F.first("text").alias("text"))
+    own = settle(tokenized(own, "t"), "texts")
+    placed = own.select("t", F.posexplode(literal(width)).alias("q", "w")).union(own.select("t", F.posexplode(template(width)).alias("q", "w")))
+    hits = pairs.join(bench, "item_id").join(placed, ["t", "w"]).select("t", "item_id", "mode", "p", (F.col("q") - F.col("p")).alias("d"))
+    hits = settle(hits, "hits")
+
+    slots = marks.select("item_id", F.posexplode(F.arrays_zip("r", "k")).alias("i", "x")).where("x.k IS NOT NULL").select("item_id", "i", F.col("x.r").alias("filling"), F.col("x.k").alias("kind"))
+    tokens = own.select("t", F.posexplode("r").alias("j", "own"))
+    covered = hits.where("mode = 1").select("t", "item_id", "d", F.explode(F.sequence(F.col("p"), F.col("p") + (width - 1))).alias("i")).distinct()
+    filled = covered.join(slots, ["item_id", "i"]).withColumn("j", F.col("i") + F.col("d")).join(tokens, ["t", "j"]).select("t", "item_id", "d", "kind", "filling", "own").distinct()
+    clash = filled.groupBy("t", "item_id", "d").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("kind", "filling").alias("a"), F.countDistinct("kind", "own").alias("b"))
+    clash = clash.where((F.col("n") != F.col("a")) | (F.col("n") != F.col("b"))).select("t", "item_id", "d", F.lit(1).alias("mode"))
+    good = hits.join(clash, ["t", "item_id", "d", "mode"], "left_anti")
+
+    band = F.floor(F.col("d") / drift).cast("int")
+    banded = good.select("t", "item_id", "mode", "p", F.explode(F.array(band, band - 1)).alias("band")).distinct()
+    counted = banded.groupBy("t", "item_id", "mode", "band").agg(F.count(F.lit(1)).alias("n")).join(of, ["item_id", "mode"])
+    best = counted.groupBy("t", "item_id").agg(F.max(F.col("n") / F.col("of")).alias("covered")).where(F.col("covered") >= coverage)
+    ids = docs.select("doc_id", F.xxhash64("text").alias("t"))
+    return ids.join(settle(best, "found"), "t").distinct().select("doc_id", "t", "item_id", "covered")
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE, width: int = WINDOW) -> DataFrame:
     """One row per document: doc_id, contaminated, items (ids in order), covered (the largest share of an item's windows).
 
     Null and empty texts are clean, and null, empty or null-id items find
-    nothing. Null doc_ids and repeated rows are judged by their text. An empty
-    table of documents gives no rows. Other columns aren't looked at.
+    nothing. Very long texts are cut into windows whole. Null doc_ids and
+    repeated rows are judged by their text. An empty table of documents gives no
+    rows. Other columns aren't looked at.
     """
     found = find(docs, items, coverage, width)
     per = found.groupBy("doc_id", "t").agg(F.sort_array(F.collect_set("item_id")).alias("items"), F.max("covered").alias("covered"))
@@ -116,15 +130,25 @@ def decontaminate(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE,
     return joined.select("doc_id", F.col("items").isNotNull().alias("contaminated"), F.coalesce("items", none).alias("items"), F.coalesce("covered", F.lit(0.0)).alias("covered"))
 
 
-#: A word in the tables has letters of several scripts; \\w and the digits cover them in SQL.
 ORACLE = r"""
-WITH texts AS (SELECT 'd' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'b', item_id, text FROM benchmark),
-raw AS (SELECT kind, id, regexp_extract_all(regexp_replace(replace(coalesce(text, ''), '@', ' '), '([\p{L}\p{Nd},;] )(\p{Lu}\p{Ll})', '\1@\2', 'g'), '@?\p{L}[\p{L}\p{M}]*|[0-9]+(?:[.,][0-9]+)*') AS r FROM texts),
-can AS (SELECT kind, id, list_transform(r, lambda t: CASE WHEN t[1] = '@' THEN '<name>' WHEN t[1] < ':' THEN '<num>' WHEN list_contains(string_split('UNITS', ' '), lower(t)) THEN '<unit>' ELSE lower(t) END) AS c FROM raw WHERE len(r) > 0),
-win AS (SELECT kind, id, unnest(list_transform(range(1, greatest(len(c) - 4, 1) + 1), lambda i: array_to_string(c[i:i + 4], ' '))) AS w FROM can),
-b AS (SELECT DISTINCT id AS item_id, w FROM win WHERE kind = 'b'),
-n AS (SELECT item_id, count(*) AS total FROM b GROUP BY ALL),
-f AS (SELECT win.id AS doc_id, item_id, count(DISTINCT w) / max(total)::DOUBLE AS covered FROM win JOIN b USING (w) JOIN n USING (item_id) WHERE kind = 'd' GROUP BY ALL),
-g AS (SELECT doc_id, list_sort(list(item_id)) AS items, max(covered) AS covered FROM f WHERE covered >= 0.8 GROUP BY ALL)
-SELECT doc_id, items IS NOT NULL AS contaminated, coalesce(items, []::BIGINT[]) AS items, coalesce(covered, 0)::DOUBLE AS covered FROM documents LEFT JOIN g USING (doc_id)
+WITH texts AS (SELECT DISTINCT 'd' AS side, doc_id AS id, text FROM documents UNION ALL SELECT 'b', item_id, text FROM benchmark WHERE item_id IS NOT NULL),
+raw AS (SELECT side, id, regexp_extract_all(coalesce(text, ''), '[0-9]+(?:[.,][0-9]+)*|\p{L}[\p{L}\p{M}\p{Nd}]*') AS r FROM texts),
+tok AS (SELECT side, id, list_transform(r, lambda t: lower(t)) AS r, list_transform(r, lambda t: CASE WHEN t[1] < ':' THEN '<num>' WHEN list_contains(string_split('UNITS', ' '), lower(t)) THEN '<unit>' WHEN t[1] <> lower(t[1]) THEN '<name>' END) AS k
+    FROM raw WHERE len(r) > 0),
+can AS (SELECT *, list_transform(range(1, len(r) + 1), lambda i: coalesce(k[i], r[i])) AS c FROM tok),
+win AS (SELECT side, id, mode, p, CASE mode WHEN 0 THEN 'l ' || array_to_string(r[p + 1:p + 5], ' ') ELSE 't ' || array_to_string(c[p + 1:p + 5], ' ') END AS w,
+        mode = 0 OR len(list_filter(range(p + 1, least(p + 5, len(r)) + 1), lambda i: k[i] IS NULL)) > 0 AS kept
+    FROM (SELECT *, unnest(range(0, greatest(len(r) - 5, 0) + 1))::INT AS p FROM can), (VALUES (0), (1)) m(mode)),
+b AS (SELECT id AS item_id, mode, p, w FROM win WHERE side = 'b' AND kept),
+o AS (SELECT item_id, mode, count(*) AS total FROM b GROUP BY ALL),
+h AS (SELECT win.id AS doc_id, item_id, b.mode, b.p, win.p - b.p AS d FROM win JOIN b USING (w) WHERE side = 'd'),
+s AS (SELECT DISTINCT doc_id, item_id, d, unnest(range(p, p + 5)) AS i FROM h WHERE mode = 1),
+f AS (SELECT DISTINCT s.doc_id, s.item_id, s.d, bt.k[i + 1] AS kind, bt.r[i + 1] AS filling, dt.r[i + d + 1] AS own
+    FROM s JOIN tok bt ON bt.side = 'b' AND bt.id = s.item_id JOIN tok dt ON dt.side = 'd' AND dt.id = s.doc_id WHERE bt.k[i + 1] IS NOT NULL AND i + d < len(dt.r)),
+x AS (SELECT doc_id, item_id, d FROM f GROUP BY ALL HAVING count(*) <> count(DISTINCT (kind, filling)) OR count(*) <> count(DISTINCT (kind, own))),
+g AS (SELECT h.* FROM h LEFT JOIN x USING (doc_id, item_id, d) WHERE h.mode = 0 OR x.doc_id IS NULL),
+n AS (SELECT doc_id, item_id, mode, band, count(DISTINCT p) AS n FROM (SELECT *, unnest([floor(d / 16.0), floor(d / 16.0) - 1]) AS band FROM g) GROUP BY ALL),
+c AS (SELECT doc_id, item_id, max(n / total::DOUBLE) AS covered FROM n JOIN o USING (item_id, mode) GROUP BY ALL),
+y AS (SELECT doc_id, list_sort(list(item_id)) AS items, max(covered) AS covered FROM c WHERE covered >= 0.8 GROUP BY ALL)
+SELECT doc_id, items IS NOT NULL AS contaminated, coalesce(items, []::BIGINT[]) AS items, coalesce(covered, 0)::DOUBLE AS covered FROM documents LEFT JOIN y USING (doc_id)
 """.replace("UNITS", " ".join(UNITS))
