@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,7 +49,10 @@ def one_row(counted: DataFrame, cells: int) -> DataFrame:
 
 def rarity(docs: DataFrame, cells: int) -> DataFrame:
     """For each cell of word hashes, a level that rises with how often its words occur in all documents."""
-    words = docs.select(F.explode(F.split("text", r"[\x20\x09-\x0D]+")).alias("w"))
+    text = F.col("text")
+    odd = text.contains("\t") | text.contains("\x0b") | text.contains("\x0c") | text.contains("\r")
+    plain = F.when(odd, F.regexp_replace(text, r"[\x20\x09-\x0D]", " ")).otherwise(F.replace(text, F.lit("\n"), F.lit(" ")))
+    words = docs.select(F.explode(F.split(plain, " ")).alias("w"))  # an empty word where spaces meet, which no line has, does no harm
     counted = words.groupBy(F.xxhash64("w").bitwiseAND(F.lit(cells - 1)).alias("cell")).agg(F.count(F.lit(1)).alias("n"))
     return one_row(counted.select("cell", F.least(F.lit(120), F.floor(F.log2(F.col("n") + 1) * 4)).cast("tinyint").alias("value")), cells)
 
@@ -59,7 +64,8 @@ def features(docs: DataFrame, similarity: float, cells: int) -> DataFrame:
     that sort by rarity, then hash.
     """
     hashed = F.xxhash64
-    rank = lambda w: F.shiftleft(F.get("levels", hashed(w).bitwiseAND(F.lit(cells - 1)).cast("int")).cast("long"), 56).bitwiseOR(hashed(w).bitwiseAND(F.lit(_LOW)))
+    level = lambda w: F.coalesce(F.get("levels", hashed(w).bitwiseAND(F.lit(cells - 1)).cast("int")), F.lit(0).cast("tinyint"))
+    rank = lambda w: F.shiftleft(level(w).cast("long"), 56).bitwiseOR(hashed(w).bitwiseAND(F.lit(_LOW)))
     keys = ["doc_id", "t", "n_lines", "l", "k1", "k2"]
     # levels is used once, so that Spark puts the subquery's value into the lambda and no row holds a copy of it
     ranked = lines_of(docs).withColumn("levels", rarity(docs, cells).scalar()).select(*keys, F.sort_array(F.array_distinct(F.transform(split_words(F.col("line")), rank))).alias("s"))
@@ -87,8 +93,18 @@ def later(a: str = "", b: str = "b_") -> Column:
     return (F.col(f"{a}d") > F.col(f"{b}d")) | ((F.col(f"{a}d") == F.col(f"{b}d")) & (F.col(f"{a}l") > F.col(f"{b}l")))
 
 
-def words_by_id(ids: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """id, d, l and w, the words, of the classes with these ids. A bit table of their keys spares most other lines the way."""
+def once(value: Column, use) -> Column:
+    """use(value), with value worked out once however often use names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def texts_by_id(ids: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """id, d, l, m (distinct words), line and s0 to s3 of the classes with these ids.
+
+    s0 to s3 are a sketch of 256 bits, of which each word flips one: two lines
+    differ by as many words at least as their sketches by bits. A bit table of
+    the keys spares most other lines the way.
+    """
     asked = settle(classes.select("id", "d", "l", "k1", "k2").join(ids.distinct(), "id"), "asked")
     cell = lambda c: F.shiftright(c, 6).bitwiseAND(F.lit(ASKED - 1))
     bit = F.expr("shiftleft(1L, CAST(k1 & 63 AS INT))")
@@ -96,37 +112,33 @@ def words_by_id(ids: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFram
     lines = lines_of(docs).select("k1", "k2", "line").withColumn("bits", bits.scalar())
     lines = lines.where(F.get("bits", cell("k1").cast("int")).bitwiseAND(bit) != 0).select("k1", "k2", "line")
     texts = lines.groupBy("k1", "k2").agg(F.any_value("line").alias("line"))
-    sets = settle(asked.join(texts, ["k1", "k2"]).select("id", "d", "l", F.array_distinct(split_words(F.col("line"))).alias("w")), "sets")
-    discard(asked, bits)
-    return sets
-
+    named = settle(asked.join(texts, ["k1", "k2"]).select("id", "d", "l", "line"), "named")
+    words = named.select("id", F.explode(F.array_distinct(F.transform(split_words(F.col("line")), lambda w: F.xxhash64(w)))).alias("h"))
+    flipped = lambda k: F.bit_xor(F.when(F.shiftright("h", 6).bitwiseAND(F.lit(3)) == k, F.expr("shiftleft(1L, CAST(h & 63 AS INT))")).otherwise(0))
+    sketches = words.groupBy("id").agg(F.count(F.lit(1)).alias("m"), *[flipped(k).alias(f"s{k}") for k in range(4)])
+    out = settle(named.join(sketches, "id"), "texts")
+    discard(asked, bits, named)
+    return out
 
-def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """id: of pairs (id, b_id) the later lines whose words have the similarity with the earlier one's.
 
-    Most have it with the earliest one, so that pair is looked at first, and the others only where it fails.
-    """
-    places = sets.select("id", "d", "l")
-    both = pairs.join(places, "id").join(places.select(*[F.col(c).alias(f"b_{c}") for c in ("id", "d", "l")]), "b_id")
-    up, down = later(), later("b_", "")
-    turned = both.where(up | down).select(*[F.when(up, F.col(f"{a}{c}")).otherwise(F.col(f"{b}{c}")).alias(f"{a}{c}") for a, b in (("", "b_"), ("b_", "")) for c in ("id", "d", "l")])
-    turned = settle(turned.select("id", F.struct("b_d", "b_l", "b_id").alias("at")), "turned")
-
-    def similar(some: DataFrame) -> DataFrame:
-        met = some.join(sets.select("id", "w"), "id").join(sets.select(F.col("id").alias("b_id"), F.col("w").alias("b_w")), "b_id")
-        shared = F.size(F.array_intersect("w", "b_w"))
-        return met.where(shared >= (F.size("w") + F.size("b_w") - shared) * similarity - 1e-9).select("id").distinct()
-
-    first = turned.groupBy("id").agg(F.min("at").alias("at"))
-    found = settle(similar(first.select("id", "at.b_id")), "found")
-    more = turned.join(found, "id", "left_anti").join(first.select("id", F.col("at").alias("tried")), "id").where("at <> tried").select("id", "at.b_id")
-    out = settle(found.union(similar(more)), "matched")
-    discard(turned, found)
+def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """id: of pairs (id, b_id) the later lines whose words have the similarity with the earlier one's. Their sketches rule most of the others out."""
+    places = texts.drop("line")
+    both = pairs.join(places, "id").join(places.select(*[F.col(c).alias(f"b_{c}") for c in places.columns]), "b_id")
+    most = F.col("m") + F.col("b_m") - F.ceil((F.col("m") + F.col("b_m")) * F.lit(similarity / (1 + similarity)) - 1e-9) * 2
+    apart = sum((F.bit_count(F.col(f"s{k}").bitwiseXOR(F.col(f"b_s{k}"))) for k in range(4)), F.lit(0))
+    near = both.where((apart <= most) & (later() | later("b_", ""))).select("id", "b_id", F.when(later(), F.col("id")).otherwise(F.col("b_id")).alias("last"))
+    near = settle(near, "near")
+    met = near.join(texts.select("id", "line"), "id").join(texts.select(F.col("id").alias("b_id"), F.col("line").alias("b_line")), "b_id")
+    sets = F.struct(*[F.array_distinct(split_words(F.col(c))).alias(c) for c in ("line", "b_line")])
+    counts = once(sets, lambda x: F.struct(F.size(F.array_intersect(x["line"], x["b_line"])).alias("both"), (F.size(x["line"]) + F.size(x["b_line"])).alias("all")))
+    out = settle(met.where(once(counts, lambda c: c["both"] >= (c["all"] - c["both"]) * similarity - 1e-9)).select(F.col("last").alias("id")).distinct(), "matched")
+    discard(near)
     return out
 
 
 def repeated(docs: DataFrame, lines: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The distinct lines with words: k1, k2, the first place d, l, and again: an earlier line is similar. The settled lines are used up.
+    """The distinct lines that are repeated or again: k1, k2, the first place d, l, and again (an earlier line is similar). The settled lines are used up.
 
     Equal lines are one class. Of two similar lines the longer one's prefix
     holds one of the n - ceil(2 s / (1 + s) * n) + 1 rarest words of the
@@ -140,22 +152,23 @@ def repeated(docs: DataFrame, lines: DataFrame, similarity: float = SIMILARITY)
     once in all documents meet nothing.
     """
     firsts = lines.where("n > 0").select("k1", "k2", F.struct(F.coalesce("doc_id", F.lit(_LAST)).alias("d"), "l").alias("place"), "n", "sig", "prefix")
-    grouped = firsts.groupBy("k1", "k2").agg(F.min("place").alias("first"), *[F.any_value(c).alias(c) for c in ("n", "sig", "prefix")])
-    classes = settle(grouped.select(F.monotonically_increasing_id().alias("id"), "k1", "k2", "first.d", "first.l", "n", "sig", "prefix"), "classes")
+    grouped = firsts.groupBy("k1", "k2").agg(F.min("place").alias("first"), *[F.any_value(c).alias(c) for c in ("n", "sig", "prefix")], F.count(F.lit(1)).alias("copies"))
+    classes = settle(grouped.select(F.monotonically_increasing_id().alias("id"), "k1", "k2", "first.d", "first.l", "n", "sig", "prefix", "copies"), "classes", dictionary=False)
     discard(lines)
 
     rows = classes.select("id", "d", "l", "n", "sig", F.posexplode("prefix").alias("i", "key")).where(F.shiftright("key", 56) > _ONCE)
     held = lambda df: df.where(F.col("i") <= F.col("n") - F.ceil(F.col("n") * F.lit(2 * similarity / (1 + similarity)) - 1e-9))
     shorter = (F.col("b_n") < F.col("n")) | ((F.col("b_n") == F.col("n")) & (F.col("b_id") < F.col("id")))
-    hot = settle(held(rows).groupBy("key").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > HOT).select("key"), "hot")
+    common = F.shiftright("key", 56) >= int(4 * math.log2(HOT + 1))  # others occur HOT times at most
+    hot = settle(held(rows).where(common).groupBy("key").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > HOT).select("key"), "hot")
     cold = other(held(rows).join(hot, "key", "left_anti"), "id", "n", "sig", "i")
     pairs = rows.select("key", "id", "n", "sig", "i").join(cold, "key").where(shorter & may_match(similarity)).select("id", "b_id")
     own = settle(rows.join(hot, "key"), "own")
     lead = own.groupBy("key").agg(F.min(F.struct("d", "l", "id", "n", "sig", "i")).alias("m")).select("key", "m.*")
     pairs = pairs.union(own.join(other(lead, "id", "n", "sig", "i"), "key").where((F.col("id") != F.col("b_id")) & may_match(similarity)).select("id", "b_id"))
     pairs = settle(pairs.distinct(), "pairs")
-    sets = words_by_id(pairs.select("id").union(pairs.select("b_id")).union(own.select("id")), classes, docs)
-    matched = verified(pairs, sets, similarity)
+    texts = texts_by_id(pairs.select("id").union(pairs.select("b_id")).union(own.select("id")), classes, docs)
+    matched = verified(pairs, texts, similarity)
     discard(pairs, hot)
 
     again = matched.withColumn("again", F.lit(True))
@@ -165,10 +178,10 @@ def repeated(docs: DataFrame, lines: DataFrame, similarity: float = SIMILARITY)
     meet = lambda a, b, wanted: a.join(other(b, *sides, "open"), "key").where(shorter & wanted & may_match(similarity)).select("id", "b_id")
     rest = meet(marked.where("open"), held(marked), later() | F.col("b_open")).union(meet(marked.where("NOT open"), held(marked.where("open")), later("b_", "")))
     rest = settle(rest.distinct(), "rest")
-    more = verified(rest, sets, similarity)
+    more = verified(rest, texts, similarity)
     again = matched.union(more).distinct().withColumn("again", F.lit(True))
-    state = settle(classes.select("id", "k1", "k2", "d", "l").join(again, "id", "left").select("k1", "k2", "d", "l", F.coalesce("again", F.lit(False)).alias("again")), "state")
-    discard(classes, marked, rest, sets, matched, more)
+    state = settle(classes.select("id", "k1", "k2", "d", "l", "copies").join(again, "id", "left").where("again OR copies > 1").select("k1", "k2", "d", "l", F.coalesce("again", F.lit(False)).alias("again")), "state")
+    discard(classes, marked, rest, texts, matched, more)
     return state
 
 
@@ -186,7 +199,7 @@ def dedup(docs: DataFrame, similarity: float = SIMILARITY, cells: int = CELLS) -
     row don't remove each other. An empty table gives no rows. Columns other
     than doc_id and text aren't looked at.
     """
-    lines = settle(features(docs, similarity, cells), "lines")
+    lines = settle(features(docs, similarity, cells), "lines", dictionary=False)
     places = settle(lines.select("doc_id", "t", "n_lines", "l", "k1", "k2"), "places")
     state = repeated(docs, lines, similarity).select("k1", "k2", F.col("d").alias("first_d"), F.col("l").alias("first_l"), "again")
     places = places.join(state, ["k1", "k2"], "left")
