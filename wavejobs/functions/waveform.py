@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 FIELDS = ("baseline_v", "noise_rms_v", "gate_rms_v", "peak_abs_gate_v", "snr_db", "template_corr", "first_arrival_idx", "first_arrival_offset_samples", "peak_offset_samples", "low_clip_ratio", "high_clip_ratio", "ptp_v")
 NO_ARRIVAL = 9999.0
+SAMPLE_RATE_HZ = 100_000_000.0
 
 
 @dataclass
@@ -59,6 +60,11 @@ def features(waves: np.ndarray, p: Profile) -> dict[str, np.ndarray]:
     }
 
 
+def arrival_us(first_arrival_idx: Column, rate_hz: float = SAMPLE_RATE_HZ) -> Column:
+    """Microseconds up to the first arrival; -1 without one."""
+    return F.when(first_arrival_idx >= 0, first_arrival_idx / rate_hz * 1e6).otherwise(-1.0)
+
+
 def _stacked(waves: pd.Series, length: int) -> tuple[np.ndarray, np.ndarray]:
     """(which rows have `length` finite samples, those rows as a matrix)."""
     ok = np.array([w is not None and len(w) == length and bool(np.isfinite(np.asarray(w, float)).all()) for w in waves], bool)

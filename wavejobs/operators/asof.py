@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wavejobs.functions.columns import micros, sq_label
+from wavejobs.functions.columns import micros, py_round, sq_label
 from wavejobs.operators.order import carried
 
 FRESH_MS = 5 * 60 * 1000
@@ -60,6 +60,14 @@ def telemetry_confidence(label: Column, has_dt: Column, has_flow: Column) -> Col
     return F.greatest(F.lit(0.0), F.least(F.lit(0.86), base + F.when(has_dt, 0.06).otherwise(0.0) + F.when(has_flow, 0.04).otherwise(0.0)))
 
 
+def telemetry_health(confidence: Column, label: Column, has_temperature: Column) -> Column:
+    """The health of a frame without a waveform: a struct of score (its confidence in percent), label and drivers."""
+    known = F.when(label.isNotNull() & (label != "unknown"), F.concat(F.lit("signal quality label: "), label))
+    warm = F.when(has_temperature, F.lit("onboard temperature available"))
+    first = [F.lit("meter/pub telemetry received"), F.lit("waveform not available for this device")]
+    return F.struct(py_round(confidence * 100.0, 1).alias("score"), F.lit("Telemetry only").alias("label"), F.array_compact(F.array(*first, known, warm)).alias("drivers"))
+
+
 def registered(df: DataFrame, registry: DataFrame, key: str = "serial", order: str = "position", limit: int = 10) -> DataFrame:
     """Rows of the first `limit` distinct meters of a registry, in its order. `limit` bounds the broadcast side."""
     first = registry.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(order).alias("__at")).orderBy("__at", key).limit(limit).select(key)

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wavejobs.functions.columns import micros
-from wavejobs.operators.fit import long_form
+from wavejobs.operators.fit import long_form, quantiles
 
 
 def distributions(df: DataFrame, dimensions: list[str]) -> DataFrame:
@@ -27,8 +29,11 @@ def switches(df: DataFrame, columns: list[str], key: str = "serial", ts: str = "
 
 def stats(df: DataFrame, metrics: list[str], keys: list[str] = ()) -> DataFrame:
     """n, min, p05, p50, mean, p95, max of each metric; non-finite values don't count."""
-    q = F.percentile("value", F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95)))
-    out = long_form(df, metrics, list(keys)).groupBy(*keys, "feature").agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("min"), q.alias("q"), F.avg("value").alias("mean"), F.max("value").alias("max"))
+    by = [*keys, "feature"]
+    values = long_form(df, metrics, list(keys))
+    plain = values.groupBy(*by).agg(F.min("value").alias("min"), F.avg("value").alias("mean"), F.max("value").alias("max"))
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"q_{k}")) for k in by])
+    out = plain.join(quantiles(values, [0.05, 0.5, 0.95], by).withColumnsRenamed({k: f"q_{k}" for k in by}), same)
     return out.select(*keys, F.col("feature").alias("metric"), "n", "min", F.col("q")[0].alias("p05"), F.col("q")[1].alias("p50"), "mean", F.col("q")[2].alias("p95"), "max")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wavejobs.functions.columns import clamp
+from wavejobs.operators.fit import quantiles
 
 
 def vectorize(features: list[str], stats: dict[str, dict[str, float]], most: float = 8.0) -> Column:
@@ -29,7 +30,10 @@ def _farthest(points: DataFrame, centers: list[list[float]], point: str, row: st
 
 def first_centers(points: DataFrame, k: int, point: str = "point", row: str = "row") -> list[list[float]]:
     """The point nearest to the origin, then k-1 times the one farthest from all centers, ties by row. k small rows come to the driver."""
-    dims = len(points.select(point).first()[0])
+    any_point = points.select(point).first()
+    if any_point is None:
+        return []
+    dims = len(any_point[0])
     start = points.select(point, row, _squared(point, [0.0] * dims).alias("d")).orderBy("d", row).first()
     centers = [list(start[point])]
     while len(centers) < k:
@@ -41,6 +45,8 @@ def kmeans(points: DataFrame, k: int, most_rounds: int = 80, point: str = "point
     """(points with cluster and distance, centers, inertia). Only k sums a round come to the driver; an empty cluster gets the farthest point."""
     points = points.persist()
     centers = first_centers(points, k, point, row)
+    if not centers:
+        return points.withColumn("cluster", F.lit(None).cast("int")).withColumn("distance", F.lit(None).cast("double")), [], 0.0
     dims = len(centers[0])
     for _ in range(most_rounds):
         assigned = points.select(point, _nearest(point, centers)["cluster"].alias("cluster"))
@@ -58,12 +64,14 @@ def kmeans(points: DataFrame, k: int, most_rounds: int = 80, point: str = "point
 
 def report(assigned: DataFrame, centers: list[list[float]], features: list[str], stats: dict[str, dict[str, float]]) -> DataFrame:
     """Per cluster: n, distance quantiles and the center in the features' units; thresholds over all rows stand in each row."""
-    q = F.percentile("distance", F.array(*[F.lit(x) for x in (0.05, 0.5, 0.95, 0.99)]))
-    limits = assigned.agg(F.percentile("distance", F.array(F.lit(0.995), F.lit(0.999))).alias("t")).first()["t"]
+    limits = quantiles(assigned, [0.995, 0.999], value="distance").first()
+    limits = limits["q"] if limits else (None, None)
     units = [[v * stats[f]["robust_sigma"] + stats[f]["center"] for f, v in zip(features, c)] for c in centers]
+    if not units:
+        return assigned.select("cluster", F.lit(0).cast("long").alias("n")).where("cluster IS NOT NULL")
     named = F.array(*[F.struct(*[F.lit(float(v)).alias(f) for f, v in zip(features, u)]) for u in units])
-    out = assigned.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), q.alias("q"))
-    return out.select("cluster", "n", *[F.col("q")[i].alias(n) for i, n in enumerate(("p05", "p50", "p95", "p99"))], F.get(named, F.col("cluster")).alias("center"), F.lit(limits[0]).alias("suspect"), F.lit(limits[1]).alias("anomaly"))
+    out = quantiles(assigned, [0.05, 0.5, 0.95, 0.99], ["cluster"], "distance")
+    return out.select("cluster", "n", *[F.col("q")[i].alias(n) for i, n in enumerate(("p05", "p50", "p95", "p99"))], F.get(named, F.col("cluster")).alias("center"), F.lit(limits[0]).cast("double").alias("suspect"), F.lit(limits[1]).cast("double").alias("anomaly"))
 
 
 def outliers(assigned: DataFrame, n: int = 20, row: str = "row") -> DataFrame:

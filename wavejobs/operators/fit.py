@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,10 +13,52 @@ QUANTILES = {"p01": 0.01, "p05": 0.05, "p50": 0.5, "p95": 0.95, "p99": 0.99, "p9
 MODE_ROWS = 25
 
 
-def quantile(c: str | Column, q: float | list[float], exact: bool = True) -> Column:
-    """Linear interpolation between the sorted values, or an approximation for large inputs with many distinct values."""
-    at = F.array(*[F.lit(x) for x in q]) if isinstance(q, list) else F.lit(q)
-    return F.percentile(c, at) if exact else F.percentile_approx(c, at, F.lit(100_000))
+#: One over the part of all ranks by which a sketched quantile may be off.
+ACCURACY = 10_000
+
+
+def quantiles(values: DataFrame, qs: list[float], keys: list[str] = (), value: str = "value", exact: bool = True, accuracy: int = ACCURACY) -> DataFrame:
+    """keys, n and q, an array: linear interpolation between the sorted values at each of qs. Nulls don't count.
+
+    A sketch of each group (combinable, of bounded size) brackets each quantile
+    between two values. If exact, a second pass counts the values below each
+    bracket and the different values inside, a few of ACCURACY's parts of all;
+    only these are sorted, so that no task holds a group's values. If not, the
+    sketch's values are the answer, at most one of `accuracy` parts of all ranks off.
+    """
+    held = values.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("v"))
+    at = lambda shift: F.array(*[F.lit(min(1.0, max(0.0, q + shift))) for q in qs])
+    sketched = lambda shift: F.percentile_approx("v", at(shift), F.lit(accuracy))
+    if not exact:
+        return held.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), sketched(0.0).alias("q"))
+    few = 2.0 / accuracy
+    ids = [f"key{i}" for i in range(len(keys))]
+    named = held.select(*[F.col(k).alias(i) for k, i in zip(keys, ids)], F.lit(0).alias("all"), "v")
+    by = ["all", *ids]
+    n, every = F.count(F.lit(1)), lambda c: F.array_repeat(c, len(qs))  # a group of few values is its own bracket
+    cut = lambda shift, end: F.when(n <= accuracy, every(end("v"))).otherwise(sketched(shift))
+    bounds = named.groupBy(*by).agg(n.alias("n"), cut(-few, F.min).alias("low"), cut(few, F.max).alias("high"))
+    side = bounds.select(*[F.col(c).alias(f"b_{c}") for c in by], "n", "low", "high")
+    met = named.join(side, reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"b_{c}")) for c in by]))
+    places = F.array(*[F.struct(F.lit(i).alias("i"), F.get("low", F.lit(i)).alias("low"), F.get("high", F.lit(i)).alias("high")) for i in range(len(qs))])
+    inside = met.select(*by, "v", F.explode(F.filter(places, lambda p: (F.col("v") >= p["low"]) & (F.col("v") <= p["high"]))).alias("p"))
+    counts = inside.groupBy(*by, "p.i", "v").agg(F.count(F.lit(1)).alias("c"))
+    steps = counts.groupBy(*by, "i").agg(F.array_sort(F.collect_list(F.struct("v", "c"))).alias("steps"))
+    below = met.groupBy(*by, "n").agg(F.array(*[F.count(F.when(F.col("v") < F.get("low", F.lit(i)), 1)) for i in range(len(qs))]).alias("below"))
+    one = steps.select(*[F.col(c).alias(f"s_{c}") for c in by], "i", "steps")
+    joined = one.join(below, reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"s_{c}")) for c in by]))
+    place = F.get(F.array(*[F.lit(q) for q in qs]), F.col("i")) * (F.col("n") - 1)
+
+    def ranked(rank: Column) -> Column:
+        """The value of a 0-based rank: the first step whose running count passes it."""
+        start = F.struct(F.get("below", F.col("i")).alias("seen"), F.lit(None).cast("double").alias("v"))
+        walk = lambda a, x: F.struct((a["seen"] + x["c"]).alias("seen"), F.when(a["v"].isNull() & (a["seen"] + x["c"] > rank), x["v"]).otherwise(a["v"]).alias("v"))
+        return F.aggregate("steps", start, walk, lambda a: a["v"])
+
+    low, high = F.floor(place), F.ceil(place)
+    found = joined.select(*by, "n", "i", F.when(low == high, ranked(low)).otherwise((high - place) * ranked(low) + (place - low) * ranked(high)).alias("x"))
+    out = found.groupBy(*by, "n").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("q"))
+    return out.select(*[F.col(i).alias(k) for k, i in zip(keys, ids)], "n", "q")
 
 
 def long_form(df: DataFrame, features: list[str], keys: list[str] = ()) -> DataFrame:
@@ -24,16 +68,14 @@ def long_form(df: DataFrame, features: list[str], keys: list[str] = ()) -> DataF
 
 
 def robust_fit(df: DataFrame, features: list[str], keys: list[str] = (), floors: dict[str, float] | None = None, exact: bool = True) -> DataFrame:
-    """Per keys and feature: n, center (median), mad, robust_sigma and the quantiles p01 to p999.
-
-    Two combinable aggregates; centers meet the values by a join on a table of one row per key and feature.
-    """
+    """Per keys and feature: n, center (median), mad, robust_sigma and the quantiles p01 to p999. Centers meet the values by a join on a table of one row per key and feature."""
     floors = SIGMA_FLOOR if floors is None else floors
     values = long_form(df, features, keys)
     by = [*keys, "feature"]
-    centers = values.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), quantile("value", list(QUANTILES.values()), exact).alias("q"))
+    centers = quantiles(values, list(QUANTILES.values()), by, exact=exact)
     centers = centers.select(*by, "n", F.col("q")[2].alias("center"), *[F.col("q")[i].alias(name) for i, name in enumerate(QUANTILES)])
-    spread = values.join(centers.select(*by, "center"), by).groupBy(*by).agg(quantile(F.abs(F.col("value") - F.col("center")), 0.5, exact).alias("mad"))
+    away = values.join(centers.select(*by, "center"), by).select(*by, F.abs(F.col("value") - F.col("center")).alias("value"))
+    spread = quantiles(away, [0.5], by, exact=exact).select(*by, F.col("q")[0].alias("mad"))
     floor = F.coalesce(F.create_map(*[x for f in features for x in (F.lit(f), F.lit(float(floors.get(f, 1e-6))))])[F.col("feature")], F.lit(1e-6))
     return centers.join(spread, by).withColumn("robust_sigma", F.greatest(F.col("mad") * 1.4826, floor))
 
@@ -82,14 +124,17 @@ def mode_summary(df: DataFrame, mode: str = "mode", least: int = MODE_ROWS) -> D
 
 
 def thresholds(scored: DataFrame, score_: str = "score", keys: list[str] = (), qs: tuple[float, float] = (0.995, 0.999), exact: bool = True) -> DataFrame:
-    out = scored.groupBy(*keys).agg(quantile(score_, list(qs), exact).alias("q"))
+    out = quantiles(scored, list(qs), list(keys), score_, exact)
     return out.select(*keys, F.col("q")[0].alias("suspect"), F.col("q")[1].alias("anomaly"))
 
 
 def split_summary(scored: DataFrame, split: str = "split", score_: str = "score", label: str = "label") -> DataFrame:
     """Rows, label counts and score quantiles of each split and, with a null split, of all rows."""
-    counts = [F.count(F.when(F.col(label) == x, 1)).alias(x) for x in ("normal", "suspect", "anomaly")]
-    q = scored.rollup(split).agg(F.count(F.lit(1)).alias("rows"), *counts, F.percentile(score_, F.array(*[F.lit(x) for x in QUANTILES.values()])).alias("q"))
+    names = scored.select(F.col(split).alias("part"), F.col(label).alias("label"), F.col(score_).alias("score"))
+    both = names.select(F.explode(F.array(F.struct(F.col("part").alias("part"), F.lit(0).alias("whole")), F.struct(F.lit(None).cast(dict(names.dtypes)["part"]).alias("part"), F.lit(1).alias("whole")))).alias("g"), "label", "score").select("g.*", "label", "score")
+    counted = both.groupBy("part", "whole").agg(F.count(F.lit(1)).alias("rows"), *[F.count(F.when(F.col("label") == x, 1)).alias(x) for x in ("normal", "suspect", "anomaly")])
+    levels = quantiles(both, list(QUANTILES.values()), ["part", "whole"], "score").select(F.col("part").alias("p"), F.col("whole").alias("w"), "q")
+    q = counted.join(levels, F.col("part").eqNullSafe(F.col("p")) & (F.col("whole") == F.col("w")), "left").withColumnRenamed("part", split)
     return q.select(split, "rows", "normal", "suspect", "anomaly", *[F.col("q")[i].alias(n) for i, n in enumerate(QUANTILES)])
 
 
@@ -123,6 +168,25 @@ def template(df: DataFrame, samples: str = "samples", baseline: int = 160, reach
     return one.select(F.size("c").alias("n"), "rows", "mean_baseline", "peak", "gate_start", "gate_end", F.slice("c", F.col("gate_start") + 1, F.col("gate_end") - F.col("gate_start")).alias("template"))
 
 
+def keep_labels(df: DataFrame, labels: set[str], column: str = "label") -> DataFrame:
+    """Rows with one of the labels, whatever their case and outer spaces; all rows of a capture that has no labels."""
+    return df.where(F.lower(F.trim(column)).isin(*sorted(labels))) if column in df.columns else df
+
+
+EMPTY_PIPE_FEATURES = ("gate_rms_v", "peak_abs_gate_v", "snr_db", "template_corr", "noise_rms_v", "baseline_v", "low_clip_ratio")
+
+
+def empty_pipe_quantiles(df: DataFrame) -> DataFrame:
+    """feature, n and QUANTILES of each of EMPTY_PIPE_FEATURES."""
+    q = quantiles(long_form(df, list(EMPTY_PIPE_FEATURES)), list(QUANTILES.values()), ["feature"])
+    return q.select("feature", "n", *[F.col("q")[i].alias(name) for i, name in enumerate(QUANTILES)])
+
+
+def empty_pipe_fit(df: DataFrame) -> dict[str, dict[str, float]]:
+    """The limits that empty_pipe_score() compares with; seven rows come to the driver."""
+    return stats_of(empty_pipe_quantiles(df))
+
+
 def empty_pipe_score(limits: dict[str, dict[str, float]]) -> tuple[Column, Column]:
     """(score, label): the mean of how far four features are under p05 and p01, and of a missing arrival."""
     low = lambda f: F.when(F.col(f) < limits[f]["p01"], 1.0).when(F.col(f) < limits[f]["p05"], 0.5).otherwise(0.0)
@@ -170,18 +234,19 @@ def worst(df: DataFrame, by: str, n: int, tie: str) -> DataFrame:
 def embedding_metric(df: DataFrame, column: str = "embedding", floor: float = 1e-6) -> DataFrame:
     """pos, center, scale of each dimension: its median and 1.4826 times the median deviation."""
     values = df.select(F.posexplode(column).alias("pos", "v")).select("pos", F.col("v").cast("double").alias("v"))
-    centers = values.groupBy("pos").agg(F.percentile("v", F.lit(0.5)).alias("center"))
-    mads = values.join(F.broadcast(centers), "pos").groupBy("pos").agg(F.percentile(F.abs(F.col("v") - F.col("center")), F.lit(0.5)).alias("mad"))  # a row per dimension
+    centers = quantiles(values, [0.5], ["pos"], "v").select("pos", F.col("q")[0].alias("center"))
+    away = values.join(centers, "pos").select("pos", F.abs(F.col("v") - F.col("center")).alias("v"))
+    mads = quantiles(away, [0.5], ["pos"], "v").select("pos", F.col("q")[0].alias("mad"))
     return centers.join(mads, "pos").select("pos", "center", F.greatest(F.col("mad") * 1.4826, F.lit(floor)).alias("scale"))
 
 
 def amplitude_scale(df: DataFrame, samples: str = "samples", baseline: int = 160, q: float = 0.99, floor: float = 0.05) -> DataFrame:
-    """One row: the q-quantile of the absolute centered samples of all rows. Equal values are counted before they meet."""
+    """One row: the q-quantile of the absolute centered samples of all rows."""
     b = F.array_sort(F.slice(samples, F.lit(1), F.least(F.lit(baseline), F.size(samples))))
     n = F.size("b")
     rows = df.select(F.col(samples).alias("s"), b.alias("b")).where(n > 0)
     middle = (F.element_at("b", F.floor((n + 1) / 2).cast("int")) + F.element_at("b", (F.floor(n / 2) + 1).cast("int"))) / 2.0
     values = rows.withColumn("m", middle).select(F.explode(F.transform("s", lambda v: F.abs(v - F.col("m")))).alias("v"))
-    return values.groupBy("v").agg(F.count(F.lit(1)).alias("c")).agg(F.greatest(F.expr(f"percentile(v, {q}, c)"), F.lit(floor)).alias("scale"))
+    return quantiles(values, [q], value="v").select(F.greatest(F.col("q")[0], F.lit(floor)).alias("scale"))
 
 

@@ -11,6 +11,12 @@ from wavejobs.operators.states import EMPTY, SATURATED, WEAK
 WEIGHTS = {"signal_integrity": 0.30, "acoustic_pattern_match": 0.25, "coupling_condition": 0.20, "temporal_stability": 0.15, "telemetry_reliability": 0.10}
 
 
+def blended(pattern: Column, evidence: Column | None, weight: float) -> Column:
+    """The pattern match with its weight of a second one, where there is one."""
+    w = min(1.0, max(0.0, weight))
+    return pattern if evidence is None else F.coalesce(pattern * (1 - w) + evidence * w, pattern)
+
+
 def health(df: DataFrame, stats: dict[str, dict[str, float]], suspect: float, anomaly: float, evidence: Column | None = None, weight: float = 0.5, air_threshold: float | None = None) -> DataFrame:
     """Adds the five subscores, health, health_label and drivers (the three lowest subscores).
 
@@ -20,10 +26,7 @@ def health(df: DataFrame, stats: dict[str, dict[str, float]], suspect: float, an
     Subscores are rounded before they are weighted.
     """
     z = lambda f, points=25.0, up=True: sigma_score(F.col(f), F.lit(stats[f]["center"]), F.lit(stats[f]["robust_sigma"]), points, up)
-    pattern = anomaly_points(F.col("score"), F.lit(suspect), F.lit(anomaly))
-    if evidence is not None:
-        w = min(1.0, max(0.0, weight))
-        pattern = F.coalesce(pattern * (1 - w) + evidence * w, pattern)
+    pattern = blended(anomaly_points(F.col("score"), F.lit(suspect), F.lit(anomaly)), evidence, weight)
     coupling = z("template_corr") * 0.45 + z("peak_abs_gate_v") * 0.25 + z("low_clip_ratio", 35.0, False) * 0.15 + z("high_clip_ratio", 50.0, False) * 0.15
     state = F.col("pipe_state")
     most = F.when((state == EMPTY) | F.col("empty_pipe"), 35.0).when(state == WEAK, 65.0).when(state == SATURATED, 55.0).otherwise(100.0)

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wavejobs.operators.fit import long_form, quantiles
+
 #: Rows of the bank that one task holds at a time.
 BANK_BLOCK = 20_000
 #: Queries that one task holds at a time.
@@ -108,8 +110,11 @@ def label(mse: Column, distance: Column, mse_limits: tuple[float, float], distan
 
 def limits(df: DataFrame, mse: str = "reconstruction_mse", distance: str = "distance", train: Column | None = None) -> DataFrame:
     """One row of thresholds on the training rows: mse p99.5 and p99.9, distance p95 and p99, similarity p05 and p01."""
-    ok = lambda c: F.when((train if train is not None else F.lit(True)) & ~F.isnan(c), F.col(c))
-    near = F.lit(1.0) / (ok(distance) + 1.0)
-    pair = lambda c, a, b: F.percentile(c, F.array(F.lit(a), F.lit(b)))
-    q = df.agg(pair(ok(mse), 0.995, 0.999).alias("m"), pair(ok(distance), 0.95, 0.99).alias("d"), pair(near, 0.05, 0.01).alias("s"))
-    return q.select(*[F.col(c)[i].alias(f"{n}_{w}") for c, n in (("m", "mse"), ("d", "distance"), ("s", "similarity")) for i, w in enumerate(("suspect", "anomaly"))])
+    rows = df.where(train) if train is not None else df
+    far = F.col(distance).cast("double")
+    named = rows.select(F.col(mse).cast("double").alias("mse"), far.alias("distance"), similarity(far).alias("similarity"))
+    at = {"mse": (0.995, 0.999), "distance": (0.95, 0.99), "similarity": (0.05, 0.01)}
+    levels = [x for pair in at.values() for x in pair]
+    q = quantiles(long_form(named, list(at)), levels, ["feature"])
+    picked = {f"{n}_{w}": F.max(F.when(F.col("feature") == n, F.col("q")[levels.index(at[n][i])])) for n in at for i, w in enumerate(("suspect", "anomaly"))}
+    return q.agg(*[c.alias(n) for n, c in picked.items()])

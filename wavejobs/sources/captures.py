@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,21 +38,35 @@ def read_capture(spark: SparkSession, path: str, bad: str = "drop") -> DataFrame
 
 def with_row_numbers(spark: SparkSession, df: DataFrame, name: str = "source_row") -> DataFrame:
     """1-based row numbers in the order of reading, to be written down once at ingest."""
-    rows = df.rdd.zipWithIndex().map(lambda x: (*x[0], x[1] + 1))
-    return spark.createDataFrame(rows, T.StructType([*df.schema.fields, T.StructField(name, T.LongType())]))
+    own = df.withColumn("__at", F.monotonically_increasing_id())  # the number of a part, then a row's place in it
+    part = F.shiftright("__at", 33)
+    counts = own.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.partitionBy(F.lit(1)).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # over one row a part
+    starts = counts.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    numbered = own.join(starts, part == F.col("__part")).withColumn(name, F.col("__at").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("__before") + 1)
+    return numbered.select(*df.columns, name)
 
 
 def merge(sources: dict[str, DataFrame], force_label: str | None = None, confirmed_good: bool = False) -> DataFrame:
     """The union of captures with source_dataset and confirmed_good; columns that a source lacks are null.
 
-    Captures with samples need equally many of them in every source's schema check at reading.
+    Captures with samples, as columns or as read_capture()'s arrays, need equally many of them: a row with another number than the most raises.
     """
+    wide = {n: df.columns for n, df in sources.items() if any(c.startswith(_SAMPLE) and c[2:].isdigit() for c in df.columns)}
+    if wide:
+        check_widths(wide)
     parts = []
     for name, df in sources.items():
         df = df.withColumn("source_dataset", F.lit(name))
         label = F.lit(force_label) if force_label else (F.col("label") if "label" in df.columns else F.lit(None).cast("string"))
         parts.append(df.withColumn("label", label).withColumn("confirmed_good", F.lit(confirmed_good) | (F.coalesce(F.col("label"), F.lit("")) == "good")))
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    merged = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    if "samples" not in merged.columns:
+        return merged
+    widths = merged.where(F.col("samples").isNotNull()).agg(F.max(F.size("samples")).alias("__most"))
+    agreed = merged.join(F.broadcast(widths), how="left")  # one row
+    fits = F.col("samples").isNull() | (F.size("samples") == F.col("__most"))
+    return agreed.withColumn("samples", F.when(fits, F.col("samples")).otherwise(F.raise_error(F.lit("the captures differ in their number of samples")))).drop("__most")
 
 
 def merge_summary(merged: DataFrame) -> DataFrame:
@@ -95,6 +109,12 @@ def save_reports(reports: DataFrame, path: str) -> None:
     reports.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("serial", "date").parquet(path)
 
 
+def load_history(spark: SparkSession, path: str, serial: str, before: Column | str) -> DataFrame:
+    """A meter's earlier reports in the order of date; the partitions of others aren't read. Reports without a health score are left out."""
+    reports = spark.read.parquet(path).where((F.col("serial") == serial) & (F.col("date") < F.lit(before).cast("date")))
+    return reports.where(F.col("health_score").isNotNull()).orderBy("date")
+
+
 def save_model(parts: dict[str, DataFrame], path: str) -> None:
     for name, df in parts.items():
         df.write.mode("overwrite").parquet(f"{path}/{name}")
@@ -120,6 +140,18 @@ def decode_waveform(payload: Column) -> Column:
     )
 
 
+#: Fields of a waveform payload that go on with its frame, and the names of the onboard temperature, in order. Fixed values.
+METADATA = ("timestamp", "serial", "seq", "sq", "temperature_c", "tdc", "direction", "format")
+ONBOARD = ("ots", "OTS", "ots_temp_c", "onboard_temperature_c", "onboard_temp_c")
+
+
+def waveform_metadata(payload: Column) -> Column:
+    """A struct of METADATA, as text, and onboard_temperature_c, of a payload that is a JSON object; all null for others."""
+    fields = F.from_json(payload.cast("string"), "map<string,string>")
+    named = [fields[k] for k in METADATA]
+    return F.struct(*[c.alias(k) for c, k in zip(named, METADATA)], finite(F.coalesce(*[fields[k] for k in ONBOARD])).alias("onboard_temperature_c"))
+
+
 _PUB = "diagnose struct<sq:string,dt:string,tt:string>, diagnostic struct<sq:string>, diag struct<sq:string>, flow struct<fs:string,fr:string,tfs:string,tfr:string,ft:string,ots:string>, pipe struct<pd:string,pt:string>, dt_ns string, pub_dt_ns string, device_dt_ns string"
 
 

@@ -1,22 +1,26 @@
-"""Live frames: routing, stateful tracking, sinks and late enrichment on Structured Streaming."""
+"""Live frames: routing, stateful tracking, sinks, scoring and late enrichment on Structured Streaming."""
 
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from statistics import stdev
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from wavejobs.functions.columns import first_finite, topic_serial
-from wavejobs.operators import history, zero
+from wavejobs.functions.columns import finite, sq_label, topic_serial
+from wavejobs.operators import adapt, history, neighbors, zero
 from wavejobs.operators.order import folded
+from wavejobs.operators.states import EMPTY, NORMAL, WEAK
 from wavejobs.sources.captures import decode_telemetry, decode_waveform
 
-#: Output of track(): what the zero tracker says, the debounced state and how many late rows the meter has had.
-TRACKED = f"serial string, us long, id long, {zero.OUTPUT}, raw_state string, state string, transitioned boolean, late_rows long"
+_LIVE = "us long, raw_state string, state string, transitioned boolean, bad_count int, empty_pipe boolean, corr_std double, air_bubble boolean, sq double, sq_age_ms double, pub_dt long, pub_dt_delta long, late_rows long"
+_LIVE_NAMES = [c.split()[0] for c in _LIVE.split(", ")]
+_STATEFUL = f"serial string, id long, {zero.WALKED}, {_LIVE}"
 
 
 def route(messages: DataFrame, signal: str = "meter/sig/", telemetry: str = "meter/pub/") -> tuple[DataFrame, DataFrame]:
@@ -27,76 +31,163 @@ def route(messages: DataFrame, signal: str = "meter/sig/", telemetry: str = "met
     return waves, meters
 
 
-def _debounce(state: dict, raw: str | None, enter: int, recover: int, normal: str) -> tuple[str, bool]:
-    """The state that a meter shows after one more raw state, and whether it is new."""
-    state["run"] = state["run"] + 1 if raw == state["raw"] else 1
-    state["raw"] = raw
-    shown = state["shown"]
-    if raw is not None and state["run"] >= (recover if raw == normal else enter):
-        state["shown"] = raw
-    moved = state["started"] and state["shown"] != shown
-    state["started"] = True
-    return state["shown"], moved
-
-
-def _fresh(normal: str) -> dict:
-    return {"zero": zero.state_dict(zero.State()), "run": 0, "raw": None, "shown": normal, "started": False, "last": None, "late": 0}
-
-
-def _advance(state: dict, part: pd.DataFrame, enter: int, recover: int, normal: str, cfg: zero.Config) -> pd.DataFrame:
-    """A meter's rows of one batch, in order; rows before the newest one seen are counted and left out."""
-    part = part.sort_values(["us", "id"])
-    if state["last"] is not None:
-        late = part["us"] < state["last"]
-        state["late"] += int(late.sum())
-        part = part[~late]
-    if not len(part):
-        return pd.DataFrame(columns=[c.split()[0] for c in TRACKED.split(", ")])
-    own = zero.State(**state["zero"])
-    out = zero.run_group(part, own, cfg)
-    state["zero"] = zero.state_dict(own)
-    shown = [_debounce(state, r, enter, recover, normal) for r in part["raw_state"]]
-    state["last"] = int(part["us"].iloc[-1])
-    out.insert(1, "us", part["us"].to_numpy())
-    return out.assign(raw_state=part["raw_state"].to_numpy(), state=[s for s, _ in shown], transitioned=[m for _, m in shown], late_rows=state["late"])
-
-
-def inputs(frames: DataFrame, key: str = "serial", ts: str = "ts", tie: str = "id", raw: str = "raw_state") -> DataFrame:
-    """The narrow rows that track() keeps in order: the tracker's inputs and the raw state."""
+class Rules:
+    """What a meter's live state follows. sigma is the profile's spread of template_corr."""
+
+    def __init__(self, enter: int = 3, recover: int = 5, normal: str = NORMAL, bad: tuple[str, ...] = (EMPTY, WEAK), of: int = 5, on: int = 3, off: int = 1, corr_rows: int = 20, sigma: float = 0.002, times: float = 5.0, recovery: float = 0.5, fresh_ms: float = 300_000.0, cfg: zero.Config = zero.Config()) -> None:
+        self.enter, self.recover, self.normal, self.bad, self.of, self.on, self.off = enter, recover, normal, bad, of, on, off
+        self.corr_rows, self.high, self.low, self.fresh_ms, self.cfg = corr_rows, times * sigma, times * sigma * recovery, fresh_ms, cfg
+
+    def fresh(self) -> dict:
+        return {"zero": zero.State().as_dict(), "run": 0, "raw": None, "shown": self.normal, "started": False, "bad": [], "empty": False, "corr": [], "air": False, "sq": None, "sq_us": None, "dt": None, "step": None, "last": None, "late": 0}
+
+    def told(self, s: dict, us: int, sq: float | None, dt: int | None) -> None:
+        """Telemetry: each value counts from its own last update."""
+        if sq is not None:
+            s["sq"], s["sq_us"] = sq, us
+        if dt is not None:
+            s["step"], s["dt"] = (None if s["dt"] is None else dt - s["dt"]), dt
+
+    def seen(self, s: dict, us: int, raw: str | None, corr: float | None) -> tuple:
+        """A frame: the values of _LIVE but for late_rows."""
+        s["run"] = s["run"] + 1 if raw == s["raw"] else 1
+        s["raw"], shown = raw, s["shown"]
+        if raw is not None and s["run"] >= (self.recover if raw == self.normal else self.enter):
+            s["shown"] = raw
+        moved, s["started"] = s["started"] and s["shown"] != shown, True
+        s["bad"] = [*s["bad"], s["shown"] in self.bad][-self.of :]
+        count = sum(s["bad"])
+        s["empty"] = count > self.off if s["empty"] else count >= self.on
+        if corr is not None:
+            s["corr"] = [*s["corr"], corr][-self.corr_rows :]
+        spread = stdev(s["corr"]) if len(s["corr"]) == self.corr_rows > 1 else None
+        if spread is not None:
+            s["air"] = spread >= (self.low if s["air"] else self.high)
+        age = None if s["sq_us"] is None else (us - s["sq_us"]) / 1000.0
+        good = age is not None and age <= self.fresh_ms
+        return us, raw, s["shown"], moved, count, s["empty"], spread, s["air"], s["sq"] if good else None, age if good else None, s["dt"], s["step"]
+
+    def advance(self, part: pd.DataFrame, s: dict) -> pd.DataFrame:
+        """A meter's rows of one batch, in order; rows before the newest one seen are counted and left out."""
+        part = part.sort_values(["us", "side", "id"])
+        if s["last"] is not None:
+            late = part["us"] < s["last"]
+            s["late"] += int(late.sum())
+            part = part[~late]
+        if len(part):
+            s["last"] = int(part["us"].iloc[-1])
+        live = []
+        none = lambda x: None if pd.isna(x) else x
+        for us, side, raw, corr, sq, dt in zip(*(part[c].tolist() for c in ("us", "side", "raw_state", "corr", "sq", "dt"))):
+            if side == 0:
+                self.told(s, us, none(sq), none(dt))
+            else:
+                live.append((*self.seen(s, us, none(raw), none(corr)), s["late"]))
+        frames = part[part["side"] == 1]
+        tracker = zero.State(**s["zero"])
+        walked = zero.walk(frames, tracker, self.cfg)
+        s["zero"] = tracker.as_dict()
+        kinds = {"corr_std": "Float64", "sq": "Float64", "sq_age_ms": "Float64", "pub_dt": "Int64", "pub_dt_delta": "Int64"}  # missing values stay null
+        return pd.concat([walked.reset_index(drop=True), pd.DataFrame(live, columns=_LIVE_NAMES).astype(kinds)], axis=1)
+
+
+def inputs(frames: DataFrame, telemetry: DataFrame | None = None, key: str = "serial", ts: str = "ts", tie: str = "id", raw: str = "raw_state") -> DataFrame:
+    """The narrow rows that track() keeps in order: frames (side 1) and, before frames of the same time, telemetry with sq and dt (side 0)."""
     have = set(frames.columns)
-    values = [(first_finite(*[c for c in names if c in have]) if any(c in have for c in names) else F.lit(None).cast("double")).alias(n) for n, names in zero.INPUTS.items()]
-    return frames.select(
-        F.col(key).cast("string").alias("serial"), F.col(ts).cast("timestamp").alias("at"), F.unix_micros(F.col(ts).cast("timestamp")).alias("us"), F.col(tie).cast("long").alias("id"),
-        F.lit(False).alias("only"), *values, F.col(raw).alias("raw_state"),
-    )
-
-
-def track(frames: DataFrame, enter: int = 3, recover: int = 5, normal: str = "normal_acoustic_state", ttl: str | None = None, cfg: zero.Config = zero.Config()) -> DataFrame:
-    """TRACKED for each row of inputs(), a stream or a table. A meter's state is one JSON text; ttl (such as 7 days, of processing time) ends that of silent meters."""
-
-    if not frames.isStreaming:
+    corr = finite("template_corr") if "template_corr" in have else F.lit(None).cast("double")
+    at = F.col(ts).cast("timestamp")
+    same = lambda side: (F.col(key).cast("string").alias("serial"), at.alias("at"), F.unix_micros(at).alias("us"), F.col(tie).cast("long").alias("id"), F.lit(side).alias("side"))
+    rows = frames.select(*same(1), *[c.alias(n) for n, c in zero.frame_columns(frames).items()], F.col(raw).alias("raw_state"), corr.alias("corr"), F.lit(None).cast("double").alias("sq"), F.lit(None).cast("long").alias("dt"))
+    if telemetry is None:
+        return rows
+    told = telemetry.select(*same(0), finite("sq").alias("sq"), (F.col("dt").cast("long") if "dt" in telemetry.columns else F.lit(None).cast("long")).alias("dt"))
+    return rows.unionByName(told, allowMissingColumns=True)
+
+
+def stateful(rows: DataFrame, order: list, fresh: Callable[[], dict], advance: Callable[[pd.DataFrame, dict], pd.DataFrame], schema: str, ttl: str | None = None, watermark: str | None = None, start: DataFrame | None = None) -> DataFrame:
+    """What advance says of each meter's rows, a stream or a table. A meter's state is one JSON text.
+
+    start (serial, state) is where meters without a state begin, as of
+    snapshot(); it meets the rows by an equi-join. With a watermark Spark drops
+    rows of `at` that are later than that. ttl ends the state of silent meters:
+    of event time with a watermark, else of processing time.
+    """
+    if start is not None:
+        rows = rows.join(start.select("serial", F.col("state").alias("saved")), "serial", "left")
+    else:
+        rows = rows.withColumn("saved", F.lit(None).cast("string"))
+    begin = lambda part: json.loads(part["saved"].iloc[0]) if part["saved"].notna().iloc[0] else fresh()
+    if not rows.isStreaming:
 
         def more(part: pd.DataFrame, state: dict) -> pd.DataFrame:
-            return _advance(state, part, enter, recover, normal, cfg)
+            if not state:
+                state |= begin(part)
+            return advance(part, state)
 
-        return folded(frames.drop("at"), "serial", [F.asc_nulls_last("us"), F.asc_nulls_last("id")], lambda: _fresh(normal), more, TRACKED)
+        return folded(rows.drop("at"), "serial", order, dict, more, schema)
 
     ttl_ms = int(pd.Timedelta(ttl).total_seconds() * 1000) if ttl else None
+    empty = [c.split()[0] for c in schema.split(", ")]
 
     def run(key: tuple, parts: Iterator[pd.DataFrame], group: GroupState) -> Iterator[pd.DataFrame]:
         if group.hasTimedOut:
             group.remove()
             return
-        state = json.loads(group.get[0]) if group.exists else _fresh(normal)
-        rows = list(parts)
-        if rows:
-            yield _advance(state, pd.concat(rows), enter, recover, normal, cfg)
+        got = list(parts)
+        if not got:
+            return
+        part = pd.concat(got)
+        state = json.loads(group.get[0]) if group.exists else begin(part)
+        out = advance(part, state)
+        yield out if len(out) else pd.DataFrame(columns=empty)
         group.update((json.dumps(state),))
-        if ttl_ms:
+        if ttl_ms and watermark:
+            group.setTimeoutTimestamp(max(int(part["us"].max()) // 1000, group.getCurrentWatermarkMs()) + ttl_ms)
+        elif ttl_ms:
             group.setTimeoutDuration(ttl_ms)
 
-    timeout = GroupStateTimeout.ProcessingTimeTimeout if ttl_ms else GroupStateTimeout.NoTimeout
-    return frames.drop("at").groupBy("serial").applyInPandasWithState(run, TRACKED, "state string", "append", timeout)
+    if watermark:
+        rows = rows.withWatermark("at", watermark)
+    timeout = GroupStateTimeout.EventTimeTimeout if watermark else GroupStateTimeout.ProcessingTimeTimeout if ttl_ms else GroupStateTimeout.NoTimeout
+    return rows.groupBy("serial").applyInPandasWithState(run, schema, "state string", "append", timeout)
+
+
+_ORDER = [F.asc_nulls_last, "us"], [F.asc, "side"], [F.asc_nulls_last, "id"]
+
+
+def track(rows: DataFrame, rules: Rules | None = None, ttl: str | None = None, watermark: str | None = None, start: DataFrame | None = None) -> DataFrame:
+    """For each frame of inputs(): the zero tracker's output, the debounced state, empty pipe, air bubble, latest telemetry and how many late rows the meter has had."""
+    rules = rules or Rules()
+    live = stateful(rows, [f(c) for f, c in _ORDER], rules.fresh, rules.advance, _STATEFUL, ttl, watermark, start)
+    return zero.finished(live, ["serial", "id", *_LIVE_NAMES], rules.cfg).withColumn("sq_label", sq_label(F.col("sq")))
+
+
+def snapshot(rows: DataFrame, rules: Rules | None = None) -> DataFrame:
+    """serial, state: where each meter of a table of inputs() stands after its last row, to start a stream from."""
+    rules = rules or Rules()
+
+    def more(part: pd.DataFrame, state: dict) -> pd.DataFrame:
+        if not state:
+            state |= rules.fresh()
+        rules.advance(part, state)
+        return pd.DataFrame({"serial": part["serial"].iloc[:1], "us": part["us"].iloc[-1:].to_numpy(), "rows": [state["zero"]["rows"]], "state": [json.dumps(state)]})
+
+    steps = folded(rows.drop("at"), "serial", [f(c) for f, c in _ORDER], dict, more, "serial string, us long, rows long, state string")
+    return steps.groupBy("serial").agg(F.max_by("state", F.struct("us", "rows")).alias("state"))
+
+
+def self_trained(frames: DataFrame, model: adapt.Adaptive, ttl: str | None = None, watermark: str | None = None, start: DataFrame | None = None) -> DataFrame:
+    """serial, us, id, score, trained, updates of frames (serial, at, us, id, samples, good), with each meter's own template and centers as state."""
+
+    def advance(part: pd.DataFrame, state: dict) -> pd.DataFrame:
+        state["template"] = np.asarray(state["template"])
+        part = part.sort_values(["us", "id"])
+        out = [(s, us, i, *model.step(state, np.asarray(w, float), bool(g))) for s, us, i, w, g in zip(*(part[c].tolist() for c in ("serial", "us", "id", "samples", "good")))]
+        state["template"] = state["template"].tolist()
+        return pd.DataFrame(out, columns=["serial", "us", "id", "score", "trained", "updates"])
+
+    fresh = lambda: model.start() | {"template": model.profile.template.tolist()}
+    return stateful(frames, [F.asc_nulls_last("us"), F.asc_nulls_last("id")], fresh, advance, "serial string, us long, id long, score double, trained boolean, updates long", ttl, watermark, start)
 
 
 def events_of(tracked: DataFrame) -> DataFrame:
@@ -104,18 +195,43 @@ def events_of(tracked: DataFrame) -> DataFrame:
 
 
 def sink(tracked: DataFrame, frames_path: str, events_path: str, checkpoint: str, available_now: bool = True):
-    """Start a query that appends frames, by day, and their events; one batch's two writes share its rows."""
+    """Start a query that writes frames, by day, and their events. A batch's rows stand under its number, so that a batch that runs again replaces what it wrote."""
 
-    def write(batch: DataFrame, _: int) -> None:
+    def write(batch: DataFrame, number: int) -> None:
         batch = batch.persist()
-        batch.withColumn("date", F.to_date(F.timestamp_micros("us"))).write.mode("append").partitionBy("date").parquet(frames_path)
-        events_of(batch).write.mode("append").parquet(events_path)
+        _put(batch.withColumn("date", F.to_date(F.timestamp_micros("us"))), number, frames_path, "date")
+        _put(events_of(batch), number, events_path)
         batch.unpersist()
 
-    writer = tracked.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return _started(tracked.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint), available_now)
+
+
+def _put(batch: DataFrame, number: int, path: str, *by: str) -> None:
+    batch.withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch", *by).parquet(path)
+
+
+def _started(writer, available_now: bool):
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
+def scored(frames: DataFrame, encoder, path: str, checkpoint: str, available_now: bool = True):
+    """Start a query of its own that scores frames (row, samples) and writes row, embedding, reconstruction_mse and status: completed, or error for a frame that can't be scored.
+
+    The tracking query doesn't wait for it; enriched() joins what is there.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        _put(neighbors.encode(batch, encoder), number, path)
+
+    return _started(frames.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint), available_now)
+
+
+def scores_so_far(frames: DataFrame, results: DataFrame, row: str = "row") -> DataFrame:
+    """Frames with reconstruction_mse and status of scored(); pending where it hasn't come by."""
+    done = results.select(F.col(row).alias("__row"), "reconstruction_mse", "status")
+    return frames.join(done, frames[row] == done["__row"], "left").drop("__row").withColumn("status", F.coalesce("status", F.lit("pending")))
+
+
 def enriched(frames: DataFrame, results: DataFrame, fields: list[str]) -> DataFrame:
     """Scores that come later, joined to the newest frame of their meter and time."""
     return history.enrich(frames, results, fields)
