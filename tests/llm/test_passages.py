@@ -45,7 +45,7 @@ def test_against_brute_force(spark, seed):
     rows += [(200, "a b " * 100, "en", "s", 0, 1, ""), (201, "x " * 20, "en", "s", 0, 1, ""), (202, "x " * 19, "en", "s", 0, 1, "")]
     rows += [(203, None, None, None, None, None, None), (204, "", "en", "s", 0, 1, ""), (None, rows[0][1] + " " + rows[1][1], "en", "s", 0, 1, "")]
     rng.shuffle(rows)
-    got = [tuple(r) for r in passages.remove(spark.createDataFrame(rows, DOCS).repartition(3), shard_bytes=4000).collect()]
+    got = [tuple(r) for r in passages.remove(spark.createDataFrame(rows, DOCS).repartition(3), pattern_bytes=700, stream_bytes=1500).collect()]
     assert sorted(got, key=repr) == sorted(brute(rows, 20), key=repr)
 
 
@@ -59,3 +59,25 @@ def test_copies_of_a_row_text_and_empty(spark):
     got = sorted(tuple(r) for r in passages.remove(spark.createDataFrame(rows, DOCS)).select("doc_id", "n_words", "n_removed").collect())
     assert got == [(0, 30, 0), (1, 31, 30), (1, 60, 30)]
     assert passages.remove(spark.createDataFrame([], DOCS)).collect() == []
+
+
+def test_hot_and_wide(spark, monkeypatch):
+    """One passage in most documents, anchors with many contexts, null and repeated ids, and the way for places that don't fit the hash."""
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(3000)]
+    hot, stem = rng.choices(words, k=45), rng.choices(words, k=8)
+    rows = []
+    for d in range(150):
+        text = [*rng.choices(words, k=rng.randint(5, 40)), *(hot if d % 3 else stem), *rng.choices(words, k=30)]
+        rows.append((d if d % 5 else None if d % 2 else 7, " ".join(text), "en", "s", 0, 1, ""))
+    frame = spark.createDataFrame(rows, DOCS)
+    ids = [r[0] for r in rows]
+    unique = [r for r in rows if ids.count(r[0]) == 1]
+    alone = sorted(tuple(r) for r in passages.remove(spark.createDataFrame(unique, DOCS), pattern_bytes=600, stream_bytes=900).collect())
+    assert alone == sorted(brute(unique, 20))
+    some = sorted((tuple(r) for r in passages.remove(frame, pattern_bytes=600, stream_bytes=900).collect()), key=repr)
+    assert len(some) == 150 and some == sorted((tuple(r) for r in passages.remove(frame).collect()), key=repr)
+    h = passages.Hashes([w.encode() for w in rng.choices(words, k=500)])
+    narrow = passages.anchors(h)
+    monkeypatch.setattr(passages, "WIDE", 0)
+    assert all((a == b).all() for a, b in zip(narrow, passages.anchors(h)))

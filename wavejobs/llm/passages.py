@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import ahocorasick
@@ -12,13 +13,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wavejobs.llm.common import settle, words_of
+from wavejobs.llm.common import discard, settle, words_of
 
 WINDOW = 20
 #: Words of an anchor: each window is known by the anchor of the least hash in it.
 ANCHOR = 6
-#: UTF-8 bytes of text that a shard's automaton is made for and streams.
-SHARD_BYTES = 8 << 20
+#: UTF-8 bytes of patterns in one automaton, and of passages that one task streams through it.
+PATTERN_BYTES = 4 << 20
+STREAM_BYTES = 16 << 20
+#: Words from which an anchor's place in a text no longer fits the low bits of its hash.
+WIDE = 1 << 24
 #: Stands for a null doc_id in the order of documents: after all others.
 _LAST = (1 << 63) - 1
 _WORDS_KEPT = 1 << 20  # hashes that a worker remembers
@@ -94,7 +98,7 @@ def anchors(h: Hashes, window: int = WINDOW, size: int = ANCHOR) -> tuple[np.nda
     at = np.arange(h.n - size + 1)
     keys = h.runs(at, at + size)
     width = window - size + 1
-    if h.n < 1 << 24:
+    if h.n < WIDE:
         low = (keys & ~np.uint64(0xFFFFFF)) | at.astype(np.uint64)
         have = 1
         while have * 2 <= width:
@@ -108,80 +112,80 @@ def anchors(h: Hashes, window: int = WINDOW, size: int = ANCHOR) -> tuple[np.nda
         least = np.concatenate(parts)
     start = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
     count = np.diff(np.append(start, n))
-    return keys[least[start]], h.runs(start, start + count - 1 + window), start, count
+    return keys[least[start]], h.runs(start, start + count - 1 + window, 1), start, count
 
 
-_ANCHORS = "akey long, ctx long, d long, start int, count int"
+_ANCHORS = "akey long, ctx long, d long, t long, start int, count int"
+
+
+def _batched(parts: Iterator[list], names: list[str], most: int = 200_000) -> Iterator[pd.DataFrame]:
+    """Lists of equally long columns, some at a time as one frame."""
+    made, rows = [], 0
+    for columns in parts:
+        made.append(columns)
+        rows += len(columns[0])
+        if rows > most:
+            yield pd.DataFrame({n: np.concatenate(c) for n, c in zip(names, zip(*made))})
+            made, rows = [], 0
+    if made:
+        yield pd.DataFrame({n: np.concatenate(c) for n, c in zip(names, zip(*made))})
 
 
 def find_anchors(docs: DataFrame, window: int) -> DataFrame:
+    """_ANCHORS: the runs of every text."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in batches:
-            made, rows = [], 0
-            for d, text in zip(part["d"], part["text"]):
-                found = anchors(Hashes(words_of(text)), window)
-                if len(found[0]):
-                    made.append((*found, np.full(len(found[0]), d, np.int64)))
-                    rows += len(found[0])
-                if rows > 200_000:
-                    yield _table(made)
-                    made, rows = [], 0
-            if made:
-                yield _table(made)
+        def parts() -> Iterator[list]:
+            for part in batches:
+                for d, t, text in zip(part["d"], part["t"], part["text"]):
+                    akey, ctx, start, count = anchors(Hashes(words_of(text)), window)
+                    n = len(akey)
+                    yield [akey.view(np.int64), ctx.view(np.int64), np.full(n, d, np.int64), np.full(n, t, np.int64), start.astype(np.int32), count.astype(np.int32)]
 
-    def _table(made: list) -> pd.DataFrame:
-        akey, ctx, start, count, d = (np.concatenate(c) for c in zip(*made))
-        return pd.DataFrame({"akey": akey.view(np.int64), "ctx": ctx.view(np.int64), "d": d, "start": start.astype(np.int32), "count": count.astype(np.int32)})
+        return _batched(parts(), ["akey", "ctx", "d", "t", "start", "count"])
 
-    return docs.select("d", "text").mapInPandas(run, _ANCHORS)
+    return docs.select("d", "t", "text").mapInPandas(run, _ANCHORS)
 
 
-def find_windows(docs: DataFrame, asked: DataFrame, window: int) -> DataFrame:
-    """w1, w2 (hashes), d, s of every window of the asked runs (d, runs: start and count)."""
+def cut_texts(docs: DataFrame, runs: DataFrame, window: int) -> DataFrame:
+    """akey, ctx, d, start, c, text: the words of each distinct run, from where it starts first."""
+    asked = runs.groupBy("d", "t").agg(F.collect_list(F.struct("akey", "ctx", "start", "count", "c")).alias("runs"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
-            made, rows = [], 0
-            for d, text, runs in zip(part["d"], part["text"], part["runs"]):
-                h = Hashes(words_of(text))
-                s = np.concatenate([np.arange(r["start"], r["start"] + r["count"]) for r in runs])
-                s = s[s + window <= h.n]
-                made.append((h.runs(s, s + window), h.runs(s, s + window, 1), np.full(len(s), d, np.int64), s.astype(np.int32)))
-                rows += len(s)
-                if rows > 200_000:
-                    yield _table(made)
-                    made, rows = [], 0
-            if rows:
-                yield _table(made)
-
-    def _table(made: list) -> pd.DataFrame:
-        w1, w2, d, s = (np.concatenate(c) for c in zip(*made))
-        return pd.DataFrame({"w1": w1.view(np.int64), "w2": w2.view(np.int64), "d": d, "s": s})
-
-    return docs.join(asked, "d").select("d", "text", "runs").mapInPandas(run, "w1 long, w2 long, d long, s int")
-
-
-def confirmed(docs: DataFrame, window: int) -> DataFrame:
-    """Where passages recur: d, start, count (of windows), digest (of their words), first_d, first_s.
-
-    Each row is a run of windows that starts earlier at (first_d, first_s). Most
-    recurring text is found as whole runs. At a passage's edges runs differ, and
-    only there, where one anchor has several runs, windows are compared one by one.
-    """
-    found = settle(find_anchors(docs, window), "anchors")
-    # the few keys are written first: only then can Spark split a hot key's rows in the join
-    keys = settle(found.groupBy("akey").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("akey"), "keys")
-    found = settle(found.join(keys, "akey"), "recurring")
-    runs = found.groupBy("akey", "ctx").agg(F.min(F.struct("d", "start", "count")).alias("first"), F.count(F.lit(1)).alias("c"))
-    runs = settle(runs.select("akey", "ctx", "first.*", "c").withColumnsRenamed({"d": "first_d", "start": "first_s"}), "runs")
+            for d, text, wanted in zip(part["d"], part["text"], part["runs"]):
+                words = words_of(text)
+                rows = [(r["akey"], r["ctx"], d, r["start"], r["c"], b" ".join(words[r["start"] : r["start"] + r["count"] - 1 + window]).decode("utf-8", "surrogatepass")) for r in wanted]
+                yield pd.DataFrame(rows, columns=["akey", "ctx", "d", "start", "c", "text"])
 
-    several = settle(runs.groupBy("akey").agg(F.count(F.lit(1)).alias("runs")).where("runs > 1").select("akey"), "several")
-    asked = runs.join(several, "akey").groupBy(F.col("first_d").alias("d")).agg(F.collect_list(F.struct(F.col("first_s").alias("start"), "count")).alias("runs"))
-    windows = settle(find_windows(docs, asked, window), "windows")
-    firsts = windows.groupBy("w1", "w2").agg(F.min(F.struct("d", "s")).alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1").select("w1", "w2", "first")
-    single = windows.join(firsts, ["w1", "w2"]).select("d", F.col("s").alias("start"), F.lit(1).alias("count"), F.col("w1").alias("digest"), F.col("first.d").alias("first_d"), F.col("first.s").alias("first_s"))
-    whole = found.join(runs.where("c > 1").select("akey", "ctx", "first_d", "first_s"), ["akey", "ctx"]).select("d", "start", "count", F.col("ctx").alias("digest"), "first_d", "first_s")
-    return whole.union(single).where((F.col("d") > F.col("first_d")) | ((F.col("d") == F.col("first_d")) & (F.col("start") > F.col("first_s"))))
+    return docs.join(asked, ["d", "t"]).dropDuplicates(["d", "t"]).select("d", "text", "runs").mapInPandas(run, "akey long, ctx long, d long, start int, c long, text string")
+
+
+def find_windows(texts: DataFrame, window: int) -> DataFrame:
+    """akey, ctx, d, s, o, w1, w2: every window of the runs, with its place in the document and in the run, and two hashes."""
+    kept = ["akey", "ctx", "d", "start"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def parts() -> Iterator[list]:
+            for part in batches:
+                for akey, ctx, d, start, text in zip(*(part[c] for c in kept), part["text"]):
+                    h = Hashes(words_of(text))
+                    o = np.arange(h.n - window + 1)
+                    same = lambda v: np.full(len(o), v, np.int64)
+                    yield [same(akey), same(ctx), same(d), (start + o).astype(np.int32), o.astype(np.int32), *(h.runs(o, o + window, b).view(np.int64) for b in (0, 1))]
+
+        return _batched(parts(), ["akey", "ctx", "d", "s", "o", "w1", "w2"])
+
+    return texts.select(*kept, "text").mapInPandas(run, "akey long, ctx long, d long, s int, o int, w1 long, w2 long")
+
+
+def confirmed(texts: DataFrame, window: int) -> DataFrame:
+    """The patterns: runs that recur whole (c over 1), and in offsets the windows of a run that start first there and recur in other runs."""
+    several = settle(texts.groupBy("akey").agg(F.count(F.lit(1)).alias("runs")).where("runs > 1").select("akey"), "several")
+    windows = find_windows(texts.join(several, "akey"), window)
+    firsts = windows.groupBy("w1", "w2").agg(F.min(F.struct("d", "s", "akey", "ctx", "o")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    single = firsts.groupBy("first.akey", "first.ctx").agg(F.collect_set("first.o").alias("offsets"))
+    return texts.join(settle(single, "single"), ["akey", "ctx"], "left").where("c > 1 OR offsets IS NOT NULL")
 
 
 def symbols(ids: list[int]) -> tuple:
@@ -192,86 +196,118 @@ def symbols(ids: list[int]) -> tuple:
     return tuple(out.tolist())
 
 
-def bucket_of(d, buckets: int):
-    return F.pmod(F.xxhash64(d, F.lit("bucket")), F.lit(buckets)).cast("int")
-
+def located(texts: DataFrame, patterns: DataFrame, window: int, pattern_bytes: int = PATTERN_BYTES, stream_bytes: int = STREAM_BYTES) -> DataFrame:
+    """akey, ctx and found (o, first_d, first_s): for each run the windows that an automaton has found in it, and where they start first.
 
-def remove(docs: DataFrame, window: int = WINDOW, shard_bytes: int = SHARD_BYTES, text_out: bool = False) -> DataFrame:
-    """One row per document: doc_id, n_words, n_removed, kept_sha256 and, with text_out, kept (the kept words).
-
-    A word goes if a window of `window` words that covers it also starts earlier:
-    in a document with a smaller doc_id, or earlier in the same one; windows are
-    judged on the input.
-
-    Recurring runs of windows are confirmed over all documents by hashes of
-    their words, with the place where each starts first. Documents are then
-    dealt into shards; each shard compiles an automaton from the confirmed
-    passages that its documents repeat, with neighbouring runs put together,
-    streams every document through it, and marks each occurrence that isn't the
-    first. Passages are word sequences in
-    the automaton, so that within a shard words, not hashes, decide.
-
-    A null text has no words. A null doc_id comes after all others. Rows that
-    share a doc_id are one document to the order: copies of a whole row don't
-    remove each other. An empty table gives no rows. Columns other than doc_id
-    and text aren't looked at.
+    Runs and patterns are dealt into shards by their anchor. An anchor with more
+    patterns than one automaton is meant to hold has several, which all of its
+    runs go to; one with more runs than one task is meant to stream has several
+    tasks, which all have its patterns.
     """
-    docs = docs.select("doc_id", F.coalesce("doc_id", F.lit(_LAST)).alias("d"), "text")
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(1, -(-total // shard_bytes))
-    side = confirmed(docs, window)
-    side = side.withColumn("bucket", bucket_of("d", buckets))
+    bytes_ = lambda df: df.groupBy("akey").agg(F.sum(F.octet_length("text")).alias("n"))
+    sizes = bytes_(patterns).withColumnRenamed("n", "own").join(bytes_(texts), "akey")
+    sizes = settle(sizes.select("akey", F.ceil(F.col("own") / pattern_bytes).cast("int").alias("parts"), F.ceil(F.col("n") / stream_bytes).cast("int").alias("salts"), "own", "n"), "sizes")
+    total = sizes.where("parts = 1 AND salts = 1").agg(F.greatest(F.sum("own") / pattern_bytes, F.sum("n") / stream_bytes)).first()[0]
+    shards = max(1, math.ceil(total or 0))
+    small = (F.col("parts") == 1) & (F.col("salts") == 1)
+    shard = F.when(small, F.pmod(F.xxhash64("akey"), F.lit(shards))).otherwise(F.xxhash64("akey", "part", "salt")).alias("shard")
+    dealt = lambda n: F.pmod(F.xxhash64("ctx", F.lit("deal")), F.col(n)).cast("int").alias(n[:-1])
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias(n[:-1])
+    several = sizes.select("akey", "parts", "salts")
+    mine = texts.join(several, "akey").select("*", dealt("salts")).select("*", every("parts")).select(shard, "akey", "ctx", "text")
+    known = patterns.join(several, "akey").select("*", dealt("parts")).select("*", every("salts")).select(shard, "d", "start", "c", "offsets", "text")
 
     def stream(mine: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        places: dict[int, list[tuple[int, int, int, int, int]]] = {}
-        for d, *place in known[["d", "start", "count", "digest", "first_d", "first_s"]].itertuples(index=False):
-            places.setdefault(d, []).append(tuple(place))
-        twice = set(mine["d"][mine["d"].duplicated()])
         numbers: dict[bytes, int] = {}
-        texts, automaton = [], ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+        automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
 
         def add(words: tuple, first: tuple[int, int]) -> None:
             old = automaton.get(words, None)
             if old is None or first < old[1]:
                 automaton.add_word(words, (len(words) // 2, first))
 
-        for d, text in zip(mine["d"], mine["text"]):
-            words = words_of(text)
-            ids = symbols([numbers.setdefault(w, len(numbers)) for w in words])
-            texts.append((words, ids))
-            own = sorted(places.get(d, ()))
-            if d in twice:  # rows that share an id: only what is in this text
-                h = Hashes(words)
-                own = [p for p in own if (stop := p[0] + p[1] - 1 + window) <= h.n and int(h.runs(np.array([p[0]]), np.array([stop])).view(np.int64)[0]) == p[2]]
-            low = high = 0  # a passage: runs one after the other whose first places are so too
-            first = None
-            for s, c, _, first_d, first_s in own:
-                if first is not None and s == high and first_d == first[0] and first_s - first[1] == s - low:
-                    high = s + c
-                    continue
-                if first is not None:
-                    add(ids[2 * low : 2 * (high - 1 + window)], first)
-                first, low, high = (first_d, first_s), s, s + c
-            if first is not None:
-                add(ids[2 * low : 2 * (high - 1 + window)], first)
+        for d, start, c, offsets, text in zip(*(known[n] for n in ("d", "start", "c", "offsets", "text"))):
+            ids = symbols([numbers.setdefault(w, len(numbers)) for w in words_of(text)])
+            if c > 1:
+                add(ids, (d, start))
+            for o in offsets if offsets is not None else ():
+                add(ids[2 * o : 2 * (o + window)], (d, start + int(o)))
         if len(automaton):
             automaton.make_automaton()
         out = []
-        for d, (words, ids) in zip(mine["d"], texts):
-            cover = np.zeros(len(words) + 1, np.int32)
-            if len(automaton) and len(words) >= window:
-                for end, (length, first) in automaton.iter(ids):
-                    end //= 2
-                    if first < (d, end - length + 1):
-                        cover[end - length + 1] += 1
-                        cover[end + 1] -= 1
-            gone = np.cumsum(cover[:-1]) > 0
-            kept = b" ".join([w for w, g in zip(words, gone.tolist()) if not g] if gone.any() else words)
-            out.append((len(words), int(gone.sum()), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "surrogatepass") if text_out else None))
-        made = pd.DataFrame(out, columns=["n_words", "n_removed", "kept_sha256", "kept"])
-        made.insert(0, "doc_id", mine["doc_id"].to_numpy())
-        return made[["doc_id", "n_words", "n_removed", "kept_sha256", *(["kept"] if text_out else [])]]
-
-    mine = docs.withColumn("bucket", bucket_of("d", buckets))
+        for akey, ctx, text in zip(mine["akey"], mine["ctx"], mine["text"]):
+            at: dict[int, tuple[int, int]] = {}
+            if len(automaton):
+                for end, (length, (d, s)) in automaton.iter(symbols([numbers.get(w, 0xFFFFFF) for w in words_of(text)])):
+                    o = end // 2 - length + 1
+                    for k in range(length - window + 1):
+                        at[o + k] = min(at.get(o + k, (d, s + k)), (d, s + k))
+            if at:
+                out.append((akey, ctx, [{"o": o, "first_d": d, "first_s": s} for o, (d, s) in at.items()]))
+        return pd.DataFrame(out, columns=["akey", "ctx", "found"])
+
+    found = mine.groupBy("shard").cogroup(known.groupBy("shard")).applyInPandas(stream, "akey long, ctx long, found array<struct<o:int,first_d:long,first_s:int>>")
+    pairs = found.select("akey", "ctx", F.explode("found").alias("x")).groupBy("akey", "ctx", "x.o").agg(F.min(F.struct("x.first_d", "x.first_s")).alias("first"))
+    return pairs.groupBy("akey", "ctx").agg(F.collect_list(F.struct("o", "first.first_d", "first.first_s")).alias("found"))
+
+
+def remove(docs: DataFrame, window: int = WINDOW, text_out: bool = False, pattern_bytes: int = PATTERN_BYTES, stream_bytes: int = STREAM_BYTES) -> DataFrame:
+    """One row per document: doc_id, n_words, n_removed, kept_sha256 and, with text_out, kept (the kept words).
+
+    A word goes if a window of `window` words that covers it also starts earlier:
+    in a document with a smaller doc_id, or earlier in the same one; windows are
+    judged on the input.
+
+    Texts are cut into runs of windows that share their least anchor. Runs whose
+    anchor recurs are looked at further. Equal runs, by 128 bits of hashes of
+    their words, are one; so copies of any number are streamed once, and what is
+    found in a run holds wherever it stands. Passages that recur, whole runs and
+    windows that several runs share, are compiled into Aho-Corasick automata
+    with the place where they start first, and all runs are streamed through the
+    automata of their anchor. There words, not hashes, decide which of a run's
+    windows are repeated.
+
+    A null text has no words. Very long texts are cut whole. A null doc_id comes
+    after all others. Rows that share a doc_id are one document to the order:
+    copies of a whole row don't remove each other. An empty table gives no rows.
+    Columns other than doc_id and text aren't looked at.
+    """
+    if window - ANCHOR + 1 > 62 or window < ANCHOR:
+        raise ValueError("a run's windows have to fit into the bits of a long")
+    docs = docs.select("doc_id", F.coalesce("doc_id", F.lit(_LAST)).alias("d"), F.xxhash64("text").alias("t"), "text")
+    found = settle(find_anchors(docs, window), "anchors", dictionary=False)
+    # the few keys are written first: only then can Spark split a hot key's rows in the join
+    keys = settle(found.groupBy("akey").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("akey"), "keys")
+    recurring = settle(found.join(keys, "akey"), "recurring", dictionary=False)
+    discard(found, keys)
+    runs = recurring.groupBy("akey", "ctx").agg(F.min(F.struct("d", "start", "t", "count")).alias("first"), F.count(F.lit(1)).alias("c")).select("akey", "ctx", "first.*", "c")
+    texts = settle(cut_texts(docs, settle(runs, "runs"), window), "texts")
+    patterns = settle(confirmed(texts, window), "patterns")
+    marks = settle(located(texts, patterns, window, pattern_bytes, stream_bytes), "marks")
+    discard(texts, patterns)
+
+    earlier = lambda x: (x["first_d"] < F.col("d")) | ((x["first_d"] == F.col("d")) & (x["first_s"] < F.col("start") + x["o"]))
+    bits = F.aggregate(F.filter("found", earlier), F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), x["o"])))
+    gone = recurring.join(marks, ["akey", "ctx"]).select("d", "t", "start", bits.alias("bits")).where("bits <> 0")
+    gone = settle(gone.groupBy("d", "t").agg(F.collect_set(F.struct("start", "bits")).alias("gone")), "gone")
+    discard(recurring, marks)
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in batches:
+            out = []
+            for doc, text, where in zip(part["doc_id"], part["text"], part["gone"]):
+                words = words_of(text)
+                cover = np.zeros(len(words) + 1, np.int32)
+                for r in where if where is not None else ():
+                    for o in range(r["bits"].bit_length()):
+                        if r["bits"] >> o & 1:
+                            cover[r["start"] + o] += 1
+                            cover[r["start"] + o + window] -= 1
+                left = np.cumsum(cover[:-1]) == 0
+                kept = b" ".join(words if left.all() else [w for w, k in zip(words, left.tolist()) if k])
+                out.append((doc, len(words), int((~left).sum()), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "surrogatepass") if text_out else None))
+            yield pd.DataFrame(out, columns=["doc_id", "n_words", "n_removed", "kept_sha256", "kept"]).astype({"doc_id": "Int64"})[names]
+
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", kept string" if text_out else "")
-    return mine.groupBy("bucket").cogroup(settle(side, "passages").groupBy("bucket")).applyInPandas(stream, schema)
+    names = [c.split()[0] for c in schema.split(", ")]
+    return docs.join(gone, ["d", "t"], "left").select("doc_id", "text", "gone").mapInPandas(cut, schema)
