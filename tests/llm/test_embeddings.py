@@ -11,6 +11,7 @@ KIND = "vec_id long, embedding array<float>, label int, filter string, rep doubl
 
 def test_recall_and_components(spark, monkeypatch):
     monkeypatch.setattr(embeddings, "BLOCK", 60)
+    monkeypatch.setattr(embeddings, "CELL_ROWS", 120)
     rng = np.random.default_rng(3)
     base = rng.standard_normal((500, 64))
     rows = list(base)
@@ -74,15 +75,21 @@ def test_recall_does_not_fall_with_the_input():
             assert met >= 0.985 * 300, (n, cosine, met)
 
 
-def test_codes_and_direct_blocks(spark, monkeypatch):
-    monkeypatch.setattr(embeddings, "DIRECT_BLOCK", 60)
+def test_short_vectors(spark):
     rng = np.random.default_rng(6)
-    rows = [np.float32(rng.standard_normal(d)).tolist() for d in (2, 3, 6) for _ in range(150)]
+    sizes = (1, 2, 3, 6)
+    rows = [np.float32(rng.standard_normal(d)).tolist() for d in sizes for _ in range(150)]
     frame = spark.createDataFrame([(i, v, 0, "x", 0.0) for i, v in enumerate(rows)], KIND)
-    true = np.concatenate([((u := embeddings.unit(rows[150 * k : 150 * k + 150])) @ u.T >= 0.9).sum(1) - 1 for k in range(3)])
-    for most in (100_000, 0):
-        monkeypatch.setattr(embeddings, "DIRECT_ROWS", most)
-        found = {r.vec_id: r.n_links for r in embeddings.group(frame).collect()}
-        found = np.array([found[i] for i in range(450)])
-        assert (found == true)[: 450 if most else 300].all()
-        assert (found <= true).all() and found.sum() >= 0.98 * true.sum()
+    true = np.concatenate([((u := embeddings.unit(rows[150 * k : 150 * k + 150], 8)) @ u.T >= 0.9).sum(1) - 1 for k in range(len(sizes))])
+    found = {r.vec_id: r.n_links for r in embeddings.group(frame).collect()}
+    found = np.array([found[i] for i in range(len(rows))])
+    assert (found <= true).all() and found.sum() >= 0.98 * true.sum()
+
+
+def test_recall_just_over_the_cosine(spark):
+    rng = np.random.default_rng(7)
+    x, y = embeddings.pairs(1000, 64, 0.91, rng)
+    noise = rng.standard_normal((3000, 64))
+    rows = [v.tolist() for v in np.concatenate([x, y, noise])]
+    got = {r.vec_id: r for r in embeddings.group(spark.createDataFrame([(i, v, 0, "x", 0.0) for i, v in enumerate(rows)], KIND.replace("array<float>", "array<double>"))).collect()}
+    assert sum(got[i].n_links >= 1 and got[i].component_id == got[i + 1000].component_id for i in range(1000)) >= 985

@@ -10,27 +10,26 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wavejobs.llm.common import settle
+from wavejobs.llm.common import discard, settle
 from wavejobs.llm.components import Forest, components
 
 COSINE = 0.9
 #: Filters of one code that two vectors at the cosine are expected to share.
 SHARED = 4.0
 #: Part of the pairs at the cosine that may miss each other in all codes. Codes are added until their measured misses multiply to less.
-MISS = 0.002
+MISS = 0.005
 #: Random pairs that a code's misses are measured on.
 PAIRS = 400
 #: Vectors that a filter is meant to hold.
 LOAD = 256
-#: Vectors of up to so many components, or tables of up to so many distinct vectors, are compared directly.
-DIRECT = 4
-DIRECT_ROWS = 100_000
-#: Rows of a block of a direct comparison.
-DIRECT_BLOCK = 8000
+#: Shorter vectors are filled up with zeros to this length, which leaves their cosines.
+LEAST_DIMS = 8
 SEED = 20240229
-#: Rows of a cell: a filter with more is cut into blocks, small ones go together.
-BLOCK = 500
+#: Filters with one left half that make a cell.
+TOGETHER = 16
+#: Rows of a group of small cells, and of a block of a cell that has more.
 CELL_ROWS = 4000
+BLOCK = 2000
 
 
 def caps(dims: int, cosine: float, part: float) -> tuple[float, float]:
@@ -77,24 +76,36 @@ class Code:
         while left > miss:
             code = (np.linalg.qr(rng.standard_normal((dims, dims)))[0], draw(self.half), draw(dims - self.half))
             x, y = pairs(PAIRS, dims, cosine, rng)
-            missed = sum(not np.isin(p, q).any() for p, q in zip(self._exceeded(code, x), self._exceeded(code, y))) / PAIRS
+            pair = [r * self.size**2 + i * self.size + j for r, i, j in (self._exceeded(code, v) for v in (x, y))]
+            met = np.unique(np.intersect1d(*pair) // self.size**2)
+            missed = 1 - len(met) / PAIRS
             left *= min(1.0, missed + 2 * math.sqrt(max(missed, 1 / PAIRS) / PAIRS))  # not less than measured by chance
             self.codes.append(code)
 
-    def _exceeded(self, code: tuple, vectors: np.ndarray) -> Iterator[np.ndarray]:
+    def _exceeded(self, code: tuple, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, left, right) of all filters that each vector exceeds, by row."""
         turn, left, right = code
         turned = vectors @ turn
         a, b = turned[:, : self.half] @ left.T, turned[:, self.half :] @ right.T
-        for x, y, top in zip(a, b, b.max(1)):
-            i = np.flatnonzero(x >= self.alpha - top)  # those that the best right half can lift over alpha
-            j = np.flatnonzero(y >= self.alpha - x.max())
-            p, q = np.nonzero(x[i, None] + y[None, j] >= self.alpha)
-            yield i[p].astype(np.int64) * self.size + j[q]
-
-    def decode(self, vectors: np.ndarray) -> Iterator[np.ndarray]:
-        """For each unit vector, in order, all filters that it exceeds."""
-        for found in zip(*(self._exceeded(c, vectors) for c in self.codes)):
-            yield np.concatenate([np.sort(f) + k * self.size**2 for k, f in enumerate(found)])
+        row, i = np.nonzero(a >= self.alpha - b.max(1, keepdims=True))  # those that the best right half can lift over alpha
+        found, step = [], max(1, 4_000_000 // self.size)
+        for at in range(0, len(row), step):
+            r, k = row[at : at + step], i[at : at + step]
+            p, j = np.nonzero(a[r, k][:, None] + b[r] >= self.alpha)
+            found.append((r[p], k[p], j))
+        return tuple(np.concatenate(c) for c in zip(*found)) if found else (np.zeros(0, np.int64),) * 3
+
+    @property
+    def width(self) -> int:
+        """Numbers of filters for one left half: its cells are full."""
+        return -(-self.size // TOGETHER) * TOGETHER
+
+    def decode(self, vectors: np.ndarray) -> list[np.ndarray]:
+        """For each unit vector, in order, all filters that it exceeds; a filter's number divided by TOGETHER is its cell."""
+        parts = [(r, (k * self.size + i) * self.width + j) for k, code in enumerate(self.codes) for r, i, j in [self._exceeded(code, vectors)]]
+        row, filters = (np.concatenate(c) for c in zip(*parts))
+        order = np.lexsort((filters, row))
+        return np.split(filters[order], np.searchsorted(row[order], np.arange(1, len(vectors))))
 
 
 def pairs(n: int, dims: int, cosine: float, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
@@ -112,71 +123,65 @@ def usable(vectors: DataFrame) -> DataFrame:
     return vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & ~F.coalesce(bad, F.lit(True)) & F.exists("embedding", lambda x: x != 0))
 
 
-def unit(rows: list | pd.Series) -> np.ndarray:
+def unit(rows: list | pd.Series, dims: int) -> np.ndarray:
+    """Unit vectors in double precision, filled up with zeros to dims."""
     v = np.array([np.asarray(x, np.float64) for x in rows])
     v = v / np.abs(v).max(1, keepdims=True)  # lengths neither overflow nor vanish
-    return v / np.linalg.norm(v, axis=1, keepdims=True)
+    v = v / np.linalg.norm(v, axis=1, keepdims=True)
+    return np.pad(v, ((0, 0), (0, dims - v.shape[1])))
 
 
-def spread(classes: DataFrame, code: Code) -> DataFrame:
-    """A row for each class and each of its filters: filter, filters (all of the class's), rep, m, embedding."""
+def decoded(classes: DataFrame, code: Code) -> DataFrame:
+    """rep, m, embedding (unit vectors) and filters, one row per class."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
             for at in range(0, len(part), 1000):
                 some = part.iloc[at : at + 1000]
-                found = list(code.decode(unit(some["embedding"])))
-                times = [len(f) for f in found]
-                if sum(times):
-                    yield pd.DataFrame(
-                        {
-                            "filter": np.concatenate(found),
-                            "filters": [f for f, n in zip(found, times) for _ in range(n)],
-                            "rep": np.repeat(some["rep"].to_numpy(), times),
-                            "m": np.repeat(some["m"].to_numpy(), times),
-                            "embedding": [e for e, n in zip(some["embedding"], times) for _ in range(n)],
-                        }
-                    )
+                vectors = unit(some["embedding"], code.dims)
+                yield pd.DataFrame({"rep": some["rep"], "m": some["m"], "embedding": some["embedding"], "filters": code.decode(vectors)})
 
     kind = dict(classes.dtypes)["embedding"]
-    return classes.mapInPandas(run, f"filter long, filters array<long>, rep long, m long, embedding {kind}")
-
-
-def count_links(spread_: DataFrame, cosine: float = COSINE) -> DataFrame:
-    """rep, links, root: what each cell has found. A pair counts in the first filter that both share."""
-    sizes = spread_.groupBy("filter").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("filter", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    rows = sizes.agg(F.count(F.lit(1))).first()[0]
-    groups = max(1, rows * LOAD // CELL_ROWS)
-    block = F.pmod(F.xxhash64("rep", F.lit("block")), F.col("blocks")).cast("int")
-    every = F.sequence(F.lit(0), F.col("blocks") - 1)
-    dealt = spread_.join(sizes, "filter").withColumn("block", block)
-    cell = F.transform(every, lambda j: F.struct(F.least("block", j).alias("i"), F.greatest("block", j).alias("j")))
-    cells = dealt.select("*", F.explode(cell).alias("cell")).select("filter", "filters", "rep", "m", "embedding", "block", "cell.i", "cell.j")
-    # a cut filter's cells go alone, the others many to a group
-    grouped = cells.withColumn("group", F.when((F.col("i") == 0) & (F.col("j") == 0), F.pmod(F.xxhash64("filter"), F.lit(groups))).otherwise(F.xxhash64("filter", "i", "j")))
+    return settle(classes.mapInPandas(run, f"rep long, m long, embedding {kind}, filters array<long>"), "decoded")
+
+
+def count_links(coded: DataFrame, dims: int, cosine: float = COSINE) -> DataFrame:
+    """rep, links, root: what each cell has found. A pair counts in the cell of the first filter that both share.
+
+    Only (cell, rep) pairs are dealt out at first; cells with one vector go, and
+    large ones are cut into blocks. The vectors then meet them by rep and are
+    shuffled to the cells once.
+    """
+    cells = settle(coded.select("rep", F.explode(F.array_distinct(F.transform("filters", lambda f: F.floor(f / TOGETHER)))).alias("cell")), "cells")
+    sizes = settle(cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "sizes")
+    groups = max(1, (sizes.agg(F.sum("n")).first()[0] or 0) // CELL_ROWS)
+    blocks = F.when(F.col("n") > CELL_ROWS, F.ceil(F.col("n") / BLOCK)).otherwise(1).cast("int")
+    dealt = cells.join(sizes.select("cell", blocks.alias("blocks")), "cell").withColumn("block", F.pmod(F.xxhash64("rep", F.lit("block")), F.col("blocks")).cast("int"))
+    meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("block", j).alias("i"), F.greatest("block", j).alias("j")))
+    # a cut cell's blocks go alone, the other cells many to a group
+    placed = dealt.select("rep", "cell", "block", "blocks", F.explode(meets).alias("ij")).select(
+        "rep", "cell", "block", "ij.i", "ij.j", F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("cell"), F.lit(groups))).otherwise(F.xxhash64("cell", "ij.i", "ij.j")).alias("group")
+    )
+    names = ["group", "cell", "i", "j", "block"]
 
     def compare(part: pd.DataFrame) -> pd.DataFrame:
-        vectors = unit(part["embedding"])
-        reps, m, blocks = part["rep"].to_numpy(), part["m"].to_numpy(), part["block"].to_numpy()
+        vectors = unit(part["embedding"], dims)
+        reps, m, block = part["rep"].to_numpy(), part["m"].to_numpy(), part["block"].to_numpy()
         lists = part["filters"].to_numpy()
         forest, links = Forest(len(part)), np.zeros(len(part), np.int64)
-        for (own, i, j), at in part.groupby(["filter", "i", "j"], sort=False).indices.items():
+        for (cell, i, j), at in part.groupby(["cell", "i", "j"], sort=False).indices.items():
             if len(at) < 2:
                 continue
             at = np.sort(at)
             close = np.triu(vectors[at] @ vectors[at].T >= cosine, 1)
             if i != j:  # within a block is cell (i, i)
-                close &= blocks[at][:, None] != blocks[at][None, :]
-            if not close.any():
-                continue
+                close &= block[at][:, None] != block[at][None, :]
             used = np.flatnonzero(close.any(0) | close.any(1))
-            earlier = [f[f < own] for f in lists[at[used]]]
-            names, where, times = np.unique(np.concatenate(earlier), return_inverse=True, return_counts=True)
-            place = np.cumsum(times > 1) - 1  # filters of one vector alone say nothing
-            told = times[where] > 1
-            has = np.zeros((len(used), int((times > 1).sum())), np.float32)
-            has[np.repeat(np.arange(len(used)), [len(f) for f in earlier])[told], place[where[told]]] = 1
-            p, q = np.nonzero(close[np.ix_(used, used)] & ((has @ has.T) == 0))
+            if not len(used):
+                continue
+            own = [f[np.searchsorted(f, cell * TOGETHER) : np.searchsorted(f, (cell + 1) * TOGETHER)] for f in lists[at[used]]]
+            earlier = [f[: np.searchsorted(f, cell * TOGETHER)] for f in lists[at[used]]]
+            p, q = np.nonzero(close[np.ix_(used, used)] & shared(own) & ~shared(earlier))
             x, y = at[used[p]], at[used[q]]
             np.add.at(links, x, m[y])
             np.add.at(links, y, m[x])
@@ -184,34 +189,20 @@ def count_links(spread_: DataFrame, cosine: float = COSINE) -> DataFrame:
         out = np.flatnonzero(links)
         return pd.DataFrame({"rep": reps[out], "links": links[out], "root": reps[forest.label[out]]})
 
-    return grouped.groupBy("group").applyInPandas(compare, "rep long, links long, root long")
+    wide = placed.join(coded, "rep").select(*names, "rep", "m", "embedding", "filters")
+    found = settle(wide.groupBy("group").applyInPandas(compare, "rep long, links long, root long"), "found")
+    discard(cells, sizes, coded)
+    return found
 
 
-def direct(classes: DataFrame, n: int, cosine: float = COSINE) -> DataFrame:
-    """rep, links, root as of count_links(), from all pairs of blocks."""
-    blocks = max(1, -(-n // DIRECT_BLOCK))
-    block = F.pmod(F.xxhash64("rep", F.lit("block")), F.lit(blocks)).cast("int")
-    cell = F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda j: F.struct(F.least("block", j).alias("i"), F.greatest("block", j).alias("j")))
-    cells = classes.withColumn("block", block).select("*", F.explode(cell).alias("cell")).select("rep", "m", "embedding", "block", "cell.i", "cell.j")
-
-    def compare(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        vectors, reps, m, blocks = unit(part["embedding"]), part["rep"].to_numpy(), part["m"].to_numpy(), part["block"].to_numpy()
-        own, other = np.flatnonzero(blocks == key[0]), np.flatnonzero(blocks == key[1])
-        forest, links = Forest(len(part)), np.zeros(len(part), np.int64)
-        for at in range(0, len(own), 500):
-            some = own[at : at + 500]
-            close = vectors[some] @ vectors[other].T >= cosine
-            if key[0] == key[1]:
-                close &= some[:, None] < other[None, :]
-            p, q = np.nonzero(close)
-            x, y = some[p], other[q]
-            np.add.at(links, x, m[y])
-            np.add.at(links, y, m[x])
-            forest.join(x, y)
-        out = np.flatnonzero(links)
-        return pd.DataFrame({"rep": reps[out], "links": links[out], "root": reps[forest.label[out]]})
-
-    return cells.groupBy("i", "j").applyInPandas(compare, "rep long, links long, root long")
+def shared(lists: list[np.ndarray]) -> np.ndarray:
+    """Which of the lists have a number in common, as a square matrix."""
+    _, where, times = np.unique(np.concatenate(lists), return_inverse=True, return_counts=True)
+    told = times[where] > 1  # numbers of one list alone say nothing
+    place = np.cumsum(times > 1) - 1
+    has = np.zeros((len(lists), int((times > 1).sum())), np.float32)
+    has[np.repeat(np.arange(len(lists)), [len(f) for f in lists])[told], place[where[told]]] = 1
+    return (has @ has.T) > 0
 
 
 def group(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
@@ -219,13 +210,11 @@ def group(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
 
     All rows are compared whatever their other columns say. Equal vectors are
     collapsed first and count as links of each other. A pair counts if its
-    cosine in double precision is at least `cosine`. Up to DIRECT_ROWS distinct
-    vectors, and vectors of up to DIRECT components, are all compared. Each of
-    more is list-decoded to all filters of several product codes whose cap it
-    is in, and vectors join on filters. Links that share no filter are missed;
-    see MISS.
-    A filter with many vectors is compared in blocks, and cells return counts
-    and forests, not pairs.
+    cosine in double precision is at least `cosine`. Each vector is list-decoded
+    to all filters of several product codes whose cap it is in, and vectors join
+    on filters. Links that share no filter are missed; see MISS. A cell of
+    filters with many vectors is compared in blocks, and cells return counts and
+    forests, not pairs.
 
     Vectors that are null, zero, or hold null or non-finite components have no
     links and are their own component. So is a row with a null vec_id: its
@@ -236,11 +225,9 @@ def group(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     classes = settle(classes.withColumn("dims", F.size("embedding")), "classes")
     parts = []
     for row in classes.groupBy("dims").agg(F.count(F.lit(1)).alias("n")).orderBy("dims").collect():  # one row per vector length
-        own = classes.where(F.col("dims") == row.dims).drop("dims")
-        if row.dims <= DIRECT or row.n <= DIRECT_ROWS:
-            parts.append(direct(own, row.n, cosine))
-        else:
-            parts.append(count_links(settle(spread(own, Code(row.n, row.dims, cosine)), "filters"), cosine))
+        dims = max(LEAST_DIMS, row.dims)
+        coded = decoded(classes.where(F.col("dims") == row.dims).drop("dims"), Code(row.n, dims, cosine))
+        parts.append(count_links(coded, dims, cosine))
     links = classes.select(F.col("rep"), F.lit(0).cast("long").alias("links"), F.col("rep").alias("root"))
     for p in parts:
         links = links.union(p)
