@@ -31,13 +31,18 @@ def rows_of():
 def test_round_trip(spark, tmp_path):
     rows = rows_of()
     pages = spark.createDataFrame(rows, PAGES).repartition(5)
-    got = [tuple(r) for r in warc.archive(pages, str(tmp_path / "w")).collect()]
+    got = [tuple(r) for r in warc.archive(pages, str(tmp_path / "w"), bundle_bytes=300_000).collect()]
     assert sorted(got, key=repr) == sorted(expected(rows), key=repr)
     whole = warc.read(spark, str(tmp_path / "w"), payloads=True).where("record_type = 'response'").collect()
     by = {r.page_id: bytes(r.payload) for r in whole}
     assert all(by[i] == (html or "").encode() for i, _, html, *_ in rows if i in by and i is not None)
     assert len({r.file for r in whole}) >= 5
-    index = warc.read(spark, str(tmp_path / "w")).where("page_id IN (3, 1003)")
+    stored = warc.store_index(spark, str(tmp_path / "w"))
+    assert stored.count() == len(rows) and warc.read(spark, str(tmp_path / "w")).count() == len(rows)  # the index is no bundle
+    for page in (3, 599, 1003):
+        found = warc.fetch(spark, str(tmp_path / "w"), page)
+        assert len(found) == 1 and f"X-Page-ID: {page}\r\n".encode() in found[0] and next(warc.records(found[0]))[1] == len(found[0])
+    index = stored.where("page_id IN (3, 1003)")
     found = {r.record_id: bytes(r.record) for r in warc.lookup(spark, str(tmp_path / "w"), index).collect()}
     assert len(found) == 2 and all(v.startswith(b"WARC/1.1\r\n") and k.encode() in v for k, v in found.items())
 

@@ -111,7 +111,7 @@ def records(data: bytes) -> Iterator[tuple[int, int, dict[str, str], bytes]]:
         at = stop + 4
 
 
-def write(pages: DataFrame, path: str, least: int = LEAST_BYTES) -> None:
+def write(pages: DataFrame, path: str, least: int = LEAST_BYTES, bundle_bytes: int = BUNDLE_BYTES) -> None:
     """Write a record for every row of pages to bundle files under path.
 
     Of records with equal payloads of at least `least` bytes the one with the
@@ -131,7 +131,7 @@ def write(pages: DataFrame, path: str, least: int = LEAST_BYTES) -> None:
             for page, url, data, first in zip(part["page_id"], part["url"], part["payload"], part["first"]):
                 page, first = (None if pd.isna(x) else int(x) for x in (page, first))
                 bundle.add(record(page, url, bytes(data), first, first is not None and page != first))
-                if bundle.total >= BUNDLE_BYTES:
+                if bundle.total >= bundle_bytes:
                     yield pd.DataFrame({"value": [bundle.close()]})
                     bundle = Bundle()
         if bundle.total:
@@ -174,8 +174,38 @@ def read(spark: SparkSession, path: str, payloads: bool = False) -> DataFrame:
     return files.mapInPandas(unpack, _ROW)
 
 
+def store_index(spark: SparkSession, path: str) -> DataFrame:
+    """Write where each record is beside the bundles, sorted by record id within files, and return it. One pass over the bundles."""
+    names = [c.split()[0] for c in _INDEX.split(", ")]
+    read(spark, path).select(names).sortWithinPartitions("record_id").write.mode("overwrite").parquet(f"{path}/_index")
+    return stored_index(spark, path)
+
+
+def stored_index(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(_INDEX).parquet(f"{path}/_index")
+
+
+def fetch(spark: SparkSession, path: str, page_id: int) -> list[bytes]:
+    """A page's records by the stored index, each from the bytes of its own frame: the file is opened at the frame's offset."""
+    jvm, conf, out = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), []
+    for r in stored_index(spark, path).where(F.col("page_id") == page_id).orderBy("record_id", "file", "frame_offset", "offset").toLocalIterator():
+        file = jvm.org.apache.hadoop.fs.Path(r.file)
+        stream = file.getFileSystem(conf).open(file)
+        try:
+            stream.seek(r.frame_offset)
+            frame = bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream, int(r.frame_bytes)))
+        finally:
+            stream.close()
+        out.append(zstandard.ZstdDecompressor().decompress(frame, max_output_size=1 << 30)[r.offset : r.offset + r.length])
+    return out
+
+
 def lookup(spark: SparkSession, path: str, index: DataFrame) -> DataFrame:
-    """The records of index rows (file, frame_offset, frame_bytes, offset, length): record_id and record, each read from its own frame only."""
+    """The records of many index rows (file, frame_offset, frame_bytes, offset, length): record_id and record.
+
+    Of the bundles that are asked for, each is read once and only the frames
+    that are asked for are decompressed. For single records see fetch().
+    """
     wanted = index.groupBy("file").agg(F.collect_list(F.struct("record_id", "frame_offset", "frame_bytes", "offset", "length")).alias("wanted"))
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select(F.col("path").alias("file"), "content")
 
@@ -193,7 +223,7 @@ def lookup(spark: SparkSession, path: str, index: DataFrame) -> DataFrame:
     return files.join(wanted, "file").mapInPandas(cut, "record_id string, record binary")
 
 
-def archive(pages: DataFrame, path: str | None = None, least: int = LEAST_BYTES) -> DataFrame:
+def archive(pages: DataFrame, path: str | None = None, least: int = LEAST_BYTES, bundle_bytes: int = BUNDLE_BYTES) -> DataFrame:
     """Write pages to bundles, read them back: page_id, payload_bytes, payload_digest, record_type, refers_to.
 
     A null html is an empty payload. A null page_id comes after all others: such
@@ -204,5 +234,5 @@ def archive(pages: DataFrame, path: str | None = None, least: int = LEAST_BYTES)
     """
     spark = pages.sparkSession
     path = path or f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
-    write(pages, path, least)
+    write(pages, path, least, bundle_bytes)
     return read(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
