@@ -28,7 +28,20 @@ TEMPLATES = {
     ],
     "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
     "CC-BY-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
-    "BSD": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"],
+    "BSD": [
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+    ],
+    "LGPL-3.0": ["This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License"],
+    "AGPL-3.0": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License"],
+    "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/"],
+    "EPL-2.0": ["This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"],
+    "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."],
+    "BSL-1.0": ["Distributed under the Boost Software License, Version 1.0. See accompanying file LICENSE_1_0.txt or copy at https://www.boost.org/LICENSE_1_0.txt"],
+    "Zlib": ["This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software."],
+    "CC0-1.0": ["To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide. This software is distributed without any warranty."],
+    "Unlicense": ["This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary"],
+    "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
     "Proprietary": ["All rights reserved. No part of this publication may be reproduced without the prior written permission of the publisher."],
 }
 #: Words that say nothing about a place in a text. Fixed values.
@@ -116,15 +129,18 @@ class Scanner:
                 if i < len(places) and places[i] - places[i - 1] <= reach:
                     continue
                 cluster, begin = places[begin:i], i
-                if len({own[p] for p in cluster}) < self.coverage * len(self.telling[k]) - 1:
+                if len({own[p] for p in cluster}) < len(self.telling[k]) - int((1 - self.coverage) * len(template) + 1e-9):  # more are missing than may be
                     continue
                 low, high = max(0, cluster[0] - reach), min(len(own), cluster[-1] + reach + 1)
                 found += [(name, *hit) for hit in self.passages(own, low, high, template, cluster)]
         best: list[tuple[str, int, int, float]] = []
+        begins: list[int] = []  # those of best, in order, as best is
         for hit in sorted(found, key=lambda h: (-h[4], -h[3], h[2] - h[1], h[1], h[0])):  # most words aligned first, of equals the tightest
-            if all(hit[2] < o[1] or hit[1] > o[2] for o in best):
-                best.append(hit[:4])
-        return sorted(best, key=lambda h: h[1])
+            at = bisect_left(begins, hit[1])
+            if (at == 0 or best[at - 1][2] < hit[1]) and (at == len(best) or hit[2] < best[at][1]):
+                best.insert(at, hit[:4])
+                begins.insert(at, hit[1])
+        return best
 
     def passages(self, own: list[str], low: int, high: int, template: list[str], cluster: list[int]) -> Iterator[tuple[int, int, float, int]]:
         """Passages of own[low:high] that align; repeats of a template leave it without anchors, so pieces are tried too: of its length, and from where its telling words start again to the next such place."""
