@@ -15,8 +15,6 @@ from wavejobs.llm.common import settle
 
 #: Labelled rows that the word scores and the calibration are fitted on, at most. Above it, those with the smallest hash.
 SAMPLE = 20_000
-#: Words that get a score of their own, at most.
-LEXICON = 5_000
 #: Strength of the Dirichlet prior, in words; its shape is the whole corpus's word counts.
 PRIOR = 2_000.0
 #: Least z of a word's log-odds, and least number of toxic rows it is in.
@@ -156,7 +154,8 @@ def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 60) -> tuple[float, flo
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Learn from labelled rows whose fold isn't 0.
 
-    At most `sample` labelled rows are used, chosen by a hash of the id. Word
+    At most `sample` labelled rows are used, chosen by a hash of the id; they
+    bound the words that can get a score. Word
     scores come from folds 1 to 3, the calibration from fold 4, so that it
     sees words as new texts have them. The prior's word counts are those of all
     documents. Only the text is a feature. Rows with a null id, label or text
@@ -165,6 +164,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     rows = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     rows = rows.withColumn("fold", folds()).where("fold <> 0").orderBy(F.xxhash64("doc_id", F.lit("sample")), "doc_id").limit(sample)
     chosen = docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(rows), "doc_id")  # `sample` rows at most
+    chosen = chosen.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"), F.min("fold").alias("fold"))  # of an id with several texts one
     chosen = chosen.groupBy("text").agg(F.max("toxic").alias("toxic"), F.min("fold").alias("fold"))  # copies are no further evidence
     chosen = settle(chosen.select("toxic", "fold", _tokens(F.col("text")).alias("words")), "labelled")
     counted = chosen.where("fold <> 4").withColumn("row", F.monotonically_increasing_id())
@@ -181,8 +181,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     if not sums.get(True) or not sums.get(False):
         return Model({})
     n_bad, n_good = sums[True], sums[False]
-    # words worth a look: more of them in toxic rows than their share; the bound is on words, not on rows
-    hopeful = seen.where((F.col("rows") >= LEAST_ROWS) & (F.col("bad") * n_good > F.col("good") * n_bad * 2)).orderBy(F.desc(F.col("bad") / (F.col("good") + 1)), "word").limit(4 * LEXICON)
+    # words worth a look: in the sample clearly more frequent in toxic rows; the prior only takes from that
+    rough = F.log((F.col("bad") + 0.5) * n_good / ((F.col("good") + 0.5) * n_bad))
+    hopeful = seen.where((F.col("rows") >= LEAST_ROWS) & (rough >= LEAST_ODDS * 0.75) & (rough >= F.sqrt(1 / (F.col("bad") + 0.5) + 1 / (F.col("good") + 0.5)) * (LEAST_Z * 0.75)))
     hopeful = {r.word: (r.bad, r.good) for r in hopeful.collect()}
 
     starts = {u[:4] for u in hopeful if u[-1] == "*"}
@@ -209,7 +210,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         z = odds / math.sqrt(1 / (bad + prior) + 1 / (good + prior))
         if z >= LEAST_Z and odds >= LEAST_ODDS:
             scored.append((z, word, odds))
-    scored = sorted(scored, reverse=True)[:LEXICON]
+    scored = sorted(scored, reverse=True)
     model = Model({w: s for _, w, s in scored})
     if not scored:
         return model
