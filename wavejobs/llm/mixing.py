@@ -96,15 +96,15 @@ def take(docs: DataFrame) -> DataFrame:
     Rows that agree in doc_id, source and text share what they take: evenly, and
     what is left over goes to one of them.
     """
-    keys = [F.xxhash64("doc_id", "source", "text", F.lit(i)).alias(f"__key{i}") for i in (1, 2)]
-    keyed = docs.select("*", *keys)
-    names = ("__key1", "__key2")
-    taken = mix(keyed, keep=names).groupBy(*names).agg(F.sum("copies").alias("__copies"), F.count(F.lit(1)).alias("__rows")).where("__copies > 0")
+    names = ("key1", "key2")
+    keys = [F.xxhash64("doc_id", "source", "text", F.lit(i)).alias(n) for i, n in enumerate(names, 1)]
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), *keys)  # the columns of docs may have any names
+    taken = mix(docs.select("doc_id", "source", "text", *keys), keep=names).groupBy(*names).agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("rows")).where("copies > 0")
     joined = keyed.join(taken, list(names))
-    each, left = F.floor(F.col("__copies") / F.col("__rows")), F.col("__copies") % F.col("__rows")
-    even = joined.where(each > 0).select("*", F.explode(F.sequence(F.lit(1), each)).alias("__copy"))
-    rest = joined.where(left > 0).dropDuplicates(list(names)).select("*", F.explode(F.sequence(F.lit(1).cast("long"), left)).alias("__copy"))
-    return even.select(*docs.columns).union(rest.select(*docs.columns))
+    each, left = F.floor(F.col("copies") / F.col("rows")), F.col("copies") % F.col("rows")
+    even = joined.where(each > 0).select("row", F.explode(F.sequence(F.lit(1), each)).alias("copy"))
+    rest = joined.where(left > 0).groupBy(*names).agg(F.first("row").alias("row"), F.first(left).alias("left")).select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("left"))).alias("copy"))
+    return even.select("row.*").union(rest.select("row.*"))
 
 
 ORACLE = """

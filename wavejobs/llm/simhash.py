@@ -48,15 +48,16 @@ def fingerprint(text: str | None, k: int = SHINGLE, seed: int = SEED) -> int:
     return int(np.packbits(set_ * 2 > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fp, the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the columns of keep and fp, the fingerprint as a signed long."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
             found = np.array([fingerprint(t) for t in part["text"]], np.uint64)
-            yield pd.DataFrame({"doc_id": part["doc_id"], "fp": found.view(np.int64)})
+            yield part.drop(columns="text").assign(fp=found.view(np.int64))
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, fp long")
+    kinds = dict(docs.dtypes)
+    return docs.select("doc_id", *keep, "text").mapInPandas(run, "doc_id long, " + "".join(f"{c} {kinds[c]}, " for c in keep) + "fp long")
 
 
 def masks(segments: int) -> list[int]:
@@ -208,7 +209,7 @@ def links(fps: DataFrame, radius: int = RADIUS, segments: int = SEGMENTS) -> Dat
     return flat.groupBy("segment", "shard", "i", "j").applyInPandas(compare, "a long, b long")
 
 
-def group(docs: DataFrame, radius: int = RADIUS, segments: int = SEGMENTS) -> DataFrame:
+def group(docs: DataFrame, radius: int = RADIUS, segments: int = SEGMENTS, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits), component_id.
 
     Fingerprints link at radius or fewer differing bits; component_id is the
@@ -217,12 +218,13 @@ def group(docs: DataFrame, radius: int = RADIUS, segments: int = SEGMENTS) -> Da
     Null and empty texts have fingerprint zero, which links like any other. A
     row with a null doc_id gets the component of its fingerprint but never names
     or bridges one; without other rows its component is null. Repeated rows
-    stay. An empty table gives no rows. Other columns are not looked at.
+    stay. An empty table gives no rows. Very long texts are read whole. Other
+    columns are not looked at; those named in keep are passed on.
     """
-    fps = settle(fingerprints(docs), "fingerprints")
+    fps = settle(fingerprints(docs, keep), "fingerprints")
     nodes = settle(fps.where("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
     roots = components(links(nodes.select("fp"), radius, segments))
     rooted = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     named = settle(rooted.join(smallest, "root").select("fp", "component_id"), "components")
-    return fps.join(named, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return fps.join(named, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", *keep)
