@@ -3,6 +3,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 
 from wavejobs.llm import passages
@@ -77,7 +78,12 @@ def test_hot_and_wide(spark, monkeypatch):
     assert alone == sorted(brute(unique, 20))
     some = sorted((tuple(r) for r in passages.remove(frame, pattern_bytes=600, stream_bytes=900).collect()), key=repr)
     assert len(some) == 150 and some == sorted((tuple(r) for r in passages.remove(frame).collect()), key=repr)
-    h = passages.Hashes([w.encode() for w in rng.choices(words, k=500)])
-    narrow = passages.anchors(h)
+    several = [[w.encode() for w in rng.choices(words[:9], k=k)] for k in (300, 3, 0, 19, 20, 250)]
+    ends = np.cumsum([len(x) for x in several])
+    h = passages.Hashes(sum(several, []))
+    narrow = passages.anchors(h, ends)
+    one_by_one = [passages.anchors(passages.Hashes(x), np.array([len(x)])) for x in several]
+    assert all((a == np.concatenate([p[i] for p in one_by_one])).all() for i, a in enumerate(narrow) if i != 2)
+    assert (narrow[2] == np.concatenate([p[2] + e - len(x) for p, e, x in zip(one_by_one, ends, several)])).all()
     monkeypatch.setattr(passages, "WIDE", 0)
-    assert all((a == b).all() for a, b in zip(narrow, passages.anchors(h)))
+    assert all((a == b).all() for a, b in zip(narrow, passages.anchors(h, ends)))

@@ -84,12 +84,14 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-def anchors(h: Hashes, window: int = WINDOW, size: int = ANCHOR) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(key, context, start, count): maximal runs of windows start, ..., start + count - 1 that share their least anchor.
-
-    key is the anchor's hash, context that of all the words of the run's windows.
-    Which anchor a window has depends on its words only: the least hash by its
-    upper 40 bits, the leftmost of equals.
+def anchors(h: Hashes, ends: np.ndarray, window: int = WINDOW, size: int = ANCHOR) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(key, context, start, count) of the maximal runs of windows start, ..., start + count - 1 that share their least anchor.
+
+    h holds the words of several texts, one after the other; ends says where
+    each ends. Windows and anchors lie within one text. key is the anchor's hash,
+    context that of all the words of the run's windows. Which anchor a window has
+    depends on its words only: the least hash by its upper 40 bits, the leftmost
+    of equals.
     """
     n = h.n - window + 1
     if n < 1:
@@ -110,39 +112,48 @@ def anchors(h: Hashes, window: int = WINDOW, size: int = ANCHOR) -> tuple[np.nda
     else:
         parts = [np.lib.stride_tricks.sliding_window_view(keys[a : a + (1 << 20) + width - 1] >> np.uint64(24), width).argmin(1) + np.arange(a, min(a + (1 << 20), n)) for a in range(0, n, 1 << 20)]
         least = np.concatenate(parts)
-    start = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
-    count = np.diff(np.append(start, n))
+    text = np.searchsorted(ends, np.arange(n), "right")
+    inside = np.flatnonzero(np.arange(n) + window <= ends[np.minimum(text, len(ends) - 1)])
+    if not len(inside):
+        return keys[:0], keys[:0], inside, inside
+    same = (least[inside[1:]] == least[inside[:-1]]) & (text[inside[1:]] == text[inside[:-1]])
+    first = np.flatnonzero(np.concatenate([[True], ~same]))
+    start, count = inside[first], np.diff(np.append(first, len(inside)))
     return keys[least[start]], h.runs(start, start + count - 1 + window, 1), start, count
 
 
 _ANCHORS = "akey long, ctx long, d long, t long, start int, count int"
 
 
-def _batched(parts: Iterator[list], names: list[str], most: int = 200_000) -> Iterator[pd.DataFrame]:
-    """Lists of equally long columns, some at a time as one frame."""
-    made, rows = [], 0
-    for columns in parts:
-        made.append(columns)
-        rows += len(columns[0])
-        if rows > most:
-            yield pd.DataFrame({n: np.concatenate(c) for n, c in zip(names, zip(*made))})
-            made, rows = [], 0
-    if made:
-        yield pd.DataFrame({n: np.concatenate(c) for n, c in zip(names, zip(*made))})
+def _together(texts: Iterator[tuple], most: int = 100_000) -> Iterator[tuple[list[tuple], list[bytes], np.ndarray]]:
+    """Rows (text first), the words of their texts one after the other, and where each text ends, some at a time."""
+    rows, words, ends = [], [], []
+    for row in texts:
+        rows.append(row)
+        words += words_of(row[0])
+        ends.append(len(words))
+        if len(words) > most:
+            yield rows, words, np.array(ends, np.int64)
+            rows, words, ends = [], [], []
+    if rows:
+        yield rows, words, np.array(ends, np.int64)
+
+
+def _rows_of(batches: Iterator[pd.DataFrame], names: list[str]) -> Iterator[tuple]:
+    for part in batches:
+        yield from zip(*(part[n] for n in names))
 
 
 def find_anchors(docs: DataFrame, window: int) -> DataFrame:
     """_ANCHORS: the runs of every text."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def parts() -> Iterator[list]:
-            for part in batches:
-                for d, t, text in zip(part["d"], part["t"], part["text"]):
-                    akey, ctx, start, count = anchors(Hashes(words_of(text)), window)
-                    n = len(akey)
-                    yield [akey.view(np.int64), ctx.view(np.int64), np.full(n, d, np.int64), np.full(n, t, np.int64), start.astype(np.int32), count.astype(np.int32)]
-
-        return _batched(parts(), ["akey", "ctx", "d", "t", "start", "count"])
+        for rows, words, ends in _together(_rows_of(batches, ["text", "d", "t"])):
+            akey, ctx, start, count = anchors(Hashes(words), ends, window)
+            which = np.searchsorted(ends, start, "right")
+            d, t = (np.array([r[i] for r in rows], np.int64)[which] for i in (1, 2))
+            start = start - np.concatenate([[0], ends])[which]
+            yield pd.DataFrame({"akey": akey.view(np.int64), "ctx": ctx.view(np.int64), "d": d, "t": t, "start": start.astype(np.int32), "count": count.astype(np.int32)})
 
     return docs.select("d", "t", "text").mapInPandas(run, _ANCHORS)
 
@@ -151,12 +162,20 @@ def cut_texts(docs: DataFrame, runs: DataFrame, window: int) -> DataFrame:
     """akey, ctx, d, start, c, text: the words of each distinct run, from where it starts first."""
     asked = runs.groupBy("d", "t").agg(F.collect_list(F.struct("akey", "ctx", "start", "count", "c")).alias("runs"))
 
+    names = ["akey", "ctx", "d", "start", "c", "text"]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows: list[tuple] = []
         for part in batches:
             for d, text, wanted in zip(part["d"], part["text"], part["runs"]):
                 words = words_of(text)
-                rows = [(r["akey"], r["ctx"], d, r["start"], r["c"], b" ".join(words[r["start"] : r["start"] + r["count"] - 1 + window]).decode("utf-8", "surrogatepass")) for r in wanted]
-                yield pd.DataFrame(rows, columns=["akey", "ctx", "d", "start", "c", "text"])
+                for r in wanted:
+                    rows.append((r["akey"], r["ctx"], d, r["start"], r["c"], b" ".join(words[r["start"] : r["start"] + r["count"] - 1 + window]).decode("utf-8", "surrogatepass")))
+                if len(rows) > 20_000:
+                    yield pd.DataFrame(rows, columns=names)
+                    rows = []
+        if rows:
+            yield pd.DataFrame(rows, columns=names)
 
     return docs.join(asked, ["d", "t"]).dropDuplicates(["d", "t"]).select("d", "text", "runs").mapInPandas(run, "akey long, ctx long, d long, start int, c long, text string")
 
@@ -166,15 +185,15 @@ def find_windows(texts: DataFrame, window: int) -> DataFrame:
     kept = ["akey", "ctx", "d", "start"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def parts() -> Iterator[list]:
-            for part in batches:
-                for akey, ctx, d, start, text in zip(*(part[c] for c in kept), part["text"]):
-                    h = Hashes(words_of(text))
-                    o = np.arange(h.n - window + 1)
-                    same = lambda v: np.full(len(o), v, np.int64)
-                    yield [same(akey), same(ctx), same(d), (start + o).astype(np.int32), o.astype(np.int32), *(h.runs(o, o + window, b).view(np.int64) for b in (0, 1))]
-
-        return _batched(parts(), ["akey", "ctx", "d", "s", "o", "w1", "w2"])
+        for rows, words, ends in _together(_rows_of(batches, ["text", *kept])):
+            begins = np.concatenate([[0], ends[:-1]])
+            many = np.maximum(ends - begins - window + 1, 0)
+            which = np.repeat(np.arange(len(rows)), many)
+            o = np.arange(len(which)) - np.repeat(np.cumsum(many) - many, many)
+            at, h = begins[which] + o, Hashes(words)
+            akey, ctx, d, start = (np.array([r[i] for r in rows], np.int64)[which] for i in range(1, 5))
+            hashes = [h.runs(at, at + window, b).view(np.int64) for b in (0, 1)]
+            yield pd.DataFrame({"akey": akey, "ctx": ctx, "d": d, "s": (start + o).astype(np.int32), "o": o.astype(np.int32), "w1": hashes[0], "w2": hashes[1]})
 
     return texts.select(*kept, "text").mapInPandas(run, "akey long, ctx long, d long, s int, o int, w1 long, w2 long")
 
@@ -188,9 +207,9 @@ def confirmed(texts: DataFrame, window: int) -> DataFrame:
     return texts.join(settle(single, "single"), ["akey", "ctx"], "left").where("c > 1 OR offsets IS NOT NULL")
 
 
-def symbols(ids: list[int]) -> tuple:
+def symbols(ids: list[int] | np.ndarray) -> tuple:
     """Two symbols a word, from two alphabets: nodes of the automaton have few children, and matches begin at words."""
-    a = np.array(ids, np.int64)
+    a = np.asarray(ids, np.int64)
     out = np.empty(2 * len(a), np.int64)
     out[::2], out[1::2] = a >> 8, (a & 255) + (1 << 24)
     return tuple(out.tolist())
@@ -214,41 +233,62 @@ def located(texts: DataFrame, patterns: DataFrame, window: int, pattern_bytes: i
     dealt = lambda n: F.pmod(F.xxhash64("ctx", F.lit("deal")), F.col(n)).cast("int").alias(n[:-1])
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias(n[:-1])
     several = sizes.select("akey", "parts", "salts")
-    mine = texts.join(several, "akey").select("*", dealt("salts")).select("*", every("parts")).select(shard, "akey", "ctx", "text")
+    mine = texts.join(several, "akey").select("*", dealt("salts")).select("*", every("parts")).select(shard, "akey", "ctx", "text", F.col("parts"))
     known = patterns.join(several, "akey").select("*", dealt("parts")).select("*", every("salts")).select(shard, "d", "start", "c", "offsets", "text")
 
-    def stream(mine: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+    nothing = pd.DataFrame({"akey": np.zeros(0, np.int64), "ctx": np.zeros(0, np.int64), "whole": np.zeros(0, bool), "o": [], "first_d": [], "first_s": []}).astype({c: object for c in ("o", "first_d", "first_s")})
+
+    def stream(mine: pd.DataFrame, known: pd.DataFrame) -> Iterator[pd.DataFrame]:
         numbers: dict[bytes, int] = {}
         automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+        firsts: list[tuple[int, int, int]] = []  # of each pattern: its length in words, and where it starts first
 
-        def add(words: tuple, first: tuple[int, int]) -> None:
+        def add(words: tuple, d: int, s: int) -> None:
             old = automaton.get(words, None)
-            if old is None or first < old[1]:
-                automaton.add_word(words, (len(words) // 2, first))
+            if old is None or (d, s) < firsts[old][1:]:
+                automaton.add_word(words, len(firsts))
+                firsts.append((len(words) // 2, d, s))
 
         for d, start, c, offsets, text in zip(*(known[n] for n in ("d", "start", "c", "offsets", "text"))):
             ids = symbols([numbers.setdefault(w, len(numbers)) for w in words_of(text)])
             if c > 1:
-                add(ids, (d, start))
+                add(ids, d, start)
             for o in offsets if offsets is not None else ():
-                add(ids[2 * o : 2 * (o + window)], (d, start + int(o)))
-        if len(automaton):
-            automaton.make_automaton()
-        out = []
-        for akey, ctx, text in zip(mine["akey"], mine["ctx"], mine["text"]):
-            at: dict[int, tuple[int, int]] = {}
-            if len(automaton):
-                for end, (length, (d, s)) in automaton.iter(symbols([numbers.get(w, 0xFFFFFF) for w in words_of(text)])):
-                    o = end // 2 - length + 1
-                    for k in range(length - window + 1):
-                        at[o + k] = min(at.get(o + k, (d, s + k)), (d, s + k))
-            if at:
-                out.append((akey, ctx, [{"o": o, "first_d": d, "first_s": s} for o, (d, s) in at.items()]))
-        return pd.DataFrame(out, columns=["akey", "ctx", "found"])
-
-    found = mine.groupBy("shard").cogroup(known.groupBy("shard")).applyInPandas(stream, "akey long, ctx long, found array<struct<o:int,first_d:long,first_s:int>>")
-    pairs = found.select("akey", "ctx", F.explode("found").alias("x")).groupBy("akey", "ctx", "x.o").agg(F.min(F.struct("x.first_d", "x.first_s")).alias("first"))
-    return pairs.groupBy("akey", "ctx").agg(F.collect_list(F.struct("o", "first.first_d", "first.first_s")).alias("found"))
+                add(ids[2 * o : 2 * (o + window)], d, start + int(o))
+        if not firsts:
+            return
+        automaton.make_automaton()
+        length, first_d, first_s = (np.array(x, np.int64) for x in zip(*firsts))
+        for rows, words, ends in _together(_rows_of([mine], ["text", "akey", "ctx", "parts"])):
+            ids = np.array([numbers.get(w, 0xFFFFFF) for w in words], np.int64)
+            ids = np.insert(ids, ends, 0xFFFFFF)  # no pattern reaches from one run into the next
+            met = list(automaton.iter(symbols(ids)))
+            if not met:
+                continue
+            end, k = (np.array(x, np.int64) for x in zip(*met))
+            at = end // 2 - length[k] + 1
+            many = length[k] - window + 1  # a pattern's windows
+            step = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+            at, k = np.repeat(at, many) + step, np.repeat(k, many)
+            begins = np.concatenate([[0], ends[:-1]]) + np.arange(len(ends))
+            which = np.searchsorted(begins, at, "right") - 1
+            d, s = first_d[k], first_s[k] + step
+            o = at - begins[which]
+            order = np.lexsort((s, d, o, which))
+            which, o, d, s = which[order], o[order], d[order], s[order]
+            new = np.concatenate([[True], (which[1:] != which[:-1]) | (o[1:] != o[:-1])])
+            which, o, d, s = which[new], o[new], d[new], s[new]
+            cuts = np.flatnonzero(np.concatenate([[True], which[1:] != which[:-1]]))
+            own = which[cuts].tolist()
+            parts = [np.split(x, cuts[1:]) for x in (o, d, s)]
+            yield pd.DataFrame({"akey": [rows[i][1] for i in own], "ctx": [rows[i][2] for i in own], "whole": [rows[i][3] == 1 for i in own], "o": parts[0], "first_d": parts[1], "first_s": parts[2]})
+
+    found = settle(mine.groupBy("shard").cogroup(known.groupBy("shard")).applyInPandas(lambda m, k: pd.concat([*stream(m, k), nothing]), "akey long, ctx long, whole boolean, o array<int>, first_d array<long>, first_s array<int>"), "found")
+    zipped = found.select("akey", "ctx", "whole", F.arrays_zip("o", "first_d", "first_s").alias("found"))
+    # what several automata have found in one run is put together
+    pairs = zipped.where("NOT whole").select("akey", "ctx", F.explode("found").alias("x")).groupBy("akey", "ctx", "x.o").agg(F.min(F.struct("x.first_d", "x.first_s")).alias("first"))
+    more = pairs.groupBy("akey", "ctx").agg(F.collect_list(F.struct("o", "first.first_d", "first.first_s")).alias("found"))
+    return zipped.where("whole").select("akey", "ctx", "found").union(more)
 
 
 def remove(docs: DataFrame, window: int = WINDOW, text_out: bool = False, pattern_bytes: int = PATTERN_BYTES, stream_bytes: int = STREAM_BYTES) -> DataFrame:
