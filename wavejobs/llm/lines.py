@@ -93,13 +93,8 @@ def later(a: str = "", b: str = "b_") -> Column:
     return (F.col(f"{a}d") > F.col(f"{b}d")) | ((F.col(f"{a}d") == F.col(f"{b}d")) & (F.col(f"{a}l") > F.col(f"{b}l")))
 
 
-def once(value: Column, use) -> Column:
-    """use(value), with value worked out once however often use names it."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def texts_by_id(ids: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """id, d, l, m (distinct words), line and s0 to s3 of the classes with these ids.
+    """id, d, l, m (distinct words), h (their hashes) and s0 to s3 of the classes with these ids.
 
     s0 to s3 are a sketch of 256 bits, of which each word flips one: two lines
     differ by as many words at least as their sketches by bits. A bit table of
@@ -112,27 +107,27 @@ def texts_by_id(ids: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFram
     lines = lines_of(docs).select("k1", "k2", "line").withColumn("bits", bits.scalar())
     lines = lines.where(F.get("bits", cell("k1").cast("int")).bitwiseAND(bit) != 0).select("k1", "k2", "line")
     texts = lines.groupBy("k1", "k2").agg(F.any_value("line").alias("line"))
-    named = settle(asked.join(texts, ["k1", "k2"]).select("id", "d", "l", "line"), "named")
-    words = named.select("id", F.explode(F.array_distinct(F.transform(split_words(F.col("line")), lambda w: F.xxhash64(w)))).alias("h"))
+    hashes = F.array_distinct(F.transform(split_words(F.col("line")), lambda w: F.xxhash64(w)))
+    named = settle(asked.join(texts, ["k1", "k2"]).select("id", "d", "l", hashes.alias("h")), "named", dictionary=False)
+    words = named.select("id", F.explode("h").alias("h"))
     flipped = lambda k: F.bit_xor(F.when(F.shiftright("h", 6).bitwiseAND(F.lit(3)) == k, F.expr("shiftleft(1L, CAST(h & 63 AS INT))")).otherwise(0))
     sketches = words.groupBy("id").agg(F.count(F.lit(1)).alias("m"), *[flipped(k).alias(f"s{k}") for k in range(4)])
-    out = settle(named.join(sketches, "id"), "texts")
+    out = settle(named.join(sketches, "id"), "texts", dictionary=False)
     discard(asked, bits, named)
     return out
 
 
 def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """id: of pairs (id, b_id) the later lines whose words have the similarity with the earlier one's. Their sketches rule most of the others out."""
-    places = texts.drop("line")
+    """id: of pairs (id, b_id) the later lines whose words, by their 64-bit hashes, have the similarity with the earlier one's. Their sketches rule most of the others out."""
+    places = texts.drop("h")
     both = pairs.join(places, "id").join(places.select(*[F.col(c).alias(f"b_{c}") for c in places.columns]), "b_id")
     most = F.col("m") + F.col("b_m") - F.ceil((F.col("m") + F.col("b_m")) * F.lit(similarity / (1 + similarity)) - 1e-9) * 2
     apart = sum((F.bit_count(F.col(f"s{k}").bitwiseXOR(F.col(f"b_s{k}"))) for k in range(4)), F.lit(0))
     near = both.where((apart <= most) & (later() | later("b_", ""))).select("id", "b_id", F.when(later(), F.col("id")).otherwise(F.col("b_id")).alias("last"))
     near = settle(near, "near")
-    met = near.join(texts.select("id", "line"), "id").join(texts.select(F.col("id").alias("b_id"), F.col("line").alias("b_line")), "b_id")
-    sets = F.struct(*[F.array_distinct(split_words(F.col(c))).alias(c) for c in ("line", "b_line")])
-    counts = once(sets, lambda x: F.struct(F.size(F.array_intersect(x["line"], x["b_line"])).alias("both"), (F.size(x["line"]) + F.size(x["b_line"])).alias("all")))
-    out = settle(met.where(once(counts, lambda c: c["both"] >= (c["all"] - c["both"]) * similarity - 1e-9)).select(F.col("last").alias("id")).distinct(), "matched")
+    met = near.join(texts.select("id", "m", "h"), "id").join(texts.select(F.col("id").alias("b_id"), F.col("m").alias("b_m"), F.col("h").alias("b_h")), "b_id")
+    met = met.select("last", (F.col("m") + F.col("b_m")).alias("all"), F.size(F.array_intersect("h", "b_h")).alias("both"))
+    out = settle(met.where(F.col("both") >= F.ceil(F.col("all") * F.lit(similarity / (1 + similarity)) - 1e-9)).select(F.col("last").alias("id")).distinct(), "matched")
     discard(near)
     return out
 
@@ -144,7 +139,7 @@ def repeated(docs: DataFrame, lines: DataFrame, similarity: float = SIMILARITY)
     holds one of the n - ceil(2 s / (1 + s) * n) + 1 rarest words of the
     shorter, for any order that all lines share, and lines meet on that word.
     Length, positional and bit filters stand in the join; what passes is
-    verified on the words.
+    verified on all words.
 
     In the group of a hot word a line is compared only with the earliest one at
     first, which settles groups of near copies of any size. Then the hot words'
@@ -162,7 +157,8 @@ def repeated(docs: DataFrame, lines: DataFrame, similarity: float = SIMILARITY)
     common = F.shiftright("key", 56) >= int(4 * math.log2(HOT + 1))  # others occur HOT times at most
     hot = settle(held(rows).where(common).groupBy("key").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > HOT).select("key"), "hot")
     cold = other(held(rows).join(hot, "key", "left_anti"), "id", "n", "sig", "i")
-    pairs = rows.select("key", "id", "n", "sig", "i").join(cold, "key").where(shorter & may_match(similarity)).select("id", "b_id")
+    # a cold word has HOT lines at most, so the rows needn't be sorted to meet
+    pairs = rows.select("key", "id", "n", "sig", "i").join(cold.hint("shuffle_hash"), "key").where(shorter & may_match(similarity)).select("id", "b_id")
     own = settle(rows.join(hot, "key"), "own")
     lead = own.groupBy("key").agg(F.min(F.struct("d", "l", "id", "n", "sig", "i")).alias("m")).select("key", "m.*")
     pairs = pairs.union(own.join(other(lead, "id", "n", "sig", "i"), "key").where((F.col("id") != F.col("b_id")) & may_match(similarity)).select("id", "b_id"))
@@ -202,7 +198,10 @@ def dedup(docs: DataFrame, similarity: float = SIMILARITY, cells: int = CELLS) -
     lines = settle(features(docs, similarity, cells), "lines", dictionary=False)
     places = settle(lines.select("doc_id", "t", "n_lines", "l", "k1", "k2"), "places")
     state = repeated(docs, lines, similarity).select("k1", "k2", F.col("d").alias("first_d"), F.col("l").alias("first_l"), "again")
-    places = places.join(state, ["k1", "k2"], "left")
-    gone = F.col("again") | (F.coalesce("doc_id", F.lit(_LAST)) != F.col("first_d")) | (F.col("l") != F.col("first_l"))
-    per = places.groupBy("doc_id", "t", "n_lines").agg(F.sort_array(F.collect_set(F.when(gone, F.col("l")))).alias("removed"), F.count(F.when(F.col("l") == 0, 1)).alias("rows"))
-    return per.select("doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.size("removed").cast("long").alias("n_removed"), "removed", F.explode(F.sequence(F.lit(1), F.col("rows"))).alias("row")).drop("row")
+    placed = places.join(state, ["k1", "k2"])
+    gone = placed.where(F.col("again") | (F.coalesce("doc_id", F.lit(_LAST)) != F.col("first_d")) | (F.col("l") != F.col("first_l")))
+    per = gone.groupBy(F.col("doc_id").alias("gone_id"), F.col("t").alias("gone_t"), F.col("n_lines").alias("gone_n")).agg(F.sort_array(F.collect_set("l")).alias("removed"))
+    rows = places.where("l = 0").select("doc_id", "t", "n_lines")  # every document has a line 0
+    out = rows.join(per, F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.col("t") == F.col("gone_t")) & (F.col("n_lines") == F.col("gone_n")), "left")
+    removed = F.coalesce("removed", F.array().cast("array<int>"))
+    return out.select("doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.size(removed).cast("long").alias("n_removed"), removed.alias("removed"))
