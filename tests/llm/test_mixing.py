@@ -4,6 +4,8 @@ import random
 import zlib
 from collections import Counter, defaultdict
 
+from pyspark.sql import functions as F
+
 from wavejobs.llm import mixing, sharding
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, size string, copies string, shard string"
@@ -80,5 +82,5 @@ def test_shards(spark):
 def test_splitters_are_ordered_and_found(spark):
     cuts = [(1, 5), (1, 9), (4, 0)]
     df = spark.createDataFrame([(h, d) for h in range(-1, 6) for d in range(0, 12, 3)], "h long, d long")
-    got = df.select("h", "d", sharding.range_of(df.h, df.d, cuts).alias("r")).collect()
+    got = sharding.ranged(df, cuts).select("h", "d", F.col("range").alias("r")).collect()
     assert all(r.r == sum(c <= (r.h, r.d) for c in cuts) for r in got)

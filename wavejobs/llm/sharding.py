@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wavejobs.llm.common import digest60, settle
@@ -30,15 +30,17 @@ def splitters(rows: DataFrame, total: int, ranges: int = RANGES) -> list[tuple[i
     return sorted(set(keys[step::step]))
 
 
-def range_of(h: Column, d: Column, cuts: list[tuple[int, int]]) -> Column:
-    """The number of cuts that are at or below (h, d), by binary search in a constant array."""
+def ranged(rows: DataFrame, cuts: list[tuple[int, int]]) -> DataFrame:
+    """rows with range: the number of cuts that are at or below (h, d), by binary search in one array, which a subquery of one row gives."""
     if not cuts:
-        return F.lit(0)
+        return rows.withColumn("range", F.lit(0))
     n = 1 << len(cuts).bit_length()
-    padded = F.array(*[F.struct(F.lit(a).cast("long").alias("h"), F.lit(b).cast("long").alias("d")) for a, b in cuts])
+    one = rows.sparkSession.createDataFrame([(cuts,)], "cuts array<struct<h:long,d:long>>")
     steps = F.array(*[F.lit(n >> i) for i in range(1, n.bit_length())])
-    key = F.struct(h.alias("h"), d.alias("d"))
-    return F.aggregate(steps, F.lit(0), lambda low, step: F.when(F.get(padded, low + step - 1) <= key, low + step).otherwise(low))
+    key = F.struct("h", "d")
+    # cuts is used once, so that Spark puts the subquery's value into the lambda and no row holds a copy of it
+    found = F.aggregate(steps, F.lit(0), lambda low, step: F.when(F.get("cuts", low + step - 1) <= key, low + step).otherwise(low))
+    return rows.withColumn("cuts", one.scalar()).select(*rows.columns, found.alias("range"))
 
 
 def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
@@ -54,8 +56,8 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     texts stand together and go by the middle of their group; a group over an
     eighth of a shard is subdivided over as many shards as it spans.
 
-    Null text has no bytes, a null text_crc32, and forms one group; a null
-    doc_id sorts first within its group. Rows that repeat whole tie and may
+    Null text has no bytes, a null text_crc32, and forms one group; texts of any
+    length count whole; a null doc_id sorts first within its group. Rows that repeat whole tie and may
     swap slots. An empty table gives no rows. Columns other than doc_id and text
     are not looked at.
     """
@@ -71,13 +73,13 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     )
     total = rows.agg(F.sum("size")).first()[0] or 0
     cuts = splitters(rows, total)
-    ranged = rows.withColumn("range", range_of(F.col("h"), F.col("d"), cuts))
+    cut = ranged(rows, cuts)
     before = Window.partitionBy(F.lit(1)).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = ranged.groupBy("range").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n"))
+    starts = cut.groupBy("range").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n"))
     starts = starts.select("range", F.coalesce(F.sum("bytes").over(before), F.lit(0)).alias("bytes_before"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("rows_before"))
     order = Window.partitionBy("range").orderBy("h", "d", "doc_id")
     placed = (
-        ranged.withColumn("rank", F.row_number().over(order))
+        cut.withColumn("rank", F.row_number().over(order))
         .withColumn("start", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
         .join(F.broadcast(starts), "range")  # one row per range: RANGES at most
         .select("doc_id", "size", "text_crc32", "h", (F.col("rank") - 1 + F.col("rows_before")).alias("rank"), (F.col("start") + F.col("bytes_before")).alias("start"))
