@@ -71,3 +71,23 @@ def test_every_copy_in_a_row():
                 assert [h[0] for h in hits] == [name] * n, (text, n, len(hits))
     two = scanner.scan("Licensed under CC BY 4.0. Licensed under CC BY-NC 4.0.")
     assert [h[0] for h in two] == ["CC-BY-4.0", "CC-BY-NC-4.0"]
+
+
+def test_against_every_window():
+    """A notice with words left out and put in is found if and only if some window of the text aligns well enough."""
+    rng = random.Random(12)
+    prose = [f"prose{i}" for i in range(50)]
+    both = [0, 0]
+    for _ in range(60):
+        name = rng.choice(["Apache-2.0", "MIT", "BSD", "GPL-3.0", "MPL-2.0"])
+        template = licenses.words(licenses.TEMPLATES[name][-1])
+        own = [w for w in template if rng.random() > rng.choice((0.1, 0.18, 0.25))]
+        for _ in range(rng.randint(0, 3)):
+            own.insert(rng.randrange(len(own)), rng.choice(prose))
+        text = [*rng.choices(prose, k=6), *own, *rng.choices(prose, k=6)]
+        size = len(template)
+        best = max(len(licenses.align(text[p:q], template)) for p in range(0, 10) for q in range(len(text) - 10, len(text) + 1))
+        found = [h for h in licenses.Scanner({name: licenses.TEMPLATES[name][-1:]}, 0.8).scan(" ".join(text))]
+        assert bool(found) == (best >= 0.8 * size), (name, best / size)
+        both[bool(found)] += 1
+    assert min(both) > 5

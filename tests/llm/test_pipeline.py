@@ -60,6 +60,29 @@ def test_stages(spark, tmp_path):
         if d is not None and d not in toxic:
             first.setdefault(t or "", d)
     assert ids(two) == sorted([*first.values(), None], key=str)
+    three = step(2, two)
+    assert ids(three) == sorted((d for d in [*first.values(), None] if d not in leaks), key=str)
+
+
+CLASH = DOCS + ", t long, row string, h int, id long, key1 long, copies int, component_id string"
+
+
+def test_rows_under_one_id_and_clashing_names(spark):
+    one, other = "alpha beta gamma delta epsilon zeta eta theta", "one two three four five six seven eight nine"
+    rows = [(5, one), (5, other), (5, one), (6, one), (7, None), (8, ""), (None, one), (None, one)]
+    docs = spark.createDataFrame([(d, t, "en", "s", 0, 1, "x", 2, 3, 4, 5, "y") for d, t in rows], CLASH)
+    stay = cp.near_copies_out(spark, docs, "")
+    assert stay.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in stay.collect()), key=repr) == sorted([(5, one), (5, other), (7, None), (None, one), (None, one)], key=repr)
+    taken = cp.mixed(spark, docs, "")
+    assert taken.columns == docs.columns and taken.count() == sum(r.copies for r in mixing.mix(docs).collect())
+
+
+def test_run_on_empty_tables(spark, tmp_path):
+    spark.createDataFrame([], DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert cp.run(spark, str(tmp_path)).collect() == []
 
 
 def test_mixing_and_sharding_stages(spark):
