@@ -32,7 +32,7 @@ def near_copies_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     text = F.coalesce(F.xxhash64("text"), F.lit(0))
     own = docs.where("doc_id IS NOT NULL")
     grouped = simhash.group(own.select("doc_id", "text", text.alias("t")), keep=("t",)).where("doc_id = component_id")
-    first = grouped.groupBy("component_id").agg(F.min("t").alias("t")).select(F.col("component_id").alias("id"), "t")
+    first = grouped.groupBy("root").agg(F.min("t").alias("t"), F.min("component_id").alias("id"))
     rows = own.select("doc_id", text.alias("t"), F.struct(*docs.columns).alias("row"), F.xxhash64(*docs.columns).alias("h"))
     stay = rows.join(first, (rows.doc_id == first.id) & (rows.t == first.t), "left_semi").groupBy("doc_id", "t").agg(F.min_by("row", "h").alias("row"))
     return stay.select("row.*").union(docs.where("doc_id IS NULL"))

@@ -210,10 +210,11 @@ def links(fps: DataFrame, radius: int = RADIUS, segments: int = SEGMENTS) -> Dat
 
 
 def group(docs: DataFrame, radius: int = RADIUS, segments: int = SEGMENTS, keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row per document: doc_id, fingerprint (16 hex digits), component_id.
+    """One row per document: doc_id, fingerprint (16 hex digits), component_id, root.
 
     Fingerprints link at radius or fewer differing bits; component_id is the
-    smallest doc_id reachable. Equal fingerprints are compared once.
+    smallest doc_id reachable, root a fingerprint that names the group (one
+    doc_id can be the smallest of two groups). Equal fingerprints are compared once.
 
     Null and empty texts have fingerprint zero, which links like any other. A
     row with a null doc_id gets the component of its fingerprint but never names
@@ -226,5 +227,5 @@ def group(docs: DataFrame, radius: int = RADIUS, segments: int = SEGMENTS, keep:
     roots = components(links(nodes.select("fp"), radius, segments))
     rooted = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = settle(rooted.join(smallest, "root").select("fp", "component_id"), "components")
-    return fps.join(named, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", *keep)
+    named = settle(rooted.join(smallest, "root").select("fp", "component_id", "root"), "components")
+    return fps.join(named, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "root", *keep)
