@@ -70,9 +70,10 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: f
     """
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)).cast("long"), F.lit(0).cast("long"))
     power = F.length(F.bin("size")) - 1
-    h = F.conv(F.substring(F.md5(F.col("doc_id").cast("string")), 1, 8), 16, 10).cast("long")
+    row = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(" "), F.coalesce("text", F.lit("")))  # the text too, so that a null or repeated id is dealt over salts
+    h = F.conv(F.substring(F.md5(row), 1, 8), 16, 10).cast("long")
     sizes = settle(
-        docs.select(*keep, "doc_id", "source", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")).alias("skey"), size.alias("size"), F.coalesce(h, F.lit(0)).alias("h")).select(
+        docs.select(*keep, "doc_id", "source", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")).alias("skey"), size.alias("size"), h.alias("h")).select(
             "*",
             F.when(F.col("size") == 0, 0).when(F.col("size") < 8, F.col("size")).otherwise(power * 8 + F.expr("shiftright(size, length(bin(size)) - 4)")).cast("int").alias("class"),
             F.pmod(F.col("h"), F.lit(SALTS)).cast("int").alias("salt"),
@@ -109,7 +110,7 @@ def take(docs: DataFrame) -> DataFrame:
 
 ORACLE = """
 WITH d AS (SELECT doc_id, source, coalesce('s' || source, 'n') AS skey, coalesce(length(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size,
-    coalesce(('0x' || substr(md5(doc_id::VARCHAR), 1, 8))::BIGINT, 0) AS h FROM documents),
+    ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ' ' || coalesce(text, '')), 1, 8))::BIGINT AS h FROM documents),
 k AS (SELECT *, CASE WHEN size < 8 THEN size ELSE (length(bin(size)) - 1) * 8 + (size >> (length(bin(size)) - 4)) END AS class, h % 64 AS salt FROM d),
 per AS (SELECT skey, source, sum(size)::BIGINT AS source_size FROM d GROUP BY ALL),
 w AS (SELECT *, [5.0, 2.0, 1.0][((rank - 1) % 3 + 1)::INT]::DOUBLE AS weight, source_size * 2.0::DOUBLE AS cap
