@@ -67,7 +67,8 @@ def vocabulary(docs: DataFrame, shortest: int = SHORTEST, least: int = LEAST) ->
                     if len(held) > HELD:
                         yield give()
                         held.clear()
-        yield give()
+        if held:
+            yield give()
 
     doc = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     return docs.select(doc.alias("doc"), "text").mapInPandas(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
