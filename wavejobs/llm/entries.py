@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wavejobs.llm import benchmarks, embeddings, licenses, lines, mixing, passages, sharding, simhash, spelling, toxicity, warc
+from wavejobs.llm import alignment, benchmarks, embeddings, licenses, lines, mixing, passages, sharding, simhash, spelling, toxicity, walks, warc
 from wavejobs.sources.tables import table
 
 
@@ -54,8 +54,16 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.group(table(spark, sf_dir, "documents"))
 
 
+def op12_edit_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return walks.edit_test(table(spark, sf_dir, "documents"))
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op2_simhash, op3_substring_dedup, op4_line_dedup, op5_warc, op6_decontamination, op7_embedding_neighbours, op8_source_mixing, op9_toxicity, op10_sharding, op11_spelling_variants)}
+    return {f.__name__: f for f in (op1_license_scan, op2_simhash, op3_substring_dedup, op4_line_dedup, op5_warc, op6_decontamination, op7_embedding_neighbours, op8_source_mixing, op9_toxicity, op10_sharding, op11_spelling_variants, op12_edit_fingerprints, op13_token_alignment)}
 
 
 def oracle_sql() -> dict[str, str]:
