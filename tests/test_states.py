@@ -72,7 +72,7 @@ def test_empty_pipe_and_air(spark, seed):
                 air = s >= 0.02 if not air else s >= 0.01
             assert (got[r[2]].empty_pipe, got[r[2]].air_bubble) == (on, air)
     with pytest.raises(ValueError):
-        states.empty_pipe(df, on=2, off=2)
+        states.air_bubble(df, 0.004, recovery=1.5)
 
 
 @pytest.mark.parametrize("most", [1, 7, 50, 1000])

@@ -216,8 +216,6 @@ def test_captures(spark, tmp_path):
     (tmp_path / "a.csv").write_text("timestamp,serial,label,s_0,s_10,s_2\n2024-01-01T00:00:00Z,x1,good,1,3,2\n2024-01-01T00:00:01Z,x1,poor,1,oops,2\n")
     got = captures.read_capture(spark, f"{tmp_path}/a.csv").collect()
     assert len(got) == 1 and got[0].samples == [1.0, 2.0, 3.0]
-    numbered = captures.with_row_numbers(spark, spark.range(50).repartition(3)).collect()
-    assert sorted(r.source_row for r in numbered) == list(range(1, 51))
     (tmp_path / "log.jsonl").write_text('{"serial":"A","v":1}\n\nnot json\n[1]\n{"serial":"B","v":2}\n{"serial":"A","v":\n')
     log = captures.read_log(spark, f"{tmp_path}/log.jsonl", "serial string, v double")
     assert sorted((r.serial, r.v) for r in log.collect()) == [("A", 1.0), ("B", 2.0)]
@@ -236,11 +234,42 @@ def test_payloads(spark):
     text = '{"payload":{"flow":{"fs":"0.001","fr":"x"},"diagnose":{"sq":"77"},"pipe":{"pd":"26.67","pt":"2.87"},"dt_ns":"0"},"pub_dt_ns":"5"}'
     t = spark.createDataFrame([(text,)], "p string")
     r = t.select(captures.decode_telemetry(t.p).alias("t")).first().t
-    assert (r.sq, r.pub_fs_mps, r.pub_fr_m3h, r.device_dt_ns) == (77.0, 0.001, None, 5) and abs(r.pipe_area_m2 - math.pi * 0.02093**2 / 4) < 1e-9
+    assert (r.sq, r.pub_fs_mps, r.pub_fr_m3h, r.device_dt_ns) == (77.0, 0.001, None, None) and abs(r.pipe_area_from_geometry_m2 - math.pi * 0.02093**2 / 4) < 1e-9
     waves, meters = stream.route(spark.createDataFrame([("meter/sig/ab-1", T0, "[1]"), ("meter/pub/ab-1", T0, text), ("other", T0, "")], "topic string, ts timestamp, payload string"))
     assert [(w.serial, w.samples) for w in waves.collect()] == [("AB-1", [1.0])] and meters.first().serial == "AB-1"
 
 
+def test_telemetry_fields(spark):
+    texts = [
+        '{"diag":{"sq":null},"diagnostic":{"sq":"nan"},"payload":{"diagnose":{"sq":" 61 ","tt":5,"dt":"-2e3"},"corrected":{"pipe_area":"0.0003","corr_fs":0.5},"dt_ns":0,"pub_dt_ns":"","device_dt_ns":12.7}}',
+        '{"diagnose":{"sq":3},"payload":"text","flow":{"fs":1,"ots":41.5},"raw":{"flow_total":true},"measure_config":{"kf":"1.01"},"pipe":{"pd":10,"pt":6},"dt_ns":"12.7","pub_dt_ns":9}',
+        "[1, 2]", "nothing", None, '{"payload":{},"flow":{"fs":1}}',
+    ]
+    t = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i int, p string")
+    got = {r.i: r.t.asDict() for r in t.select("i", captures.decode_telemetry(t.p).alias("t")).collect()}
+    assert len(got[0]) == 31 and set(got[0]) == set(captures.telemetry_fields())
+    known = lambda i: {k: v for k, v in got[i].items() if v is not None}
+    assert known(0) == {"sq": 61.0, "diagnose_tt_ns": 5.0, "diagnose_tt": 5.0, "diagnose_dt_ns": -2000.0, "diagnose_dt": -2000.0, "pipe_area_m2": 0.0003, "corr_fs_mps": 0.5, "device_dt_ns": 12}
+    assert known(1) == {"sq": 3.0, "pub_fs_mps": 1.0, "onboard_temperature_c": 41.5, "ots": 41.5, "measure_kf": 1.01, "pipe_outer_diameter_mm": 10.0, "pipe_wall_thickness_mm": 6.0}
+    assert [known(i) for i in range(2, 6)] == [{}] * 4
+
+
+def test_from_telemetry_to_the_tracker(spark):
+    """A message's fields reach the tracker under the names that it looks for."""
+    said = [
+        '{"flow":{"fs":"0.001","ots":"30"},"pipe":{"pd":26.67,"pt":2.87}}', '{"raw":{"flow_speed":0.002},"corrected":{"pipe_area":0.0004}}', '{"corrected":{"zero_corr_fs":0.003,"corr_fs":9}}',
+        '{"corrected":{"corr_fs":0.004,"zero_corr_fr":1}}', '{"raw":{"flow_rate":0.5}}', '{"corrected":{"corr_fr":0.25},"pipe":{"pd":40,"pt":5}}',
+    ]
+    t = spark.createDataFrame([("A", T0 + dt.timedelta(seconds=i), i, x) for i, x in enumerate(said)], "serial string, ts timestamp, id long, p string")
+    frames = t.select("serial", "ts", "id", captures.decode_telemetry(t.p).alias("t")).select("serial", "ts", "id", "t.*").withColumn("source_type", F.lit("pub_only"))
+    got = {r.id: r for r in prepared(frames).join(frames.select("id"), "id").collect()}
+    own, usual = [math.pi * x**2 / 4 for x in (0.02093, 0.03)], zero.Config().area_m2
+    assert [round(got[i].speed, 9) for i in range(4)] == [0.001, 0.002, 0.003, 0.004]
+    assert math.isclose(got[4].speed, 0.5 / (usual * 3600)) and math.isclose(got[5].speed, 0.25 / (own[1] * 3600))
+    assert math.isclose(got[0].per_speed, own[0] * 3600) and got[1].per_speed == 0.0004 * 3600 and got[0].heat == 30
+    assert zero.track(frames).count() == 6
+
+
 def test_meters_in_batches(spark):
     frame = spark.createDataFrame(night(4, 90), SCHEMA)
     narrow = prepared(frame).orderBy("us").toPandas()

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from wavejobs.functions.columns import FEATURES
 from wavejobs.functions.waveform import Profile, features
 from wavejobs.operators.order import folded
+from wavejobs.operators.states import EMPTY, NORMAL, SATURATED, WEAK
 
 
 @dataclass
@@ -26,12 +27,27 @@ class Adaptive:
     template_alpha: float = 0.02
     center_alpha: float = 0.02
     headroom: float = 0.95
+    anomaly: float = float("inf")
 
     def start(self) -> dict:
         return {"template": self.profile.template.copy(), "centers": {f: self.stats[f]["center"] for f in FEATURES}, "recent": [], "updates": 0}
 
     def step(self, state: dict, wave: np.ndarray, good: bool = True) -> tuple[float, bool, int]:
         """(score, trained, updates) of a frame; state moves on."""
+        return self.judged(state, wave, good)[1:]
+
+    def raw_state(self, x: dict[str, float], score: float) -> str:
+        """What states.raw_state() says of a frame's features and score."""
+        s = self.stats
+        if x["low_clip_ratio"] > max(s["low_clip_ratio"]["p99"] + 0.02, 0.08) or x["high_clip_ratio"] > max(s["high_clip_ratio"]["p99"] + 0.005, 0.005):
+            return SATURATED
+        weak = sum(x[f] < s[f]["p01"] for f in ("gate_rms_v", "peak_abs_gate_v", "snr_db", "template_corr"))
+        if weak >= 2:
+            return EMPTY if weak >= 3 else WEAK
+        return "waveform_anomaly" if score >= self.anomaly else "signal_quality_suspect" if score >= self.suspect else NORMAL
+
+    def judged(self, state: dict, wave: np.ndarray, good: bool = True) -> tuple[dict[str, float], float, bool, int]:
+        """(features, score, trained, updates) of a frame; state moves on."""
         p = self.profile
         own = Profile(state["template"], p.peak, p.gate_start, p.gate_end, p.baseline, p.low, p.high, p.arrival, p.eps)
         x = {n: float(v[0]) for n, v in features(wave[None, :], own).items()}
@@ -52,7 +68,7 @@ class Adaptive:
             state["template"] = state["template"] + self.template_alpha * (gate - state["template"])
             state["centers"] = {f: c + self.center_alpha * (x[f] - c) for f, c in state["centers"].items()}
             state["updates"] += 1
-        return score, trained, state["updates"]
+        return x, score, trained, state["updates"]
 
 
 def adapt(frames: DataFrame, model: Adaptive, key: str = "serial", ts: str = "ts", tie: str = "id", samples: str = "samples", good: str | None = None) -> DataFrame:

@@ -9,6 +9,9 @@ from wavejobs.functions.columns import DAILY_BANDS, band, clamp, micros, py_roun
 
 WEIGHTS = {"coupling": 0.30, "signal_strength": 0.20, "sq_quality": 0.20, "stability": 0.15, "incident_burden": 0.15}
 
+#: A day's 5th percentile of the frames' health that is worth a message. Fixed value.
+LOW_HEALTH = 60
+
 
 def intervals(events: DataFrame, detect: str, clear: str, key: str = "serial", ts: str = "ts", tie: str = "id", event: str = "event") -> DataFrame:
     """key, start, end (null if still open) of each detect-to-clear interval; repeated detects and clears without a detect don't count."""
@@ -37,7 +40,7 @@ def cadence(df: DataFrame, key: str = "serial", ts: str = "ts", tie: str = "id",
 
 
 def report(frames: DataFrame, stats: dict[str, tuple[float, float]], minutes: DataFrame | None = None, key: str = "serial", ts: str = "ts", tie: str = "id", digits: int = 1) -> DataFrame:
-    """One row per key and day from frames with template_corr, snr_db, gate_rms_v, sq and label.
+    """One row per key and day from frames with template_corr, snr_db, gate_rms_v, sq and label, and `health`, the frames' own, if they have it.
 
     stats: (center, robust sigma) of the three features. minutes: key, date,
     empty_minutes, air_minutes. Subscores are rounded before they are weighted.
@@ -49,6 +52,7 @@ def report(frames: DataFrame, stats: dict[str, tuple[float, float]], minutes: Da
         F.coalesce(F.stddev_samp("template_corr"), F.lit(0.0)).alias("std_template_corr"),
         F.count(F.when(F.col("label") == "anomaly", 1)).alias("anomaly_frames"),
         F.count(F.when(F.col("label") == "suspect", 1)).alias("suspect_frames"),
+        (F.percentile("health", F.lit(0.05)) if "health" in frames.columns else F.lit(None).cast("double")).alias("p05_health"),
     ).join(cadence(frames, key, ts, tie), [key, "date"])
     if minutes is not None:
         daily = daily.join(minutes, [key, "date"], "left")
@@ -73,7 +77,7 @@ def report(frames: DataFrame, stats: dict[str, tuple[float, float]], minutes: Da
 
 
 def highlights() -> Column:
-    """A day's messages, in order; the suspect one only without others before it."""
+    """A day's messages, in order; the suspect one only without others before it. That the frames' health dipped goes with any other."""
     n = lambda c: F.format_string("%.0f", F.col(c).cast("double"))
     first = F.array_compact(
         F.array(
@@ -84,7 +88,9 @@ def highlights() -> Column:
     )
     mild = F.when((F.size(first) == 0) & (F.col("suspect_frames") > 0), F.array(F.concat(n("suspect_frames"), F.lit(" suspect frames")))).otherwise(first)
     every = F.when(F.col("uptime") < 80, F.concat(mild, F.array(F.concat(F.lit("uptime of only "), n("uptime"), F.lit("%"))))).otherwise(mild)
-    return F.when(F.size(every) > 0, every).otherwise(F.array(F.lit("clean day")))
+    told = F.when(F.size(every) > 0, every).otherwise(F.array(F.lit("clean day")))
+    dipped = F.concat(F.lit("realtime flow health dipped to p05="), n("p05_health"))
+    return F.when(F.col("p05_health") < LOW_HEALTH, F.concat(told, F.array(dipped))).otherwise(told)
 
 
 def trend(reports: DataFrame, columns: list[str], key: str = "serial", date: str = "date", n: int = 7) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wavejobs.functions.columns import SIGMA_FLOOR, peak_mode, score_label
@@ -17,48 +17,64 @@ MODE_ROWS = 25
 ACCURACY = 10_000
 
 
-def quantiles(values: DataFrame, qs: list[float], keys: list[str] = (), value: str = "value", exact: bool = True, accuracy: int = ACCURACY) -> DataFrame:
+def quantiles(values: DataFrame, qs: list[float], keys: list[str] = (), value: str = "value", exact: bool = True, accuracy: int = ACCURACY, few_keys: bool = True) -> DataFrame:
     """keys, n and q, an array: linear interpolation between the sorted values at each of qs. Nulls don't count.
 
     A sketch of each group (combinable, of bounded size) brackets each quantile
-    between two values. If exact, a second pass counts the values below each
-    bracket and the different values inside, a few of ACCURACY's parts of all;
-    only these are sorted, so that no task holds a group's values. If not, the
-    sketch's values are the answer, at most one of `accuracy` parts of all ranks off.
+    between two values. If not exact, the sketch's values are the answer, at most
+    one of `accuracy` parts of all ranks off. Else one more pass counts, before
+    its shuffle, the rows of each gap between brackets and those of each value
+    inside one, a few of ACCURACY's parts of all. Running counts over a bracket's
+    values, sorted on disk where need be, give the value at a rank; no array or
+    buffer grows with the data.
+
+    few_keys says that there are few groups (features, modes, splits), so that
+    their brackets can be broadcast; else they are joined.
     """
     held = values.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("v"))
     at = lambda shift: F.array(*[F.lit(min(1.0, max(0.0, q + shift))) for q in qs])
     sketched = lambda shift: F.percentile_approx("v", at(shift), F.lit(accuracy))
     if not exact:
         return held.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), sketched(0.0).alias("q"))
-    few = 2.0 / accuracy
+    few, side = 2.0 / accuracy, F.broadcast if few_keys else (lambda df: df)
     ids = [f"key{i}" for i in range(len(keys))]
     named = held.select(*[F.col(k).alias(i) for k, i in zip(keys, ids)], F.lit(0).alias("all"), "v")
     by = ["all", *ids]
-    n, every = F.count(F.lit(1)), lambda c: F.array_repeat(c, len(qs))  # a group of few values is its own bracket
-    cut = lambda shift, end: F.when(n <= accuracy, every(end("v"))).otherwise(sketched(shift))
-    bounds = named.groupBy(*by).agg(n.alias("n"), cut(-few, F.min).alias("low"), cut(few, F.max).alias("high"))
-    side = bounds.select(*[F.col(c).alias(f"b_{c}") for c in by], "n", "low", "high")
-    met = named.join(side, reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"b_{c}")) for c in by]))
-    places = F.array(*[F.struct(F.lit(i).alias("i"), F.get("low", F.lit(i)).alias("low"), F.get("high", F.lit(i)).alias("high")) for i in range(len(qs))])
-    inside = met.select(*by, "v", F.explode(F.filter(places, lambda p: (F.col("v") >= p["low"]) & (F.col("v") <= p["high"]))).alias("p"))
-    counts = inside.groupBy(*by, "p.i", "v").agg(F.count(F.lit(1)).alias("c"))
-    steps = counts.groupBy(*by, "i").agg(F.array_sort(F.collect_list(F.struct("v", "c"))).alias("steps"))
-    below = met.groupBy(*by, "n").agg(F.array(*[F.count(F.when(F.col("v") < F.get("low", F.lit(i)), 1)) for i in range(len(qs))]).alias("below"))
-    one = steps.select(*[F.col(c).alias(f"s_{c}") for c in by], "i", "steps")
-    joined = one.join(below, reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"s_{c}")) for c in by]))
-    place = F.get(F.array(*[F.lit(q) for q in qs]), F.col("i")) * (F.col("n") - 1)
-
-    def ranked(rank: Column) -> Column:
-        """The value of a 0-based rank: the first step whose running count passes it."""
-        start = F.struct(F.get("below", F.col("i")).alias("seen"), F.lit(None).cast("double").alias("v"))
-        walk = lambda a, x: F.struct((a["seen"] + x["c"]).alias("seen"), F.when(a["v"].isNull() & (a["seen"] + x["c"] > rank), x["v"]).otherwise(a["v"]).alias("v"))
-        return F.aggregate("steps", start, walk, lambda a: a["v"])
-
-    low, high = F.floor(place), F.ceil(place)
-    found = joined.select(*by, "n", "i", F.when(low == high, ranked(low)).otherwise((high - place) * ranked(low) + (place - low) * ranked(high)).alias("x"))
-    out = found.groupBy(*by, "n").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("q"))
-    return out.select(*[F.col(i).alias(k) for k, i in zip(keys, ids)], "n", "q")
+
+    def beside(df: DataFrame, other: DataFrame, *more: str) -> DataFrame:
+        """df with other's columns, by `by` and more; null keys are keys."""
+        on = [*by, *more]
+        renamed = other.select(*[F.col(c).alias(f"o_{c}") for c in on], *[c for c in other.columns if c not in on])
+        return df.join(side(renamed), reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"o_{c}")) for c in on])).drop(*[f"o_{c}" for c in on])
+
+    n = F.count(F.lit(1))
+    whole = lambda end: F.array_repeat(end("v"), len(qs))  # noqa: E731  a group of few values is its own bracket
+    cut = lambda shift, end: F.when(n <= accuracy, whole(end)).otherwise(sketched(shift))
+    bounds = named.groupBy(*by).agg(F.array_sort(F.arrays_zip(cut(-few, F.min).alias("low"), cut(few, F.max).alias("high"))).alias("brackets"))
+    # Brackets that touch become one, so that gaps (even parts) and brackets (odd parts) are in the order of their values.
+    last = lambda done: F.element_at(done, -1)
+    widened = lambda done, x: F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(last(done)["low"].alias("low"), F.greatest(last(done)["high"], x["high"]).alias("high"))))
+    touching = lambda done, x: (F.size(done) > 0) & (x["low"] <= F.get(done, F.size(done) - 1)["high"])
+    joined = F.aggregate("brackets", F.array().cast("array<struct<low: double, high: double>>"), lambda done, x: F.when(touching(done, x), widened(done, x)).otherwise(F.concat(done, F.array(x))))
+    ends = [F.get("joined", F.lit(i))[end].alias(f"{end}{i}") for i in range(len(qs)) for end in ("low", "high")]
+    met = beside(named, bounds.select(*by, joined.alias("joined")).select(*by, *ends))
+    passed = sum((F.coalesce(F.col("v") > F.col(f"high{i}"), F.lit(False)).cast("int") for i in range(len(qs))), F.lit(0))
+    inside = F.coalesce(reduce(lambda a, b: a | b, [F.col("v").between(F.col(f"low{i}"), F.col(f"high{i}")) for i in range(len(qs))]), F.lit(False))
+    counts = met.groupBy(*by, (passed * 2 + inside.cast("int")).alias("part"), F.when(inside, F.col("v")).alias("v")).agg(n.alias("c"))
+
+    group, upto = Window.partitionBy(*by), Window.partitionBy(*by, "part").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    totals = counts.groupBy(*by, "part").agg(F.sum("c").alias("in_part"))  # 2 * len(qs) + 1 rows a group at most
+    totals = totals.select(*by, "part", F.sum("in_part").over(group).alias("n"), (F.sum("in_part").over(group.orderBy("part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("in_part")).alias("before"))
+    running = beside(counts.where("v IS NOT NULL").withColumn("upto", F.sum("c").over(upto)), totals, "part").withColumn("upto", F.col("upto") + F.col("before"))
+    place = lambda q: F.lit(q) * (F.col("n") - 1)
+    at_rank = lambda rank: F.max(F.when((rank >= F.col("upto") - F.col("c")) & (rank < F.col("upto")), F.col("v")))
+    found = running.groupBy(*by, "n").agg(*[at_rank(end(place(q))).alias(f"{name}{i}") for i, q in enumerate(qs) for name, end in (("floor", F.floor), ("ceil", F.ceil))])
+
+    def between(i: int, q: float) -> Column:
+        low, high = F.floor(place(q)), F.ceil(place(q))
+        return F.when(low == high, F.col(f"floor{i}")).otherwise((high - place(q)) * F.col(f"floor{i}") + (place(q) - low) * F.col(f"ceil{i}"))
+
+    return found.select(*[F.col(i).alias(k) for k, i in zip(keys, ids)], "n", F.array(*[between(i, q) for i, q in enumerate(qs)]).alias("q"))
 
 
 def long_form(df: DataFrame, features: list[str], keys: list[str] = ()) -> DataFrame:
@@ -68,16 +84,16 @@ def long_form(df: DataFrame, features: list[str], keys: list[str] = ()) -> DataF
 
 
 def robust_fit(df: DataFrame, features: list[str], keys: list[str] = (), floors: dict[str, float] | None = None, exact: bool = True) -> DataFrame:
-    """Per keys and feature: n, center (median), mad, robust_sigma and the quantiles p01 to p999. Centers meet the values by a join on a table of one row per key and feature."""
+    """Per keys and feature: n, center (median), mad, robust_sigma and the quantiles p01 to p999. There are few keys (modes, splits): tables of one row per key and feature are broadcast."""
     floors = SIGMA_FLOOR if floors is None else floors
     values = long_form(df, features, keys)
     by = [*keys, "feature"]
     centers = quantiles(values, list(QUANTILES.values()), by, exact=exact)
     centers = centers.select(*by, "n", F.col("q")[2].alias("center"), *[F.col("q")[i].alias(name) for i, name in enumerate(QUANTILES)])
-    away = values.join(centers.select(*by, "center"), by).select(*by, F.abs(F.col("value") - F.col("center")).alias("value"))
+    away = values.join(F.broadcast(centers.select(*by, "center")), by).select(*by, F.abs(F.col("value") - F.col("center")).alias("value"))
     spread = quantiles(away, [0.5], by, exact=exact).select(*by, F.col("q")[0].alias("mad"))
     floor = F.coalesce(F.create_map(*[x for f in features for x in (F.lit(f), F.lit(float(floors.get(f, 1e-6))))])[F.col("feature")], F.lit(1e-6))
-    return centers.join(spread, by).withColumn("robust_sigma", F.greatest(F.col("mad") * 1.4826, floor))
+    return centers.join(F.broadcast(spread), by).withColumn("robust_sigma", F.greatest(F.col("mad") * 1.4826, floor))
 
 
 def stats_of(fit: DataFrame) -> dict[str, dict[str, float]]:
@@ -235,7 +251,7 @@ def embedding_metric(df: DataFrame, column: str = "embedding", floor: float = 1e
     """pos, center, scale of each dimension: its median and 1.4826 times the median deviation."""
     values = df.select(F.posexplode(column).alias("pos", "v")).select("pos", F.col("v").cast("double").alias("v"))
     centers = quantiles(values, [0.5], ["pos"], "v").select("pos", F.col("q")[0].alias("center"))
-    away = values.join(centers, "pos").select("pos", F.abs(F.col("v") - F.col("center")).alias("v"))
+    away = values.join(F.broadcast(centers), "pos").select("pos", F.abs(F.col("v") - F.col("center")).alias("v"))
     mads = quantiles(away, [0.5], ["pos"], "v").select("pos", F.col("q")[0].alias("mad"))
     return centers.join(mads, "pos").select("pos", "center", F.greatest(F.col("mad") * 1.4826, F.lit(floor)).alias("scale"))
 

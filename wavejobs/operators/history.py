@@ -33,8 +33,10 @@ def series(df: DataFrame, fields: list[str], texts: list[str] = (), max_points:
 
 
 def since(df: DataFrame, cutoff: datetime, ts: str = "ts", serial: str | None = None, key: str = "serial") -> DataFrame:
-    """Rows at or after cutoff, of one meter if given; both reach the scan."""
+    """Rows at or after cutoff, of one meter if given; both reach the scan. A log's partitions by `date` before the cutoff's day aren't read."""
     df = df.where(F.col(ts) >= F.lit(cutoff))
+    if dict(df.dtypes).get("date") == "date" and ts != "date":
+        df = df.where(F.col("date") >= F.to_date(F.lit(cutoff)))
     return df if serial is None else df.where(F.col(key) == serial)
 
 

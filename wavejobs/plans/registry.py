@@ -184,14 +184,19 @@ def f7_peak_mode(spark, sf_dir):
     return li.groupBy(c.peak_mode(F.col("l_quantity") - F.lit(60) * F.col("l_discount") * 10).alias("mode")).agg(F.count(F.lit(1)).alias("n"))
 
 
-MODE_SQL = f"""{FIT_SQL}, mc AS (SELECT l_returnflag AS mode, feature, count(*) AS n, median(value) AS center FROM v GROUP BY ALL),
-mm AS (SELECT l_returnflag AS mode, v.feature, median(abs(value - center)) AS mad FROM v JOIN mc ON mc.mode = l_returnflag AND mc.feature = v.feature GROUP BY ALL),
-mf AS (SELECT mode, feature, n, center, mad, greatest(1.4826 * mad, 1e-6) AS sigma FROM mc JOIN mm USING (mode, feature) WHERE mode <> 'R')"""
+MODE_SQL = f"""{FIT_SQL}, mv AS (SELECT l_returnflag || l_linestatus AS mode, {LONG_SQL} FROM lineitem), mc AS (SELECT mode, feature, count(*) AS n, median(value) AS center FROM mv GROUP BY ALL HAVING count(*) >= 1000),
+mm AS (SELECT mode, mv.feature, median(abs(value - center)) AS mad FROM mv JOIN mc USING (mode, feature) GROUP BY ALL),
+mf AS (SELECT mode, feature, n, center, mad, greatest(1.4826 * mad, 1e-6) AS sigma FROM mc JOIN mm USING (mode, feature))"""
+
+
+def moded_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines with a mode; one mode has few lines, which may be too few for a model of its own."""
+    return table(spark, sf_dir, "lineitem").withColumn("mode", F.concat("l_returnflag", "l_linestatus"))
 
 
 @query(f"WITH {MODE_SQL} SELECT mode, feature, n, round(center, 6) AS center, round(sigma, 6) AS robust_sigma FROM mf")
 def f8_mode_models(spark, sf_dir):
-    out = fit.mode_fits(table(spark, sf_dir, "lineitem").where("l_returnflag <> 'R'"), LINE_FEATURES, "l_returnflag")
+    out = fit.mode_fits(moded_lines(spark, sf_dir), LINE_FEATURES, least=1000)
     return out.select("mode", "feature", "n", F.round("center", 6).alias("center"), F.round("robust_sigma", 6).alias("robust_sigma"))
 
 
@@ -201,12 +206,12 @@ def f9_thresholds(spark, sf_dir):
     return t.select("l_returnflag", F.round("suspect", 6).alias("suspect"), F.round("anomaly", 6).alias("anomaly"))
 
 
-@query(f"""WITH {MODE_SQL}, keyed AS (SELECT l_orderkey, l_linenumber, l_returnflag AS mode, {LONG_SQL} FROM lineitem)
+@query(f"""WITH {MODE_SQL}, keyed AS (SELECT l_orderkey, l_linenumber, l_returnflag || l_linestatus AS mode, {LONG_SQL} FROM lineitem)
 SELECT l_orderkey, l_linenumber, keyed.mode, round(sqrt(sum(least(abs(value - coalesce(mf.center, fit.center)) / coalesce(mf.sigma, fit.sigma), 20) ** 2) / 4), 6) AS score
 FROM keyed JOIN fit ON keyed.feature = fit.feature LEFT JOIN mf ON mf.mode = keyed.mode AND mf.feature = keyed.feature GROUP BY ALL""")
 def f10_mode_fallback_score(spark, sf_dir):
-    li = table(spark, sf_dir, "lineitem").withColumnRenamed("l_returnflag", "mode")
-    modes = fit.mode_fits(li.where("mode <> 'R'"), LINE_FEATURES)
+    li = moded_lines(spark, sf_dir)
+    modes = fit.mode_fits(li, LINE_FEATURES, least=1000)
     out = fit.score_by_mode(li, LINE_FEATURES, fit.robust_fit(li, LINE_FEATURES), modes, ["l_orderkey", "l_linenumber"])
     return out.withColumn("score", F.round("score", 6))
 
@@ -406,7 +411,7 @@ su AS (SELECT *, frames * md / 60 AS ob, CASE WHEN mv >= 50 THEN 100 ELSE greate
 def daily_reports(spark: SparkSession, sf_dir: str, digits: int = 1) -> DataFrame:
     f = frames(spark, sf_dir)
     label = F.when(F.col("event_type") == "error", "anomaly").when(F.col("event_type") == "click", "suspect").otherwise("normal")
-    f = f.select("serial", "ts", "id", F.col("value").alias("template_corr"), F.col("value").alias("snr_db"), F.col("value").alias("gate_rms_v"), "sq", label.alias("label"), "event_type")
+    f = f.select("serial", "ts", "id", F.col("value").alias("template_corr"), F.col("value").alias("snr_db"), F.col("value").alias("gate_rms_v"), "sq", label.alias("label"), "event_type", F.col("value").alias("health"))
     minutes = daily.condition_minutes(f, "error", "view", event="event_type").select("serial", "date", F.col("minutes").alias("empty_minutes"), F.lit(0.0).alias("air_minutes"))
     return daily.report(f, {x: (50.0, 20.0) for x in ("template_corr", "snr_db", "gate_rms_v")}, minutes, digits=digits)
 
@@ -418,6 +423,31 @@ def r11_daily_aggregates(spark, sf_dir):
     return out.select("serial", "date", "frames", "anomaly_frames", "suspect_frames", F.round("median_period_s", 7).alias("median_period_s"), "coupling", "incident_burden", "stability", F.round("empty_minutes", 6).alias("empty_minutes"))
 
 
+REPORT_SQL = f"""{DAILY_SQL}, sb AS (SELECT *, cp AS coupling, cp AS signal_strength, least(100, greatest(0, coalesce(ms, 50))) AS sq_quality, greatest(0, least(100, 100 - (greatest(sd / 20, 1) - 1) * 12.5)) AS stability,
+greatest(0, 100 - least(em + (an + su * 0.5) * md / 60, ob) / greatest(ob, 1) * 100) AS incident_burden, least(100, frames * md / 864) AS uptime FROM su),
+rs AS (SELECT * REPLACE (round_even(coupling, 7) AS coupling, round_even(signal_strength, 7) AS signal_strength, round_even(sq_quality, 7) AS sq_quality, round_even(stability, 7) AS stability, round_even(incident_burden, 7) AS incident_burden, round_even(uptime, 7) AS uptime) FROM sb),
+hs AS (SELECT *, coupling * 0.3 + signal_strength * 0.2 + sq_quality * 0.2 + stability * 0.15 + incident_burden * 0.15 AS health FROM rs)"""
+
+
+@query(f"""WITH {REPORT_SQL} SELECT serial, date, round(signal_strength, 5) AS signal_strength, round(sq_quality, 5) AS sq_quality, round(uptime, 5) AS uptime, round(health, 5) AS health,
+CASE WHEN health >= 90 THEN 'Optimal' WHEN health >= 75 THEN 'Good' WHEN health >= 60 THEN 'Fair' ELSE 'Pay attention' END AS band FROM hs""")
+def r11_daily_health(spark, sf_dir):
+    """The subscores, the weighted health and its band; subscores aren't rounded to a decimal here, as ties of rounding differ between engines."""
+    out = daily_reports(spark, sf_dir, 7)
+    return out.select("serial", "date", *[F.round(x, 5).alias(x) for x in ("signal_strength", "sq_quality", "uptime", "health")], "band")
+
+
+@query(f"""WITH {REPORT_SQL}, p AS (SELECT serial, ts::DATE AS date, quantile_cont(value, 0.05) AS p05 FROM FRAMES GROUP BY ALL),
+m AS (SELECT serial, date, list_filter([CASE WHEN em > 0 THEN printf('%.0f', em) || ' min of confirmed empty or lost coupling' END, CASE WHEN an > 0 THEN an || ' anomaly frames' END], lambda x: x IS NOT NULL) AS first, su, uptime, p05 FROM hs JOIN p USING (serial, date)),
+n AS (SELECT *, CASE WHEN len(first) = 0 AND su > 0 THEN [su || ' suspect frames'] ELSE first END AS mild FROM m),
+o AS (SELECT *, CASE WHEN uptime < 80 THEN list_append(mild, 'uptime of only ' || printf('%.0f', uptime) || '%') ELSE mild END AS every FROM n),
+q AS (SELECT *, CASE WHEN len(every) > 0 THEN every ELSE ['clean day'] END AS told FROM o)
+SELECT serial, date, array_to_string(CASE WHEN p05 < 60 THEN list_append(told, 'realtime flow health dipped to p05=' || printf('%.0f', p05)) ELSE told END, '; ') AS highlights FROM q""")
+def r13_highlights(spark, sf_dir):
+    """A day's messages, with the frames' value as their health."""
+    return daily_reports(spark, sf_dir, 7).select("serial", "date", F.array_join("highlights", "; ").alias("highlights"))
+
+
 @query()
 def r11_daily_report(spark, sf_dir):
     return daily.trend(daily_reports(spark, sf_dir), ["health_score", "coupling", "stability", "incident_burden"])

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wavejobs.functions.columns import finite, first_finite, strict_pipe_area
+from wavejobs.functions.columns import finite, strict_pipe_area
 
 _SAMPLE = "s_"
 
@@ -22,7 +22,7 @@ def sample_columns(columns: list[str]) -> list[str]:
 
 
 def read_capture(spark: SparkSession, path: str, bad: str = "drop") -> DataFrame:
-    """A wide waveform CSV with its samples packed into one array, and where each row is from.
+    """A wide waveform CSV with its samples packed into one array, and where each row is from: source_file and source_row, 1-based in its file.
 
     bad: what becomes of rows with a sample that isn't a number: drop, keep (null samples) or raise.
     """
@@ -32,23 +32,31 @@ def read_capture(spark: SparkSession, path: str, bad: str = "drop") -> DataFrame
     broken = F.exists(values, lambda v: v.isNull())
     if bad == "raise":
         values = F.when(broken, F.raise_error(F.lit("a sample isn't a number"))).otherwise(values)
-    out = df.select(*[c for c in df.columns if c not in names], F.when(~broken, values).alias("samples") if bad != "raise" else values.alias("samples"), F.input_file_name().alias("source_file"))
+    rest = [c for c in df.columns if c not in names]
+    samples = F.when(~broken, values) if bad != "raise" else values
+    out = with_row_numbers(df).select(*rest, samples.alias("samples"), "source_file", "source_row")
     return out.where("samples IS NOT NULL") if bad == "drop" else out
 
 
-def with_row_numbers(spark: SparkSession, df: DataFrame, name: str = "source_row") -> DataFrame:
-    """1-based row numbers in the order of reading, to be written down once at ingest."""
-    own = df.withColumn("__at", F.monotonically_increasing_id())  # the number of a part, then a row's place in it
-    part = F.shiftright("__at", 33)
-    counts = own.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.partitionBy(F.lit(1)).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # over one row a part
-    starts = counts.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
-    numbered = own.join(starts, part == F.col("__part")).withColumn(name, F.col("__at").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("__before") + 1)
-    return numbered.select(*df.columns, name)
+def with_row_numbers(df: DataFrame) -> DataFrame:
+    """Rows read from files with source_file and source_row, 1-based in the file.
+
+    A block of a file is read by one task, from front to back. A row's number is
+    its place in its block and the rows of the file's earlier blocks, by the
+    blocks' starts in the file's metadata: however files are cut into blocks,
+    and blocks dealt to tasks, it is the same.
+    """
+    at, blocks = F.monotonically_increasing_id(), ["source_file", "__block"]
+    own = df.select(*df.columns, F.col("_metadata.file_path").alias("source_file"), F.col("_metadata.file_block_start").alias("__block"), at.alias("__at"))
+    starts = own.groupBy(*blocks).agg(F.min("__at").alias("__first"), F.count(F.lit(1)).alias("__n"))
+    before = Window.partitionBy("source_file").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)  # over a row a block
+    starts = starts.select(*blocks, "__first", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    numbered = own.join(starts, blocks).withColumn("source_row", F.col("__at") - F.col("__first") + F.col("__before") + 1)
+    return numbered.select(*df.columns, "source_file", "source_row")
 
 
 def merge(sources: dict[str, DataFrame], force_label: str | None = None, confirmed_good: bool = False) -> DataFrame:
-    """The union of captures with source_dataset and confirmed_good; columns that a source lacks are null.
+    """The union of captures with source_dataset, source_file and source_row (as read_capture() has them) and confirmed_good; columns that a source lacks are null.
 
     Captures with samples, as columns or as read_capture()'s arrays, need equally many of them: a row with another number than the most raises.
     """
@@ -58,6 +66,8 @@ def merge(sources: dict[str, DataFrame], force_label: str | None = None, confirm
     parts = []
     for name, df in sources.items():
         df = df.withColumn("source_dataset", F.lit(name))
+        for column, type_ in (("source_file", "string"), ("source_row", "long")):
+            df = df if column in df.columns else df.withColumn(column, F.lit(None).cast(type_))
         label = F.lit(force_label) if force_label else (F.col("label") if "label" in df.columns else F.lit(None).cast("string"))
         parts.append(df.withColumn("label", label).withColumn("confirmed_good", F.lit(confirmed_good) | (F.coalesce(F.col("label"), F.lit("")) == "good")))
     merged = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
@@ -152,25 +162,63 @@ def waveform_metadata(payload: Column) -> Column:
     return F.struct(*[c.alias(k) for c, k in zip(named, METADATA)], finite(F.coalesce(*[fields[k] for k in ONBOARD])).alias("onboard_temperature_c"))
 
 
-_PUB = "diagnose struct<sq:string,dt:string,tt:string>, diagnostic struct<sq:string>, diag struct<sq:string>, flow struct<fs:string,fr:string,tfs:string,tfr:string,ft:string,ots:string>, pipe struct<pd:string,pt:string>, dt_ns string, pub_dt_ns string, device_dt_ns string"
+#: What a telemetry message has in each of its parts, and under which name it goes on. Fixed values.
+TELEMETRY = {
+    "flow": {"fs": "pub_fs_mps", "fr": "pub_fr_m3h", "tfs": "pub_tfs_mps", "tfr": "pub_tfr_m3h", "ft": "pub_flow_total_m3", "ots": "onboard_temperature_c"},
+    "raw": {"flow_speed": "raw_flow_speed_mps", "flow_rate": "raw_flow_rate_m3h", "flow_total": "raw_flow_total_m3"},
+    "corrected": {
+        "zero_corr_fs": "zero_corr_fs_mps", "zero_corr_fr": "zero_corr_fr_m3h", "corr_fs": "corr_fs_mps", "corr_fr": "corr_fr_m3h",
+        "flow_speed_zero_offset": "flow_speed_zero_offset_mps", "low_flow_cutoff": "low_flow_cutoff_mps", "pipe_area": "pipe_area_m2",
+    },
+    "measure_config": {"zero": "measure_zero", "lfc": "measure_lfc", "ledlfc": "measure_ledlfc", "kf": "measure_kf"},
+    "diagnose": {"tt": "diagnose_tt_ns", "dt": "diagnose_dt_ns"},
+}
+#: Second names of some of these. Fixed values.
+ALIASES = {"ots": "onboard_temperature_c", "diagnose_tt": "diagnose_tt_ns", "diagnose_dt": "diagnose_dt_ns"}
+CLOCKS = ("dt_ns", "pub_dt_ns", "device_dt_ns")
+#: Where the signal quality stands, in order. Fixed values.
+SQ_PATHS = ("diagnose.sq", "diagnostic.sq", "diag.sq", "payload.diagnose.sq")
+
+
+def telemetry_fields() -> list[str]:
+    """The names of decode_telemetry()'s fields."""
+    named = [n for part in TELEMETRY.values() for n in part.values()]
+    return ["sq", "device_dt_ns", "pipe_outer_diameter_mm", "pipe_wall_thickness_mm", "pipe_inner_diameter_mm", "pipe_area_from_geometry_m2", *named, *ALIASES]
 
 
 def decode_telemetry(payload: Column) -> Column:
-    """A struct of what a telemetry message says: sq, fs, fr, ft, ots, pipe sizes and area, device time. Numbers may be text; a `payload` is unwrapped."""
-    outer = F.from_json(payload.cast("string"), f"{_PUB}, payload struct<{_PUB.replace(' struct', ':struct').replace('dt_ns string', 'dt_ns:string')}>")
-    pick = lambda *path: F.coalesce(*[finite(reduce(lambda c, f: c[f], p.split("."), root)) for root in (outer["payload"], outer) for p in path])
-    first = lambda *path: first_finite(*[reduce(lambda c, f: c[f], p.split("."), root) for root in (outer, outer["payload"]) for p in path])
-    pd, pt = pick("pipe.pd"), pick("pipe.pt")
-    clock = F.coalesce(*[F.nullif(root[f].try_cast("long"), F.lit(0)) for root in (outer, outer["payload"]) for f in ("dt_ns", "pub_dt_ns", "device_dt_ns")])
+    """A struct of all that a telemetry message says: telemetry_fields(). The text is parsed once, to a variant; fields are read by path.
+
+    A `payload` that is an object is unwrapped, and then only it counts, but for
+    the signal quality, which is looked for outside first. Numbers may be text;
+    what isn't a finite number is null. The inner diameter and the area need
+    both sizes of the pipe and a bore. The device's clock is the first of CLOCKS
+    that is neither null, 0 nor empty; null if that is no positive integer.
+    Messages that aren't JSON objects have nulls only.
+    """
+    whole = F.try_parse_json(payload.cast("string"))
+    is_object = lambda v: F.schema_of_variant(v).startswith("OBJECT")
+    inner = F.try_variant_get(whole, "$.payload", "variant")
+    root = F.when(is_object(inner), inner).otherwise(whole)
+    number = lambda v, path: finite(F.try_variant_get(v, f"$.{path}", "string"))
+    found = {name: number(root, f"{part}.{field}") for part, fields in TELEMETRY.items() for field, name in fields.items()}
+    outer, wall = number(root, "pipe.pd"), number(root, "pipe.pt")
+    bore = outer - wall * 2.0
+
+    def clock(name: str) -> Column:
+        """The clock's ticks, -1 if it can't be read; null if there is none here."""
+        text, kind = F.try_variant_get(root, f"$.{name}", "string"), F.schema_of_variant(F.try_variant_get(root, f"$.{name}", "variant"))
+        said = F.when(kind == "STRING", F.trim(text).try_cast("long")).otherwise(F.floor(text.try_cast("double")))
+        return F.when((text == "") | (kind == "BOOLEAN") | ((kind != "STRING") & (text.try_cast("double") == 0)), None).when(text.isNotNull(), F.coalesce(said, F.lit(-1)))
+
+    ticks = F.coalesce(*[clock(c) for c in CLOCKS])
     return F.struct(
-        first("diagnose.sq", "diagnostic.sq", "diag.sq").alias("sq"),
-        pick("flow.fs").alias("pub_fs_mps"),
-        pick("flow.fr").alias("pub_fr_m3h"),
-        pick("flow.ft").alias("pub_ft"),
-        pick("flow.ots").alias("onboard_temperature_c"),
-        pick("diagnose.dt").alias("diagnose_dt_ns"),
-        pd.alias("pipe_outer_mm"),
-        pt.alias("pipe_wall_mm"),
-        strict_pipe_area(pd, pt).alias("pipe_area_m2"),
-        F.when(clock > 0, clock).alias("device_dt_ns"),
+        F.coalesce(*[number(whole, path) for path in SQ_PATHS]).alias("sq"),
+        F.when(ticks > 0, ticks).alias("device_dt_ns"),
+        outer.alias("pipe_outer_diameter_mm"),
+        wall.alias("pipe_wall_thickness_mm"),
+        F.when(bore > 0, bore).alias("pipe_inner_diameter_mm"),
+        strict_pipe_area(outer, wall).alias("pipe_area_from_geometry_m2"),
+        *[c.alias(n) for n, c in found.items()],
+        *[found[n].alias(alias) for alias, n in ALIASES.items()],
     )

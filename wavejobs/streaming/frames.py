@@ -17,8 +17,9 @@ from wavejobs.operators import adapt, history, neighbors, zero
 from wavejobs.operators.order import folded
 from wavejobs.operators.states import EMPTY, NORMAL, WEAK
 from wavejobs.sources.captures import decode_telemetry, decode_waveform
+from wavejobs.streaming import live
 
-_LIVE = "us long, raw_state string, state string, transitioned boolean, bad_count int, empty_pipe boolean, corr_std double, air_bubble boolean, sq double, sq_age_ms double, pub_dt long, pub_dt_delta long, late_rows long"
+_LIVE = "us long, raw_state string, state string, transitioned boolean, bad_count int, empty_pipe boolean, corr_std double, air_bubble boolean, sq double, sq_age_ms double, pub_dt long, pub_dt_delta long, score double, stable_ratio double, trained boolean, updates long, late_rows long"
 _LIVE_NAMES = [c.split()[0] for c in _LIVE.split(", ")]
 _STATEFUL = f"serial string, id long, {zero.WALKED}, {_LIVE}"
 
@@ -32,14 +33,18 @@ def route(messages: DataFrame, signal: str = "meter/sig/", telemetry: str = "met
 
 
 class Rules:
-    """What a meter's live state follows. sigma is the profile's spread of template_corr."""
+    """What a meter's live state follows. sigma is the profile's spread of template_corr.
 
-    def __init__(self, enter: int = 3, recover: int = 5, normal: str = NORMAL, bad: tuple[str, ...] = (EMPTY, WEAK), of: int = 5, on: int = 3, off: int = 1, corr_rows: int = 20, sigma: float = 0.002, times: float = 5.0, recovery: float = 0.5, fresh_ms: float = 300_000.0, cfg: zero.Config = zero.Config()) -> None:
+    With a model, frames that have samples are scored by the meter's own profile,
+    which follows its safe frames; their raw state and correlation come from it.
+    """
+
+    def __init__(self, enter: int = 3, recover: int = 5, normal: str = NORMAL, bad: tuple[str, ...] = (EMPTY, WEAK), of: int = 5, on: int = 3, off: int = 1, corr_rows: int = 20, sigma: float = 0.002, times: float = 5.0, recovery: float = 0.5, fresh_ms: float = 300_000.0, cfg: zero.Config = zero.Config(), model: adapt.Adaptive | None = None) -> None:
         self.enter, self.recover, self.normal, self.bad, self.of, self.on, self.off = enter, recover, normal, bad, of, on, off
-        self.corr_rows, self.high, self.low, self.fresh_ms, self.cfg = corr_rows, times * sigma, times * sigma * recovery, fresh_ms, cfg
+        self.corr_rows, self.high, self.low, self.fresh_ms, self.cfg, self.model = corr_rows, times * sigma, times * sigma * recovery, fresh_ms, cfg, model
 
     def fresh(self) -> dict:
-        return {"zero": zero.State().as_dict(), "run": 0, "raw": None, "shown": self.normal, "started": False, "bad": [], "empty": False, "corr": [], "air": False, "sq": None, "sq_us": None, "dt": None, "step": None, "last": None, "late": 0}
+        return {"zero": zero.State().as_dict(), "run": 0, "raw": None, "shown": self.normal, "started": False, "bad": [], "empty": False, "corr": [], "air": False, "sq": None, "sq_us": None, "dt": None, "step": None, "last": None, "late": 0, "own": None if self.model is None else self.model.start() | {"template": self.model.profile.template.tolist()}}
 
     def told(self, s: dict, us: int, sq: float | None, dt: int | None) -> None:
         """Telemetry: each value counts from its own last update."""
@@ -48,9 +53,16 @@ class Rules:
         if dt is not None:
             s["step"], s["dt"] = (None if s["dt"] is None else dt - s["dt"]), dt
 
-    def seen(self, s: dict, us: int, raw: str | None, corr: float | None) -> tuple:
-        """A frame: the values of _LIVE but for late_rows."""
-        s["run"] = s["run"] + 1 if raw == s["raw"] else 1
+    def trained(self, s: dict, samples, good: bool) -> tuple:
+        """(raw state, correlation, score, stable ratio, trained, updates) of a waveform by the meter's own profile."""
+        own = s["own"] | {"template": np.asarray(s["own"]["template"], float)}
+        x, score, moved, updates = self.model.judged(own, np.asarray(samples, float), good)
+        s["own"] = own | {"template": own["template"].tolist()}
+        return self.model.raw_state(x, score), x["template_corr"], score, sum(own["recent"]) / len(own["recent"]), moved, updates
+
+    def seen(self, s: dict, us: int | None, raw: str | None, corr: float | None, *more) -> tuple:
+        """A frame: the values of _LIVE but for late_rows. more: score and what follows it."""
+        s["run"] = s["run"] + 1 if raw == s["raw"] and raw is not None else 1
         s["raw"], shown = raw, s["shown"]
         if raw is not None and s["run"] >= (self.recover if raw == self.normal else self.enter):
             s["shown"] = raw
@@ -63,41 +75,47 @@ class Rules:
         spread = stdev(s["corr"]) if len(s["corr"]) == self.corr_rows > 1 else None
         if spread is not None:
             s["air"] = spread >= (self.low if s["air"] else self.high)
-        age = None if s["sq_us"] is None else (us - s["sq_us"]) / 1000.0
+        age = None if s["sq_us"] is None or us is None else (us - s["sq_us"]) / 1000.0
         good = age is not None and age <= self.fresh_ms
-        return us, raw, s["shown"], moved, count, s["empty"], spread, s["air"], s["sq"] if good else None, age if good else None, s["dt"], s["step"]
+        return us, raw, s["shown"], moved, count, s["empty"], spread, s["air"], s["sq"] if good else None, age if good else None, s["dt"], s["step"], *more
 
     def advance(self, part: pd.DataFrame, s: dict) -> pd.DataFrame:
-        """A meter's rows of one batch, in order; rows before the newest one seen are counted and left out."""
+        """A meter's rows of one batch, in order; rows before the newest one seen are counted and left out. Rows without a time come last, and are never late."""
         part = part.sort_values(["us", "side", "id"])
         if s["last"] is not None:
             late = part["us"] < s["last"]
             s["late"] += int(late.sum())
             part = part[~late]
-        if len(part):
-            s["last"] = int(part["us"].iloc[-1])
-        live = []
+        if part["us"].notna().any():
+            s["last"] = int(part["us"].max())
+        made = []
         none = lambda x: None if pd.isna(x) else x
-        for us, side, raw, corr, sq, dt in zip(*(part[c].tolist() for c in ("us", "side", "raw_state", "corr", "sq", "dt"))):
+        samples = part["samples"].tolist() if "samples" in part else [None] * len(part)
+        good = [bool(none(x)) for x in part["good"]] if "good" in part else [True] * len(part)
+        for us, side, raw, corr, sq, dt, wave, safe in zip(*(part[c].tolist() for c in ("us", "side", "raw_state", "corr", "sq", "dt")), samples, good):
+            us = none(us) if none(us) is None else int(us)
             if side == 0:
                 self.told(s, us, none(sq), none(dt))
-            else:
-                live.append((*self.seen(s, us, none(raw), none(corr)), s["late"]))
+                continue
+            own = (none(raw), none(corr), None, None, None, None)
+            if self.model is not None and wave is not None and len(wave) >= self.model.profile.gate_end:
+                own = self.trained(s, wave, safe)
+            made.append((*self.seen(s, us, *own), s["late"]))
         frames = part[part["side"] == 1]
         tracker = zero.State(**s["zero"])
         walked = zero.walk(frames, tracker, self.cfg)
         s["zero"] = tracker.as_dict()
-        kinds = {"corr_std": "Float64", "sq": "Float64", "sq_age_ms": "Float64", "pub_dt": "Int64", "pub_dt_delta": "Int64"}  # missing values stay null
-        return pd.concat([walked.reset_index(drop=True), pd.DataFrame(live, columns=_LIVE_NAMES).astype(kinds)], axis=1)
+        kinds = {c: "Float64" for c in ("corr_std", "sq", "sq_age_ms", "score", "stable_ratio")} | {c: "Int64" for c in ("us", "pub_dt", "pub_dt_delta", "updates")} | {"trained": "boolean"}  # missing values stay null
+        return pd.concat([walked.reset_index(drop=True), pd.DataFrame(made, columns=_LIVE_NAMES).astype(kinds)], axis=1)
 
 
 def inputs(frames: DataFrame, telemetry: DataFrame | None = None, key: str = "serial", ts: str = "ts", tie: str = "id", raw: str = "raw_state") -> DataFrame:
-    """The narrow rows that track() keeps in order: frames (side 1) and, before frames of the same time, telemetry with sq and dt (side 0)."""
+    """The narrow rows that track() keeps in order: frames (side 1) and, before frames of the same time, telemetry with sq and dt (side 0). Of frames, `samples` and `good` (safe to learn from) go along if they have them."""
     have = set(frames.columns)
     corr = finite("template_corr") if "template_corr" in have else F.lit(None).cast("double")
     at = F.col(ts).cast("timestamp")
     same = lambda side: (F.col(key).cast("string").alias("serial"), at.alias("at"), F.unix_micros(at).alias("us"), F.col(tie).cast("long").alias("id"), F.lit(side).alias("side"))
-    rows = frames.select(*same(1), *[c.alias(n) for n, c in zero.frame_columns(frames).items()], F.col(raw).alias("raw_state"), corr.alias("corr"), F.lit(None).cast("double").alias("sq"), F.lit(None).cast("long").alias("dt"))
+    rows = frames.select(*same(1), *[c.alias(n) for n, c in zero.frame_columns(frames).items()], F.col(raw).alias("raw_state"), corr.alias("corr"), F.lit(None).cast("double").alias("sq"), F.lit(None).cast("long").alias("dt"), *[F.col(c) for c in ("samples", "good") if c in have])
     if telemetry is None:
         return rows
     told = telemetry.select(*same(0), finite("sq").alias("sq"), (F.col("dt").cast("long") if "dt" in telemetry.columns else F.lit(None).cast("long")).alias("dt"))
@@ -155,11 +173,19 @@ def stateful(rows: DataFrame, order: list, fresh: Callable[[], dict], advance: C
 _ORDER = [F.asc_nulls_last, "us"], [F.asc, "side"], [F.asc_nulls_last, "id"]
 
 
-def track(rows: DataFrame, rules: Rules | None = None, ttl: str | None = None, watermark: str | None = None, start: DataFrame | None = None) -> DataFrame:
-    """For each frame of inputs(): the zero tracker's output, the debounced state, empty pipe, air bubble, latest telemetry and how many late rows the meter has had."""
+def track(rows: DataFrame, rules: Rules | None = None, ttl: str | None = None, watermark: str | None = None, start: DataFrame | None = None, reorder: bool = False) -> DataFrame:
+    """For each frame of inputs(): the zero tracker's output, the debounced state, empty pipe, air bubble, latest telemetry, the score by the meter's own profile and how many late rows the meter has had.
+
+    A stream is followed by live.Meter, which with reorder puts rows in order up
+    to the watermark; a table by a fold of the same rules.
+    """
     rules = rules or Rules()
-    live = stateful(rows, [f(c) for f, c in _ORDER], rules.fresh, rules.advance, _STATEFUL, ttl, watermark, start)
-    return zero.finished(live, ["serial", "id", *_LIVE_NAMES], rules.cfg).withColumn("sq_label", sq_label(F.col("sq")))
+    if rows.isStreaming:
+        rows = rows.withColumn("serial", F.col("serial").cast("string"))
+        followed = live.followed(rows, rules, _STATEFUL, ttl, watermark, start, reorder)
+    else:
+        followed = stateful(rows, [f(c) for f, c in _ORDER], rules.fresh, rules.advance, _STATEFUL, start=start)
+    return zero.finished(followed, ["serial", "id", *_LIVE_NAMES], rules.cfg).withColumn("sq_label", sq_label(F.col("sq")))
 
 
 def snapshot(rows: DataFrame, rules: Rules | None = None) -> DataFrame:
