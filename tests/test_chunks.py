@@ -54,9 +54,9 @@ def test_debounce(spark, seed, chunk):
 
 @pytest.mark.parametrize("chunk", [3, 50])
 def test_empty_pipe_for_all_counts(spark, chunk):
-    rows = walk(5, 90, stay=0.4)
+    rows = walk(5, 60, stay=0.4)
     frame = spark.createDataFrame(rows, SCHEMA)
-    for on, off in [(on, off) for on in range(0, 6, 1 if chunk == 3 else 5) for off in range(-1, 6, 2)]:
+    for on, off in [(on, off) for on in range(0, 6) for off in range(-1, 6)][:: 2 if chunk == 3 else 11]:
         got = {r.id: (r.bad_count, r.empty_pipe) for r in states.empty_pipe(frame, "raw", on=on, off=off, chunk=chunk).collect()}
         for meter in own(rows):
             last, empty = deque(maxlen=5), False

@@ -95,7 +95,7 @@ class Rules:
         for us, side, raw, corr, sq, dt, wave, safe in zip(*(part[c].tolist() for c in ("us", "side", "raw_state", "corr", "sq", "dt")), samples, good):
             us = none(us) if none(us) is None else int(us)
             if side == 0:
-                self.told(s, us, none(sq), none(dt))
+                self.told(s, us, none(sq), none(dt) if none(dt) is None else int(dt))
                 continue
             own = (none(raw), none(corr), None, None, None, None)
             if self.model is not None and wave is not None and len(wave) >= self.model.profile.gate_end:

@@ -97,8 +97,9 @@ class Meter(StatefulProcessor):
         if len(now):
             yield self._follow(now)
         if len(later):
+            whole = [c.split()[1] in ("int", "bigint") for c in self.columns.split(", ")]
             plain = later.astype(object).where(later.notna(), None)
-            self.waiting.put([tuple(r) for r in plain.itertuples(index=False)])
+            self.waiting.put([tuple(int(x) if i and x is not None else x for x, i in zip(r, whole)) for r in plain.itertuples(index=False)])
             self.handle.registerTimer(int(later["us"].min()) // 1000 + 1)
         else:
             self.waiting.clear()
