@@ -24,15 +24,15 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
-def settle(df: DataFrame, name: str = "step", dictionary: bool = True) -> DataFrame:
-    """Write df as a Parquet table in the shared folder and read it back. Without dictionaries tables of hashes are written faster.
+def settle(df: DataFrame, name: str = "step", dictionary: bool = True, codec: str | None = None) -> DataFrame:
+    """Write df as a Parquet table in the shared folder and read it back. Without dictionaries tables of hashes are written faster; codec is the session's unless given.
 
     This cuts the lineage; the table outlives executors. The driver then drops
     its references to finished shuffles, so that their files can go.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("parquet.enable.dictionary", dictionary).parquet(path)
+    (df.write if codec is None else df.write.option("compression", codec)).option("parquet.enable.dictionary", dictionary).parquet(path)
     spark.sparkContext._jvm.System.gc()
     out = spark.read.schema(df.schema).parquet(path)
     out._settled_at = path

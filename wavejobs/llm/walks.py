@@ -215,7 +215,7 @@ def edit_test(docs: DataFrame) -> DataFrame:
         if ids:
             yield _batch(_judged(ids, texts, len(ids) - 1), [(ids[-1],) + (None,) * 6 + (part, "last", texts[-1])])
 
-    walked = settle(dealt.mapInArrow(run, f"{_ROW}, part long, side string, text string"), "walked", dictionary=False)
+    walked = settle(dealt.mapInArrow(run, f"{_ROW}, part long, side string, text string"), "walked", dictionary=False, codec="zstd")
     first = walked.where("side = 'first'").select("part", F.col("text").alias("next_text"))
     follows = Window.orderBy("part")  # a row for each range
     parts = first.select("part", F.coalesce(F.lead("part").over(follows), F.first("part").over(follows)).alias("next"))
