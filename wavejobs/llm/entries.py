@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wavejobs.llm import alignment, benchmarks, embeddings, licenses, lines, mixing, passages, sharding, simhash, spelling, toxicity, walks, warc
+from wavejobs.llm import alignment, bands, benchmarks, embeddings, licenses, lines, mixing, passages, sharding, simhash, spelling, toxicity, walks, warc
 from wavejobs.sources.tables import table
 
 
@@ -55,7 +55,7 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op12_edit_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return walks.edit_test(table(spark, sf_dir, "documents"))
+    return bands.classes(walks.edit_test(table(spark, sf_dir, "documents")))
 
 
 def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
