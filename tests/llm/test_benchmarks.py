@@ -120,3 +120,46 @@ def test_against_the_sql(spark, tmp_path):
     got = benchmarks.decontaminate(frame, spark.read.parquet(f"{tmp_path}/benchmark")).collect()
     assert sorted((r.doc_id, r.contaminated, list(r["items"]), round(r.covered, 9)) for r in got) == want
     assert 5 < sum(w[1] for w in want) < 60
+
+
+STORY = "Alice has 3 boxes of pears in the yard. Each of the boxes of Alice weighs 12 kg. Later on Bob takes 3 of the boxes from Alice away. How many kg of pears are then left in the yard for Bob and his friends?"
+
+
+def filled(text, **names):
+    """The text with each word, number or unit named replaced; names of digits are written n3."""
+    return re.sub(r"\w+", lambda m: names.get(m[0] if not m[0].isdigit() else f"n{m[0]}", m[0]), text)
+
+
+def test_slots_over_a_whole_occurrence(spark):
+    """What is a copy is known from how a text is made, not from windows: consistent fillings are, those that change midway aren't, whatever stands between."""
+    half = STORY.index("Later")
+    one = {"Alice": "Maria", "n3": "7", "n12": "55", "Bob": "Ulrich", "kg": "pounds"}
+    two = {**one, "Alice": "Ben", "n3": "8"}
+    rng, docs, want = random.Random(2), [], {}
+
+    def add(text, copy):
+        docs.append((len(docs), f"Before it all. {text} And after it."))
+        want[len(docs) - 1] = copy
+
+    for gap in ("", "well ", "well as it were ", "so " * 12):
+        add(filled(STORY[:half], **one) + gap + filled(STORY[half:], **one), True)
+        add(filled(STORY[:half], **one) + gap + filled(STORY[half:], **two), False)
+        add(filled(STORY[:half], **one) + gap + filled(STORY[half:], **{**one, "Bob": "Maria"}), False)  # two names become one
+        add(filled(STORY[:half], **{**one, "n12": "7"}) + gap + filled(STORY[half:], **one), False)  # two numbers become one
+    words = filled(STORY, **one).split()
+    for _ in range(4):
+        at = rng.randrange(8, len(words) - 8)
+        add(" ".join([*words[:at], "really", *words[at:]]), True)
+    got = {r.doc_id: r.contaminated for r in judged(spark, docs, [(1, STORY), (2, "Some other item with Tom and 4 km of road that is not in any text")])}
+    assert got == want
+
+
+def test_repeated_words_are_met_in_runs(spark):
+    items = spark.createDataFrame([(1, "same " * 400), (2, "Every one of 7 days is " * 30)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "same " * 5000), (2, "same " * 100), (3, "Every one of 9 days is " * 40)], "doc_id long, text string")
+    marks = benchmarks.tokenized(items, "item_id")
+    own = benchmarks.tokenized(docs.selectExpr("doc_id AS t", "text"), "t")
+    pairs = spark.createDataFrame([(1, 1), (2, 1)], "t long, item_id long")
+    assert benchmarks.meetings(pairs, benchmarks.item_windows(marks, 5), own, 5).count() < 10_000
+    got = {r.doc_id: (list(r["items"]), round(r.covered, 3)) for r in benchmarks.decontaminate(docs, items).collect()}
+    assert got == {1: ([1], 1.0), 2: ([], 0.0), 3: ([2], 1.0)}
