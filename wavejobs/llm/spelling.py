@@ -89,21 +89,22 @@ def trie(words: DataFrame, deep: int) -> tuple[DataFrame, DataFrame]:
     A node is the hash of its prefix. Only nodes that several words share are
     there: an edge that leads to a single word (only = 1) has the whole rest of
     it, `rest` and `owner`. Otherwise `lens` has a bit for each number of code
-    points that can follow, and `ends` is the word that ends at the child.
+    points that can follow, `firsts` one for each letter that can come next
+    (modulo 64), and `ends` is the word that ends at the child.
     """
     at = F.explode(F.sequence(F.lit(0), F.length("word") - 1))
     steps = words.where(F.length("word") <= deep).select("id", "word", at.alias("d"))
     steps = steps.select("id", "d", F.xxhash64(head("word", F.col("d"))).alias("node"), F.substring("word", F.col("d") + 1, F.lit(1)).alias("ch"), F.substring("word", F.col("d") + 2, F.lit(deep)).alias("after"), F.xxhash64(head("word", F.col("d") + 1)).alias("child"))
-    below = F.expr("shiftleft(1L, length(after))")
+    below, comes = F.expr("shiftleft(1L, length(after))"), F.expr("CASE WHEN after = '' THEN 0L ELSE shiftleft(1L, ascii(after) % 64) END")
     grouped = steps.groupBy("node", "ch").agg(
-        F.count(F.lit(1)).alias("only"), F.min("d").alias("d"), F.min("child").alias("child"), F.min("after").alias("rest"), F.min("id").alias("owner"), F.bit_or(below).alias("lens"), F.min(F.when(F.col("after") == "", F.col("id"))).alias("ends")
+        F.count(F.lit(1)).alias("only"), F.min("d").alias("d"), F.min("child").alias("child"), F.min("after").alias("rest"), F.min("id").alias("owner"), F.bit_or(below).alias("lens"), F.bit_or(comes).alias("firsts"), F.min(F.when(F.col("after") == "", F.col("id"))).alias("ends")
     )
     every = settle(grouped, "edges")
     root = words.sparkSession.range(1).select(F.xxhash64(F.lit("")).alias("node"))
     forks = settle(every.where("only > 1").select(F.col("child").alias("node")).union(root), "forks")
     edges = settle(every.join(forks, "node", "left_semi"), "edges")
-    # A word's ways end where it is alone: its rows stand at forks only.
-    paths = settle(steps.drop("child").join(forks, "node", "left_semi"), "paths")
+    # A word's ways end where it is alone: its rows stand at forks only. They are dealt by word, as a node's lie together.
+    paths = settle(steps.drop("child").join(forks, "node", "left_semi").repartition("id"), "paths", dictionary=False)
     discard(every, forks)
     return paths, edges
 
@@ -129,9 +130,9 @@ def near_in_trie(words: DataFrame, deep: int = DEEP, broadcast_rows: int = BROAD
         moving = skipped if ones is None else skipped.union(ones)
         moved = moving.withColumn("ch", head("left")).join(level, ["node", "ch"]).withColumn("left", tail("left"))
         swapped = here.join(level, "node").where(F.col("ch") > F.col("own")).withColumnRenamed("after", "left")
-        both = moved.select("id", "left", "child", "only", "rest", "owner", "lens", "ends").union(swapped.select("id", "left", "child", "only", "rest", "owner", "lens", "ends"))
+        both = moved.select("id", "left", "child", "only", "rest", "owner", "lens", "firsts", "ends").union(swapped.select("id", "left", "child", "only", "rest", "owner", "lens", "firsts", "ends"))
         hit = F.when(F.col("only") == 1, F.when(F.col("rest") == F.col("left"), F.col("owner"))).when(F.col("left") == "", F.col("ends"))
-        goes = (F.col("only") > 1) & (F.col("left") != "") & (F.expr("shiftright(lens, length(left))").bitwiseAND(F.lit(1)) == 1)
+        goes = (F.col("only") > 1) & (F.col("left") != "") & F.expr("shiftright(lens, length(left)) & 1 = 1 AND shiftright(firsts, ascii(left) % 64) & 1 = 1")
         step = settle(both.select("id", F.col("child").alias("node"), "left", hit.alias("hit"), goes.alias("goes")).where("hit IS NOT NULL OR goes").drop("goes"), f"level{d}", dictionary=False)
         steps.append(step)
         found.append(step.where("hit IS NOT NULL").select(F.col("id").alias("a"), F.col("hit").alias("b")))
