@@ -122,3 +122,23 @@ def test_take_shares_repeated_rows(spark):
     taken = sum(r.copies for r in mixing.mix(df).collect())
     assert mixing.take(df).count() == taken and mixing.take(df).columns == df.columns
     assert mixing.take(df.limit(0)).collect() == []
+
+
+def test_run_on_rows(spark, tmp_path):
+    """The whole pipeline with its real stages: which documents are left, how often the mix takes them, and their shards."""
+    docs, labels, items, toxic, leaks = corpus()
+    spark.createDataFrame(docs, DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    first = {}
+    for d, t, *_ in docs:
+        if d is not None and d not in toxic:
+            first.setdefault(t or "", d)
+    kept = [r for r in docs if r[0] is None or (r[0] in first.values() and r[0] not in leaks)]
+    copies = {r.doc_id: r.copies for r in mixing.mix(spark.createDataFrame(kept, DOCS)).collect()}
+    out = cp.run(spark, str(tmp_path)).collect()
+    assert Counter(r.doc_id for r in out) == Counter({d: n for d, n in copies.items() if n})
+    slots = {}
+    for r in out:
+        slots.setdefault(r.shard, []).append(r.slot)
+    assert set(slots) <= set(range(40)) and all(sorted(s) == list(range(len(s))) for s in slots.values())
