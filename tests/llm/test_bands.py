@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+
 from wavejobs.llm import bands, walks
 
 ROWS = "doc_id long, fingerprint string, class_id string, id long, key long, first long"
@@ -63,6 +65,16 @@ def test_classes(spark, monkeypatch):
     assert bands.classes(frame.limit(0)).collect() == []
 
 
+def test_one_against_all():
+    prints = sorted(set(walks.fingerprints(corpus(3)))) + ["a", "abc.", "zz.zz"]
+    laid = bands.Laid(prints)
+    for x in range(0, len(prints), 7):
+        for least in (0.3, 0.8, walks.likeness(prints[x], prints[x - 3])):
+            got = laid.near(x, np.arange(len(prints)), least)
+            want = [y for y, q in enumerate(prints) if walks.likeness(prints[x], q) >= least or (y == x and prints[x] in ("", "."))]
+            assert set(got) | {x} == set(want) | {x}, (prints[x], least)
+
+
 def test_pairs_that_meet():
     """Of pairs that are alike by 0.8 nearly all share a band, of unrelated ones none."""
     rng = random.Random(5)

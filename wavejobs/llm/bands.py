@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -51,12 +52,44 @@ def keys(fingerprint: str) -> list[int]:
     return out
 
 
+class Laid:
+    """Fingerprints laid out as matrices, one for each walk, to compare one with all of them."""
+
+    def __init__(self, texts: list[str]) -> None:
+        self.texts, weights = texts, sampled()[1]
+        parts = [t.split(".") for t in texts]
+        self.walks = []
+        for w in range(max(map(len, parts), default=0)):
+            rows = [np.frombuffer(p[w].encode(), np.uint8) if w < len(p) else np.zeros(0, np.uint8) for p in parts]
+            n = np.array([len(r) for r in rows])
+            letters = np.zeros((len(rows), max(n.max(), 1)), np.uint8)  # 0 is no letter
+            for r, own in zip(rows, letters):
+                own[: len(r)] = r
+            counts = np.stack([np.bincount(r, minlength=128) for r in rows]).astype(np.float64)
+            self.walks.append((letters, n, counts / np.maximum(n, 1)[:, None], np.concatenate([[0.0], np.cumsum(weights[: letters.shape[1]])])))
+        self.weights = weights
+
+    def near(self, x: int, others: np.ndarray, least: float) -> np.ndarray:
+        """Which of others are alike by least; what is within rounding of it is decided by likeness()."""
+        best = np.zeros(len(others))
+        for letters, n, shares, upto in self.walks:
+            same = (letters[others, : n[x]] == letters[x, : n[x]]) @ self.weights[: n[x]]
+            share = same / np.maximum(upto[np.maximum(n[others], n[x])], 1.0)
+            chance = shares[others] @ shares[x]
+            value = np.where(chance < 1, (share - chance) / np.where(chance < 1, 1 - chance, 1.0), share)
+            best = np.maximum(best, np.where((n[others] > 0) & (n[x] > 0), value, 0.0))
+        close = np.abs(best - least) < 1e-6
+        good = best >= least
+        good[close] = [likeness(self.texts[x], self.texts[y]) >= least for y in others[close]]
+        return others[good]
+
+
 def links(prints: DataFrame, least: float = LIKENESS) -> DataFrame:
     """Links a, b between ids of prints (id, fingerprint; each once) whose components are those of all pairs that meet in a band and are alike by `least`.
 
     All of a band are compared with its smallest id first. Those that aren't
-    like it are compared with all others of the band, in blocks dealt to tasks,
-    of which each returns a forest.
+    like it are compared with all others of the band, in cells of two blocks;
+    what a cell returns is a forest, not its pairs.
     """
 
     def band(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -75,24 +108,43 @@ def links(prints: DataFrame, least: float = LIKENESS) -> DataFrame:
 
     # Bands in which some aren't like the first: those against all.
     odd = met.join(judged.where("NOT near"), ["first", "id"], "left_semi").select("key", "id", F.lit(True).alias("odd"))
-    rest = met.join(odd.select("key").distinct(), "key", "left_semi").where("id <> first").join(odd, ["key", "id"], "left").select("key", "id", "of", F.coalesce("odd", F.lit(False)).alias("odd"))
+    rest = met.join(odd.select("key").distinct(), "key", "left_semi").where("id <> first AND of > 2").join(odd, ["key", "id"], "left").select("key", "id", "of", F.coalesce("odd", F.lit(False)).alias("odd"))
     blocks = F.ceil(F.col("of") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("id", F.lit("block")), blocks.cast("long")).cast("int")
     cell = F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.struct(F.least(own, j).alias("i"), F.greatest(own, j).alias("j")))
     cells = rest.select("key", "id", "odd", own.alias("own"), F.explode(cell).alias("c")).select("key", "id", "odd", "own", "c.i", "c.j").join(text("id", "fingerprint"), "id")
 
-    def compare(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        _, i, j = key
-        ids, texts, odd, own = (part[c].tolist() for c in ("id", "fingerprint", "odd", "own"))
-        forest = Forest(len(ids))
-        for x in range(len(ids)):
-            near = [y for y in range(len(ids)) if (odd[x] and (not odd[y] or x < y)) and (i == j or own[x] != own[y]) and forest.label[x] != forest.label[y] and likeness(texts[x], texts[y]) >= least]
-            if near:
-                forest.join(np.full(len(near), x), np.array(near))
-        moved = np.flatnonzero(forest.label != np.arange(len(ids)))
-        return pd.DataFrame({"a": [ids[k] for k in moved], "b": [ids[forest.label[k]] for k in moved]}, dtype="int64")
-
-    others = cells.groupBy("key", "i", "j").applyInPandas(compare, "a long, b long")
+    def forest_of(part: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        """Links of one cell."""
+        ids, odd, own, same = part["id"].to_numpy(), part["odd"].to_numpy(bool), part["own"].to_numpy(), part["i"].iloc[0] == part["j"].iloc[0]
+        if not odd.any() or len(ids) < 2:
+            return ids[:0], ids[:0]
+        forest, laid, every = Forest(len(ids)), Laid(part["fingerprint"].tolist()), np.arange(len(ids))
+        for x in np.flatnonzero(odd):
+            open_ = (~odd | (every > x)) & (forest.label != forest.label[x]) & (same | (own != own[x]))
+            near = laid.near(x, np.flatnonzero(open_), least)
+            if len(near):
+                forest.join(np.full(len(near), x), near)
+        moved = np.flatnonzero(forest.label != every)
+        return ids[moved], ids[forest.label[moved]]
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Cells one after another, as their rows come; a cell that a batch cuts is held until its end."""
+        held = None
+        for batch in chain(batches, [None]):
+            rows = held if batch is None else batch if held is None else pd.concat([held, batch], ignore_index=True)
+            if rows is None or not len(rows):
+                continue
+            cell = rows[["key", "i", "j"]].to_numpy()
+            cuts = np.concatenate([[0], np.flatnonzero((cell[1:] != cell[:-1]).any(axis=1)) + 1])
+            held = None if batch is None else rows.iloc[cuts[-1] :]
+            ends = [*cuts[1:], *([len(rows)] if batch is None else [])]
+            found = [forest_of(rows.iloc[a:b]) for a, b in zip(cuts, ends)]
+            if found:
+                yield pd.DataFrame({"a": np.concatenate([x for x, _ in found]), "b": np.concatenate([y for _, y in found])})
+
+    cells = cells.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    others = cells.mapInPandas(compare, "a long, b long")
     return judged.where("near").select(F.col("first").alias("a"), F.col("id").alias("b")).union(others)
 
 
