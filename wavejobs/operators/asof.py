@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wavejobs.functions.columns import micros, py_round, sq_label
-from wavejobs.operators.order import carried
+from wavejobs.operators.order import CHUNK, carried, chunked, looking_back
 
 FRESH_MS = 5 * 60 * 1000
 
@@ -21,7 +21,8 @@ def attach(frames: DataFrame, telemetry: DataFrame, key: str = "serial", ts: str
     for name, kind in (("sq", "double"), ("dt", "long"), ("meta", "string")):
         if name not in telemetry.columns:
             telemetry = telemetry.withColumn(name, F.lit(None).cast(kind))
-    steps = telemetry.where(F.col("dt").isNotNull()).select(key, ts, tie, (F.col("dt") - F.lag("dt").over(Window.partitionBy(key).orderBy(ts, tie))).alias("__step"))
+    clocked = chunked(telemetry.where(F.col("dt").isNotNull()).select(key, ts, tie, "dt"), key, ts, tie)
+    steps = looking_back(clocked, key, 2, CHUNK, __dt=lambda w: F.lag("dt").over(w)).select(key, ts, tie, (F.col("dt") - F.col("__dt")).alias("__step"))
     own = telemetry.select(F.col(key), F.col(ts), F.col(tie), F.lit(0).alias("__side"), "sq", "dt", "meta").join(steps, [key, ts, tie], "left")
     extra = [c for c in frames.columns if c not in (key, ts, tie)]
     both = frames.withColumn("__side", F.lit(1)).unionByName(own, allowMissingColumns=True)

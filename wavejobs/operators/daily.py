@@ -78,7 +78,7 @@ def report(frames: DataFrame, stats: dict[str, tuple[float, float]], minutes: Da
 
 def highlights() -> Column:
     """A day's messages, in order; the suspect one only without others before it. That the frames' health dipped goes with any other."""
-    n = lambda c: F.format_string("%.0f", F.col(c).cast("double"))
+    n = lambda c: F.format_string("%.0f", py_round(F.col(c).cast("double"), 0))
     first = F.array_compact(
         F.array(
             F.when(F.col("empty_minutes") > 0, F.concat(n("empty_minutes"), F.lit(" min of confirmed empty or lost coupling"))),

@@ -62,6 +62,48 @@ def w10_training_gate(spark, sf_dir):
     return d.select("id", health.training_gate(LIMITS, 2.0).alias("reason"))
 
 
+@query("""WITH RECURSIVE n AS (SELECT serial, id, row_number() OVER (PARTITION BY serial ORDER BY ts, id) AS i,
+sum((raw_state IN ('empty_or_lost_acoustic_path_candidate', 'weak_signal_or_air_candidate'))::INT) OVER (PARTITION BY serial ORDER BY ts, id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS k FROM FRAMES),
+r AS (SELECT serial, id, i, k, k >= 2 AS empty_pipe FROM n WHERE i = 1 UNION ALL SELECT n.serial, n.id, n.i, n.k, CASE WHEN r.empty_pipe THEN n.k > 3 ELSE n.k >= 2 END FROM r JOIN n ON n.serial = r.serial AND n.i = r.i + 1)
+SELECT serial, id, k::BIGINT AS bad_count, empty_pipe FROM r""")
+def w6_turning_latch(spark, sf_dir):
+    """The empty-pipe latch where counts of 2 and 3 turn it over at every frame; the SQL goes frame by frame."""
+    return states.empty_pipe(frames(spark, sf_dir), "raw_state", on=2, off=3).select("serial", "id", "bad_count", "empty_pipe")
+
+
+def _z_sql(f: str, points: int = 25, up: bool = True) -> str:
+    away = f"({f} - 50) / 20" if up else f"(50 - {f}) / 20"
+    return f"(CASE WHEN {away} >= 0 THEN 100::DOUBLE ELSE greatest(0::DOUBLE, least(100::DOUBLE, {away} * {points}::DOUBLE + 100)) END)"
+
+
+def _penalty_sql(age: str, stale: int, most: int) -> str:
+    return f"(CASE WHEN {age} IS NULL THEN {most} * 0.5::DOUBLE ELSE greatest(0, least({most}, ({age} - {stale}) / ({stale} * 2::DOUBLE) * {most})) END)"
+
+
+#: The subscores with their weights, as the weighted sum adds them up.
+_TOTAL_SQL = " + ".join(f"{n} * {w}::DOUBLE" for n, w in health.WEIGHTS.items())
+
+
+@query(f"""WITH x AS (SELECT * REPLACE (value * 1.0123457::DOUBLE AS gate_rms_v, sq * 0.50123::DOUBLE AS template_corr, sq * 1.0004321::DOUBLE AS peak_abs_gate_v), value * 3 AS noise_rms_v, event_type = 'error' AS empty_pipe, id % 4 = 0 AS air_bubble, CASE WHEN id % 5 > 0 THEN id % 10 / 9.7::DOUBLE END AS corr_std, id % 1000 * 1000.37::DOUBLE AS sq_age, CASE WHEN id % 3 > 0 THEN id % 20000 * 1.000313::DOUBLE END AS dt_age FROM {FEATURED_SQL}),
+p AS (SELECT *, {_z_sql("snr_db")} * 0.45::DOUBLE + {_z_sql("gate_rms_v")} * 0.35::DOUBLE + {_z_sql("noise_rms_v", up=False)} * 0.2::DOUBLE AS a, CASE WHEN score <= 0.41::DOUBLE THEN 100 - score * 20 / 0.41::DOUBLE WHEN score <= 0.83::DOUBLE THEN 80 - (score - 0.41::DOUBLE) * 40 / (0.83::DOUBLE - 0.41::DOUBLE) ELSE exp(0.83::DOUBLE - score) * 40 END AS b,
+{_z_sql("template_corr")} * 0.45::DOUBLE + {_z_sql("peak_abs_gate_v")} * 0.25::DOUBLE + {_z_sql("low_clip_ratio", 35, False)} * 0.15::DOUBLE + {_z_sql("high_clip_ratio", 50, False)} * 0.15::DOUBLE AS c,
+CASE WHEN raw_state = 'empty_or_lost_acoustic_path_candidate' OR empty_pipe THEN 35 WHEN raw_state = 'weak_signal_or_air_candidate' THEN 65 ELSE 100 END AS most, CASE WHEN corr_std IS NULL THEN 100 ELSE greatest(0, least(100, 100 - greatest(corr_std / 0.5::DOUBLE - 0.5::DOUBLE, 0) * 80)) END AS steady,
+greatest(0, least(100, sq)) - {_penalty_sql("sq_age", 300_000, 30)} - {_penalty_sql("dt_age", 5_000, 20)} AS e FROM x),
+s AS (SELECT *, round_even(greatest(0, least(100, a)), 1) AS signal_integrity, round_even(greatest(0, least(100, b)), 1) AS acoustic_pattern_match, round_even(greatest(0, least(100, least(c, most))), 1) AS coupling_condition,
+round_even(greatest(0, least(100, CASE WHEN air_bubble THEN least(steady, 55) ELSE steady END)), 1) AS temporal_stability, round_even(greatest(0, least(100, e)), 1) AS telemetry_reliability FROM p),
+t AS (SELECT *, {_TOTAL_SQL} AS total FROM s), u AS (SELECT *, least(total, CASE label WHEN 'anomaly' THEN 55 WHEN 'suspect' THEN 74 ELSE 100 END, CASE WHEN empty_pipe THEN 35 ELSE 100 END, CASE WHEN air_bubble THEN 65 ELSE 100 END) AS capped FROM t)
+SELECT id, {", ".join(health.WEIGHTS)}, CASE WHEN capped >= 90 THEN 'Excellent' WHEN capped >= 75 THEN 'Healthy' WHEN capped >= 60 THEN 'Watch' WHEN capped >= 40 THEN 'Degraded' ELSE 'Unreliable' END AS health_label FROM u""")
+def w13_subscores(spark, sf_dir):
+    """The five subscores and the label of the weighted and capped health, with fixed statistics and factors that keep values off the ties of rounding."""
+    d = featured_frames(spark, sf_dir).withColumns(
+        {
+            "gate_rms_v": F.col("value") * 1.0123457, "template_corr": F.col("sq") * 0.50123, "peak_abs_gate_v": F.col("sq") * 1.0004321, "noise_rms_v": F.col("value") * 3, "empty_pipe": F.col("event_type") == "error", "air_bubble": F.col("id") % 4 == 0, "corr_std": F.when(F.col("id") % 5 > 0, F.col("id") % 10 / 9.7), "pipe_state": F.col("raw_state"),
+            "sq_age_ms": F.col("id") % 1000 * 1000.37, "pub_dt_age_ms": F.when(F.col("id") % 3 > 0, F.col("id") % 20000 * 1.000313), "sq_label": c.sq_label(F.col("sq")),
+        }
+    )
+    return health.health(d, LIMITS, 0.41, 0.83, air_threshold=0.5).select("id", *health.WEIGHTS, "health_label")
+
+
 @query("""WITH x AS (SELECT serial, id, value, sq, greatest(value / 100, 0) AS s, CASE WHEN sq >= 20 THEN sq END AS ev FROM FRAMES),
 p AS (SELECT *, CASE WHEN s <= 1 THEN 100 - s * 20 WHEN s <= 2 THEN 80 - (s - 1) * 40 ELSE exp(2 - s) * 40 END AS base FROM x)
 SELECT id, round(CASE WHEN ev IS NULL THEN base ELSE base * 0.7 + ev * 0.3 END, 6) AS pattern FROM p""")

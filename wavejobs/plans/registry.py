@@ -411,7 +411,7 @@ su AS (SELECT *, frames * md / 60 AS ob, CASE WHEN mv >= 50 THEN 100 ELSE greate
 def daily_reports(spark: SparkSession, sf_dir: str, digits: int = 1) -> DataFrame:
     f = frames(spark, sf_dir)
     label = F.when(F.col("event_type") == "error", "anomaly").when(F.col("event_type") == "click", "suspect").otherwise("normal")
-    f = f.select("serial", "ts", "id", F.col("value").alias("template_corr"), F.col("value").alias("snr_db"), F.col("value").alias("gate_rms_v"), "sq", label.alias("label"), "event_type", F.col("value").alias("health"))
+    f = f.select("serial", "ts", "id", F.col("value").alias("template_corr"), F.col("value").alias("snr_db"), F.col("value").alias("gate_rms_v"), "sq", label.alias("label"), "event_type", (F.col("value") * 1.00123).alias("health"))
     minutes = daily.condition_minutes(f, "error", "view", event="event_type").select("serial", "date", F.col("minutes").alias("empty_minutes"), F.lit(0.0).alias("air_minutes"))
     return daily.report(f, {x: (50.0, 20.0) for x in ("template_corr", "snr_db", "gate_rms_v")}, minutes, digits=digits)
 
@@ -429,20 +429,20 @@ rs AS (SELECT * REPLACE (round_even(coupling, 7) AS coupling, round_even(signal_
 hs AS (SELECT *, coupling * 0.3 + signal_strength * 0.2 + sq_quality * 0.2 + stability * 0.15 + incident_burden * 0.15 AS health FROM rs)"""
 
 
-@query(f"""WITH {REPORT_SQL} SELECT serial, date, round(signal_strength, 5) AS signal_strength, round(sq_quality, 5) AS sq_quality, round(uptime, 5) AS uptime, round(health, 5) AS health,
+@query(f"""WITH {REPORT_SQL} SELECT serial, date, round(signal_strength + 1e-9, 5) AS signal_strength, round(sq_quality + 1e-9, 5) AS sq_quality, round(uptime + 1e-9, 5) AS uptime, round(health + 1e-9, 5) AS health,
 CASE WHEN health >= 90 THEN 'Optimal' WHEN health >= 75 THEN 'Good' WHEN health >= 60 THEN 'Fair' ELSE 'Pay attention' END AS band FROM hs""")
 def r11_daily_health(spark, sf_dir):
     """The subscores, the weighted health and its band; subscores aren't rounded to a decimal here, as ties of rounding differ between engines."""
     out = daily_reports(spark, sf_dir, 7)
-    return out.select("serial", "date", *[F.round(x, 5).alias(x) for x in ("signal_strength", "sq_quality", "uptime", "health")], "band")
+    return out.select("serial", "date", *[F.round(F.col(x) + 1e-9, 5).alias(x) for x in ("signal_strength", "sq_quality", "uptime", "health")], "band")
 
 
-@query(f"""WITH {REPORT_SQL}, p AS (SELECT serial, ts::DATE AS date, quantile_cont(value, 0.05) AS p05 FROM FRAMES GROUP BY ALL),
-m AS (SELECT serial, date, list_filter([CASE WHEN em > 0 THEN printf('%.0f', em) || ' min of confirmed empty or lost coupling' END, CASE WHEN an > 0 THEN an || ' anomaly frames' END], lambda x: x IS NOT NULL) AS first, su, uptime, p05 FROM hs JOIN p USING (serial, date)),
-n AS (SELECT *, CASE WHEN len(first) = 0 AND su > 0 THEN [su || ' suspect frames'] ELSE first END AS mild FROM m),
-o AS (SELECT *, CASE WHEN uptime < 80 THEN list_append(mild, 'uptime of only ' || printf('%.0f', uptime) || '%') ELSE mild END AS every FROM n),
-q AS (SELECT *, CASE WHEN len(every) > 0 THEN every ELSE ['clean day'] END AS told FROM o)
-SELECT serial, date, array_to_string(CASE WHEN p05 < 60 THEN list_append(told, 'realtime flow health dipped to p05=' || printf('%.0f', p05)) ELSE told END, '; ') AS highlights FROM q""")
+@query(f"""WITH {REPORT_SQL}, hp AS (SELECT serial, ts::DATE AS date, quantile_cont(value * 1.00123::DOUBLE, 0.05) AS p05 FROM FRAMES GROUP BY ALL),
+hm AS (SELECT serial, date, list_filter([CASE WHEN em > 0 THEN printf('%.0f', em) || ' min of confirmed empty or lost coupling' END, CASE WHEN an > 0 THEN an || ' anomaly frames' END], lambda x: x IS NOT NULL) AS first, su, uptime, p05 FROM hs JOIN hp USING (serial, date)),
+hn AS (SELECT *, CASE WHEN len(first) = 0 AND su > 0 THEN [su || ' suspect frames'] ELSE first END AS mild FROM hm),
+ho AS (SELECT *, CASE WHEN uptime < 80 THEN list_append(mild, 'uptime of only ' || printf('%.0f', uptime) || '%') ELSE mild END AS every FROM hn),
+hq AS (SELECT *, CASE WHEN len(every) > 0 THEN every ELSE ['clean day'] END AS told FROM ho)
+SELECT serial, date, array_to_string(CASE WHEN p05 < 60 THEN list_append(told, 'realtime flow health dipped to p05=' || printf('%.0f', p05)) ELSE told END, '; ') AS highlights FROM hq""")
 def r13_highlights(spark, sf_dir):
     """A day's messages, with the frames' value as their health."""
     return daily_reports(spark, sf_dir, 7).select("serial", "date", F.array_join("highlights", "; ").alias("highlights"))
@@ -495,11 +495,15 @@ def e9_thresholds(spark, sf_dir):
     return out.select(*[F.round(x, 7).alias(x) for x in out.columns])
 
 
-@query()
+#: Eight smooth directions, orthonormal.
+BASIS = np.linalg.qr(np.cos(np.outer(np.arange(64) + 0.5, np.arange(8)) * np.pi / 64))[0].T
+BASIS_SQL = " + ".join(f"list_dot_product(e, {[float(x) for x in b]}::DOUBLE[]) ** 2" for b in BASIS)
+
+
+@query(f"""SELECT vec_id, round((list_dot_product(e, e) - ({BASIS_SQL})) / 64, 7) AS reconstruction_mse, 'completed' AS status FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings)""")
 def e4_linear_encoding(spark, sf_dir):
     """The energy that eight smooth directions leave of each vector."""
-    basis = np.linalg.qr(np.cos(np.outer(np.arange(64) + 0.5, np.arange(8)) * np.pi / 64))[0].T
-    return neighbors.encode(waves_of(spark, sf_dir), neighbors.linear_encoder(basis), row="vec_id").select("vec_id", "reconstruction_mse", "status")
+    return neighbors.encode(waves_of(spark, sf_dir), neighbors.linear_encoder(BASIS), row="vec_id").select("vec_id", F.round("reconstruction_mse", 7).alias("reconstruction_mse"), "status")
 
 
 @query("""WITH r AS (SELECT serial, ts, max(id) AS id FROM FRAMES GROUP BY ALL) SELECT f.serial, f.id, CASE WHEN f.event_type = 'error' AND r.id IS NOT NULL THEN f.value * 2 END AS score FROM FRAMES f LEFT JOIN r USING (serial, ts, id)""")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -196,10 +197,21 @@ def decode_telemetry(payload: Column) -> Column:
     that is neither null, 0 nor empty; null if that is no positive integer.
     Messages that aren't JSON objects have nulls only.
     """
-    whole = F.try_parse_json(payload.cast("string"))
     is_object = lambda v: F.schema_of_variant(v).startswith("OBJECT")
-    inner = F.try_variant_get(whole, "$.payload", "variant")
-    root = F.when(is_object(inner), inner).otherwise(whole)
+
+    def fields(whole: Column) -> Column:
+        inner = F.try_variant_get(whole, "$.payload", "variant")
+        return _once(F.when(is_object(inner), inner).otherwise(whole), lambda root: _telemetry(whole, root))
+
+    return _once(F.try_parse_json(payload.cast("string")), fields)
+
+
+def _once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with value worked out once however often it is used."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def _telemetry(whole: Column, root: Column) -> Column:
     number = lambda v, path: finite(F.try_variant_get(v, f"$.{path}", "string"))
     found = {name: number(root, f"{part}.{field}") for part, fields in TELEMETRY.items() for field, name in fields.items()}
     outer, wall = number(root, "pipe.pd"), number(root, "pipe.pt")
