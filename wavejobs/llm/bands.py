@@ -18,7 +18,7 @@ from wavejobs.llm.walks import SAMPLES, likeness, sampled
 
 #: Letters of a band, and bands of a walk at each of two levels.
 LETTERS = 8
-BANDS = 12
+BANDS = 6
 LIKENESS = 0.8
 #: Fingerprints of a band that one task compares with as many others.
 BLOCK = 400
@@ -88,8 +88,8 @@ def links(prints: DataFrame, least: float = LIKENESS) -> DataFrame:
     """Links a, b between ids of prints (id, fingerprint; each once) whose components are those of all pairs that meet in a band and are alike by `least`.
 
     All of a band are compared with its smallest id first. Those that aren't
-    like it are compared with all others of the band, in cells of two blocks;
-    what a cell returns is a forest, not its pairs.
+    like it are compared with all others of the band, block by block; what comes
+    of a block is a forest, not its pairs.
     """
 
     def band(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -108,20 +108,24 @@ def links(prints: DataFrame, least: float = LIKENESS) -> DataFrame:
 
     # Bands in which some aren't like the first: those against all.
     odd = met.join(judged.where("NOT near"), ["first", "id"], "left_semi").select("key", "id", F.lit(True).alias("odd"))
-    rest = met.join(odd.select("key").distinct(), "key", "left_semi").where("id <> first AND of > 2").join(odd, ["key", "id"], "left").select("key", "id", "of", F.coalesce("odd", F.lit(False)).alias("odd"))
-    blocks = F.ceil(F.col("of") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("id", F.lit("block")), blocks.cast("long")).cast("int")
-    cell = F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.struct(F.least(own, j).alias("i"), F.greatest(own, j).alias("j")))
-    cells = rest.select("key", "id", "odd", own.alias("own"), F.explode(cell).alias("c")).select("key", "id", "odd", "own", "c.i", "c.j").join(text("id", "fingerprint"), "id")
+    of_odd = odd.groupBy("key").agg(F.count(F.lit(1)).alias("odd_of"))
+    rest = met.where("id <> first AND of > 2").join(of_odd, "key").join(odd, ["key", "id"], "left").select("key", "id", "of", "odd_of", F.coalesce("odd", F.lit(False)).alias("odd"))
+    # A cell is a block of a band's members, at home there, and a block of those that aren't like the first, which visit.
+    blocks, visits = F.ceil(F.col("of") / BLOCK).cast("int"), F.ceil(F.col("odd_of") / BLOCK).cast("int")
+    dealt = lambda n, name: F.pmod(F.xxhash64("id", F.lit(name)), n.cast("long")).cast("int")
+    cell = lambda block, visit, home: F.struct(block.alias("block"), visit.alias("visit"), F.lit(home).alias("home"))
+    at_home = F.transform(F.sequence(F.lit(0), visits - 1), lambda v: cell(dealt(blocks, "home"), v, True))
+    visiting = F.when(F.col("odd"), F.transform(F.sequence(F.lit(0), blocks - 1), lambda b: cell(b, dealt(visits, "visit"), False))).otherwise(F.array().cast("array<struct<block: int, visit: int, home: boolean>>"))
+    cells = rest.select("key", "id", "odd", F.explode(F.concat(at_home, visiting)).alias("c")).select("key", "id", "odd", "c.*").join(text("id", "fingerprint"), "id")
 
     def forest_of(part: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
         """Links of one cell."""
-        ids, odd, own, same = part["id"].to_numpy(), part["odd"].to_numpy(bool), part["own"].to_numpy(), part["i"].iloc[0] == part["j"].iloc[0]
-        if not odd.any() or len(ids) < 2:
+        ids, odd, home = part["id"].to_numpy(), part["odd"].to_numpy(bool), part["home"].to_numpy(bool)
+        if home.all() or not home.any():
             return ids[:0], ids[:0]
         forest, laid, every = Forest(len(ids)), Laid(part["fingerprint"].tolist()), np.arange(len(ids))
-        for x in np.flatnonzero(odd):
-            open_ = (~odd | (every > x)) & (forest.label != forest.label[x]) & (same | (own != own[x]))
+        for x in np.flatnonzero(~home):
+            open_ = home & (~odd | (ids > ids[x])) & (forest.label != forest.label[x])
             near = laid.near(x, np.flatnonzero(open_), least)
             if len(near):
                 forest.join(np.full(len(near), x), near)
@@ -135,7 +139,7 @@ def links(prints: DataFrame, least: float = LIKENESS) -> DataFrame:
             rows = held if batch is None else batch if held is None else pd.concat([held, batch], ignore_index=True)
             if rows is None or not len(rows):
                 continue
-            cell = rows[["key", "i", "j"]].to_numpy()
+            cell = rows[["key", "block", "visit"]].to_numpy()
             cuts = np.concatenate([[0], np.flatnonzero((cell[1:] != cell[:-1]).any(axis=1)) + 1])
             held = None if batch is None else rows.iloc[cuts[-1] :]
             ends = [*cuts[1:], *([len(rows)] if batch is None else [])]
@@ -143,7 +147,7 @@ def links(prints: DataFrame, least: float = LIKENESS) -> DataFrame:
             if found:
                 yield pd.DataFrame({"a": np.concatenate([x for x, _ in found]), "b": np.concatenate([y for _, y in found])})
 
-    cells = cells.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    cells = cells.repartition("key", "block", "visit").sortWithinPartitions("key", "block", "visit")
     others = cells.mapInPandas(compare, "a long, b long")
     return judged.where("near").select(F.col("first").alias("a"), F.col("id").alias("b")).union(others)
 
