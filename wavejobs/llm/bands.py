@@ -21,7 +21,9 @@ LETTERS = 8
 BANDS = 6
 LIKENESS = 0.8
 #: Fingerprints of a band that one task compares with as many others.
-BLOCK = 400
+BLOCK = 1000
+#: Fingerprints of classes of several that are broadcast, at most; rows of two longs.
+BROADCAST_ROWS = 2_000_000
 
 
 @lru_cache(maxsize=256)
@@ -161,9 +163,12 @@ def classes(rows: DataFrame, least: float = LIKENESS) -> DataFrame:
     0.8 about one of a hundred is missed.
     """
     ident = F.xxhash64("fingerprint")
-    nodes = settle(rows.groupBy("fingerprint").agg(F.min("doc_id").alias("first")).withColumn("id", ident), "prints")
+    nodes = rows.groupBy("fingerprint").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("rows")).withColumn("id", ident)
+    nodes = settle(nodes, "prints", dictionary=False, codec="zstd")
     linked = components(links(nodes.select("id", "fingerprint"), least))
-    rooted = nodes.join(linked, nodes.id == linked.node, "left").select("fingerprint", "first", F.coalesce("root", "id").alias("root"))
-    named = rooted.groupBy("root").agg(F.min("first").alias("class_id"))
-    side = rooted.join(named, "root").select(F.col("fingerprint").alias("f"), "class_id")
-    return rows.join(side, F.col("fingerprint") == F.col("f")).drop("f")
+    rooted = nodes.select("id", "first", "rows").join(linked, nodes.id == linked.node, "left").select("id", "first", "rows", F.coalesce("root", "id").alias("root"))
+    named = rooted.groupBy("root").agg(F.min("first").alias("class_id"), F.sum("rows").alias("of")).where("of > 1")
+    side = settle(rooted.join(named, "root").select(F.col("id").alias("f"), "class_id"), "classes", dictionary=False)
+    side = F.broadcast(side) if side.count() <= BROADCAST_ROWS else side
+    # A row that is a class by itself isn't in side, so that the wide rows needn't be shuffled.
+    return rows.join(side, ident == F.col("f"), "left").withColumn("class_id", F.coalesce("class_id", "doc_id")).drop("f")
