@@ -98,6 +98,25 @@ def test_documents(spark, at_once, monkeypatch):
     assert rows(walks.edit_test(frame)) == brute(docs)
 
 
+def test_passes(spark, monkeypatch):
+    """No pass has the texts of over half the documents in its shuffle."""
+    held, settle = [], walks.settle
+
+    def counted(df, name="step", **kw):
+        out = settle(df, name, **kw)
+        if name == "walked":
+            held.append(out.where("fingerprint IS NOT NULL OR side = 'last'").count())
+        return out
+
+    monkeypatch.setattr(walks, "settle", counted)
+    rng = random.Random(6)
+    docs = [(rng.randrange(-(1 << 62), 1 << 62), sample(rng, rng.randrange(0, 60))) for _ in range(300)]
+    docs += [(None, "no id"), ((1 << 63) - 1, "the largest id"), (-(1 << 63), "the smallest id")]
+    frame = spark.createDataFrame([(i, t, "x", 0, None, 7) for i, t in docs], DOCS).repartition(3)
+    assert rows(walks.edit_test(frame)) == brute(docs)
+    assert sum(held) == len(docs) and max(held) <= len(docs) / 2
+
+
 def test_ties(spark):
     docs = [(5, "one text of the id"), (5, "another text of the id"), (None, "x" * 40), (None, "y" * 40), (4, "the last")]
     frame = spark.createDataFrame([(i, t, "x", 0, None, 7) for i, t in docs], DOCS)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +26,8 @@ _LETTERS = np.frombuffer(b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopq
 #: Characters that are walked at once; below so many walks at once, each goes by itself.
 AT_ONCE = 6 << 20
 FEW = 64
+#: Passes over the table; the shuffle of one pass holds the texts of one range of doc_ids.
+PASSES = 3
 
 
 @lru_cache
@@ -176,6 +178,17 @@ def _batch(rows: list[tuple], extra: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[c] for r in every], k) for c, k in enumerate(kinds)], names=names)
 
 
+def by_ranges(docs: DataFrame, passes: int) -> list[DataFrame]:
+    """docs cut into about equal ranges of doc_id by descending doc_id, nulls in the last; rows of one doc_id stay together."""
+    cuts = docs.approxQuantile("doc_id", [k / passes for k in range(1, passes)], 0.01)
+    cuts = sorted({max(-(1 << 63), min(int(x), (1 << 63) - 1)) for x in cuts or []}, reverse=True)
+    out, rest = [], F.lit(True)
+    for x in cuts:
+        out.append(docs.where(rest & (F.col("doc_id") > x)))
+        rest = (F.col("doc_id") <= x) | F.col("doc_id").isNull()
+    return [*out, docs.where(rest)]
+
+
 def edit_test(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
@@ -191,31 +204,35 @@ def edit_test(docs: DataFrame) -> DataFrame:
     are read whole, and a task holds AT_ONCE characters or one text.
 
     Documents are dealt by ranges of doc_id and walked in order; the first and
-    last one of each range are matched afterwards.
+    last one of each range are matched afterwards. The table is read PASSES
+    times, so that the texts needn't all be in shuffle files at once.
     """
     text = F.coalesce("text", F.lit(""))
     order = [F.col("doc_id").desc_nulls_last(), F.col("h"), F.col("m")]
-    keyed = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("h"), F.monotonically_increasing_id().alias("m"))
-    dealt = keyed.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = TaskContext.get().partitionId()
-        ids, texts, held = [], [], 0
-        for batch in batches:
-            for i, t in zip(batch.column(0).to_pylist(), batch.column(1)):
-                t = t.as_py()
-                if not ids:
-                    yield _batch([], [(None,) * 7 + (part, "first", t)])
-                ids.append(i)
-                texts.append(t)
-                held += len(t)
-                if held > AT_ONCE and len(ids) > 1:
-                    yield _batch(_judged(ids, texts, len(ids) - 1), [])
-                    ids, texts, held = ids[-1:], texts[-1:], len(t)
-        if ids:
-            yield _batch(_judged(ids, texts, len(ids) - 1), [(ids[-1],) + (None,) * 6 + (part, "last", texts[-1])])
-
-    walked = settle(dealt.mapInArrow(run, f"{_ROW}, part long, side string, text string"), "walked", dictionary=False, codec="zstd")
+    def walked_in(turn: int, rows: DataFrame) -> DataFrame:
+        keyed = rows.select("doc_id", text.alias("text"), F.xxhash64(text).alias("h"), F.monotonically_increasing_id().alias("m"))
+        dealt = keyed.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            part = (turn << 32) + TaskContext.get().partitionId()
+            ids, texts, held = [], [], 0
+            for batch in batches:
+                for i, t in zip(batch.column(0).to_pylist(), batch.column(1)):
+                    t = t.as_py()
+                    if not ids:
+                        yield _batch([], [(None,) * 7 + (part, "first", t)])
+                    ids.append(i)
+                    texts.append(t)
+                    held += len(t)
+                    if held > AT_ONCE and len(ids) > 1:
+                        yield _batch(_judged(ids, texts, len(ids) - 1), [])
+                        ids, texts, held = ids[-1:], texts[-1:], len(t)
+            if ids:
+                yield _batch(_judged(ids, texts, len(ids) - 1), [(ids[-1],) + (None,) * 6 + (part, "last", texts[-1])])
+
+        return settle(dealt.mapInArrow(run, f"{_ROW}, part long, side string, text string"), "walked", dictionary=False, codec="zstd")
+
+    walked = reduce(DataFrame.union, [walked_in(k, rows) for k, rows in enumerate(by_ranges(docs, PASSES))])
     first = walked.where("side = 'first'").select("part", F.col("text").alias("next_text"))
     follows = Window.orderBy("part")  # a row for each range
     parts = first.select("part", F.coalesce(F.lead("part").over(follows), F.first("part").over(follows)).alias("next"))
