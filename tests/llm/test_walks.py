@@ -124,6 +124,14 @@ def test_ties(spark):
     assert len(got) == 5 and got == rows(walks.edit_test(frame.repartition(5)))
 
 
+@pytest.mark.parametrize("one", [None, 7, -(1 << 63)])
+def test_one_id(spark, one):
+    """A table of one doc_id can't be cut into ranges."""
+    docs = [(one, f"text number {k} " * k) for k in range(12)]
+    got = rows(walks.edit_test(spark.createDataFrame([(i, t, "x", 0, None, 7) for i, t in docs], DOCS).repartition(3)))
+    assert sorted(r[3] for r in got) == sorted(plain_fingerprint(t) for _, t in docs) and {r[0] for r in got} == {one}
+
+
 def test_small_tables(spark):
     frame = lambda docs: spark.createDataFrame([(i, t, "x", 0, None, 7) for i, t in docs], DOCS)
     assert rows(walks.edit_test(frame([]))) == []
