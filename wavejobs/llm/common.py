@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -39,6 +40,12 @@ def settle(df: DataFrame, name: str = "step", dictionary: bool = True, codec: st
     return out
 
 
+def let_go(spark: SparkSession, wait_s: float = 0.5) -> None:
+    """Have the files of finished shuffles deleted now. Listeners may hold a query for a moment after its end, which settle() alone doesn't wait for."""
+    time.sleep(wait_s)
+    spark.sparkContext._jvm.System.gc()
+
+
 def discard(*settled: DataFrame) -> None:
     """Delete tables of settle() that nothing reads any more; what was made of them must be written."""
     for df in settled:

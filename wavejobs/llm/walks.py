@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from wavejobs.llm.common import settle
+from wavejobs.llm.common import let_go, settle
 
 #: Independent walks, and steps that each is sampled at between one power of two and the next.
 WALKS = 2
@@ -230,7 +230,9 @@ def edit_test(docs: DataFrame) -> DataFrame:
             if ids:
                 yield _batch(_judged(ids, texts, len(ids) - 1), [(ids[-1],) + (None,) * 6 + (part, "last", texts[-1])])
 
-        return settle(dealt.mapInArrow(run, f"{_ROW}, part long, side string, text string"), "walked", dictionary=False, codec="zstd")
+        out = settle(dealt.mapInArrow(run, f"{_ROW}, part long, side string, text string"), "walked", dictionary=False, codec="zstd")
+        let_go(out.sparkSession)  # before the next pass fills the disk
+        return out
 
     walked = reduce(DataFrame.union, [walked_in(k, rows) for k, rows in enumerate(by_ranges(docs, PASSES))])
     first = walked.where("side = 'first'").select("part", F.col("text").alias("next_text"))
