@@ -132,6 +132,11 @@ def test_one_id(spark, one):
     assert sorted(r[3] for r in got) == sorted(plain_fingerprint(t) for _, t in docs) and {r[0] for r in got} == {one}
 
 
+def test_ranges(spark):
+    ids = spark.range(10).withColumnRenamed("id", "doc_id")
+    assert [d.count() for d in walks.by_ranges(ids, 1)] == [10] and [d.count() for d in walks.by_ranges(ids, 2)] == [5, 5]
+
+
 def test_small_tables(spark):
     frame = lambda docs: spark.createDataFrame([(i, t, "x", 0, None, 7) for i, t in docs], DOCS)
     assert rows(walks.edit_test(frame([]))) == []

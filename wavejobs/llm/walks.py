@@ -180,8 +180,8 @@ def _batch(rows: list[tuple], extra: list[tuple]) -> pa.RecordBatch:
 
 def by_ranges(docs: DataFrame, passes: int) -> list[DataFrame]:
     """docs cut into about equal ranges of doc_id by descending doc_id, nulls in the last; rows of one doc_id stay together."""
-    cuts = docs.approxQuantile("doc_id", [k / passes for k in range(1, passes)], 0.01)
-    cuts = sorted({max(-(1 << 63), min(int(x), (1 << 63) - 1)) for x in cuts or []}, reverse=True)
+    cuts = docs.approxQuantile("doc_id", [k / passes for k in range(1, passes)], 0.01) if passes > 1 else []
+    cuts = sorted({max(-(1 << 63), min(int(x), (1 << 63) - 1)) for x in cuts}, reverse=True)
     out, rest = [], F.lit(True)
     for x in cuts:
         out.append(docs.where(rest & (F.col("doc_id") > x)))
