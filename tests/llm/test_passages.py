@@ -87,3 +87,29 @@ def test_hot_and_wide(spark, monkeypatch):
     assert (narrow[2] == np.concatenate([p[2] + e - len(x) for p, e, x in zip(one_by_one, ends, several)])).all()
     monkeypatch.setattr(passages, "WIDE", 0)
     assert all((a == b).all() for a, b in zip(narrow, passages.anchors(h, ends)))
+
+
+def test_small_automata_in_a_shard(spark, monkeypatch, tmp_path):
+    """The anchors of a shard are dealt to automata of about CACHED_BYTES, and the result is that of a single one."""
+    rng = random.Random(9)
+    shared = [[f"p{k}w{i}" for i in range(60)] for k in range(40)]
+    rows = [(d, " ".join(w for _ in range(4) for w in rng.choice(shared)[rng.randrange(20) :]), "en", "s", 0, 1, "") for d in range(60)]
+    made = str(tmp_path)
+
+    class Counted:
+        STORE_ANY, KEY_SEQUENCE = passages.ahocorasick.STORE_ANY, passages.ahocorasick.KEY_SEQUENCE
+
+        @staticmethod
+        def Automaton(*how):
+            import tempfile
+
+            import ahocorasick
+
+            tempfile.mkstemp(dir=made)
+            return ahocorasick.Automaton(*how)
+
+    monkeypatch.setattr(passages, "ahocorasick", Counted)
+    monkeypatch.setattr(passages, "CACHED_BYTES", 2000, raising=False)
+    got = sorted(tuple(r) for r in passages.remove(spark.createDataFrame(rows, DOCS)).collect())
+    assert got == sorted(brute(rows, 20))
+    assert len(list(tmp_path.iterdir())) > 10

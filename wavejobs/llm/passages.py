@@ -21,33 +21,24 @@ ANCHOR = 6
 #: UTF-8 bytes of patterns in one automaton, and of passages that one task streams through it.
 PATTERN_BYTES = 4 << 20
 STREAM_BYTES = 16 << 20
+#: UTF-8 bytes of patterns that a core's cache holds as an automaton: a shard of several anchors has one for about so many.
+CACHED_BYTES = 64 << 10
 #: Words from which an anchor's place in a text no longer fits the low bits of its hash.
 WIDE = 1 << 24
 #: Stands for a null doc_id in the order of documents: after all others.
 _LAST = (1 << 63) - 1
-_WORDS_KEPT = 1 << 20  # hashes that a worker remembers
 
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)  # odd, so that they have inverses modulo 2**64
 
 
-class _WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        h = self[word] = xxhash.xxh64_intdigest(word, 7)
-        return h
-
-
 class Hashes:
     """Hashes of runs of words, from prefix sums of word hashes times powers of a base modulo 2**64."""
 
     _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-    _known = _WordHashes()
 
     def __init__(self, words: list[bytes]) -> None:
-        known = Hashes._known
-        if len(known) > _WORDS_KEPT:
-            known.clear()
         self.n = len(words)
-        self.values = np.fromiter([known[w] for w in words], np.uint64, len(words))
+        self.values = np.fromiter([xxhash.xxh64_intdigest(w, 7) for w in words], np.uint64, len(words))
         self.sums = [self._prefix(b) for b in range(len(_BASES))]
 
     @classmethod
@@ -234,27 +225,39 @@ def located(texts: DataFrame, patterns: DataFrame, window: int, pattern_bytes: i
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias(n[:-1])
     several = sizes.select("akey", "parts", "salts")
     mine = texts.join(several, "akey").select("*", dealt("salts")).select("*", every("parts")).select(shard, "akey", "ctx", "text", F.col("parts"))
-    known = patterns.join(several, "akey").select("*", dealt("parts")).select("*", every("salts")).select(shard, "d", "start", "c", "offsets", "text")
+    known = patterns.join(several, "akey").select("*", dealt("parts")).select("*", every("salts")).select(shard, "akey", "d", "start", "c", "offsets", "text")
 
     nothing = pd.DataFrame({"akey": np.zeros(0, np.int64), "ctx": np.zeros(0, np.int64), "whole": np.zeros(0, bool), "o": [], "first_d": [], "first_s": []}).astype({c: object for c in ("o", "first_d", "first_s")})
 
     def stream(mine: pd.DataFrame, known: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        """What scan() finds, by groups of anchors: runs of different anchors have no window in common."""
+        groups = max(1, sum(map(len, known["text"])) // CACHED_BYTES)
+        by_anchor = lambda df: dict(list(df.groupby(df["akey"].to_numpy(np.int64).view(np.uint64) % np.uint64(groups))))
+        runs = by_anchor(mine)
+        for group, some in by_anchor(known).items():
+            if group in runs:
+                yield from scan(runs[group], some)
+
+    def scan(mine: pd.DataFrame, known: pd.DataFrame) -> Iterator[pd.DataFrame]:
         numbers: dict[bytes, int] = {}
         automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+        latest: dict[tuple, int] = {}
         firsts: list[tuple[int, int, int]] = []  # of each pattern: its length in words, and where it starts first
 
         def add(words: tuple, d: int, s: int) -> None:
-            old = automaton.get(words, None)
+            old = latest.get(words)
             if old is None or (d, s) < firsts[old][1:]:
+                latest[words] = len(firsts)
                 automaton.add_word(words, len(firsts))
                 firsts.append((len(words) // 2, d, s))
 
-        for d, start, c, offsets, text in zip(*(known[n] for n in ("d", "start", "c", "offsets", "text"))):
-            ids = symbols([numbers.setdefault(w, len(numbers)) for w in words_of(text)])
-            if c > 1:
-                add(ids, d, start)
-            for o in offsets if offsets is not None else ():
-                add(ids[2 * o : 2 * (o + window)], d, start + int(o))
+        for rows, words, ends in _together(_rows_of([known], ["text", "d", "start", "c", "offsets"])):
+            ids = symbols([numbers.setdefault(w, len(numbers)) for w in words])
+            for (_, d, start, c, offsets), a, b in zip(rows, [0, *ends.tolist()], ends.tolist()):
+                if c > 1:
+                    add(ids[2 * a : 2 * b], d, start)
+                for o in offsets if offsets is not None else ():
+                    add(ids[2 * (a + o) : 2 * (a + o + window)], d, start + int(o))
         if not firsts:
             return
         automaton.make_automaton()
