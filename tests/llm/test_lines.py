@@ -49,3 +49,35 @@ def test_copies_of_a_row_and_empty(spark):
     rows = [(1, "a b c\na b c", "en", "s", 0, "", ""), (1, "a b c\na b c", "en", "s", 0, "", "")]
     assert [list(r.removed) for r in lines.dedup(spark.createDataFrame(rows, DOCS), cells=1 << 12).collect()] == [[1], [1]]
     assert lines.dedup(spark.createDataFrame([], DOCS), cells=1 << 12).collect() == []
+
+
+@pytest.mark.parametrize("hot", [128, 3])
+def test_long_lines_meet_on_two_words(spark, monkeypatch, hot):
+    """All pairs of long lines at the limit of similarity are found, whichever words differ."""
+    monkeypatch.setattr(lines, "HOT", hot)
+    rng = random.Random(7)
+    common = [f"c{i}" for i in range(300)]
+    rows, d = [], 0
+    for k in range(30):
+        n = rng.randint(36, 90)
+        base = [f"rare{k}", *rng.sample(common, n - 1)]
+        for gone in (0, n // 9, n // 9 + 1):  # n - gone words shared of n + gone
+            other = rng.sample(base, n - gone) if k % 2 else sorted(base)[: n - gone]
+            rows.append((d, " ".join(other + [f"new{k}x{gone}x{i}" for i in range(gone)]), "en", "s", 0, "", ""))
+            d += 1
+    got = [(r.doc_id, r.n_lines, list(r.removed)) for r in lines.dedup(spark.createDataFrame(rows, DOCS), cells=1 << 16).collect()]
+    assert sorted(got) == sorted(brute(rows))
+    assert sum(len(x[2]) for x in got) >= 30
+
+
+def test_long_lines_that_share_one_rare_word(spark, monkeypatch):
+    """Pairs of long lines that have one rare word in common and nothing else aren't verified, as similar ones share two of their rarest."""
+    rng = random.Random(8)
+    rows = []
+    for d in range(24):
+        own = [f"own{d}x{i}" for i in range(16)]
+        rows.append((d, " ".join([*own, f"only{d // 2}", *rng.sample([f"c{d % 2}x{i}" for i in range(150)], 134)]), "en", "s", 0, "", ""))
+    asked, real = [], lines.texts_by_id
+    monkeypatch.setattr(lines, "texts_by_id", lambda ids, *rest: asked.append(ids.distinct().count()) or real(ids, *rest))
+    assert all(not r.removed for r in lines.dedup(spark.createDataFrame(rows, DOCS)).collect())
+    assert asked == [0]

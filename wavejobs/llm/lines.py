@@ -18,6 +18,8 @@ ASKED = 1 << 17
 _ONCE = 4
 #: A prefix word of more lines than this is hot: its lines are compared with their earliest one first.
 HOT = 128
+#: Lines of so many distinct words have to meet on two prefix words; their prefixes have one word more. Others meet on one.
+LONG = 40
 #: Stands for a null doc_id in the order of documents: after all others.
 _LAST = (1 << 63) - 1
 _LOW = (1 << 56) - 1
@@ -57,11 +59,16 @@ def rarity(docs: DataFrame, cells: int) -> DataFrame:
     return one_row(counted.select("cell", F.least(F.lit(120), F.floor(F.log2(F.col("n") + 1) * 4)).cast("tinyint").alias("value")), cells)
 
 
+def twice(n: Column, similarity: float) -> Column:
+    """Whether a line of n distinct words has to meet others on two; any similar one shares two at least with it."""
+    return n >= max(LONG, math.ceil(2 / similarity))
+
+
 def features(docs: DataFrame, similarity: float, cells: int) -> DataFrame:
     """Every line: doc_id, t, n_lines, l, k1, k2, n (distinct words), sig (64 bits, each word flips one) and prefix.
 
-    prefix has the line's n - ceil(similarity * n) + 1 rarest words, as numbers
-    that sort by rarity, then hash.
+    prefix has the line's n - ceil(similarity * n) + 1 rarest words, and one
+    more in a long line, as numbers that sort by rarity, then hash.
     """
     hashed = F.xxhash64
     level = lambda w: F.coalesce(F.get("levels", hashed(w).bitwiseAND(F.lit(cells - 1)).cast("int")), F.lit(0).cast("tinyint"))
@@ -72,7 +79,7 @@ def features(docs: DataFrame, similarity: float, cells: int) -> DataFrame:
     blank = F.xxhash64(F.lit("")).bitwiseAND(F.lit(_LOW))  # the one word of a line without words is empty
     n = F.when(F.get("s", F.lit(0)).bitwiseAND(F.lit(_LOW)) == blank, 0).otherwise(F.size("s"))
     sig = F.expr("aggregate(s, 0L, (a, x) -> a ^ shiftleft(1L, CAST(x & 63 AS INT)))")
-    return ranked.select(*keys, n.alias("n"), sig.alias("sig"), F.slice("s", F.lit(1), F.size("s") - F.ceil(F.size("s") * F.lit(similarity) - 1e-9).cast("int") + 1).alias("prefix"))
+    return ranked.select(*keys, n.alias("n"), sig.alias("sig"), F.slice("s", F.lit(1), F.size("s") - F.ceil(F.size("s") * F.lit(similarity) - 1e-9).cast("int") + 1 + twice(F.size("s"), similarity).cast("int")).alias("prefix"))
 
 
 def may_match(similarity: float) -> Column:
@@ -138,6 +145,9 @@ def repeated(docs: DataFrame, lines: DataFrame, similarity: float = SIMILARITY)
     Equal lines are one class. Of two similar lines the longer one's prefix
     holds one of the n - ceil(2 s / (1 + s) * n) + 1 rarest words of the
     shorter, for any order that all lines share, and lines meet on that word.
+    With one word more in each prefix they meet on two words, or all but one
+    of them would be beyond the prefixes; this is asked of long lines, which
+    the bit filter spares least, unless a hot word, looked at apart, is there.
     Length, positional and bit filters stand in the join; what passes is
     verified on all words.
 
@@ -152,20 +162,23 @@ def repeated(docs: DataFrame, lines: DataFrame, similarity: float = SIMILARITY)
     discard(lines)
 
     rows = classes.select("id", "d", "l", "n", "sig", F.posexplode("prefix").alias("i", "key")).where(F.shiftright("key", 56) > _ONCE)
-    held = lambda df: df.where(F.col("i") <= F.col("n") - F.ceil(F.col("n") * F.lit(2 * similarity / (1 + similarity)) - 1e-9))
+    held = lambda df: df.where(F.col("i") <= F.col("n") - F.ceil(F.col("n") * F.lit(2 * similarity / (1 + similarity)) - 1e-9) + twice(F.col("n"), similarity).cast("int"))
     shorter = (F.col("b_n") < F.col("n")) | ((F.col("b_n") == F.col("n")) & (F.col("b_id") < F.col("id")))
     common = F.shiftright("key", 56) >= int(4 * math.log2(HOT + 1))  # others occur HOT times at most
     hot = settle(held(rows).where(common).groupBy("key").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > HOT).select("key"), "hot")
     cold = other(held(rows).join(hot, "key", "left_anti"), "id", "n", "sig", "i")
     # a cold word has HOT lines at most, so the rows needn't be sorted to meet
-    pairs = rows.select("key", "id", "n", "sig", "i").join(cold.hint("shuffle_hash"), "key").where(shorter & may_match(similarity)).select("id", "b_id")
+    pairs = rows.select("key", "id", "n", "sig", "i").join(cold.hint("shuffle_hash"), "key").where(shorter & may_match(similarity)).select("id", "b_id", "b_n")
     own = settle(rows.join(hot, "key"), "own")
+    apart = own.select(F.col("id").alias("b_id")).distinct()
+    met = settle(pairs.groupBy("id", "b_id").agg(((F.count(F.lit(1)) > 1) | ~twice(F.any_value("b_n"), similarity)).alias("enough")), "met")
+    pairs = met.where("enough").select("id", "b_id").union(met.where("NOT enough").join(apart, "b_id", "left_semi").select("id", "b_id"))
     lead = own.groupBy("key").agg(F.min(F.struct("d", "l", "id", "n", "sig", "i")).alias("m")).select("key", "m.*")
     pairs = pairs.union(own.join(other(lead, "id", "n", "sig", "i"), "key").where((F.col("id") != F.col("b_id")) & may_match(similarity)).select("id", "b_id"))
     pairs = settle(pairs.distinct(), "pairs")
     texts = texts_by_id(pairs.select("id").union(pairs.select("b_id")).union(own.select("id")), classes, docs)
     matched = verified(pairs, texts, similarity)
-    discard(pairs, hot)
+    discard(met, pairs, hot)
 
     again = matched.withColumn("again", F.lit(True))
     marked = settle(own.join(again, "id", "left").withColumn("open", F.col("again").isNull()).drop("again"), "marked")
