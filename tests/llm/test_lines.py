@@ -81,3 +81,24 @@ def test_long_lines_that_share_one_rare_word(spark, monkeypatch):
     monkeypatch.setattr(lines, "texts_by_id", lambda ids, *rest: asked.append(ids.distinct().count()) or real(ids, *rest))
     assert all(not r.removed for r in lines.dedup(spark.createDataFrame(rows, DOCS)).collect())
     assert asked == [0]
+
+
+def test_sketches_differ_by_no_more_than_the_sets(spark):
+    rng = random.Random(9)
+    rows = [(0, [], []), (1, [0, 1 << 52, (1 << 56) - 1], [])]
+    for k in range(2, 300):
+        a = {rng.getrandbits(56) >> rng.choice((0, 0, 5)) for _ in range(rng.randint(1, 200))}
+        b = set(rng.sample(sorted(a), rng.randint(0, len(a)))) | {rng.getrandbits(56) for _ in range(rng.randint(0, 9))}
+        rows.append((k, list(a), rng.sample(sorted(b), len(b))))
+    sig = [{r.k: r.sig for r in lines.sketched(spark.createDataFrame([(x[0], x[i]) for x in rows], "k long, h array<long>")).collect()} for i in (1, 2)]
+    apart = [(bin((sig[0][k] ^ sig[1][k]) & (1 << 64) - 1).count("1"), len(set(a) ^ set(b))) for k, a, b in rows]
+    assert all(bits <= words for bits, words in apart)
+    assert sum(bits for bits, words in apart if words > 60) > 15 * sum(words > 60 for _, words in apart)
+
+
+@pytest.mark.parametrize("similarity", [1.0, 0.8, 0.55])
+def test_similar_lengths_share_a_band(spark, similarity):
+    n = spark.range(1, 3001).select("id", lines.band(lines.F.col("id"), similarity).alias("own"), lines.band(lines.F.floor(lines.F.col("id") / similarity + 1e-6), similarity).alias("last"))
+    got = {r.id: (r.own, r.last) for r in n.collect()}
+    assert all(last - own in (0, 1) for own, last in got.values())
+    assert all(got[m][0] in got[k] for k in got for m in (k, int(k / similarity), int(k / similarity) - 1) if k <= m <= 3000 and m * similarity <= k + 1e-9)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,6 +24,8 @@ LONG = 40
 #: Stands for a null doc_id in the order of documents: after all others.
 _LAST = (1 << 63) - 1
 _LOW = (1 << 56) - 1
+#: The codes 0000, 0001, 0011, 0111, 1111, 1110, 1100, 1000 of counts modulo 8, from the lowest bits up: n codes on differ in n bits at most.
+_CODES = 0x8CEF7310
 
 
 def split_words(line: Column) -> Column:
@@ -44,7 +47,7 @@ def lines_of(docs: DataFrame) -> DataFrame:
 def one_row(counted: DataFrame, cells: int) -> DataFrame:
     """One row, one array of `cells` values, from rows of cell and value; other cells are 0. Its size doesn't depend on the input."""
     every = counted.unionByName(counted.sparkSession.range(cells).select(F.col("id").alias("cell"), F.lit(0).cast(dict(counted.dtypes)["value"]).alias("value")))
-    in_order = lambda at, v: F.transform(F.array_sort(F.collect_list(F.struct(at, v))), lambda x: x[v]).alias("value")
+    in_order = lambda at, v: F.transform(F.sort_array(F.collect_list(F.struct(at, v))), lambda x: x[v]).alias("value")
     chunks = every.groupBy("cell").agg(F.max_by("value", F.col("value") != 0).alias("value")).groupBy(F.shiftright("cell", 10).alias("chunk")).agg(in_order("cell", "value"))
     return settle(chunks.agg(F.flatten(in_order("chunk", "value")).alias("values")), "cells")
 
@@ -64,22 +67,38 @@ def twice(n: Column, similarity: float) -> Column:
     return n >= max(LONG, math.ceil(2 / similarity))
 
 
+def sketched(hashes: DataFrame) -> DataFrame:
+    """The rows with sig, 64 bits that differ between two sets of hashes (h, distinct, 56 bits each) in as many places at most as the sets differ by hashes.
+
+    The hashes fall into 16 equal ranges; sig has a code of 4 bits for each
+    range's count. Bounds sorted in among the hashes tell the counts without a
+    function called for every word.
+    """
+    bounds = [j << 52 for j in range(1, 16)]
+    kept = [c for c in hashes.columns if c != "h"]
+    placed = hashes.select(*kept, "h", F.sort_array(F.concat("h", F.array(*[F.lit(b) for b in bounds]))).alias("placed"))
+    placed = placed.select(*kept, "h", F.size("placed").cast("long").alias("p16"), *[F.array_position("placed", F.lit(b)).alias(f"p{j}") for j, b in enumerate(bounds, 1)])
+    count = lambda j: (F.col("p1") - 1) if j == 0 else (F.col("p16") - F.col("p15")) if j == 15 else (F.col(f"p{j + 1}") - F.col(f"p{j}") - 1)
+    code = lambda j: F.call_function("shiftright", F.lit(_CODES), (count(j).bitwiseAND(F.lit(7)) * 4).cast("int")).bitwiseAND(F.lit(15))
+    return placed.select(*kept, "h", reduce(Column.bitwiseOR, [F.shiftleft(code(j), 4 * j) for j in range(16)]).alias("sig"))
+
+
 def features(docs: DataFrame, similarity: float, cells: int) -> DataFrame:
-    """Every line: doc_id, t, n_lines, l, k1, k2, n (distinct words), sig (64 bits, each word flips one) and prefix.
+    """Every line: doc_id, t, n_lines, l, k1, k2, n (distinct words), sig (see sketched) and prefix.
 
     prefix has the line's n - ceil(similarity * n) + 1 rarest words, and one
     more in a long line, as numbers that sort by rarity, then hash.
     """
-    hashed = F.xxhash64
-    level = lambda w: F.coalesce(F.get("levels", hashed(w).bitwiseAND(F.lit(cells - 1)).cast("int")), F.lit(0).cast("tinyint"))
-    rank = lambda w: F.shiftleft(level(w).cast("long"), 56).bitwiseOR(hashed(w).bitwiseAND(F.lit(_LOW)))
+    level = lambda h: F.coalesce(F.get("levels", h.bitwiseAND(F.lit(cells - 1)).cast("int")), F.lit(0).cast("tinyint"))
+    rank = lambda h: F.shiftleft(level(h).cast("long"), 56).bitwiseOR(h)
     keys = ["doc_id", "t", "n_lines", "l", "k1", "k2"]
-    # levels is used once, so that Spark puts the subquery's value into the lambda and no row holds a copy of it
-    ranked = lines_of(docs).withColumn("levels", rarity(docs, cells).scalar()).select(*keys, F.sort_array(F.array_distinct(F.transform(split_words(F.col("line")), rank))).alias("s"))
+    hashes = F.array_distinct(F.transform(split_words(F.col("line")), lambda w: F.xxhash64(w).bitwiseAND(F.lit(_LOW))))
+    sketches = sketched(lines_of(docs).select(*keys, hashes.alias("h")))
     blank = F.xxhash64(F.lit("")).bitwiseAND(F.lit(_LOW))  # the one word of a line without words is empty
-    n = F.when(F.get("s", F.lit(0)).bitwiseAND(F.lit(_LOW)) == blank, 0).otherwise(F.size("s"))
-    sig = F.expr("aggregate(s, 0L, (a, x) -> a ^ shiftleft(1L, CAST(x & 63 AS INT)))")
-    return ranked.select(*keys, n.alias("n"), sig.alias("sig"), F.slice("s", F.lit(1), F.size("s") - F.ceil(F.size("s") * F.lit(similarity) - 1e-9).cast("int") + 1 + twice(F.size("s"), similarity).cast("int")).alias("prefix"))
+    n = F.when(F.get("h", F.lit(0)) == blank, 0).otherwise(F.size("h"))
+    # levels is used once, so that Spark puts the subquery's value into the lambda and no row holds a copy of it
+    ranked = sketches.withColumn("levels", rarity(docs, cells).scalar()).select(*keys, n.alias("n"), "sig", F.sort_array(F.transform("h", rank)).alias("s"))
+    return ranked.select(*keys, "n", "sig", F.slice("s", F.lit(1), F.size("s") - F.ceil(F.size("s") * F.lit(similarity) - 1e-9).cast("int") + 1 + twice(F.size("s"), similarity).cast("int")).alias("prefix"))
 
 
 def may_match(similarity: float) -> Column:
@@ -90,6 +109,16 @@ def may_match(similarity: float) -> Column:
     return (F.least(n, m) >= F.greatest(n, m) * similarity - 1e-9) & (most >= need) & (F.bit_count(F.col("sig").bitwiseXOR(F.col("b_sig"))) <= n + m - need * 2)
 
 
+def band(n: Column, similarity: float) -> Column:
+    """Which of the bands of lengths n is in; those of similar lines are in one band or in two neighbouring ones. Wider bands hold more lines, narrower ones hold more of them twice."""
+    return F.floor(F.log(n) / max(-3 * math.log(similarity), 0.4))
+
+
+def in_band(key: Column, which: Column) -> Column:
+    """The key together with a band. Should two of them ever be the same number, one pair more is looked at."""
+    return key.bitwiseXOR(F.shiftleft(which, 48))
+
+
 def other(rows: DataFrame, *kept: str) -> DataFrame:
     """The rows as the other side of a join on key."""
     return rows.select("key", *[F.col(c).alias(f"b_{c}") for c in kept])
@@ -124,18 +153,22 @@ def texts_by_id(ids: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFram
     return out
 
 
+def near(similarity: float) -> Column:
+    """Whether the sketches of texts_by_id allow for the similarity; those of the other side are named b_."""
+    most = F.col("m") + F.col("b_m") - F.ceil((F.col("m") + F.col("b_m")) * F.lit(similarity / (1 + similarity)) - 1e-9) * 2
+    return sum((F.bit_count(F.col(f"s{k}").bitwiseXOR(F.col(f"b_s{k}"))) for k in range(4)), F.lit(0)) <= most
+
+
 def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """id: of pairs (id, b_id) the later lines whose words, by their 64-bit hashes, have the similarity with the earlier one's. Their sketches rule most of the others out."""
     places = texts.drop("h")
     both = pairs.join(places, "id").join(places.select(*[F.col(c).alias(f"b_{c}") for c in places.columns]), "b_id")
-    most = F.col("m") + F.col("b_m") - F.ceil((F.col("m") + F.col("b_m")) * F.lit(similarity / (1 + similarity)) - 1e-9) * 2
-    apart = sum((F.bit_count(F.col(f"s{k}").bitwiseXOR(F.col(f"b_s{k}"))) for k in range(4)), F.lit(0))
-    near = both.where((apart <= most) & (later() | later("b_", ""))).select("id", "b_id", F.when(later(), F.col("id")).otherwise(F.col("b_id")).alias("last"))
-    near = settle(near, "near")
-    met = near.join(texts.select("id", "m", "h"), "id").join(texts.select(F.col("id").alias("b_id"), F.col("m").alias("b_m"), F.col("h").alias("b_h")), "b_id")
+    left = both.where(near(similarity) & (later() | later("b_", ""))).select("id", "b_id", F.when(later(), F.col("id")).otherwise(F.col("b_id")).alias("last"))
+    left = settle(left, "near")
+    met = left.join(texts.select("id", "m", "h"), "id").join(texts.select(F.col("id").alias("b_id"), F.col("m").alias("b_m"), F.col("h").alias("b_h")), "b_id")
     met = met.select("last", (F.col("m") + F.col("b_m")).alias("all"), F.size(F.array_intersect("h", "b_h")).alias("both"))
     out = settle(met.where(F.col("both") >= F.ceil(F.col("all") * F.lit(similarity / (1 + similarity)) - 1e-9)).select(F.col("last").alias("id")).distinct(), "matched")
-    discard(near)
+    discard(left)
     return out
 
 
@@ -149,11 +182,13 @@ def repeated(docs: DataFrame, lines: DataFrame, similarity: float = SIMILARITY)
     of them would be beyond the prefixes; this is asked of long lines, which
     the bit filter spares least, unless a hot word, looked at apart, is there.
     Length, positional and bit filters stand in the join; what passes is
-    verified on all words.
+    verified on all words. The lines of a word meet in bands of lengths, as most
+    of them are too short or too long for each other.
 
     In the group of a hot word a line is compared only with the earliest one at
     first, which settles groups of near copies of any size. Then the hot words'
-    lines meet where the later one has found no match yet. Words that occur
+    lines meet where the later one has found no match yet and their larger
+    sketches allow for it. Words that occur
     once in all documents meet nothing.
     """
     firsts = lines.where("n > 0").select("k1", "k2", F.struct(F.coalesce("doc_id", F.lit(_LAST)).alias("d"), "l").alias("place"), "n", "sig", "prefix")
@@ -161,14 +196,19 @@ def repeated(docs: DataFrame, lines: DataFrame, similarity: float = SIMILARITY)
     classes = settle(grouped.select(F.monotonically_increasing_id().alias("id"), "k1", "k2", "first.d", "first.l", "n", "sig", "prefix", "copies"), "classes", dictionary=False)
     discard(lines)
 
-    rows = classes.select("id", "d", "l", "n", "sig", F.posexplode("prefix").alias("i", "key")).where(F.shiftright("key", 56) > _ONCE)
+    again_somewhere = F.shiftright("key", 56) > _ONCE
+    rows = classes.select("id", "d", "l", "n", "sig", F.posexplode("prefix").alias("i", "key")).where(again_somewhere)
     held = lambda df: df.where(F.col("i") <= F.col("n") - F.ceil(F.col("n") * F.lit(2 * similarity / (1 + similarity)) - 1e-9) + twice(F.col("n"), similarity).cast("int"))
     shorter = (F.col("b_n") < F.col("n")) | ((F.col("b_n") == F.col("n")) & (F.col("b_id") < F.col("id")))
     common = F.shiftright("key", 56) >= int(4 * math.log2(HOT + 1))  # others occur HOT times at most
     hot = settle(held(rows).where(common).groupBy("key").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > HOT).select("key"), "hot")
-    cold = other(held(rows).join(hot, "key", "left_anti"), "id", "n", "sig", "i")
+    # most lines of a word are too short or too long for each other: a line looks in its own band, where those are that it could be similar to and not shorter than
+    bands = F.array_distinct(F.array(band(F.col("n"), similarity), band(F.floor(F.col("n") / similarity + 1e-6), similarity)))
+    cold = classes.select("id", "n", "sig", "prefix", F.explode(bands).alias("band")).select("id", "n", "sig", "band", F.posexplode("prefix").alias("i", "key")).where(again_somewhere)
+    cold = held(cold).join(hot, "key", "left_anti").withColumn("key", in_band(F.col("key"), F.col("band")))
+    sought = rows.select(in_band(F.col("key"), band(F.col("n"), similarity)).alias("key"), "id", "n", "sig", "i")
     # a cold word has HOT lines at most, so the rows needn't be sorted to meet
-    pairs = rows.select("key", "id", "n", "sig", "i").join(cold.hint("shuffle_hash"), "key").where(shorter & may_match(similarity)).select("id", "b_id", "b_n")
+    pairs = sought.join(other(cold, "id", "n", "sig", "i").hint("shuffle_hash"), "key").where(shorter & may_match(similarity)).select("id", "b_id", "b_n")
     own = settle(rows.join(hot, "key"), "own")
     apart = own.select(F.col("id").alias("b_id")).distinct()
     met = settle(pairs.groupBy("id", "b_id").agg(((F.count(F.lit(1)) > 1) | ~twice(F.any_value("b_n"), similarity)).alias("enough")), "met")
@@ -181,10 +221,11 @@ def repeated(docs: DataFrame, lines: DataFrame, similarity: float = SIMILARITY)
     discard(met, pairs, hot)
 
     again = matched.withColumn("again", F.lit(True))
-    marked = settle(own.join(again, "id", "left").withColumn("open", F.col("again").isNull()).drop("again"), "marked")
+    marked = own.join(again, "id", "left").withColumn("open", F.col("again").isNull()).drop("again")
+    marked = settle(marked.join(texts.drop("d", "l", "h"), "id"), "marked")
     discard(own)
-    sides = ("id", "d", "l", "n", "sig", "i")
-    meet = lambda a, b, wanted: a.join(other(b, *sides, "open"), "key").where(shorter & wanted & may_match(similarity)).select("id", "b_id")
+    sides = ("id", "d", "l", "n", "sig", "i", "m", "s0", "s1", "s2", "s3")
+    meet = lambda a, b, wanted: a.join(other(b, *sides, "open"), "key").where(shorter & wanted & may_match(similarity) & near(similarity)).select("id", "b_id")
     rest = meet(marked.where("open"), held(marked), later() | F.col("b_open")).union(meet(marked.where("NOT open"), held(marked.where("open")), later("b_", "")))
     rest = settle(rest.distinct(), "rest")
     more = verified(rest, texts, similarity)
