@@ -102,3 +102,36 @@ def test_similar_lengths_share_a_band(spark, similarity):
     got = {r.id: (r.own, r.last) for r in n.collect()}
     assert all(last - own in (0, 1) for own, last in got.values())
     assert all(got[m][0] in got[k] for k in got for m in (k, int(k / similarity), int(k / similarity) - 1) if k <= m <= 3000 and m * similarity <= k + 1e-9)
+
+
+def test_lines_dont_carry_their_text(spark, capsys):
+    """A text is split into lines once, and a line's row holds no other lines."""
+    lines.lines_of(spark.createDataFrame([(1, "a b\nc", "en", "s", 0, "", "")], DOCS)).select("doc_id", "n_lines", "l", "k1").explain()
+    plan = capsys.readouterr().out
+    generate = next(row for row in plan.splitlines() if "Generate" in row)
+    assert plan.count("split(") == 1
+    assert "n_lines" in generate.split("[", 1)[1]
+
+
+def test_words_shared_too_late_in_a_line(spark, monkeypatch):
+    """Lines that have too few words in common from the one they meet on aren't verified."""
+    rows = []
+    for k in range(60):
+        tail = [f"c{k % 2}x{i}" for i in range(16)]
+        rows.append((2 * k, " ".join([f"r{k}", f"s{k}", f"both{k}", f"d{k % 2}", *tail]), "en", "s", 0, "", ""))
+        rows.append((2 * k + 1, " ".join([f"o{k}", f"p{k}", f"q{k}", f"both{k}", *tail]), "en", "s", 0, "", ""))
+    asked, real = [], lines.texts_by_id
+    monkeypatch.setattr(lines, "texts_by_id", lambda ids, *rest: asked.append(ids.distinct().count()) or real(ids, *rest))
+    got = [(r.doc_id, r.n_lines, list(r.removed)) for r in lines.dedup(spark.createDataFrame(rows, DOCS).coalesce(1)).collect()]
+    assert sorted(got) == sorted(brute(rows))
+    assert asked == [0]
+
+
+@pytest.mark.parametrize("similarity", [1.0, 0.8, 0.55])
+def test_longest_line_for_a_place(spark, similarity):
+    """No longer line that is similar and shares nothing before a place (one word, if two are asked for) is left out."""
+    n = spark.range(1, 121).select("id", *[lines.longest(lines.F.col("id"), lines.F.lit(i), similarity).alias(f"i{i}") for i in range(6)], lines.twice(lines.F.col("id"), similarity).cast("int").alias("e"))
+    for r in n.collect():
+        for i in range(6):
+            fit = [m for m in range(r.id, 2 * r.id + 1) if min(r.id, r.id - i + r.e) * (1 + similarity) >= similarity * (r.id + m) - 1e-9]
+            assert not fit or r[f"i{i}"] >= max(fit)

@@ -40,7 +40,9 @@ def lines_of(docs: DataFrame) -> DataFrame:
     """doc_id, t (tells texts under one id apart), n_lines, l, line and a 128-bit key k1, k2 of every line; a null text has one row, of no lines."""
     text = F.coalesce("text", F.lit(""))
     whole = docs.select("doc_id", F.xxhash64(text).alias("t"), F.col("text").isNull().alias("none"), F.split(text, "\n").alias("parts"))
-    each = whole.select("doc_id", "t", F.when(F.col("none"), 0).otherwise(F.size("parts")).alias("n_lines"), F.posexplode("parts").alias("l", "line"))
+    # sizes are taken before, or every line would hold all parts; without "outer" Spark splits each text twice, to leave out empty arrays, which there are none of
+    sized = whole.select("doc_id", "t", F.when(F.col("none"), 0).otherwise(F.size("parts")).alias("n_lines"), "parts")
+    each = sized.select("doc_id", "t", "n_lines", F.posexplode_outer("parts").alias("l", "line"))
     return each.select("*", F.xxhash64("line").alias("k1"), F.xxhash64("line", F.lit("again")).alias("k2"))
 
 
@@ -57,7 +59,7 @@ def rarity(docs: DataFrame, cells: int) -> DataFrame:
     text = F.col("text")
     odd = text.contains("\t") | text.contains("\x0b") | text.contains("\x0c") | text.contains("\r")
     plain = F.when(odd, F.regexp_replace(text, r"[\x20\x09-\x0D]", " ")).otherwise(F.replace(text, F.lit("\n"), F.lit(" ")))
-    words = docs.select(F.explode(F.split(plain, " ")).alias("w"))  # an empty word where spaces meet, which no line has, does no harm
+    words = docs.where("text IS NOT NULL").select(F.explode_outer(F.split(plain, " ")).alias("w"))  # an empty word where spaces meet, which no line has, does no harm
     counted = words.groupBy(F.xxhash64("w").bitwiseAND(F.lit(cells - 1)).alias("cell")).agg(F.count(F.lit(1)).alias("n"))
     return one_row(counted.select("cell", F.least(F.lit(120), F.floor(F.log2(F.col("n") + 1) * 4)).cast("tinyint").alias("value")), cells)
 
@@ -101,17 +103,22 @@ def features(docs: DataFrame, similarity: float, cells: int) -> DataFrame:
     return ranked.select(*keys, "n", "sig", F.slice("s", F.lit(1), F.size("s") - F.ceil(F.size("s") * F.lit(similarity) - 1e-9).cast("int") + 1 + twice(F.size("s"), similarity).cast("int")).alias("prefix"))
 
 
-def may_match(similarity: float) -> Column:
-    """The length, positional and bit filters between the columns of one side and those of the other, named b_."""
+def may_match(similarity: float, before: Column | None = None) -> Column:
+    """The length, positional and bit filters between the columns of one side and those of the other, named b_. Of common words that come before the one met on, so many are allowed for, or any number."""
     n, m = F.col("n"), F.col("b_n")
     need = F.ceil((n + m) * F.lit(similarity / (1 + similarity)) - 1e-9)
-    most = F.least("i", "b_i") + F.least(n - F.col("i"), m - F.col("b_i"))
-    return (F.least(n, m) >= F.greatest(n, m) * similarity - 1e-9) & (most >= need) & (F.bit_count(F.col("sig").bitwiseXOR(F.col("b_sig"))) <= n + m - need * 2)
+    most = F.least("i", "b_i", *([] if before is None else [before])) + F.least(n - F.col("i"), m - F.col("b_i"))
+    return (F.least(n, m) >= F.greatest(n, m) * similarity - 1e-9) & (most >= (n + m) * F.lit(similarity / (1 + similarity)) - 1e-9) & (F.bit_count(F.col("sig").bitwiseXOR(F.col("b_sig"))) <= n + m - need * 2)
 
 
 def band(n: Column, similarity: float) -> Column:
     """Which of the bands of lengths n is in; those of similar lines are in one band or in two neighbouring ones. Wider bands hold more lines, narrower ones hold more of them twice."""
-    return F.floor(F.log(n) / max(-3 * math.log(similarity), 0.4))
+    return F.floor(F.log(n) / max(-1.5 * math.log(similarity), 0.4))
+
+
+def longest(n: Column, i: Column, similarity: float) -> Column:
+    """How long a line can be that is similar to one of n distinct words and shares as its first word (its second one, if they have to share two) that at place i."""
+    return F.floor((n - i + twice(n, similarity).cast("int")) * (1 + 1 / similarity) - n + 1e-6)
 
 
 def in_band(key: Column, which: Column) -> Column:
@@ -130,13 +137,13 @@ def later(a: str = "", b: str = "b_") -> Column:
 
 
 def texts_by_id(ids: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """id, d, l, m (distinct words), h (their hashes) and s0 to s3 of the classes with these ids.
+    """id, d, l, k1, k2, m (distinct words), h (their hashes) and s0 to s3 of the classes with these ids.
 
     s0 to s3 are a sketch of 256 bits, of which each word flips one: two lines
     differ by as many words at least as their sketches by bits. A bit table of
     the keys spares most other lines the way.
     """
-    asked = settle(classes.select("id", "d", "l", "k1", "k2").join(ids.distinct(), "id"), "asked")
+    asked = settle(classes.select("id", "d", "l", "k1", "k2").join(ids.distinct().hint("shuffle_hash"), "id"), "asked")
     cell = lambda c: F.shiftright(c, 6).bitwiseAND(F.lit(ASKED - 1))
     bit = F.expr("shiftleft(1L, CAST(k1 & 63 AS INT))")
     bits = one_row(asked.groupBy(cell("k1").alias("cell")).agg(F.bit_or(bit).alias("value")), ASKED)
@@ -144,12 +151,11 @@ def texts_by_id(ids: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFram
     lines = lines.where(F.get("bits", cell("k1").cast("int")).bitwiseAND(bit) != 0).select("k1", "k2", "line")
     texts = lines.groupBy("k1", "k2").agg(F.any_value("line").alias("line"))
     hashes = F.array_distinct(F.transform(split_words(F.col("line")), lambda w: F.xxhash64(w)))
-    named = settle(asked.join(texts, ["k1", "k2"]).select("id", "d", "l", hashes.alias("h")), "named", dictionary=False)
-    words = named.select("id", F.explode("h").alias("h"))
-    flipped = lambda k: F.bit_xor(F.when(F.shiftright("h", 6).bitwiseAND(F.lit(3)) == k, F.expr("shiftleft(1L, CAST(h & 63 AS INT))")).otherwise(0))
-    sketches = words.groupBy("id").agg(F.count(F.lit(1)).alias("m"), *[flipped(k).alias(f"s{k}") for k in range(4)])
-    out = settle(named.join(sketches, "id"), "texts", dictionary=False)
-    discard(asked, bits, named)
+    named = asked.join(texts, ["k1", "k2"]).select("id", "d", "l", "k1", "k2", hashes.alias("h"))
+    bit_of = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))
+    flipped = lambda k: F.aggregate("h", F.lit(0).cast("long"), lambda s, h: s.bitwiseXOR(F.when(F.shiftright(h, 6).bitwiseAND(F.lit(3)) == k, bit_of(h)).otherwise(0)))
+    out = settle(named.select("id", "d", "l", "k1", "k2", F.size("h").cast("long").alias("m"), *[flipped(k).alias(f"s{k}") for k in range(4)], "h"), "texts", dictionary=False)
+    discard(asked, bits)
     return out
 
 
@@ -161,15 +167,10 @@ def near(similarity: float) -> Column:
 
 def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """id: of pairs (id, b_id) the later lines whose words, by their 64-bit hashes, have the similarity with the earlier one's. Their sketches rule most of the others out."""
-    places = texts.drop("h")
-    both = pairs.join(places, "id").join(places.select(*[F.col(c).alias(f"b_{c}") for c in places.columns]), "b_id")
-    left = both.where(near(similarity) & (later() | later("b_", ""))).select("id", "b_id", F.when(later(), F.col("id")).otherwise(F.col("b_id")).alias("last"))
-    left = settle(left, "near")
-    met = left.join(texts.select("id", "m", "h"), "id").join(texts.select(F.col("id").alias("b_id"), F.col("m").alias("b_m"), F.col("h").alias("b_h")), "b_id")
-    met = met.select("last", (F.col("m") + F.col("b_m")).alias("all"), F.size(F.array_intersect("h", "b_h")).alias("both"))
-    out = settle(met.where(F.col("both") >= F.ceil(F.col("all") * F.lit(similarity / (1 + similarity)) - 1e-9)).select(F.col("last").alias("id")).distinct(), "matched")
-    discard(left)
-    return out
+    texts = texts.drop("k1", "k2")
+    both = pairs.join(texts, "id").join(texts.select(*[F.col(c).alias(f"b_{c}") for c in texts.columns]), "b_id").where(near(similarity) & (later() | later("b_", "")))
+    met = both.select(F.when(later(), F.col("id")).otherwise(F.col("b_id")).alias("last"), (F.col("m") + F.col("b_m")).alias("all"), F.size(F.array_intersect("h", "b_h")).alias("both"))
+    return settle(met.where(F.col("both") >= F.ceil(F.col("all") * F.lit(similarity / (1 + similarity)) - 1e-9)).select(F.col("last").alias("id")).distinct(), "matched")
 
 
 def repeated(docs: DataFrame, lines: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -204,11 +205,14 @@ def repeated(docs: DataFrame, lines: DataFrame, similarity: float = SIMILARITY)
     hot = settle(held(rows).where(common).groupBy("key").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > HOT).select("key"), "hot")
     # most lines of a word are too short or too long for each other: a line looks in its own band, where those are that it could be similar to and not shorter than
     bands = F.array_distinct(F.array(band(F.col("n"), similarity), band(F.floor(F.col("n") / similarity + 1e-6), similarity)))
-    cold = classes.select("id", "n", "sig", "prefix", F.explode(bands).alias("band")).select("id", "n", "sig", "band", F.posexplode("prefix").alias("i", "key")).where(again_somewhere)
-    cold = held(cold).join(hot, "key", "left_anti").withColumn("key", in_band(F.col("key"), F.col("band")))
+    cold = classes.select("id", "n", "sig", "prefix", band(F.col("n"), similarity).alias("lowest"), F.explode(bands).alias("band"))
+    cold = held(cold.select("id", "n", "sig", "lowest", "band", F.posexplode("prefix").alias("i", "key")).where(again_somewhere))
+    # the later a word's place, the less can be shared from there on, so that only shorter lines are of use
+    cold = cold.where((F.col("band") == F.col("lowest")) | (F.col("band") <= band(longest(F.col("n"), F.col("i"), similarity), similarity)))
+    cold = cold.join(hot, "key", "left_anti").withColumn("key", in_band(F.col("key"), F.col("band")))
     sought = rows.select(in_band(F.col("key"), band(F.col("n"), similarity)).alias("key"), "id", "n", "sig", "i")
     # a cold word has HOT lines at most, so the rows needn't be sorted to meet
-    pairs = sought.join(other(cold, "id", "n", "sig", "i").hint("shuffle_hash"), "key").where(shorter & may_match(similarity)).select("id", "b_id", "b_n")
+    pairs = sought.join(other(cold, "id", "n", "sig", "i").hint("shuffle_hash"), "key").where(shorter & may_match(similarity, twice(F.col("b_n"), similarity).cast("int"))).select("id", "b_id", "b_n")
     own = settle(rows.join(hot, "key"), "own")
     apart = own.select(F.col("id").alias("b_id")).distinct()
     met = settle(pairs.groupBy("id", "b_id").agg(((F.count(F.lit(1)) > 1) | ~twice(F.any_value("b_n"), similarity)).alias("enough")), "met")
@@ -222,15 +226,16 @@ def repeated(docs: DataFrame, lines: DataFrame, similarity: float = SIMILARITY)
 
     again = matched.withColumn("again", F.lit(True))
     marked = own.join(again, "id", "left").withColumn("open", F.col("again").isNull()).drop("again")
-    marked = settle(marked.join(texts.drop("d", "l", "h"), "id"), "marked")
+    marked = settle(marked.join(texts.drop("d", "l", "k1", "k2", "h"), "id"), "marked")
     discard(own)
     sides = ("id", "d", "l", "n", "sig", "i", "m", "s0", "s1", "s2", "s3")
     meet = lambda a, b, wanted: a.join(other(b, *sides, "open"), "key").where(shorter & wanted & may_match(similarity) & near(similarity)).select("id", "b_id")
     rest = meet(marked.where("open"), held(marked), later() | F.col("b_open")).union(meet(marked.where("NOT open"), held(marked.where("open")), later("b_", "")))
     rest = settle(rest.distinct(), "rest")
     more = verified(rest, texts, similarity)
-    again = matched.union(more).distinct().withColumn("again", F.lit(True))
-    state = settle(classes.select("id", "k1", "k2", "d", "l", "copies").join(again, "id", "left").where("again OR copies > 1").select("k1", "k2", "d", "l", F.coalesce("again", F.lit(False)).alias("again")), "state")
+    again = texts.select("id", "k1", "k2", "d", "l").join(matched.union(more).distinct(), "id").select("k1", "k2", "d", "l", F.lit(True).alias("again"))
+    copied = classes.where("copies > 1").select("k1", "k2", "d", "l", F.lit(False).alias("again"))
+    state = settle(copied.union(again).groupBy("k1", "k2", "d", "l").agg(F.max("again").alias("again")), "state")
     discard(classes, marked, rest, texts, matched, more)
     return state
 
@@ -252,7 +257,7 @@ def dedup(docs: DataFrame, similarity: float = SIMILARITY, cells: int = CELLS) -
     lines = settle(features(docs, similarity, cells), "lines", dictionary=False)
     places = settle(lines.select("doc_id", "t", "n_lines", "l", "k1", "k2"), "places")
     state = repeated(docs, lines, similarity).select("k1", "k2", F.col("d").alias("first_d"), F.col("l").alias("first_l"), "again")
-    placed = places.join(state, ["k1", "k2"])
+    placed = places.join(state.hint("shuffle_hash"), ["k1", "k2"])
     gone = placed.where(F.col("again") | (F.coalesce("doc_id", F.lit(_LAST)) != F.col("first_d")) | (F.col("l") != F.col("first_l")))
     per = gone.groupBy(F.col("doc_id").alias("gone_id"), F.col("t").alias("gone_t"), F.col("n_lines").alias("gone_n")).agg(F.sort_array(F.collect_set("l")).alias("removed"))
     rows = places.where("l = 0").select("doc_id", "t", "n_lines")  # every document has a line 0
